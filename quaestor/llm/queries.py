@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import contaminations
+from .minhash import near_duplicates
 from .packing import packed
+from .substrings import without_repeats
 from .tokens import tokenized
 
 
@@ -21,6 +24,15 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("text_hash")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer=_vocabulary("word_bpe_49k.json"))
 
@@ -34,9 +46,45 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_packing": op7_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Distinct runs of n words of each row of a table, the whole sequence where there are fewer.
+_SHINGLES = (
+    "SELECT DISTINCT {id}, array_to_string(ws[k:k + least(len(ws), {n}) - 1], ' ') AS s FROM "
+    "(SELECT {id}, ws, unnest(range(1, greatest(len(ws) - {n}, 0) + 2)) AS k FROM (SELECT {id}, " + _WORDS.format(_LOWER) + " AS ws FROM {table}) WHERE len(ws) > 0)"
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, k, md5(array_to_string(ws[k:k + 34], ' ')) AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS k FROM w WHERE len(ws) >= 35)),
+        repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM windows JOIN repeated USING (h)),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+    "op4_minhash_near_dedup": f"""
+        WITH RECURSIVE s AS ({_SHINGLES.format(id="doc_id", n=4, table="documents")}),
+        sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+            JOIN sizes m ON m.doc_id = p.a JOIN sizes o ON o.doc_id = p.b WHERE 100 * p.c >= 80 * (m.n + o.n - p.c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)""",
+    "op9_benchmark_decontamination": f"""
+        WITH d AS ({_SHINGLES.format(id="doc_id", n=5, table="documents")}), i AS ({_SHINGLES.format(id="item_id", n=5, table="benchmark")}),
+        sizes AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+        found AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n AS n_item_shingles, n_shared, n_shared / n AS containment FROM found JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n""",
+}
