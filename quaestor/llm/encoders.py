@@ -10,71 +10,142 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CONTROLS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_SPACES = b" \t\n\v\f\r"
+#: Beyond the Latin blocks, where the tokenizer itself normalizes.
+_FAR = re.compile("[^\x00-\u024f]")
 _UNITS = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
+class _Places(dict):
+    """unit -> its number; units seen for the first time get the next number and wait in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, unit: bytes) -> int:
+        value = self[unit] = len(self)
+        self.fresh.append(unit)
+        return value
+
+
 class UnitEncoder:
     """``keeps_space``: white space is part of the ids (byte-level files), else it only separates words."""
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.joined.encode_special_tokens = True  # their strings in a text are ordinary text
+        if not keeps_space:
+            self.joined.normalizer = normalizers.Sequence([])
         self.keeps_space, self.limit = keeps_space, limit
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+        self.spans = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes that an id stands for
+        for token, k in vocabulary.items():
+            self.spans[k] = len(token.removesuffix("</w>"))
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.flat, self.used = np.empty(1 << 16, self.kind), 0
-        self.ends = np.zeros(1 << 12, np.int64)
-
-    def _learn(self, units: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
-        for unit, code in zip(units, found, strict=True):
-            ids, k = code.ids, len(self.place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if k + 2 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.ends[k + 1] = self.used
-            self.place[unit] = k
-
-    def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _together(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and number of ids of units that may stand side by side, told apart by the bytes the ids stand for."""
+        joined = (b"" if self.keeps_space else b" ").join(units).decode("utf-8", "replace")
+        ids = np.array(self.joined.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+        until, ends = np.cumsum(self.spans[ids]), np.cumsum([len(u) for u in units])
+        at = np.searchsorted(until, ends)
+        if not len(ids) or until[-1] != ends[-1] or (until[at] != ends).any():
+            return None
+        return ids, np.diff(at, prepend=-1)
+
+    def _learn(self) -> None:
+        fresh, self.place.fresh = self.place.fresh, []
+        known = len(self.place) - len(fresh)
+        beside = np.array([k for k, u in enumerate(fresh) if u and (not self.keeps_space or u[0] in _SPACES and u[-1] not in _SPACES)], np.int64)
+        done = self._together([fresh[k] for k in beside]) if len(beside) else None
+        ids, sizes = done or (np.empty(0, self.kind), np.empty(0, np.int64))
+        order = beside if done else np.empty(0, np.int64)
+        alone = np.setdiff1d(np.arange(len(fresh)), order)
+        parts = [self._whole(fresh[k].decode("utf-8", "replace")) for k in alone]
+        ids, sizes, order = np.concatenate([ids, *parts]), np.concatenate([sizes, [len(p) for p in parts]]).astype(np.int64), np.concatenate([order, alone])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while known + len(fresh) > len(self.begin):
+            self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[known + order] = self.used + np.cumsum(sizes) - sizes
+        self.size[known + order] = sizes
+        self.used += len(ids)
+
+    def encode(self, texts: list[bytes | None], end: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each followed by ``end``; where each text starts, and the length of all)."""
-        starts, parts = [0], []
+        parts, counts, held, size = [], [], [], 0
         for text in texts:
-            ids = self._one(text or b"")
-            parts += [ids, np.array([end], self.kind)]
-            starts.append(starts[-1] + len(ids) + 1)
-        return (np.concatenate(parts) if parts else np.empty(0, self.kind)), np.array(starts, np.int64)
-
-    def _one(self, text: bytes) -> np.ndarray:
-        if not self.keeps_space:
-            units = text.split()
-        else:
-            if not text.isascii() and _ODD.search(text.decode("utf-8", "replace")) or any(c in text for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")):
-                return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
-            units = _UNITS.findall(text)
-        if not units:
-            return np.empty(0, self.kind)
-        if fresh := set(units).difference(self.place):
-            if len(self.place) > self.limit:
-                self._forget()
-                fresh = set(units)
-            self._learn(list(fresh))
+            held.append(text or b"")
+            size += len(held[-1])
+            if size >= block:
+                self._block(held, end, parts, counts)
+                held, size = [], 0
+        self._block(held, end, parts, counts)
+        return (np.concatenate(parts) if parts else np.empty(0, self.kind)), np.cumsum([0, *counts])
+
+    def _block(self, texts: list[bytes], end: int, parts: list[np.ndarray], counts: list[int]) -> None:
+        if len(self.place) > self.limit:
+            self._forget()
+        units, sizes, odd = [], [], {}
+        for k, text in enumerate(texts):
+            if not self.keeps_space:
+                if text.isascii():
+                    own = text.lower().split()
+                elif not _FAR.search(plain := text.decode("utf-8", "replace")) and unicodedata.is_normalized("NFC", plain):
+                    own = plain.lower().encode().split()
+                else:
+                    own = []
+                    odd[k] = self._whole(plain)
+            elif any(c in text for c in _CONTROLS) or not text.isascii() and _ODD.search(text.decode("utf-8", "replace")):
+                own = []
+                odd[k] = self._whole(text.decode("utf-8", "replace"))
+            else:
+                own = _UNITS.findall(text)
+            units += own
+            units.append(b"")  # the end of the text
+            sizes.append(len(own) + 1)
         at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
-        begin, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        before = np.cumsum(lengths) - lengths
-        return self.flat[np.repeat(begin - before, lengths) + np.arange(int(lengths.sum()))]
+        if self.place.fresh:
+            self._learn()
+        begin, lengths = self.begin[at], self.size[at]
+        last = np.cumsum(sizes) - 1
+        lengths[last] = 1
+        after = np.cumsum(lengths)
+        ids = self.flat[np.repeat(begin - (after - lengths), lengths) + np.arange(int(lengths.sum()))] if len(units) else np.empty(0, self.kind)
+        if len(last):
+            ids[after[last] - 1] = end
+        own_counts = np.diff(np.concatenate([[0], after[last]])).tolist()
+        if not odd:
+            parts.append(ids)
+        else:
+            start = 0
+            for k, n in enumerate(own_counts):
+                if k in odd:
+                    parts.append(odd[k])
+                    own_counts[k] += len(odd[k])
+                parts.append(ids[start : start + n])
+                start += n
+        counts += own_counts
 
 
 _KEPT: dict[tuple, UnitEncoder] = {}
