@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .decontam import contaminations
 from .minhash import near_duplicates
 from .packing import packed
+from .pii import KINDS, personal_data
 from .substrings import without_repeats
 from .tokens import tokenized
+from .urls import judged
 from .vectors import near_duplicate_vectors
 from .warc import round_trip
 
@@ -39,6 +41,24 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("text_hash")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    joined = lambda c: f"array_join(transform({c}, x -> concat_ws(':', {names}[x.kind], x.start, x.end)), ',')"
+    counts = [F.expr(f"size(filter(base, x -> x.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+
+
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer=_vocabulary("word_bpe_49k.json"))
 
@@ -59,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_epsilon_grid_join": op2_epsilon_grid_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_pii": op5_pii,
+    "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
