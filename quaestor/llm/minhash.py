@@ -11,7 +11,7 @@
    The components of these candidates hold every pair that can be linked.
 4. Each component's texts meet in tasks of at most ``task_nodes`` nodes.  A task compares all
    pairs of different components so far by sketch and confirms them on full shingle sets.
-5. Components larger than a task are dealt to tasks at random, in several rounds; nearly all of
+5. Components larger than a task are dealt to tasks at random, twice over, so that nearly all of
    such a group grows together at once.  Then every node outside its largest part is compared
    with all the others, in blocks.  Pairs within one part need no comparison, so the links
    found have exactly the components that all pairs would give.
@@ -178,8 +178,7 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int, percent: int, small: int, task_nodes: int) -> DataFrame:
     """Confirmed links (a, b) that span the components of all nodes."""
-    spark = docs.sparkSession
-    reach = components(_candidates(nodes, small)).toDF("fp", "cc")
+    reach = written(components(_candidates(nodes, small)).toDF("fp", "cc"), "reach")
     sizes = reach.groupBy("cc").agg(F.count("*").alias("size"))
     wanted = nodes.join(reach.join(sizes, "cc"), "fp").select("fp", "cc", "size", "sketch", "label", "text_hash")
     bodies = docs.select(F.col(doc_id).cast("long").alias("own_id"), F.col(text).cast("binary").alias("body")).withColumn("text_hash", F.xxhash64("body"))
@@ -193,20 +192,13 @@ def _links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int
     def dealt(rows: DataFrame, turn: int) -> DataFrame:
         return rows.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.ceil(F.col("size") / task_nodes)))
 
-    plain = dealt(texts.withColumn("part", F.col("fp")).withColumn("stranger", F.lit(False)), 0)
-    links = written(task(plain, "cc", "block"), "confirmed")
+    fresh = texts.withColumn("part", F.col("fp")).withColumn("stranger", F.lit(False))
+    again = dealt(fresh.filter(F.col("size") > task_nodes), 1).withColumn("turn", F.lit(1))
+    links = written(task(dealt(fresh, 0).withColumn("turn", F.lit(0)).unionAll(again), "cc", "turn", "block"), "confirmed")
     large = texts.filter(F.col("size") > task_nodes)
     if large.select("fp").head(1):
         members = reach.join(sizes.filter(F.col("size") > task_nodes), "cc").select("fp", "cc", "size")
-
-        def spanned(found: DataFrame) -> DataFrame:
-            return written(_parts(members, found.join(members.select(F.col("fp").alias("a")), "a", "left_semi").select("a", "b")), "parts")
-
-        for turn in (1, 2):
-            parts = spanned(links)
-            rows = dealt(large.join(parts.select("fp", "part"), "fp").withColumn("stranger", F.lit(False)), turn)
-            links = links.unionAll(written(task(rows, "cc", "block"), "confirmed"))
-        parts = spanned(links)
+        parts = written(_parts(members, links), "parts")
         by_size = parts.groupBy("cc", "part").agg(F.count("*").alias("n"))
         main = by_size.groupBy("cc").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all")).select("cc", F.col("m.part").alias("main"), (F.col("all") - F.col("m.n")).alias("outside"))
         rows = dealt(large.join(parts.select("fp", "part"), "fp").join(F.broadcast(main) if main.count() < 10_000 else main, "cc"), 3)
