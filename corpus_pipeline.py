@@ -7,8 +7,22 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from quaestor.llm.decontam import decontaminated
-from quaestor.llm.queries import table
+from quaestor.llm.minhash import deduplicated
+from quaestor.llm.packing import packed
+from quaestor.llm.pii import redacted
+from quaestor.llm.queries import table, vocabulary
 from quaestor.llm.scratch import written
+from quaestor.llm.toxicity import accepted, held_out, learned
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7; the model never sees the labels of the held-out third."""
+    return accepted(docs, learned(docs, table(spark, sf_dir, "labels").filter(~held_out())))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group at similarity 0.8 of five-word shingles."""
+    return deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,14 +30,26 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontamination)]
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by the name of its kind."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids."""
+    return packed(docs, tokenizer=vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage but the last is written and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
     *first, (_, last) = STAGES
     docs = functools.reduce(lambda d, stage: written(stage[1](spark, d, sf_dir), stage[0]), first, docs)
     return last(spark, docs, sf_dir)
 
 
+#: Scores, sketches and packing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

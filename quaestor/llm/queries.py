@@ -13,6 +13,7 @@ from .packing import packed
 from .pii import KINDS, personal_data
 from .substrings import without_repeats
 from .tokens import tokenized
+from .toxicity import held_out, learned, scores
 from .urls import judged
 from .vectors import near_duplicate_vectors
 from .warc import round_trip
@@ -22,12 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learned(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    found = scores(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +68,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), tokenizer=_vocabulary("word_bpe_49k.json"))
+    return packed(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +80,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenized(table(spark, sf_dir, "documents"), tokenizer=_vocabulary("byte_bpe_50k.json")).drop("shard")
+    return tokenized(table(spark, sf_dir, "documents"), tokenizer=vocabulary("byte_bpe_50k.json")).drop("shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_epsilon_grid_join": op2_epsilon_grid_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
