@@ -100,7 +100,8 @@ class UnitEncoder:
             if size >= block:
                 self._block(held, end, parts, counts)
                 held, size = [], 0
-        self._block(held, end, parts, counts)
+        if held:
+            self._block(held, end, parts, counts)
         return (np.concatenate(parts) if parts else np.empty(0, self.kind)), np.cumsum([0, *counts])
 
     def _block(self, texts: list[bytes], end: int, parts: list[np.ndarray], counts: list[int]) -> None:
@@ -151,9 +152,9 @@ class UnitEncoder:
 _KEPT: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> UnitEncoder:
+def encoder(path: str, keeps_space: bool, limit: int = 1_200_000) -> UnitEncoder:
     """The encoder of this Python worker for that file."""
-    if (path, keeps_space) not in _KEPT:
+    if (path, keeps_space, limit) not in _KEPT:
         _KEPT.clear()
-        _KEPT[path, keeps_space] = UnitEncoder(path, keeps_space)
-    return _KEPT[path, keeps_space]
+        _KEPT[path, keeps_space, limit] = UnitEncoder(path, keeps_space, limit)
+    return _KEPT[path, keeps_space, limit]
