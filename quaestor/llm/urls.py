@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-_BAD = "label=bad"
+#: No token of a url is without a "=".
+_BAD = "bad page"
 
 
 def _lower(column: Column) -> Column:
