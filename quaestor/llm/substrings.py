@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .words import WordHashes, mixed, run_hashes, slices
 
 _FRAGMENT = "bucket int, settled boolean, hashes binary, alone binary, texts binary, counts binary, starts binary, lengths binary"
@@ -176,8 +177,9 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(total) // bucket_bytes))
     fragments = rows.select("text_hash", "body").mapInArrow(_scatter(buckets, width, inner), _FRAGMENT)
-    runs = fragments.groupBy("bucket").applyInArrow(_count(width), "text_hash long, first int, last int")
-    by_text = runs.groupBy("text_hash").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    runs = fragments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count(width), "text_hash long, first int, last int")
+    # a table, so that the join below has two shuffled sides, of which Spark can split a text's many copies
+    by_text = written(runs.groupBy("text_hash").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "intervals")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
