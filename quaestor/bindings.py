@@ -55,10 +55,22 @@ ORACLE: dict[str, str] = {
     "texts": "SELECT doc_id AS id, text, lang, source, length(text)::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL",
     "keywords": """SELECT id AS document_id, word, count(*) AS count FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM texts) GROUP BY 1, 2""",
 }
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 #: Bindings that a binding is made of.
 _NEEDS = {"links": ["mentions"], "resolutions": ["entities"], "aliases": ["resolutions", "entities"], "facts": ["docs"], "tags": ["entities"], "redactions": ["docs"], "keywords": ["texts"]}
 
 
+from quaestor.plans.texts import SAMPLES  # noqa: E402
+
+ORACLE["samples"] = " UNION ALL ".join(f"SELECT {k}::BIGINT AS id, {_text(n)} AS filename, {_text(t)} AS text" for k, (n, t) in enumerate(SAMPLES))
+ORACLE["pages"] = "SELECT * FROM main.pages"
+
+
 class Corpus:
     """The bindings over one directory of tables, built when first asked for."""
 
@@ -155,19 +167,73 @@ class Corpus:
     def _texts(self) -> DataFrame:
         return self.raw("documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
+    def _samples(self) -> DataFrame:
+        return self.spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(SAMPLES)], "id long, filename string, text string")
+
+    def _pages(self) -> DataFrame:
+        return self.raw("pages")
+
     def _keywords(self) -> DataFrame:
         words = self["texts"].select(F.col("id").alias("document_id"), F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]{3,}', 0)")).alias("word"))
         return words.groupBy("document_id", "word").agg(F.count("*").alias("count"))
 
 
+_CALL = r"\(((?:[^()']|'[^']*'|\((?:[^()']|'[^']*'|\((?:[^()']|'[^']*')*\))*\))*)\)"
+
+
+def _arguments(text: str) -> list[str]:
+    """Arguments of a call, parted at its own commas."""
+    out, depth, quote, start = [], 0, False, 0
+    for k, c in enumerate(text):
+        if c == "'":
+            quote = not quote
+        elif not quote:
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 0:
+                out.append(text[start:k].strip())
+                start = k + 1
+    return [*out, text[start:].strip()]
+
+
+def _regex(literal: str) -> str:
+    """A quoted pattern as Spark reads it: a raw string."""
+    return literal if literal.startswith("r'") else "r" + literal
+
+
+_SPARK = {
+    "JOINED": lambda x: f"array_join(array_sort(collect_set({x})), ',')",
+    "DAYS": lambda a, b: f"CAST(datediff(CAST({b} AS DATE), CAST({a} AS DATE)) AS BIGINT)",
+    "WEEKDAY": lambda d: f"CAST(dayofweek(CAST({d} AS DATE)) - 1 AS BIGINT)",
+    "MATCHES": lambda x, r: f"({x} RLIKE {_regex(r)})",
+    "ALLMATCHES": lambda x, r, g: f"regexp_extract_all({x}, {_regex(r)}, {g})",
+    "UNNESTED": lambda x: f"explode({x})",
+    "SHINGLES": lambda x, n: f"CASE WHEN size({x}) >= {n} THEN transform(sequence(1, size({x}) - {n} + 1), k -> array_join(slice({x}, k, {n}), ' ')) END",
+    "WORDS": lambda x: f"greatest(CAST(size(filter(split({x}, r'[ \t\n\r]+'), w -> w != '')) AS BIGINT), 1L)",
+    "regexp_replace": lambda x, r, y, *flags: f"regexp_replace({x}, {_regex(r)}, {y})",
+}
+_DUCKDB = {
+    "JOINED": lambda x: f"string_agg(DISTINCT {x}, ',' ORDER BY {x})",
+    "DAYS": lambda a, b: f"date_diff('day', CAST({a} AS DATE), CAST({b} AS DATE))",
+    "WEEKDAY": lambda d: f"CAST(dayofweek(CAST({d} AS DATE)) AS BIGINT)",
+    "MATCHES": lambda x, r: f"regexp_matches({x}, {r})",
+    "ALLMATCHES": lambda x, r, g: f"regexp_extract_all({x}, {r}, {g})",
+    "UNNESTED": lambda x: f"unnest({x})",
+    "SHINGLES": lambda x, n: f"list_transform(range(1, len({x}) - {n} + 2), lambda k: array_to_string(({x})[k:k + {n} - 1], ' '))",
+    "WORDS": lambda x: f"greatest(len(list_filter(regexp_split_to_array({x}, '[ \t\n\r]+'), lambda w: w <> ''))::BIGINT, 1)",
+}
+
+
 def _dialect(plan: str, engine: str, view) -> str:
-    """A plan in an engine's words: ``{name}`` bindings, JOINED(x) sorted distinct lists, DAYS(a, b), WEEKDAY(d), MATCHES(x, 'r')."""
-    spark = engine == "spark"
+    """A plan in an engine's words: ``{name}`` bindings, and the few functions that the engines spell differently."""
     plan = re.sub(r"\{(\w+)\}", lambda m: view(m[1]) if m[1] in ORACLE else m[0], plan)
-    plan = re.sub(r"JOINED\(([^()]+)\)", r"array_join(array_sort(collect_set(\1)), ',')" if spark else r"string_agg(DISTINCT \1, ',' ORDER BY \1)", plan)
-    plan = re.sub(r"DAYS\(([^(),]+|\w+\([^()]*\)), ([^(),]+|\w+\([^()]*\))\)", r"CAST(datediff(CAST(\2 AS DATE), CAST(\1 AS DATE)) AS BIGINT)" if spark else r"date_diff('day', CAST(\1 AS DATE), CAST(\2 AS DATE))", plan)
-    plan = re.sub(r"WEEKDAY\(([^()]+)\)", r"CAST(dayofweek(CAST(\1 AS DATE)) - 1 AS BIGINT)" if spark else r"CAST(dayofweek(CAST(\1 AS DATE)) AS BIGINT)", plan)
-    return re.sub(r"MATCHES\(([^(),]+), '([^']*)'\)", r"(\1 RLIKE '\2')" if spark else r"regexp_matches(\1, '\2')", plan)
+    for name, spell in (_SPARK if engine == "spark" else _DUCKDB).items():
+        start = 0
+        while m := re.compile(rf"\b{name}{_CALL}").search(plan, start):
+            text = spell(*_arguments(m[1]))
+            at = m.start() + (len(name) + 1 if name in text else 0)
+            plan = plan[: m.start()] + text + plan[m.end() :]
+            start = at
+    return plan
 
 
 def oracle(plan: str) -> str:

@@ -9,7 +9,7 @@ PLANS = {
     "get_document_keywords": "SELECT word, count FROM {keywords} WHERE document_id = 5 ORDER BY count DESC, word LIMIT 30",
     "list_sources": "SELECT source, count(*) AS n_docs, CAST(sum(pages) AS BIGINT) AS pages FROM {docs} GROUP BY source",
     "list_keywords": "SELECT word, CAST(sum(count) AS BIGINT) AS total_count, count(*) AS doc_count FROM {keywords} GROUP BY word ORDER BY total_count DESC, word LIMIT 30",
-    "keyword_cooccurrence": "WITH k AS (SELECT document_id, word FROM {keywords} WHERE length(word) >= 8 AND word IN (SELECT word FROM {keywords} GROUP BY word HAVING count(*) >= 5)) SELECT a.word AS word_a, b.word AS word_b, count(*) AS shared FROM k a JOIN k b ON a.document_id = b.document_id AND a.word < b.word GROUP BY a.word, b.word HAVING count(*) >= 3 ORDER BY shared DESC, word_a, word_b LIMIT 40",
+    "keyword_cooccurrence": "WITH top AS (SELECT document_id, word FROM (SELECT document_id, word, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, word) AS rank FROM {keywords}) r WHERE rank <= 50), k AS (SELECT document_id, word FROM top WHERE word IN (SELECT word FROM top GROUP BY word HAVING count(*) >= 5)) SELECT a.word AS word_a, b.word AS word_b, count(*) AS shared FROM k a JOIN k b ON a.document_id = b.document_id AND a.word < b.word GROUP BY a.word, b.word HAVING count(*) >= 3 ORDER BY shared DESC, word_a, word_b LIMIT 40",
     "get_stats": "SELECT (SELECT count(*) FROM {docs}) AS documents, (SELECT count(*) FROM {entities}) AS entities, (SELECT count(DISTINCT word) FROM {keywords}) AS keywords, (SELECT count(*) FROM {links}) AS connections",
     "stats_categories": "SELECT category, count(*) AS n FROM {docs} GROUP BY category",
     "dashboard_summary": "SELECT count(*) AS documents, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(CASE WHEN flagged THEN 1 ELSE 0 END) AS BIGINT) AS flagged, count(DISTINCT source) AS sources, min(date) AS first_date, max(date) AS last_date FROM {docs}",
@@ -48,7 +48,7 @@ PLANS = {
     "document_shared_entities": "SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY a.document_id, b.document_id ORDER BY shared DESC, doc_a, doc_b LIMIT 100",
     "detect_duplicates": "WITH n AS (SELECT document_id, count(*) AS n FROM {mentions} GROUP BY document_id), s AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY 1, 2) SELECT doc_a, doc_b, shared FROM s JOIN n x ON x.document_id = doc_a JOIN n y ON y.document_id = doc_b WHERE shared >= 0.6 * least(x.n, y.n)",
     "entity_clusters": "SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY 1, 2 HAVING count(*) >= 2",
-    "document_clusters": "WITH r AS (SELECT document_id, word, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, word) AS rank FROM {keywords} WHERE length(word) > 4) SELECT word, count(*) AS n FROM r WHERE rank = 1 GROUP BY word HAVING count(*) >= 3",
+    "document_clusters": "WITH r AS (SELECT document_id, word, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, word) AS rank FROM {keywords} WHERE length(word) >= 3) SELECT word, count(*) AS n FROM r WHERE rank = 1 GROUP BY word HAVING count(*) >= 3",
     "source_date_range": "SELECT source, min(date) AS first_date, max(date) AS last_date, count(*) AS n, CAST(sum(pages) AS BIGINT) AS pages FROM {docs} GROUP BY source",
     "category_stats": "SELECT d.category, count(*) AS doc_count, CAST(sum(d.pages) AS BIGINT) AS pages, count(DISTINCT m.entity_id) AS n_entities FROM {docs} d LEFT JOIN {mentions} m ON m.document_id = d.id GROUP BY d.category",
     "document_date_clusters": "SELECT substr(date, 1, 4) AS year, count(*) AS n, CAST(sum(pages) AS BIGINT) AS pages, count(DISTINCT source) AS sources FROM {docs} GROUP BY 1",

@@ -15,7 +15,7 @@ PLANS = {
     "temporal_heatmap": "SELECT substr(event_date, 1, 4) AS year, substr(event_date, 6, 2) AS month, count(*) AS n FROM {dated} WHERE length(event_date) >= 7 GROUP BY 1, 2",
     "entity_timeline_density": f"SELECT e.id, e.name, count(DISTINCT v.event_date) AS n_dates, count(DISTINCT v.id) AS n_events, min(v.event_date) AS first_date, max(v.event_date) AS last_date FROM {_EE} GROUP BY e.id, e.name",
     "event_calendar": f"SELECT event_date, count(*) AS n FROM {{dated}} WHERE {_DAY} AND event_date LIKE '1997%' GROUP BY event_date",
-    "timeline_gaps": f"SELECT before, event_date, DAYS(before, event_date) AS days FROM (SELECT event_date, lag(event_date) OVER (ORDER BY event_date) AS before FROM (SELECT DISTINCT event_date FROM {{dated}} WHERE {_DAY} AND document_id % 97 = 0) x) y WHERE DAYS(before, event_date) >= 30",
+    "timeline_gaps": f"SELECT before, event_date, DAYS(before, event_date) AS days FROM (SELECT event_date, lag(event_date) OVER (ORDER BY event_date) AS before FROM (SELECT DISTINCT event_date FROM {{dated}} WHERE {_DAY}) x) y WHERE DAYS(before, event_date) >= 2",
     "event_entity_ranking": f"SELECT e.id, e.name, e.type, count(DISTINCT v.id) AS n, min(v.event_date) AS first_date, max(v.event_date) AS last_date FROM {_EE} GROUP BY e.id, e.name, e.type",
     "event_types_precision": "SELECT precision, count(*) AS n FROM {dated} GROUP BY precision",
     "event_types_confidence": f"SELECT {_SURE} AS bucket, count(*) AS n, min(confidence) AS least FROM {{dated}} GROUP BY 1",
