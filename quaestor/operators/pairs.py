@@ -37,8 +37,8 @@ def bucketed(value: Column, bounds: list[float], names: list[str]) -> Column:
 
 
 def gaps(df: DataFrame, day: str, least: int, within: list[str] | None = None) -> DataFrame:
-    """(from_day, to_day, days): distances of at least ``least`` days between consecutive distinct days."""
-    days = df.select(*(within or []), F.to_date(day).alias("to_day")).filter("to_day IS NOT NULL").distinct()
+    """(from_day, to_day, days): distances of at least ``least`` days between consecutive distinct full dates."""
+    days = df.select(*(within or []), F.try_to_date(day, "yyyy-MM-dd").alias("to_day")).filter("to_day IS NOT NULL").distinct()
     before = F.lag("to_day").over(Window.partitionBy(*(within or [F.lit(0)])).orderBy("to_day"))
     found = days.withColumn("from_day", before).withColumn("days", F.datediff("to_day", "from_day").cast("long"))
     return found.filter(F.col("days") >= least).select(*(within or []), "from_day", "to_day", "days")
