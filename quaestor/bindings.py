@@ -69,6 +69,11 @@ from quaestor.plans.texts import SAMPLES  # noqa: E402
 
 ORACLE["samples"] = " UNION ALL ".join(f"SELECT {k}::BIGINT AS id, {_text(n)} AS filename, {_text(t)} AS text" for k, (n, t) in enumerate(SAMPLES))
 ORACLE["pages"] = "SELECT * FROM main.pages"
+ORACLE["conversations"] = "SELECT * FROM main.conversations"
+ORACLE["activity"] = "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, value FROM main.events"
+ORACLE["pdf_metadata"] = """SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 12 = 0 THEN '' ELSE c_mktsegment END AS author, CASE WHEN o_orderkey % 24 = 0 THEN '' ELSE o_orderpriority END AS creator,
+    CASE WHEN o_orderkey % 24 = 0 THEN '' ELSE 'tool ' || o_orderkey % 5 END AS producer, strftime(o_orderdate, '%Y-%m-%d') AS creation_date,
+    strftime(o_orderdate + (o_orderkey % 9 - 2)::INT * INTERVAL 1 DAY, '%Y-%m-%d') AS modification_date, o_orderkey % 8 = 0 AS encrypted FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0 AND o_orderkey % 20 <> 0"""
 
 
 class Corpus:
@@ -173,6 +178,22 @@ class Corpus:
     def _pages(self) -> DataFrame:
         return self.raw("pages")
 
+    def _conversations(self) -> DataFrame:
+        return self.raw("conversations")
+
+    def _activity(self) -> DataFrame:
+        return self.raw("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", "event_type", "value")
+
+    def _pdf_metadata(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        o = self.raw("orders").filter((k % 4 == 0) & (k % 20 != 0)).join(self.raw("customer"), F.expr("o_custkey = c_custkey"))
+        changed = F.date_add(F.to_date("o_orderdate"), (k % 9 - 2).cast("int"))
+        return o.select(
+            k.alias("document_id"), F.when(k % 12 == 0, "").otherwise(F.col("c_mktsegment")).alias("author"), F.when(k % 24 == 0, "").otherwise(F.col("o_orderpriority")).alias("creator"),
+            F.when(k % 24 == 0, "").otherwise(F.concat(F.lit("tool "), k % 5)).alias("producer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("creation_date"),
+            F.date_format(changed, "yyyy-MM-dd").alias("modification_date"), (k % 8 == 0).alias("encrypted"),
+        )
+
     def _keywords(self) -> DataFrame:
         words = self["texts"].select(F.col("id").alias("document_id"), F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]{3,}', 0)")).alias("word"))
         return words.groupBy("document_id", "word").agg(F.count("*").alias("count"))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaestor.bindings import Corpus, oracle
-from quaestor.plans import documents, entities, events, library, texts
+from quaestor.plans import documents, entities, events, library, more, texts
 
-PLANS: dict[str, str] = entities.PLANS | documents.PLANS | events.PLANS | texts.PLANS
+PLANS: dict[str, str] = entities.PLANS | documents.PLANS | events.PLANS | texts.PLANS | more.PLANS
 
 
 def _query(plan: str) -> Callable[[SparkSession, str], DataFrame]:
