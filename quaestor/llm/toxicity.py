@@ -137,7 +137,7 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, window: int = 12, cache: int = 400_000):
+    def __init__(self, model: Model, window: int = 12, cache: int = 200_000):
         self.model, self.window, self.most = model, window, cache
         self.automaton = LexiconAutomaton(sorted(model.terms), sorted(model.stems))
         self.known: dict[str, tuple[float, int] | None] = {}

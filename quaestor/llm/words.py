@@ -19,7 +19,7 @@ _SHIFT_A, _SHIFT_B, _MIX = np.uint64(29), np.uint64(32), np.uint64(0xBF58476D1CE
 class WordHashes(dict):
     """word -> 64-bit hash, emptied whenever it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
