@@ -47,7 +47,8 @@ PLANS = {
     "entity_name_length_stats": "SELECT avg(length(name)) AS mean, CAST(min(length(name)) AS BIGINT) AS least, CAST(max(length(name)) AS BIGINT) AS most FROM {entities}",
     "entity_name_pattern": "SELECT id, name, CAST(length(name) AS BIGINT) AS len FROM {entities} ORDER BY len DESC, id LIMIT 50",
     "entity_name_duplicates": "SELECT a.id AS id_a, b.id AS id_b, a.name FROM {entities} a JOIN {entities} b ON a.name = b.name AND a.type <> b.type AND a.id < b.id",
-    "entity_disambiguation": "SELECT a.id AS id_a, b.id AS id_b FROM {entities} a JOIN {entities} b ON a.type = b.type AND a.id < b.id WHERE a.name <> b.name AND (contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)))",
+    # names are compared once each, then joined back to their entities
+    "entity_disambiguation": "WITH n AS (SELECT DISTINCT type, lower(name) AS n FROM {entities}), p AS (SELECT a.type, a.n AS long_name, b.n AS short_name FROM n a JOIN n b ON a.type = b.type AND length(a.n) > length(b.n) AND contains(a.n, b.n)), q AS (SELECT p.type, x.id AS x, y.id AS y FROM p JOIN {entities} x ON x.type = p.type AND lower(x.name) = p.long_name JOIN {entities} y ON y.type = p.type AND lower(y.name) = p.short_name) SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM q",
     "high_value_targets": f"WITH s AS (SELECT e.id, e.name, {_TOTALS}, count(DISTINCT d.source) AS n_sources FROM {_DOCS} WHERE e.type IN ('person', 'org') GROUP BY e.id, e.name), deg AS (SELECT id, count(*) AS degree FROM (SELECT entity_a_id AS id FROM {{links}} UNION ALL SELECT entity_b_id FROM {{links}}) x GROUP BY id), ev AS (SELECT entity_id, count(*) AS n FROM {{event_entities}} GROUP BY entity_id) SELECT s.id, s.name, round(CAST(3 AS DOUBLE) * s.doc_count + CAST(0.01 AS DOUBLE) * s.mentions + 5 * s.n_sources + 2 * coalesce(deg.degree, 0) + CAST(0.5 AS DOUBLE) * coalesce(ev.n, 0), 2) AS score FROM s LEFT JOIN deg ON deg.id = s.id LEFT JOIN ev ON ev.entity_id = s.id ORDER BY score DESC, s.id LIMIT 50",
     "influence_scores": f"WITH s AS (SELECT e.id, e.name, {_TOTALS} FROM {_STATS} GROUP BY e.id, e.name), w AS (SELECT id, sum(weight) AS weight FROM (SELECT entity_a_id AS id, weight FROM {{links}} UNION ALL SELECT entity_b_id, weight FROM {{links}}) x GROUP BY id), ev AS (SELECT entity_id, count(*) AS n FROM {{event_entities}} GROUP BY entity_id), f AS (SELECT m.entity_id, count(*) AS n FROM {{mentions}} m JOIN {{indicators}} i ON i.document_id = m.document_id GROUP BY m.entity_id) SELECT s.id, s.name, round(CAST(3 AS DOUBLE) * s.doc_count + CAST(0.1 AS DOUBLE) * s.mentions + CAST(0.5 AS DOUBLE) * CAST(coalesce(w.weight, 0) AS BIGINT) + 2 * coalesce(ev.n, 0) + 5 * coalesce(f.n, 0), 1) AS score FROM s LEFT JOIN w ON w.id = s.id LEFT JOIN ev ON ev.entity_id = s.id LEFT JOIN f ON f.entity_id = s.id ORDER BY score DESC, s.id LIMIT 50",
     "entity_pair_history": "SELECT d.id, d.title, d.date, x.count + y.count AS combined FROM (SELECT entity_a_id, entity_b_id FROM {links} ORDER BY weight DESC, entity_a_id, entity_b_id LIMIT 1) l JOIN {mentions} x ON x.entity_id = l.entity_a_id JOIN {mentions} y ON y.entity_id = l.entity_b_id AND x.document_id = y.document_id JOIN {docs} d ON d.id = x.document_id",

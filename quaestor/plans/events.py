@@ -26,7 +26,7 @@ PLANS = {
     "event_confidence_ranking": "SELECT id, event_date, confidence FROM {dated} ORDER BY confidence, id LIMIT 100",
     "orphan_events": "SELECT v.id, v.document_id, v.event_date FROM {dated} v WHERE v.document_id NOT IN (SELECT document_id FROM {mentions})",
     "event_precision_stats": "SELECT precision, is_resolved, count(*) AS n FROM {dated} GROUP BY precision, is_resolved",
-    "event_date_gaps": f"SELECT id, event_date, DAYS(before, event_date) AS days FROM (SELECT id, event_date, lag(event_date) OVER (ORDER BY event_date, id) AS before FROM {{dated}} WHERE {_DAY}) x WHERE DAYS(before, event_date) > 0 ORDER BY days DESC, event_date, id LIMIT 50",
+    "event_date_gaps": f"SELECT id, event_date, DAYS(before, event_date) AS days FROM (SELECT id, event_date, lag(event_date) OVER (ORDER BY event_date) AS before FROM (SELECT min(id) AS id, event_date FROM {{dated}} WHERE {_DAY} GROUP BY event_date) x) y WHERE before IS NOT NULL ORDER BY days DESC, event_date, id LIMIT 50",
     "entity_longevity": f"SELECT e.id, e.name, count(DISTINCT v.id) AS n, DAYS(min(v.event_date), max(v.event_date)) AS span_days FROM {_EE} WHERE length(v.event_date) >= 10 GROUP BY e.id, e.name HAVING count(DISTINCT v.id) > 1",
     "entity_lifecycle_span": f"SELECT e.id, DAYS(min(v.event_date), max(v.event_date)) AS span_days, count(DISTINCT v.event_date) AS n_dates FROM {_EE} WHERE length(v.event_date) >= 10 GROUP BY e.id HAVING count(DISTINCT v.event_date) >= 2",
     "event_cluster_density": "SELECT substr(event_date, 1, 7) AS month, count(*) AS n FROM {dated} WHERE length(event_date) >= 7 AND substr(event_date, 1, 4) BETWEEN '1900' AND '2100' GROUP BY 1 ORDER BY n DESC, month LIMIT 50",
@@ -55,7 +55,7 @@ PLANS = {
     "connection_strength": "SELECT l.entity_a_id, l.entity_b_id, l.weight FROM {links} l JOIN {entities} a ON a.id = l.entity_a_id WHERE a.type = 'person' ORDER BY l.weight DESC, 1, 2 LIMIT 50",
     "top_connections": "SELECT entity_a_id, entity_b_id, weight FROM {links} ORDER BY weight DESC, entity_a_id, entity_b_id LIMIT 100",
     "export_entity_graph": "WITH n AS (SELECT e.id, coalesce(sum(m.count), 0) AS mentions FROM {entities} e LEFT JOIN {mentions} m ON m.entity_id = e.id GROUP BY e.id ORDER BY mentions DESC, e.id LIMIT 500) SELECT l.entity_a_id, l.entity_b_id, l.weight FROM {links} l WHERE l.entity_a_id IN (SELECT id FROM n) AND l.entity_b_id IN (SELECT id FROM n)",
-    "link_analysis": f"WITH ends AS (SELECT id, partner, weight FROM {_ENDS} WHERE weight >= 2) SELECT id, CAST(sum(weight) AS BIGINT) AS degree, count(DISTINCT partner) AS partners, round(CAST(sum(weight) AS DOUBLE) / max(sum(weight)) OVER (), 6) AS share FROM ends GROUP BY id",
+    "link_analysis": f"WITH ends AS (SELECT id, partner, weight FROM {_ENDS} WHERE weight >= 2), d AS (SELECT id, CAST(sum(weight) AS BIGINT) AS degree, count(DISTINCT partner) AS partners FROM ends GROUP BY id) SELECT id, degree, partners, round(CAST(degree AS DOUBLE) / (SELECT max(degree) FROM d), 6) AS share FROM d",
     "entity_degree_distribution": f"SELECT CASE WHEN n < 50 THEN '<50' WHEN n < 100 THEN '50-99' WHEN n < 150 THEN '100-149' ELSE '150+' END AS bucket, count(*) AS entities, round(avg(n), 6) AS mean FROM (SELECT id, count(*) AS n FROM {_ENDS} GROUP BY id) y GROUP BY 1",
     "entity_hub_score": f"SELECT id, count(*) AS degree FROM {_ENDS} GROUP BY id ORDER BY degree DESC, id LIMIT 100",
     "entity_degree_centrality": f"SELECT id, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weight FROM {_ENDS} GROUP BY id",
@@ -69,7 +69,8 @@ PLANS = {
     "connection_weight_distribution": "SELECT weight, count(*) AS n FROM {links} GROUP BY weight",
     "connection_weight_stats": "SELECT count(*) AS n, round(avg(weight), 6) AS mean, max(weight) AS most, min(weight) AS least, CAST(sum(weight) AS BIGINT) AS total FROM {links}",
     "connection_cluster_summary": f"SELECT {_TIER} AS tier, count(*) AS n, round(avg(weight), 6) AS mean FROM {{links}} GROUP BY 1",
-    "connection_weight_percentile": "WITH r AS (SELECT weight, row_number() OVER (ORDER BY weight, entity_a_id, entity_b_id) - 1 AS k, count(*) OVER () AS n FROM {links}) SELECT CASE WHEN k < floor(n / 4) THEN 1 WHEN k < floor(n / 2) THEN 2 WHEN k < floor(3 * n / 4) THEN 3 ELSE 4 END AS slice, count(*) AS n, min(weight) AS least, max(weight) AS most FROM r GROUP BY 1",
+    # rows are ranked through the histogram of weights, so that no window runs over all edges
+    "connection_weight_percentile": "WITH h AS (SELECT weight, count(*) AS c FROM {links} GROUP BY weight), r AS (SELECT weight, c, CAST(sum(c) OVER (ORDER BY weight) AS BIGINT) AS top FROM h), t AS (SELECT CAST(sum(c) AS BIGINT) AS n FROM h), k AS (SELECT 1 AS slice, CAST(0 AS BIGINT) AS low, CAST(floor(n / 4) AS BIGINT) AS high FROM t UNION ALL SELECT 2, CAST(floor(n / 4) AS BIGINT), CAST(floor(n / 2) AS BIGINT) FROM t UNION ALL SELECT 3, CAST(floor(n / 2) AS BIGINT), CAST(floor(3 * n / 4) AS BIGINT) FROM t UNION ALL SELECT 4, CAST(floor(3 * n / 4) AS BIGINT), n FROM t) SELECT slice, CAST(sum(least(top, high) - greatest(top - c, low)) AS BIGINT) AS n, min(weight) AS least, max(weight) AS most, round(CAST(sum(weight * (least(top, high) - greatest(top - c, low))) AS DOUBLE) / sum(least(top, high) - greatest(top - c, low)), 6) AS mean FROM k JOIN r ON top > low AND top - c < high GROUP BY slice",
     "connection_density": "SELECT a.type AS type_a, b.type AS type_b, count(*) AS n, CAST(sum(l.weight) AS BIGINT) AS weight FROM {links} l JOIN {entities} a ON a.id = l.entity_a_id JOIN {entities} b ON b.id = l.entity_b_id GROUP BY a.type, b.type",
     "connection_type_breakdown": "SELECT a.type AS type_a, b.type AS type_b, count(*) AS n, round(avg(l.weight), 2) AS mean FROM {links} l JOIN {entities} a ON a.id = l.entity_a_id JOIN {entities} b ON b.id = l.entity_b_id GROUP BY a.type, b.type",
     "entity_cross_type_connections": "SELECT count(CASE WHEN a.type <> b.type THEN 1 END) AS across, count(CASE WHEN a.type = b.type THEN 1 END) AS within FROM {links} l JOIN {entities} a ON a.id = l.entity_a_id JOIN {entities} b ON b.id = l.entity_b_id",

@@ -39,6 +39,15 @@ def test_plan_equals_oracle(spark, sf_dir, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want.fetchall(), want.columns)
 
 
+def test_weight_slices(spark, sf_dir):
+    from quaestor.bindings import Corpus
+
+    corpus = Corpus(spark, sf_dir)
+    corpus._made["links"] = spark.createDataFrame([(k, 100 + k, k) for k in range(1, 7)], "entity_a_id long, entity_b_id long, weight long")
+    got = {r.slice: (r.n, r.least, r.most, r.mean) for r in corpus.sql(registry.PLANS["connection_weight_percentile"]).collect()}
+    assert got == {1: (1, 1, 1, 1.0), 2: (2, 2, 3, 2.5), 3: (1, 4, 4, 4.0), 4: (2, 5, 6, 5.5)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
