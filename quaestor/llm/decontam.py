@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .words import WordHashes, mixed, shingles, slices
 
 _SALT = np.uint64(0xD1B54A32D192ED03)
@@ -93,6 +94,7 @@ def contaminations(
 ) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, n_item_shingles, n_shared, containment."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
     schema = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
     out = None
@@ -122,6 +124,7 @@ def decontaminated(
 ) -> DataFrame:
     """The documents, all their columns, that contain no item to the threshold."""
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text)
+    small_batches(spark)
     for index in _blocks(benchmark, item_id, item_text, width, threshold, sketch, block):
         shared = spark.sparkContext.broadcast(index)
 

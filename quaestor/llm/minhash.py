@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import small_batches, written
 from .words import RADIX, WordHashes, mixed, shingles, slices
 
 BANDS, ROWS, BITS = 32, 4, 512
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Documents whose sets satisfy 100 * intersection >= ``percent`` * union are linked;
     ``component_id`` is the smallest doc_id reachable, ``kept`` whether it is the own one.
     """
+    small_batches(docs.sparkSession)
     signed = written(_signatures(docs, doc_id, text, width), "signatures")
     nodes = written(
         signed.filter("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -239,7 +240,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all their columns, one of each group of near-duplicates: its smallest doc_id's first row."""
+    """The documents, all their columns, one of each group of near-duplicates: its smallest doc_id's first row.
+
+    Rows without a doc_id stay, unless a row with one stands for their group.
+    """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     keys = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     hashed = docs.select(F.struct("*").alias("row")).withColumn("row_hash", F.xxhash64(F.col(f"row.`{text}`").cast("binary"))).withColumn("row_id", F.col(f"row.`{doc_id}`").cast("long"))

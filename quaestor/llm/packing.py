@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoders import encoder
-from .scratch import written
+from .scratch import small_batches, written
 from .words import slices
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
@@ -133,6 +133,7 @@ def packed(
     depth: int = 4, units: int = 600_000, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per piece (``units``: distinct words that a worker's encoder remembers): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     pieces = written(_pieces(docs, tokenizer, keeps_space, end, window, unit, units, doc_id, text), "pieces")
     counts = written(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window / unit + unit rows

@@ -37,3 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets at most ``rows`` rows travel to Python at once, where the session asks for more: texts are long.
+
+    The setting counts when a plan runs, so it stays; it changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import small_batches, written
 from .words import WordHashes, mixed, run_hashes, slices
 
 _FRAGMENT = "bucket int, settled boolean, hashes binary, alone binary, texts binary, counts binary, starts binary, lengths binary"
@@ -174,6 +174,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """Per document: doc_id, n_words, n_removed, removed (maximal intervals of word places, both ends
     included) and text, the words left joined by one space (null for a null text)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body")).withColumn("text_hash", F.xxhash64("body"))
+    small_batches(docs.sparkSession)
     total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(total) // bucket_bytes))
     fragments = rows.select("text_hash", "body").mapInArrow(_scatter(buckets, width, inner), _FRAGMENT)

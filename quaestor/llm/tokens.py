@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoders import encoder
-from .scratch import scratch_path, written
+from .scratch import scratch_path, small_batches, written
 from .words import slices
 
 _MANIFEST = "shard long, path string, n_docs long, n_ids long"
@@ -53,6 +53,7 @@ def write_sequences(
 ) -> DataFrame:
     """Writes the shards into ``folder``; returns the manifest (shard, path, n_docs, n_ids), a written table."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
+    small_batches(docs.sparkSession)
     total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // shard_bytes))
 

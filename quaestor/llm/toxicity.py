@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import small_batches, written
 from .words import WordHashes, shingles, slices
 
 _WORD = re.compile(r"[^\W_][\w@$*!]*")
@@ -207,6 +207,7 @@ def _grams(word: str) -> Iterator[str]:
 
 def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, ratio: float = 20.0, terms: int = 2_000) -> Model:
     """A model from documents that ``labels`` names, about ``most`` of them, picked by a hash of their id."""
+    small_batches(docs.sparkSession)
     kinds = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     count = kinds.count()
     if count > most:
@@ -322,6 +323,7 @@ def _weighed(sample: DataFrame, model: Model) -> Model:
 
 def scores(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", window: int = 12) -> DataFrame:
     """(doc_id, score) per document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``terms`` and the exceptions' limit
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
 
@@ -337,6 +339,7 @@ def scores(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7, window: int = 12) -> DataFrame:
     """The documents, all their columns, that score below ``threshold``."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

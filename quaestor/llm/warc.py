@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import scratch_path, written
+from .scratch import scratch_path, small_batches, written
 from .words import slices
 
 _MAGIC = b"\x1f\x8b\x08"
@@ -67,6 +67,7 @@ def write_pages(
     """Writes the archives; returns the manifest (path, bytes, records), a written table."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
+    small_batches(pages.sparkSession)
     first = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     planned = rows.join(first, "digest", "left").withColumn("revisit", F.expr(f"length(payload) >= {least} AND first IS NOT NULL AND NOT page_id <=> first"))
 
