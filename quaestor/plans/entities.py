@@ -88,6 +88,6 @@ PLANS = {
     "flight_places": f"SELECT d.id, e.id AS entity_id, rank FROM (SELECT document_id, entity_id, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, entity_id) AS rank FROM {{mentions}} WHERE entity_id IN (SELECT id FROM {{entities}} WHERE type = 'place')) m JOIN {{docs}} d ON d.id = m.document_id JOIN {{entities}} e ON e.id = m.entity_id WHERE d.category = 'flight' AND rank <= 5",
     "deposition_people": f"SELECT d.id, m.entity_id, m.rank FROM (SELECT document_id, entity_id, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, entity_id) AS rank FROM {{mentions}} WHERE entity_id IN (SELECT id FROM {{entities}} WHERE type = 'person')) m JOIN {{docs}} d ON d.id = m.document_id WHERE d.category ILIKE 'deposition' AND m.rank <= 10",
     "contact_network": f"WITH c AS (SELECT id FROM {{docs}} WHERE category = 'correspondence' ORDER BY id LIMIT 500), p AS (SELECT m.document_id, e.id, e.name, row_number() OVER (PARTITION BY m.document_id ORDER BY m.count DESC, e.id) AS rank FROM {{mentions}} m JOIN c ON c.id = m.document_id JOIN {{entities}} e ON e.id = m.entity_id WHERE e.type = 'person') SELECT a.name AS name_a, b.name AS name_b, count(*) AS n FROM p a JOIN p b ON a.document_id = b.document_id AND a.name < b.name WHERE a.rank <= 5 AND b.rank <= 5 GROUP BY a.name, b.name",
-    "dossier_cooccurring": "SELECT e.id, e.name, l.weight FROM (SELECT entity_b_id AS id, weight FROM {links} WHERE entity_a_id = 7 UNION ALL SELECT entity_a_id, weight FROM {links} WHERE entity_b_id = 7) l JOIN {entities} e ON e.id = l.id ORDER BY l.weight DESC, e.id LIMIT 30",
+    "entity_export_cooccurring": "SELECT e.id, e.name, l.weight FROM (SELECT entity_b_id AS id, weight FROM {links} WHERE entity_a_id = 7 UNION ALL SELECT entity_a_id, weight FROM {links} WHERE entity_b_id = 7) l JOIN {entities} e ON e.id = l.id ORDER BY l.weight DESC, e.id LIMIT 30",
     "entity_profile_risk": "SELECT avg(percent) AS mean_percent, count(*) AS n FROM (SELECT f.percent FROM {mentions} m JOIN {facts} f ON f.document_id = m.document_id WHERE m.entity_id = 7 AND f.analysis_type = 'risk_score' ORDER BY f.percent DESC, f.document_id LIMIT 10) x",
 }
