@@ -199,7 +199,21 @@ class Corpus:
         return words.groupBy("document_id", "word").agg(F.count("*").alias("count"))
 
 
-_CALL = r"\(((?:[^()']|'[^']*'|\((?:[^()']|'[^']*'|\((?:[^()']|'[^']*')*\))*\))*)\)"
+def _call(plan: str, name: str, start: int) -> tuple[int, int, int] | None:
+    """(start, first character inside, closing bracket) of the next call of a function."""
+    m = re.compile(rf"\b{name}\(").search(plan, start)
+    if not m:
+        return None
+    depth, quote = 1, False
+    for k in range(m.end(), len(plan)):
+        c = plan[k]
+        if c == "'":
+            quote = not quote
+        elif not quote:
+            depth += (c == "(") - (c == ")")
+            if depth == 0:
+                return m.start(), m.end(), k
+    raise ValueError(f"{name} is not closed")
 
 
 def _arguments(text: str) -> list[str]:
@@ -209,7 +223,7 @@ def _arguments(text: str) -> list[str]:
         if c == "'":
             quote = not quote
         elif not quote:
-            depth += (c == "(") - (c == ")")
+            depth += (c in "([") - (c in ")]")
             if c == "," and depth == 0:
                 out.append(text[start:k].strip())
                 start = k + 1
@@ -227,6 +241,10 @@ _SPARK = {
     "WEEKDAY": lambda d: f"CAST(dayofweek(CAST({d} AS DATE)) - 1 AS BIGINT)",
     "MATCHES": lambda x, r: f"({x} RLIKE {_regex(r)})",
     "ALLMATCHES": lambda x, r, g: f"regexp_extract_all({x}, {_regex(r)}, {g})",
+    "COUNTED": lambda x, r: f"CAST(size(filter({x}, a -> a RLIKE {_regex(r)})) AS BIGINT)",
+    "DISTINCTS": lambda x: f"array_distinct({x})",
+    "LABELLED": lambda label, n: f"named_struct('label', {label}, 'hits', {n})",
+    "ARRAY_OF": lambda *xs: f"array({', '.join(xs)})",
     "UNNESTED": lambda x: f"explode({x})",
     "SHINGLES": lambda x, n: f"CASE WHEN size({x}) >= {n} THEN transform(sequence(1, size({x}) - {n} + 1), k -> array_join(slice({x}, k, {n}), ' ')) END",
     "WORDS": lambda x: f"greatest(CAST(size(filter(split({x}, r'[ \t\n\r]+'), w -> w != '')) AS BIGINT), 1L)",
@@ -238,6 +256,10 @@ _DUCKDB = {
     "WEEKDAY": lambda d: f"CAST(dayofweek(CAST({d} AS DATE)) AS BIGINT)",
     "MATCHES": lambda x, r: f"regexp_matches({x}, {r})",
     "ALLMATCHES": lambda x, r, g: f"regexp_extract_all({x}, {r}, {g})",
+    "COUNTED": lambda x, r: f"CAST(len(list_filter({x}, lambda a: regexp_matches(a, {r}))) AS BIGINT)",
+    "DISTINCTS": lambda x: f"list_distinct({x})",
+    "LABELLED": lambda label, n: f"struct_pack(label := {label}, hits := {n})",
+    "ARRAY_OF": lambda *xs: f"[{', '.join(xs)}]",
     "UNNESTED": lambda x: f"unnest({x})",
     "SHINGLES": lambda x, n: f"list_transform(range(1, len({x}) - {n} + 2), lambda k: array_to_string(({x})[k:k + {n} - 1], ' '))",
     "WORDS": lambda x: f"greatest(len(list_filter(regexp_split_to_array({x}, '[ \t\n\r]+'), lambda w: w <> ''))::BIGINT, 1)",
@@ -249,11 +271,10 @@ def _dialect(plan: str, engine: str, view) -> str:
     plan = re.sub(r"\{(\w+)\}", lambda m: view(m[1]) if m[1] in ORACLE else m[0], plan)
     for name, spell in (_SPARK if engine == "spark" else _DUCKDB).items():
         start = 0
-        while m := re.compile(rf"\b{name}{_CALL}").search(plan, start):
-            text = spell(*_arguments(m[1]))
-            at = m.start() + (len(name) + 1 if name in text else 0)
-            plan = plan[: m.start()] + text + plan[m.end() :]
-            start = at
+        while at := _call(plan, name, start):
+            text = spell(*_arguments(plan[at[1] : at[2]]))
+            plan = plan[: at[0]] + text + plan[at[2] + 1 :]
+            start = at[0] + (len(name) + 1 if name in text else 0)
     return plan
 
 

@@ -18,6 +18,11 @@ def occurrences(text: str, word: str) -> str:
     return f"CAST((length({text}) - length(replace({text}, {quoted(word)}, ''))) / {len(word)} AS BIGINT)"
 
 
+def count_of(text: str, word: str) -> str:
+    """The same for a column of words."""
+    return f"CAST((length({text}) - length(replace({text}, {word}, ''))) / length({word}) AS BIGINT)"
+
+
 def hits(text: str, words: list[str]) -> str:
     """Occurrences of all words together."""
     return "(" + " + ".join(occurrences(text, w) for w in words) + ")"
@@ -28,11 +33,6 @@ def present(text: str, words: list[str]) -> str:
     return "(" + " + ".join(f"CASE WHEN contains({text}, {quoted(w)}) THEN 1 ELSE 0 END" for w in words) + ")"
 
 
-def n_words(text: str) -> str:
-    """Words between white space, at least 1."""
-    return f"greatest(CAST(length(regexp_replace(regexp_replace(trim(regexp_replace({text}, '[ \\t\\n\\r]+', ' ', 'g')), '[^ ]+', 'x', 'g'), ' ', '', 'g')) AS BIGINT), 1)"
-
-
 def category(text: str, filename: str) -> str:
     """The category with most signals in the first 5 000 characters, five more for each in the file name; below two: other."""
     scores = {c: f"({hits(text, words)} + 5 * {present(filename, words)})" for c, words in L.CATEGORIES.items()}

@@ -71,11 +71,11 @@ def resolver_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(search.postings(Corpus(spark, sf_dir)["texts"]), "of the", k=50)
+    return search.search(graph.cut(search.postings(Corpus(spark, sf_dir)["texts"])), "of the", k=50)
 
 
 def search_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(search.postings(Corpus(spark, sf_dir)["texts"]), "the password", phrase=False, k=50)
+    return search.search(graph.cut(search.postings(Corpus(spark, sf_dir)["texts"])), "the password", phrase=False, k=50)
 
 
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,15 +15,34 @@ SAMPLES = [
 ]
 
 _LOW = "WITH t AS (SELECT id, filename, text, lower(text) AS low, lower(substr(text, 1, 5000)) AS head, lower(filename) AS low_name, {words} AS words FROM {{samples}} UNION ALL SELECT 1000 + id, 'text', text, lower(text), lower(substr(text, 1, 5000)), 'text', {words} FROM {{texts}})".replace("{words}", "WORDS(text)").replace("{{", "{").replace("}}", "}")
-_LABELS = lambda groups, rate: " UNION ALL ".join(f"SELECT id, '{g}' AS label, {T.hits('low', words)} AS hits, {T.share('low', T.hits('low', words), rate)} AS score FROM t WHERE {T.hits('low', words)} > 0" for g, words in groups.items())
-_FLAGS = (
-    f"SELECT id, 'structuring' AS flag, 'high' AS severity FROM t WHERE {T.present('low', L.STRUCTURING)} > 0 OR " + " OR ".join(f"MATCHES(text, '{p}')" for p in L.STRUCTURING_AMOUNTS)
-    + f" UNION ALL SELECT id, 'shell_company', CASE WHEN {T.present('low', L.SHELL_COMPANY)} >= 4 THEN 'high' ELSE 'medium' END FROM t WHERE {T.present('low', L.SHELL_COMPANY)} >= 2"
-    + f" UNION ALL SELECT id, 'layering', CASE WHEN {T.present('low', L.LAYERING)} >= 3 THEN 'high' ELSE 'medium' END FROM t WHERE {T.present('low', L.LAYERING)} > 0"
-    + f" UNION ALL SELECT id, 'high_risk_jurisdiction', 'medium' FROM t WHERE {T.present('low', L.JURISDICTIONS)} > 0"
-    + f" UNION ALL SELECT id, 'secrecy_concealment', CASE WHEN {T.present('low', L.SECRECY)} >= 3 THEN 'high' ELSE 'medium' END FROM t WHERE {T.present('low', L.SECRECY)} > 0"
-    + f" UNION ALL SELECT id, 'round_number_transactions', 'low' FROM (SELECT id, UNNESTED(ALLMATCHES(text, '{L.ROUND_AMOUNT}', 1)) AS a FROM t) x WHERE MATCHES(a, '^[0-9,]*[0-9],000(\\.00)?$') GROUP BY id HAVING count(*) >= 3"
-)
+
+
+def _list(values) -> str:
+    return "ARRAY_OF(" + ", ".join(map(T.quoted, values)) + ")"
+
+
+def _labels(groups: dict[str, list[str]], rate: float) -> str:
+    """(id, label, hits, score) of the groups that occur, in one scan: a text's counts make one array, which then becomes rows."""
+    counts = ", ".join(f"LABELLED({T.quoted(g)}, {T.hits('low', words)})" for g, words in groups.items())
+    return f"SELECT id, x.label AS label, x.hits AS hits, {T.share('low', 'x.hits', rate)} AS score FROM (SELECT id, words, UNNESTED(ARRAY_OF({counts})) AS x FROM t) e WHERE x.hits > 0"
+
+
+def _severity(words: list[str], least: int, high: int | None) -> str:
+    n = T.present("low", words)
+    return f"CASE WHEN {n} >= {high} THEN 'high' WHEN {n} >= {least} THEN 'medium' END" if high else f"CASE WHEN {n} >= {least} THEN 'medium' END"
+
+
+_ROUND = f"COUNTED(ALLMATCHES(text, '{L.ROUND_AMOUNT}', 1), '^[0-9,]*[0-9],000(\\.00)?$')"
+#: Flag -> its severity, null where the text does not raise it.
+_SEVERITIES = {
+    "structuring": f"CASE WHEN {T.present('low', L.STRUCTURING)} > 0 OR " + " OR ".join(f"MATCHES(text, '{p}')" for p in L.STRUCTURING_AMOUNTS) + " THEN 'high' END",
+    "shell_company": _severity(L.SHELL_COMPANY, 2, 4),
+    "layering": _severity(L.LAYERING, 1, 3),
+    "high_risk_jurisdiction": _severity(L.JURISDICTIONS, 1, None),
+    "secrecy_concealment": _severity(L.SECRECY, 1, 3),
+    "round_number_transactions": f"CASE WHEN {_ROUND} >= 3 THEN 'low' END",
+}
+_FLAGS = "SELECT id, flag, severity FROM (SELECT id, flag, CASE flag " + " ".join(f"WHEN '{f}' THEN {e}" for f, e in _SEVERITIES.items()) + f" END AS severity FROM (SELECT id, text, low, UNNESTED({_list(_SEVERITIES)}) AS flag FROM t) e) s WHERE severity IS NOT NULL"
 _AMOUNT = "CAST(replace(a, ',', '') AS DOUBLE)"
 #: Word ends that both engines see alike, beyond ASCII too; spaces are doubled for what they take.
 _ALONE, _END = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
@@ -31,20 +50,20 @@ _MONEY = f"""SELECT DISTINCT id, 'currency_amount' AS type, a AS value, CASE WHE
     FROM (SELECT id, UNNESTED(ALLMATCHES(text, '{L.CURRENCY}', 1)) AS a FROM t) x WHERE {_AMOUNT} >= 500
     UNION SELECT id, 'account_number', UNNESTED(ALLMATCHES(text, '(?i){L.ACCOUNT}', 1)), 40 FROM t UNION SELECT id, 'routing_number', UNNESTED(ALLMATCHES(text, '(?i){L.ROUTING}', 1)), 40 FROM t
     UNION SELECT id, 'swift_code', UNNESTED(ALLMATCHES(replace(text, ' ', '  '), '{_ALONE}{L.SWIFT[2:-2]}{_END}', 1)), 50 FROM t UNION SELECT id, 'ein', UNNESTED(ALLMATCHES(text, '{L.EIN}', 1)), 20 FROM t"""
-_CODES = " UNION ALL ".join(f"SELECT id, {T.quoted(w)} AS word, {T.occurrences('low', w)} AS n FROM t WHERE contains(low, {T.quoted(w)})" for w in L.CODEWORDS)
+_CODES = f"SELECT id, word, {T.count_of('low', 'word')} AS n FROM (SELECT id, low, UNNESTED({_list(L.CODEWORDS)}) AS word FROM t) e WHERE contains(low, word)"
 
 PLANS = {
     "classify_document": f"{_LOW} SELECT id, {T.category('head', 'low_name')} AS category FROM t",
-    "classify_intent": f"{_LOW} {_LABELS(L.INTENTS, 0.01)}",
-    "classify_topics": f"{_LOW} SELECT id, label, hits, score FROM (SELECT id, label, hits, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rank FROM ({_LABELS(L.TOPICS, 0.005)}) x) y WHERE rank <= 5",
+    "classify_intent": f"{_LOW} {_labels(L.INTENTS, 0.01)}",
+    "classify_topics": f"{_LOW} SELECT id, label, hits, score FROM (SELECT id, label, hits, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rank FROM ({_labels(L.TOPICS, 0.005)}) x) y WHERE rank <= 5",
     "detect_aml_flags": f"{_LOW} {_FLAGS}",
     "detect_codewords": f"{_LOW} {_CODES}",
     "extract_financial_indicators": f"{_LOW} {_MONEY}",
-    "compute_risk_score": f"""{_LOW}, flags AS ({_FLAGS}), f AS (SELECT id, count(CASE WHEN severity = 'high' THEN 1 END) AS high, count(CASE WHEN severity = 'medium' THEN 1 END) AS medium, count(CASE WHEN severity = 'low' THEN 1 END) AS low FROM flags GROUP BY id),
-        m AS (SELECT id, count(CASE WHEN percent >= 70 THEN 1 END) AS risky FROM ({_MONEY}) x GROUP BY id), c AS (SELECT id, count(*) AS n FROM ({_CODES}) x GROUP BY id),
-        i AS (SELECT id, max(CASE WHEN label = 'evasive' THEN score ELSE 0 END) AS evasive, max(CASE WHEN label = 'threatening' THEN score ELSE 0 END) AS threatening FROM ({_LABELS(L.INTENTS, 0.01)}) x GROUP BY id)
-        SELECT t.id, {T.risk('coalesce(f.high, 0)', 'coalesce(f.medium, 0)', 'coalesce(f.low, 0)', 'coalesce(m.risky, 0)', 'coalesce(c.n, 0)', 'coalesce(i.evasive, 0)', 'coalesce(i.threatening, 0)')} AS risk
-        FROM t LEFT JOIN f ON f.id = t.id LEFT JOIN m ON m.id = t.id LEFT JOIN c ON c.id = t.id LEFT JOIN i ON i.id = t.id""",
+    # one row a text, one scan
+    "compute_risk_score": f"""{_LOW}, f AS (SELECT id, words, """ + ", ".join(f"{e} AS {f}" for f, e in _SEVERITIES.items()) + f""", COUNTED(DISTINCTS(ALLMATCHES(text, '{L.CURRENCY}', 1)), '^9,[0-9]{{3}}') AS risky,
+        {T.present('low', L.CODEWORDS)} AS codes, {T.hits('low', L.INTENTS['evasive'])} AS evasive, {T.hits('low', L.INTENTS['threatening'])} AS threatening FROM t),
+        g AS (SELECT id, """ + ", ".join("(" + " + ".join(f"CASE WHEN {f} = '{v}' THEN 1 ELSE 0 END" for f in _SEVERITIES) + f") AS {v}" for v in ("high", "medium", "low")) + f""", risky, codes,
+        {T.share('', 'evasive', 0.01)} AS evasive, {T.share('', 'threatening', 0.01)} AS threatening FROM f) SELECT id, {T.risk('high', 'medium', 'low', 'risky', 'codes', 'evasive', 'threatening')} AS risk FROM g""",
     "analyze_tone": f"{_LOW} SELECT id, " + ", ".join(f"{T.tone('low', words)} AS {g}" for g, words in L.TONES.items()) + " FROM t",
     "generate_title": "SELECT id, CASE WHEN length(line) > 10 AND length(line) < 80 THEN line ELSE filename END AS title FROM (SELECT id, filename, trim(split_part(text, '.', 1)) AS line FROM {samples}) x",
     "extract_keywords": "WITH r AS (SELECT document_id, word, count, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, word) AS rank FROM {keywords} WHERE word NOT IN (" + ", ".join(map(T.quoted, L.PHRASE_STOPS)) + ")) SELECT document_id, word, count, rank FROM r WHERE rank <= 50",
