@@ -33,11 +33,9 @@ def present(text: str, words: list[str]) -> str:
     return "(" + " + ".join(f"CASE WHEN contains({text}, {quoted(w)}) THEN 1 ELSE 0 END" for w in words) + ")"
 
 
-def category(text: str, filename: str) -> str:
-    """The category with most signals in the first 5 000 characters, five more for each in the file name; below two: other."""
-    scores = {c: f"({hits(text, words)} + 5 * {present(filename, words)})" for c, words in L.CATEGORIES.items()}
-    best = f"greatest({', '.join(scores.values())})"
-    return f"CASE WHEN {best} < 2 THEN 'other' " + " ".join(f"WHEN {s} = {best} THEN '{c}'" for c, s in scores.items()) + " END"
+def category_score(text: str, filename: str, words: list[str]) -> str:
+    """Signals of a category in a text's head, five more for each in the file name."""
+    return f"({hits(text, words)} + 5 * {present(filename, words)})"
 
 
 def share(text: str, count: str, rate: float) -> str:

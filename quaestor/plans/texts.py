@@ -53,7 +53,8 @@ _MONEY = f"""SELECT DISTINCT id, 'currency_amount' AS type, a AS value, CASE WHE
 _CODES = f"SELECT id, word, {T.count_of('low', 'word')} AS n FROM (SELECT id, low, UNNESTED({_list(L.CODEWORDS)}) AS word FROM t) e WHERE contains(low, word)"
 
 PLANS = {
-    "classify_document": f"{_LOW} SELECT id, {T.category('head', 'low_name')} AS category FROM t",
+    # the category with most signals in the first 5 000 characters, the first of equals; below two: other
+    "classify_document": f"{_LOW} SELECT id, CASE WHEN max(x.hits) <= 100 THEN 'other' ELSE max_by(x.label, x.hits) END AS category FROM (SELECT id, UNNESTED(ARRAY_OF(" + ", ".join(f"LABELLED('{c}', 100 * {T.category_score('head', 'low_name', words)} - {k})" for k, (c, words) in enumerate(L.CATEGORIES.items())) + ")) AS x FROM t) e GROUP BY id",
     "classify_intent": f"{_LOW} {_labels(L.INTENTS, 0.01)}",
     "classify_topics": f"{_LOW} SELECT id, label, hits, score FROM (SELECT id, label, hits, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rank FROM ({_labels(L.TOPICS, 0.005)}) x) y WHERE rank <= 5",
     "detect_aml_flags": f"{_LOW} {_FLAGS}",
