@@ -2,8 +2,9 @@
 
 Pre-tokenizers of these files never join characters across a break between a non-space and a
 following ASCII space, so a text's ids are its units' ids in a row; each distinct unit is
-encoded once for as long as it stays in the cache.  A text that holds white space outside
-ASCII is encoded as a whole instead where breaks next to it could matter.
+encoded once for as long as it stays in the cache.  Arrow parts most texts and finds their
+distinct units; texts with runs of white space are parted by a pattern, and those with white
+space outside ASCII, or that the tokenizer would normalize, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CONTROLS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _SPACES = b" \t\n\v\f\r"
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(_SPACES)] = True
 #: Beyond the Latin blocks, where the tokenizer itself normalizes.
 _FAR = re.compile("[^\x00-\u024f]")
 _UNITS = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -91,7 +96,7 @@ class UnitEncoder:
         self.size[known + order] = sizes
         self.used += len(ids)
 
-    def encode(self, texts: list[bytes | None], end: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes | None], end: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each followed by ``end``; where each text starts, and the length of all)."""
         parts, counts, held, size = [], [], [], 0
         for text in texts:
@@ -104,46 +109,76 @@ class UnitEncoder:
             self._block(held, end, parts, counts)
         return (np.concatenate(parts) if parts else np.empty(0, self.kind)), np.cumsum([0, *counts])
 
+    def _plain(self, text: bytes) -> bytes | None:
+        """The text as Arrow can part it into units: None if that takes more care."""
+        if not self.keeps_space:
+            if text.isascii():
+                return text.lower()
+            plain = text.decode("utf-8", "replace")
+            return plain.lower().encode() if not _FAR.search(plain) and unicodedata.is_normalized("NFC", plain) else None
+        if b"\x00" in text or any(c in text for c in _CONTROLS) or not text.isascii() and _ODD.search(text.decode("utf-8", "replace")):
+            return None
+        space = _IS_SPACE[np.frombuffer(text, np.uint8)]
+        return None if (space[1:] & space[:-1]).any() else text  # runs of white space stay together
+
+    def _parted(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of plain texts, and how many each has; Arrow finds the distinct ones."""
+        column = pa.array(texts, pa.binary()).cast(pa.string())
+        if self.keeps_space:
+            for space in _SPACES.decode():
+                column = pc.replace_substring(column, space, "\x00" + space)
+            lists = pc.split_pattern(column, "\x00")
+        else:
+            lists = pc.ascii_split_whitespace(column)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        return numbers[coded.indices.to_numpy()], np.diff(lists.offsets.to_numpy())
+
+    def _units(self, text: bytes) -> list[bytes] | None:
+        """Units of a text that is not plain, None where the tokenizer must see it whole."""
+        if not self.keeps_space:
+            return None
+        odd = any(c in text for c in _CONTROLS) or not text.isascii() and _ODD.search(text.decode("utf-8", "replace"))
+        return None if odd else _UNITS.findall(text)
+
     def _block(self, texts: list[bytes], end: int, parts: list[np.ndarray], counts: list[int]) -> None:
         if len(self.place) > self.limit:
             self._forget()
-        units, sizes, odd = [], [], {}
+        nothing = np.array([self.place[b""]])
+        plain = [self._plain(t) for t in texts]
+        easy = [t for t in plain if t is not None]
+        numbers, sizes = self._parted(easy) if easy else (np.empty(0, np.int64), [])
+        easy_parts = iter(np.split(numbers, np.cumsum(sizes)[:-1])) if easy else iter(())
+        at, whole = [], {}
         for k, text in enumerate(texts):
-            if not self.keeps_space:
-                if text.isascii():
-                    own = text.lower().split()
-                elif not _FAR.search(plain := text.decode("utf-8", "replace")) and unicodedata.is_normalized("NFC", plain):
-                    own = plain.lower().encode().split()
-                else:
-                    own = []
-                    odd[k] = self._whole(plain)
-            elif any(c in text for c in _CONTROLS) or not text.isascii() and _ODD.search(text.decode("utf-8", "replace")):
-                own = []
-                odd[k] = self._whole(text.decode("utf-8", "replace"))
+            if plain[k] is not None:
+                at.append(next(easy_parts))
+            elif (units := self._units(text)) is not None:
+                at.append(np.fromiter(map(self.place.__getitem__, units), np.int64, len(units)))
             else:
-                own = _UNITS.findall(text)
-            units += own
-            units.append(b"")  # the end of the text
-            sizes.append(len(own) + 1)
-        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+                at.append(nothing[:0])
+                whole[k] = self._whole(text.decode("utf-8", "replace"))
+            at.append(nothing)
         if self.place.fresh:
             self._learn()
+        sizes = [len(a) + 1 for a in at[::2]]
+        at = np.concatenate(at)
         begin, lengths = self.begin[at], self.size[at]
         last = np.cumsum(sizes) - 1
-        lengths[last] = 1
+        lengths[last] = 1  # the end of a text
         after = np.cumsum(lengths)
-        ids = self.flat[np.repeat(begin - (after - lengths), lengths) + np.arange(int(lengths.sum()))] if len(units) else np.empty(0, self.kind)
-        if len(last):
-            ids[after[last] - 1] = end
+        ids = self.flat[np.repeat(begin - (after - lengths), lengths) + np.arange(int(after[-1]))]
+        ids[after[last] - 1] = end
         own_counts = np.diff(np.concatenate([[0], after[last]])).tolist()
-        if not odd:
+        if not whole:
             parts.append(ids)
         else:
             start = 0
             for k, n in enumerate(own_counts):
-                if k in odd:
-                    parts.append(odd[k])
-                    own_counts[k] += len(odd[k])
+                if k in whole:
+                    parts.append(whole[k])
+                    own_counts[k] += len(whole[k])
                 parts.append(ids[start : start + n])
                 start += n
         counts += own_counts
