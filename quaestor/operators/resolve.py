@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.operators.pairs import co_occurrence
+
 #: Titles before a name, suffixes after it, thresholds.
 TITLES = "mr|mrs|ms|miss|dr|prof|sir|judge|hon|rev|sen|rep|gov|gen|col|capt|lt|sgt"
 SUFFIXES = "jr|sr|ii|iii|iv|esq|phd|md"
@@ -47,23 +49,27 @@ def edit_score(a: Column, b: Column) -> Column:
 def candidates(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """(source, target, confidence, action) for pairs of one type, source < target, above the thresholds.
 
-    Names that can match share a word, or are long and at most two edits apart and then share a
-    trigram; both conditions block the join, so pairs without a chance never meet.
+    Distinct names are compared, once each, and matches joined back to the entities of either
+    name.  Names that can match share a word, or are long and at most two edits apart and then
+    share a trigram; both block the join, so names without a chance never meet.
     """
     e = entities.select("id", "type", normalized(F.col("name")).alias("n")).filter("n <> ''")
-    words = e.select("id", "type", "n", F.explode(F.array_distinct(_words(F.col("n")))).alias("w")).withColumn("key", F.concat(F.lit("w:"), "w"))
+    names = e.select("type", "n").distinct()
+    words = names.select("type", "n", F.explode(F.array_distinct(_words(F.col("n")))).alias("w")).select("type", "n", F.concat(F.lit("w:"), "w").alias("key"))
     # nine letters or more have seven trigrams or more, of which two edits change at most six
-    grams = e.filter("length(n) > 8").select("id", "type", "n", F.explode(F.expr("array_distinct(transform(sequence(1, length(n) - 2), k -> substr(n, k, 3)))")).alias("key"))
-    blocks = words.select("id", "type", "n", "key").unionAll(grams)
-    left, right = blocks.toDF("a", "type", "na", "key"), blocks.toDF("b", "type", "nb", "key")
-    pairs = left.join(right, ["type", "key"]).filter("a < b AND (key LIKE 'w:%' OR abs(length(na) - length(nb)) <= 2)").select("a", "b", "na", "nb").distinct()
+    grams = names.filter("length(n) > 8").select("type", "n", F.explode(F.expr("array_distinct(transform(sequence(1, length(n) - 2), k -> substr(n, k, 3)))")).alias("key"))
+    blocks = words.unionAll(grams)
+    left, right = blocks.toDF("type", "na", "key"), blocks.toDF("type", "nb", "key")
+    pairs = left.join(right, ["type", "key"]).filter("na < nb AND (key LIKE 'w:%' OR abs(length(na) - length(nb)) <= 2)").select("type", "na", "nb").distinct()
     j = jaccard(F.col("na"), F.col("nb"))
     edit = edit_score(F.col("na"), F.col("nb"))
     soft = F.greatest(F.when(j > 0.5, j).otherwise(0.0), F.coalesce(edit, F.lit(0.0)))
-    base = F.when(F.col("na") == F.col("nb"), EXACT).when(initial_match(F.col("na"), F.col("nb")), F.greatest(F.lit(INITIAL), soft)).otherwise(soft)
-    scored = pairs.withColumn("base", base).filter(F.col("base") >= DROP)
-    m = mentions.select("document_id", "entity_id").distinct()
-    near = scored.select("a", "b").join(m.select("document_id", F.col("entity_id").alias("a")), "a").join(m.select("document_id", F.col("entity_id").alias("b")), ["b", "document_id"]).select("a", "b").distinct().withColumn("together", F.lit(TOGETHER))
+    base = F.when(initial_match(F.col("na"), F.col("nb")), F.greatest(F.lit(INITIAL), soft)).otherwise(soft)
+    near = pairs.withColumn("base", base).filter(F.col("base") >= DROP).select("type", "na", "nb", "base")
+    matches = near.unionAll(names.select("type", F.col("n").alias("na"), F.col("n").alias("nb"), F.lit(EXACT).alias("base")))
+    both = matches.join(e.toDF("x", "type", "na"), ["type", "na"]).join(e.toDF("y", "type", "nb"), ["type", "nb"]).filter("x < y OR (x > y AND na <> nb)")
+    scored = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "base")
+    near = co_occurrence(mentions, "document_id", "entity_id").select("a", "b", F.lit(TOGETHER).alias("together"))
     total = F.least(F.lit(1.0), F.col("base") + SAME_TYPE + F.coalesce("together", F.lit(0.0)))
     out = scored.join(near, ["a", "b"], "left").select(F.col("a").alias("source"), F.col("b").alias("target"), total.alias("confidence"))
     return out.withColumn("action", F.when(F.col("confidence") >= AUTO, "auto").otherwise("queue"))
