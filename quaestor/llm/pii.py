@@ -66,12 +66,15 @@ def _spans(kind: int, pattern: str, needs: str, check: str | None) -> str:
     """array<struct<start, kind, end, m, before>> of a pattern's matches: matches and the gaps between give the places."""
     found = f"CASE WHEN {needs} THEN regexp_extract_all(text, r'{pattern}', 0) END"
     gaps = f"split(text, r'{pattern}', -1)"
+    span = f"struct(s.at + length(g[k]) AS start, {kind} AS kind, s.at + ln[k] AS end, y.ms[k] AS m, lower(right(g[k], {_BEFORE})) AS before)"
+    # places are summed up within runs of 256 matches, each from the sum of the runs before it
     walk = (
-        "aggregate(sequence(0, size(ms) - 1), struct(0 AS at, cast(array() AS array<struct<start: int, kind: int, end: int, m: string, before: string>>) AS out), "
-        f"(s, k) -> struct(s.at + length(gs[k]) + length(ms[k]) AS at, concat(s.out, array(struct(s.at + length(gs[k]) AS start, {kind} AS kind, s.at + length(gs[k]) + length(ms[k]) AS end, "
-        f"ms[k] AS m, lower(right(gs[k], {_BEFORE})) AS before))) AS out), s -> s.out)"
+        "flatten(transform(sequence(0, CAST((size(y.ms) - 1) div 256 AS INT)), b -> aggregate(sequence(b * 256, least(size(y.ms), (b + 1) * 256) - 1), "
+        "struct(aggregate(slice(ln, 1, b * 256), 0, (s, x) -> s + x) AS at, cast(array() AS array<struct<start: int, kind: int, end: int, m: string, before: string>>) AS out), "
+        f"(s, k) -> struct(s.at + ln[k] AS at, concat(s.out, array({span})) AS out), s -> s.out)))"
     )
-    one = f"flatten(transform(filter(array(struct({found} AS ms)), y -> size(y.ms) > 0), y -> flatten(transform(array({gaps}), g -> {walk.replace('ms', 'y.ms').replace('gs[', 'g[')}))))"
+    lengths = "transform(y.ms, (m, k) -> length(m) + length(g[k]))"
+    one = f"flatten(transform(filter(array(struct({found} AS ms)), y -> size(y.ms) > 0), y -> flatten(transform(array({gaps}), g -> flatten(transform(array({lengths}), ln -> {walk}))))))"
     return f"filter({one}, x -> {check})" if check else one
 
 

@@ -187,7 +187,7 @@ def base_spans(text):
 
 PRIVATE = [
     "mail a.b@x.org, c@d.e.f.g@h.i and @x.y a@b a@b.c_d@e.f é😀q@w.com", "ip 1.2.3.4 256.1.1.1 001.2.3.4.5.6.7.8 1.2.3 0.0.0.0", "card 4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111 5 5--5 0000000000000000",
-    "+1 (988) 555-2485 and +12 3 +1234567890123456 ++49 30 1234567.", "call 212-555-0187 or (415) 555 2671; order 123-456-7890", "write joe (at) example (dot) com or jane[at]site.org", "9" * 30_000, "a" * 30_000 + "@b.c", "x@y.z " * 600, None, "",
+    "+1 (988) 555-2485 and +12 3 +1234567890123456 ++49 30 1234567.", "call 212-555-0187 or (415) 555 2671; order 123-456-7890", "write joe (at) example (dot) com or jane[at]site.org", "9" * 30_000, "a" * 30_000 + "@b.c", "x@y.z " * 20_000, None, "",
 ]
 
 
