@@ -75,7 +75,7 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(graph.cut(search.postings(Corpus(spark, sf_dir)["texts"])), "the password", phrase=False, k=50)
+    return search.search(graph.cut(search.postings(Corpus(spark, sf_dir)["texts"])), "of that", phrase=False, k=50)
 
 
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def anomaly_page_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anomaly_bulk_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Corpus(spark, sf_dir)["docs"].select((F.to_timestamp("ingest_day") + F.expr("make_interval(0, 0, 0, 0, CAST(ingest_hour AS INT))")).alias("ingested_at"))
-    return anomaly.bulk_ingestion(rows)
+    return anomaly.anchored_windows(rows, "ingested_at", 12 * 3600, 6)
 
 
 def anomaly_sudden_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
