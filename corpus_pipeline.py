@@ -37,7 +37,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids."""
-    return packed(docs, tokenizer=vocabulary("word_bpe_49k.json"), units=250_000)
+    return packed(docs, tokenizer=vocabulary("word_bpe_49k.json"), units=200_000, block=1 << 20)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]

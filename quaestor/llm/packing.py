@@ -105,7 +105,7 @@ def plan(histogram: dict[int, int], window: int, unit: int, depth: int) -> list[
     return out
 
 
-def _pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int, window: int, unit: int, units: int, doc_id: str, text: str) -> DataFrame:
+def _pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int, window: int, unit: int, units: int, block: int, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def _pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int, window
         ranks: dict[int, int] = {}
         for batch in batches:
             for part in slices(batch, "body"):
-                ids, starts = code.encode(part.column("body").to_pylist(), end)
+                ids, starts = code.encode(part.column("body").to_pylist(), end, block)
                 ids = ids.astype("<u4")
                 out = []
                 for doc, at, n in zip(part.column("doc_id").to_pylist(), starts[:-1].tolist(), np.diff(starts).tolist(), strict=True):
@@ -130,11 +130,11 @@ def _pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int, window
 
 def packed(
     docs: DataFrame, *, tokenizer: str, keeps_space: bool = False, end: int = 1, window: int = 2048, unit: int = 64,
-    depth: int = 4, units: int = 600_000, doc_id: str = "doc_id", text: str = "text",
+    depth: int = 4, units: int = 600_000, block: int = 1 << 22, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per piece (``units``: distinct words that a worker's encoder remembers): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece (``units``: distinct words that a worker's encoder remembers, ``block``: bytes it encodes at once): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     small_batches(docs.sparkSession)
-    pieces = written(_pieces(docs, tokenizer, keeps_space, end, window, unit, units, doc_id, text), "pieces")
+    pieces = written(_pieces(docs, tokenizer, keeps_space, end, window, unit, units, block, doc_id, text), "pieces")
     counts = written(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window / unit + unit rows
     segments: dict[int, list[tuple[int, int, int, int]]] = {}

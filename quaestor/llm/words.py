@@ -6,12 +6,14 @@ yields.  Words get 64-bit hashes; a run of words gets the Rabin-Karp polynomial
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+_LIBC = ctypes.CDLL(None)
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT_A, _SHIFT_B, _MIX = np.uint64(29), np.uint64(32), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -80,8 +82,21 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(run_hashes(hashes, min(width, len(hashes))))
 
 
+def release() -> None:
+    """Gives memory that is free in this Python worker back to the system: workers serve one stage after another."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)  # where the C library is not glibc there is none
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of ``column`` (binary), one row at least."""
+    release()
+    yield from _slices(batch, column, most)
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     sizes = np.fromiter((0 if x is None else len(x) for x in (v.as_buffer() if v.is_valid else None for v in batch.column(column))), np.int64, batch.num_rows)
     start, held = 0, 0
     for k, size in enumerate(sizes):
