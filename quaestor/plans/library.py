@@ -10,13 +10,13 @@ from quaestor.functions import names, search, timeline
 from quaestor.operators import anomaly, graph, pairs, resolve
 
 
-def _edges(c: Corpus, least: int = 2) -> DataFrame:
-    """The canonical graph of connections of at least ``least`` documents."""
-    return graph.cut(graph.canonical_edges(c["links"].filter(F.col("weight") >= least), c["entities"], c["resolutions"]))
+def _edges(c: Corpus) -> DataFrame:
+    """The canonical graph of all connections."""
+    return graph.cut(graph.canonical_edges(c["links"], c["entities"], c["resolutions"]))
 
 
 def _ends(c: Corpus) -> tuple:
-    row = c["links"].filter("weight >= 2").join(c["resolutions"], F.expr("entity_a_id = source_entity_id"), "left").agg(F.min(F.coalesce("canonical_entity_id", "entity_a_id")), F.max(F.coalesce("canonical_entity_id", "entity_a_id"))).first()
+    row = c["links"].join(c["resolutions"], F.expr("entity_a_id = source_entity_id"), "left").agg(F.min(F.coalesce("canonical_entity_id", "entity_a_id")), F.max(F.coalesce("canonical_entity_id", "entity_a_id"))).first()
     return row[0], row[1]
 
 

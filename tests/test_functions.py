@@ -5,8 +5,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quaestor.bindings import Corpus
 from quaestor.functions import names, search, timeline
 from quaestor.operators import anomaly, graph, pairs, resolve
+from quaestor.plans import library
 from quaestor.sources import files
 from quaestor.sources.store import Store
 from quaestor.streaming import alerts
@@ -31,6 +33,19 @@ def test_graph_canonical_edges_and_stats(spark, edges):
     assert graph.subgraph(edges, spark.createDataFrame([(1,), (2,), (4,)], "n long")).count() == 2
 
 
+def test_graph_queries_read_every_connection(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    to, known, want = {r[0]: r[1] for r in c["resolutions"].collect()}, {r.id for r in c["entities"].collect()}, {}
+    for r in c["links"].collect():
+        a, b = sorted((to.get(r.entity_a_id, r.entity_a_id), to.get(r.entity_b_id, r.entity_b_id)))
+        if a != b and {a, b} <= known:
+            want[a, b] = want.get((a, b), 0) + r.weight
+    assert 1 in want.values()
+    assert {(r.a, r.b): r.weight for r in library.graph_edges(spark, sf_dir).collect()} == want
+    ends = [to.get(r.entity_a_id, r.entity_a_id) for r in c["links"].collect()]
+    assert library._ends(c) == (min(ends), max(ends))
+
+
 def test_graph_paths(edges):
     assert graph.shortest_path(edges, 1, 2) == ([1, 2], 7.0)
     assert graph.shortest_path(edges, 1, 1) == ([1], 0.0)
