@@ -2,9 +2,10 @@
 
 Learning (``learned``) reads labelled rows only, at most about ``most`` of them: words, and
 word stems, that toxic texts hold far more often than clean ones.  Terms must add toxic texts
-that stronger terms do not cover, or be common among them, and occur in texts that differ, so
-that the vocabulary of a text with many copies does not pass for abuse.  Forms near a term that clean texts use are listed
-as exceptions.  A logistic curve over three sums of hits turns them into a score.
+that stronger terms do not cover, or be common among them.  Near copies of one text are a family
+and weigh as one text of their class in every count and in the fit, so that the vocabulary of a
+text with many copies neither passes for abuse nor hides what other texts hold.  Forms near a
+term that clean texts use are listed as exceptions.  A logistic curve over three sums of hits turns them into a score.
 
 Scoring runs every word of every text through one automaton: the trie of all terms in product
 with the Levenshtein automata of its words (one edit from five letters, two from nine; stems
@@ -205,6 +206,47 @@ def _grams(word: str) -> Iterator[str]:
             yield word[:n] + "*"
 
 
+#: Odd factors of the permutations that find families, ``_BAND`` to a band: near copies share a band, other texts hardly ever do.
+_BAND = 4
+_FACTORS = np.random.default_rng(9).integers(1 << 62, 1 << 63, 12 * _BAND, dtype=np.uint64) | np.uint64(1)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with ``bands``, hashes of the least permuted runs of three words, and ``key``, one hash of them all."""
+    cache = WordHashes()
+    for batch in batches:
+        bands, keys = [], []
+        for body in batch.column("body").to_pylist():
+            runs = shingles(cache.of((body or b"").lower().split()), 3)
+            least = np.array([(runs * f).min() if len(runs) else 0 for f in _FACTORS], np.uint64).tolist()
+            bands.append([hash((k, *least[k : k + _BAND])) for k in range(0, len(least), _BAND)])
+            keys.append(hash(tuple(least)))
+        yield pa.RecordBatch.from_arrays([batch.column("body"), batch.column("y"), pa.array(bands, pa.list_(pa.int64())), pa.array(keys, pa.int64())], names=["body", "y", "bands", "key"])
+
+
+def _families(sample: DataFrame) -> tuple[DataFrame, int, int]:
+    """(body, y, family, share) of a sample with bands, ``share`` one over the rows of the family and class, and the families of either class."""
+    kinds = sample.groupBy("key", (F.col("y") > 0).alias("toxic")).agg(F.first("bands").alias("bands"), F.count("*").alias("n")).collect()  # at most ``most`` rows
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for r in kinds:
+        for b in r.bands:
+            parent[find(b)] = find(r.bands[0])
+    place: dict[int, int] = {}
+    family = [place.setdefault(find(r.bands[0]), len(place)) for r in kinds]
+    sizes: Counter[tuple[int, bool]] = Counter()
+    for r, f in zip(kinds, family, strict=True):
+        sizes[f, r.toxic] += r.n
+    shares = sample.sparkSession.createDataFrame([(r.key, r.toxic, f, 1 / sizes[f, r.toxic]) for r, f in zip(kinds, family, strict=True)], "key long, toxic boolean, family int, share double")
+    rows = sample.withColumn("toxic", F.col("y") > 0).join(F.broadcast(shares), ["key", "toxic"]).select("body", "y", "family", "share")
+    return rows, sum(toxic for _, toxic in sizes), sum(not toxic for _, toxic in sizes)
+
+
 def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, ratio: float = 20.0, terms: int = 2_000) -> Model:
     """A model from documents that ``labels`` names, about ``most`` of them, picked by a hash of their id."""
     small_batches(docs.sparkSession)
@@ -213,29 +255,28 @@ def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     if count > most:
         kinds = kinds.filter(F.pmod(F.xxhash64("doc_id"), F.lit(count)) < most)
     bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    sample = written(bodies.join(F.broadcast(kinds), "doc_id").select("body", "y"), "labelled")  # at most ``most`` ids
-    totals = {r.y > 0: 0 for r in sample.select("y").distinct().collect()}
-    for r in sample.groupBy("y").count().collect():
-        totals[r.y > 0] = totals.get(r.y > 0, 0) + r["count"]
-    if not totals.get(True) or not totals.get(False):
+    labelled = bodies.join(F.broadcast(kinds), "doc_id").select("body", "y")  # at most ``most`` ids
+    sample, n_bad, n_good = _families(written(labelled.mapInArrow(_bands, "body binary, y int, bands array<long>, key long"), "labelled"))
+    if not n_bad or not n_good:
         return Model()
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good = Counter(), Counter()
         for batch in batches:
-            for body, y in zip(batch.column("body").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            for body, y, share in zip(*(batch.column(c).to_pylist() for c in ("body", "y", "share")), strict=True):
                 own = set(_WORD.findall((body or b"").decode("utf-8", "replace").lower()))
-                (bad if y else good).update(own.union(*({g} for w in own for g in _grams(w))))
+                count = bad if y > 0 else good
+                for t in own.union(*({g} for w in own for g in _grams(w))):
+                    count[t] += share
         names = list(bad)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([bad[n] for n in names], pa.int64()), pa.array([good[n] for n in names], pa.int64())], names=["term", "bad", "good"])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([bad[n] for n in names], pa.float64()), pa.array([good[n] for n in names], pa.float64())], names=["term", "bad", "good"])
         names = [n for n in good if n not in bad]
         for start in range(0, len(names), 1 << 16):
             some = names[start : start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([0] * len(some), pa.int64()), pa.array([good[n] for n in some], pa.int64())], names=["term", "bad", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([0.0] * len(some), pa.float64()), pa.array([good[n] for n in some], pa.float64())], names=["term", "bad", "good"])
 
-    n_bad, n_good = totals[True], totals[False]
     least = max(5, math.ceil(0.002 * n_bad))
-    counted = sample.mapInArrow(count_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = sample.mapInArrow(count_terms, "term string, bad double, good double").groupBy("term").agg(F.round(F.sum("bad"), 6).alias("bad"), F.round(F.sum("good"), 6).alias("good"))  # rounded: sums of shares come in any order
     rate = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
     strong = counted.filter((F.col("bad") >= least) & (rate >= ratio)).withColumn("rate", rate).orderBy(F.col("bad").desc(), "term").limit(20_000).collect()  # a bounded list of candidates
     stats = {r.term: (r.bad, math.log(r.rate)) for r in strong}
@@ -254,33 +295,28 @@ def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
 
 
 def _cover(sample: DataFrame, stats: dict, words: list[str], stems: list[str], n_bad: int, least: int, terms: int) -> list[str]:
-    """Terms, strongest cover first, that add toxic texts to those before, or are common among them; near copies count once."""
+    """Terms, strongest cover first, that add toxic texts to those before, or are common among them; a family counts once."""
     wanted = sorted([*words, *stems], key=lambda t: (-stats[t][0], t))[:terms]
     place = {t: k for k, t in enumerate(wanted)}
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            out, family = [], []
+            out = []
             for body in batch.column("body").to_pylist():
                 own = set(_WORD.findall((body or b"").decode("utf-8", "replace").lower()))
                 out.append(sorted({place[t] for w in own for t in (w, *_grams(w), w + "*") if t in place}))
-                runs = shingles(cache.of((body or b"").lower().split()), 3)
-                family.append(int(runs[0] >> np.uint64(1)) if len(runs) else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array(family, pa.int64())], names=["terms", "family"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column("family")], names=["terms", "family"])
 
-    rows = sample.filter("y > 0").mapInArrow(holds, "terms array<int>, family long").collect()  # at most ``most`` rows
-    families = {f: k for k, f in enumerate(sorted({r.family for r in rows if r.terms}))}  # near copies mostly share their smallest shingle
+    rows = sample.filter("y > 0").mapInArrow(holds, "terms array<int>, family int").collect()  # at most ``most`` rows
+    families = {r.family for r in rows if r.terms}
     holders: dict[int, set[int]] = {}
-    texts: Counter[int] = Counter()
     for r in rows:
         for t in r.terms:
-            holders.setdefault(t, set()).add(families[r.family])
-            texts[t] += 1
+            holders.setdefault(t, set()).add(r.family)
     covered: set[int] = set()
     chosen = []
     for k in sorted(holders, key=lambda t: (-len(holders[t]), t)):
-        if 2 * len(holders[k]) >= texts[k] and (len(holders[k] - covered) >= min(least, 3) or len(holders[k]) >= 0.02 * len(families)):
+        if len(holders[k] - covered) >= min(least, 3) or len(holders[k]) >= 0.02 * len(families):
             chosen.append(wanted[k])
             covered |= holders[k]
     return chosen
@@ -306,15 +342,15 @@ def _weighed(sample: DataFrame, model: Model) -> Model:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            rows = [(*scorer.sums((b or b"").decode("utf-8", "replace")), float(y > 0)) for b, y in zip(batch.column("body").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.float64())] * 4, names=["a", "b", "c", "y"])
+            rows = [(*scorer.sums((b or b"").decode("utf-8", "replace")), float(y > 0), w) for b, y, w in zip(*(batch.column(c).to_pylist() for c in ("body", "y", "share")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.float64())] * 5, names=["a", "b", "c", "y", "share"])
 
-    rows = np.array([tuple(r) for r in sample.mapInArrow(sums, "a double, b double, c double, y double").collect()])
-    x, y = np.hstack([np.ones((len(rows), 1)), rows[:, :3]]), rows[:, 3]
+    rows = np.array([tuple(r) for r in sample.mapInArrow(sums, "a double, b double, c double, y double, share double").collect()])
+    x, y, n = np.hstack([np.ones((len(rows), 1)), rows[:, :3]]), rows[:, 3], rows[:, 4]
     penalty, beta = np.diag([0.01, 0.5, 0.5, 0.5]), np.zeros(4)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * np.maximum(p * (1 - p), 1e-9)[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
+        step = np.linalg.solve(x.T @ (x * (n * np.maximum(p * (1 - p), 1e-9))[:, None]) + penalty, x.T @ (n * (y - p)) - penalty @ beta)
         beta = beta + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break

@@ -397,6 +397,26 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(r.score < 1e-6 for r in toxicity.scores(docs, none).collect())
 
 
+def test_toxicity_learns_beside_a_text_with_many_copies(spark):
+    rng = random.Random(13)
+    rows, labels = [], []
+    hot = prose(rng, 40).split() + ["blorgon", "snarkface"] + [f"own{k}q" for k in range(30)]
+    for k in range(600):
+        text, copy = prose(rng, 60).split(), k >= 400
+        if copy:  # near copies of one toxic text, far more than all other toxic rows
+            text = list(hot)
+            text[rng.randrange(40)] = f"w{rng.randrange(400)}"
+        elif k % 10 == 0:
+            text[rng.randrange(60)] = ("blorgon", "snarkface")[k // 10 % 2]
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(copy or k % 10 == 0)))
+    docs = documents(spark, rows)
+    model = toxicity.learned(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("blorgon".startswith(t) for t in [*model.terms, *model.stems]) and any("snarkface".startswith(t) for t in [*model.terms, *model.stems])
+    assert not any(t.startswith("own") for t in [*model.terms, *model.stems])
+    assert all((r.score >= 0.7) == bool(labels[r.doc_id][1]) for r in toxicity.scores(docs, model).collect())
+
+
 def test_automaton_matches_edit_distance():
     rng = random.Random(13)
 
