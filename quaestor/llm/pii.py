@@ -52,7 +52,7 @@ CHECK = {
 _NEEDS = {"email": "contains(text, '@')", "ip": r"text RLIKE r'[0-9][.][0-9]'", "card": r"text RLIKE r'[0-9][\x20-]?[0-9]'", "phone": "contains(text, '+')"}
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "phone": r"(?<![0-9+])(?<![0-9][.-])(?:1[\x20.-])?\(?[2-9][0-9]{2}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])",
 }
 _WIDE_NEEDS = {"email": r"text RLIKE r'[(\[{]at[)\]}]'", "phone": r"text RLIKE r'[0-9]{3}[\x20.-][0-9]{4}'"}
 #: Word lists of the labelers (fixed values).

@@ -208,6 +208,14 @@ def test_pii_redaction_covers_every_base_span(spark):
     assert not any(base_spans(t or "") for k, t in rows.items() if k not in (0,))
 
 
+def test_pii_phone_numbers_at_the_end_of_sentences(spark):
+    whole = ["212-555-0187.", "(212) 555-0187.", "1-212-555-0187", "1 (212) 555-0187.", "212.555.0187-", "212-555-0187"]
+    texts = [f"please call {w}{rest}" for w in whole for rest in ("", " Then", ", or")]
+    texts += ["call 212-555-0187.5", "call 212-555-01879", "call 5-212-555-0187", "call 212-555-0187-44", "call 11-212-555-0187"]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in pii.personal_data(documents(spark, list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == [[w.rstrip(".-")] for w in whole for _ in range(3)] + [[]] * 5
+
+
 def test_em_finds_the_reliable_labelers():
     rng = random.Random(1)
     counts = {}
