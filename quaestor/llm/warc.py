@@ -1,9 +1,11 @@
 """WARC archives of web pages: written as gzip members, read back by a verified chain of record boundaries.
 
 Writing: pages with equal payloads of at least ``least`` bytes keep one ``response`` record, that
-of the smallest page id; the others become ``revisit`` records that refer to it.  Each record is
-a gzip member of its own; a task writes files of about ``file_bytes`` under names of its own,
-and the manifest lists the files of the attempts that counted.
+of the smallest page id; the others become ``revisit`` records that refer to it.  A record's id
+is a name-based UUID of its type, page id, digest and url, so that a repeated attempt writes the
+same records and ``WARC-Refers-To`` names a record that exists.  Each record is a gzip member of
+its own; a file starts with a ``warcinfo`` record.  A task writes files of about ``file_bytes``
+under names of its own, and the manifest lists the files of the attempts that counted.
 
 Reading: files are cut into chunks.  A task takes every gzip magic number in its chunk for a
 candidate record; one that decompresses to a WARC header has a successor, the offset after its
@@ -11,11 +13,13 @@ member, and following successors inside the chunk gives the offset at which the
 chain leaves it.  Such a candidate may lie inside a payload.  Pointer jumping from offset 0 of
 each file, over those exits, finds the one true entry of each chunk in as many rounds as the
 number of chunks has binary digits; chunks are then read from their entries, so that only
-reachable records are returned.
+reachable records are returned.  Descriptors of chunks are tiny rows, so they are dealt to a
+number of tasks that follows the number of chunks, not their bytes.
 
 Empty cases: null html is an empty payload, a null url becomes a URN of the page id.  Pages
-that share an id are records of their own.  A null id is written as such and never counts as
-the smallest unless all are null.  An empty table writes nothing.  Other columns are not read.
+that share an id are records of their own; rows equal in id, url and payload have one record id,
+as the same record.  A null id is written as such, never counts as the smallest unless all are
+null, and revisits the smallest id of its payload where there is one.  An empty table writes nothing.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,17 +51,31 @@ def _safe(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool, date: str) -> bytes:
+def _record_id(*parts: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, chr(0).join(map(str, parts)))}>"
+
+
+def _member(lines: list[str], block: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress("\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def file_head(name: str, date: str) -> bytes:
+    """The ``warcinfo`` record that a file starts with, as a gzip member."""
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id('warcinfo', name)}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _member(lines, b"format: WARC File Format 1.1\r\n")
+
+
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, refers_url: str | None, revisit: bool, date: str) -> bytes:
     """One gzip member.  A revisit holds the response's HTTP head alone, with the full payload's digest and size."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if revisit else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Target-URI: {_safe(url) if url else f'urn:page:{page}'}"]
+    kind = "revisit" if revisit else "response"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(kind, page, digest, url)}", f"WARC-Target-URI: {_safe(url) if url else f'urn:page:{page}'}"]
     lines += [f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}", f"Page-ID: {'' if page is None else page}", f"Payload-Length: {len(payload)}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id('response', refers, digest, refers_url)}", f"Refers-To-Page-ID: {refers}"]
+    return _member([*lines, "Content-Type: application/http; msgtype=response"], block)
 
 
 def write_pages(
@@ -68,7 +86,8 @@ def write_pages(
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     small_batches(pages.sparkSession)
-    first = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("m"), F.count("*").alias("n"))
+    first = first.filter("n > 1").select("digest", F.col("m.page_id").alias("first"), F.col("m.url").alias("first_url"))
     planned = rows.join(first, "digest", "left").withColumn("revisit", F.expr(f"length(payload) >= {least} AND first IS NOT NULL AND NOT page_id <=> first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +100,10 @@ def write_pages(
                     if out is None:
                         name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    member = record(row["page_id"], row["url"], row["payload"], row["digest"], row["first"], row["revisit"], date)
+                        head = file_head(name, date)
+                        out.write(head)
+                        size = len(head)
+                    member = record(row["page_id"], row["url"], row["payload"], row["digest"], row["first"], row["first_url"], row["revisit"], date)
                     out.write(member)
                     size, n = size + len(member), n + 1
                     if size >= file_bytes:
@@ -94,7 +116,7 @@ def write_pages(
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["path", "bytes", "records"])
 
-    return written(planned.select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(write, _MANIFEST), "manifest")
+    return written(planned.select("page_id", "url", "payload", "digest", "first", "first_url", "revisit").mapInArrow(write, _MANIFEST), "manifest")
 
 
 class _Window:
@@ -135,6 +157,12 @@ def _parsed(content: bytes) -> tuple[dict[str, str], bytes] | None:
     return fields, rest[: int(length)]
 
 
+def _tasks(manifest: DataFrame, chunk: int, chunks_a_task: int = 16) -> int:
+    """Tasks for the chunks of all files: one a chunk until the cores are busy, then ``chunks_a_task`` chunks each."""
+    chunks = manifest.agg(F.coalesce(F.sum(F.expr(f"greatest(bytes - 1, 0L) div {chunk} + 1")), F.lit(0))).first()[0]
+    return max(1, min(chunks, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-chunks // chunks_a_task))))
+
+
 def candidates(manifest: DataFrame, chunk: int) -> DataFrame:
     """(path, at, successor, leaves): each record candidate, its successor, and where its chain leaves its chunk."""
     chunks = manifest.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L) div {chunk})")).alias("k"))
@@ -157,7 +185,7 @@ def candidates(manifest: DataFrame, chunk: int) -> DataFrame:
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*kept, strict=True)], names=["path", "at", "successor", "leaves"])
 
-    return chunks.repartition(F.col("path"), F.col("k")).mapInArrow(scan, "path string, at long, successor long, leaves long")
+    return chunks.repartition(_tasks(manifest, chunk)).mapInArrow(scan, "path string, at long, successor long, leaves long")
 
 
 def entries(found: DataFrame, manifest: DataFrame, chunk: int) -> DataFrame:
@@ -192,13 +220,14 @@ def read_records(manifest: DataFrame, *, chunk: int = 4 << 20) -> DataFrame:
                     if not parsed:
                         raise ValueError(f"no record at {at} of {row['path']}")
                     (fields, block), at = parsed, member[1]
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     revisit = fields["warc-type"] == "revisit"
                     payload = None if revisit else block.partition(b"\r\n\r\n")[2]
                     recorded = fields["warc-payload-digest"].removeprefix("sha256:")
                     digest = recorded if revisit else hashlib.sha256(payload).hexdigest()
-                    refers = fields.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
                     size = int(fields["payload-length"]) if revisit else len(payload)
-                    out.append((int(fields["page-id"]) if fields.get("page-id") else None, fields.get("warc-target-uri"), fields["warc-type"], int(refers) if revisit else None, payload, size, digest, digest == recorded))
+                    out.append((int(fields["page-id"]) if fields.get("page-id") else None, fields.get("warc-target-uri"), fields["warc-type"], int(fields["refers-to-page-id"]) if revisit else None, payload, size, digest, digest == recorded))
                     held += len(block)
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -206,7 +235,7 @@ def read_records(manifest: DataFrame, *, chunk: int = 4 << 20) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return starts.repartition(F.col("path"), F.col("at")).mapInArrow(walk, schema)
+    return starts.repartition(_tasks(manifest, chunk)).mapInArrow(walk, schema)
 
 
 def round_trip(pages: DataFrame, *, folder: str | None = None, chunk: int = 4 << 20, **options) -> DataFrame:
