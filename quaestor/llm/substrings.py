@@ -5,13 +5,20 @@ word runs inside it.  Equal windows have equal minimizers and meet in one bucket
 next to each other mostly share theirs, so what travels is one packed row per slice of text
 and bucket: hashes, and runs of places.  A slice sends each distinct window once and settles
 its own repeats itself, so a passage that a third of all documents hold costs a bucket one
-entry per slice, and no bucket depends on how often a passage occurs.  A bucket counts its
-windows by sorting and answers with the runs of places whose windows start elsewhere too;
-runs of a text are merged into maximal intervals and those words are removed.
+entry per slice.  A bucket counts its windows by sorting and answers with the runs of places
+whose windows start elsewhere too; runs of a text are merged into maximal intervals and those
+words are removed.
+
+Windows that differ may share a minimizer in great numbers: a common phrase of fewer words than
+a window stands in as many surroundings as there are documents.  One text of ``planned_one_in``,
+by hash, is therefore counted by bucket first, and a bucket with more than its share of distinct
+windows is split by the hash of the whole window.  That plan decides where a window is counted,
+never whether.
 
 Windows are equal when 64-bit hashes and buckets are; the number of buckets follows the size
 of the corpus at about ``bucket_bytes`` of text each, so a bucket sees about a million windows
-and takes two different ones for equal with a chance of about 4e-8, at any scale.
+and takes two different ones for equal with a chance of about 4e-8.  That is per bucket: at
+100 TB about one wrong match is expected in all.  Texts are told apart by 96 bits.
 
 Empty cases: a null text has no words and stays null; a text shorter than ``width`` keeps all.
 Windows of one document repeat each other like those of others, overlapping ones included.
@@ -26,13 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import small_batches, written
-from .words import WordHashes, mixed, run_hashes, slices
+from .words import RADIX, WordHashes, mixed, run_hashes, slices
+
+_FRAGMENT = "bucket int, settled boolean, hashes binary, texts binary, checks binary, starts binary, lengths binary"
+_NAMES = ["bucket", "settled", "hashes", "texts", "checks", "starts", "lengths"]
 
-_FRAGMENT = "bucket int, settled boolean, hashes binary, alone binary, texts binary, counts binary, starts binary, lengths binary"
+#: Set in the length of a run whose windows also start elsewhere in its own slice, where they are settled.
+_SETTLED = np.uint32(1 << 31)
 
 
 def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -44,97 +56,166 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _runs(owner: np.ndarray, place: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First positions and lengths of runs of consecutive places of one owner and group."""
-    cut = np.flatnonzero((owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (group[1:] != group[:-1])) + 1
-    first = np.concatenate([[0], cut])
-    return first, np.diff(np.concatenate([first, [len(owner)]]))
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """First places of the stretches in which no column changes."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def _runs(owner: np.ndarray, place: np.ndarray, *groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First positions and lengths of runs of consecutive places of one owner and one value of each of ``groups``."""
+    first = _changes(place - np.arange(len(place)), owner, *groups)
+    return first, np.diff(np.append(first, len(owner)))
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values: the stretches of ``data`` between ``bounds``."""
+    offsets = (bounds * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+#: A bucket of more than so many times its fair share of windows is split.
+_UNEVEN = 1.5
+
+
+class _Slice:
+    """The windows of a slice of texts, each text once."""
+
+    def __init__(self, part: pa.RecordBatch, cache: WordHashes, width: int, inner: int):
+        hashes, least, owners, places, seen = [], [], [], [], {}
+        self.texts, self.checks, twice = [], [], []
+        for text, check, body in zip(*(part.column(c).to_pylist() for c in ("text_hash", "text_check", "body")), strict=True):
+            if (text, check) in seen:
+                if seen[text, check] >= 0:
+                    twice[seen[text, check]] = True
+                continue
+            words = cache.of((body or b"").split())
+            own = run_hashes(words, width)
+            seen[text, check] = len(self.texts) if len(own) else -1
+            if len(own):
+                hashes.append(own)
+                least.append(mixed(_sliding_minimum(run_hashes(words, inner), width - inner + 1)))
+                owners.append(np.full(len(own), len(self.texts), np.int64))
+                places.append(np.arange(len(own)))
+                self.texts.append(text)
+                self.checks.append(check)
+                twice.append(False)
+        self.empty = not self.texts
+        if self.empty:
+            return
+        self.texts, self.checks = np.array(self.texts, np.int64), np.array(self.checks, np.uint32)
+        self.hash, self.least, self.owner, self.place = map(np.concatenate, (hashes, least, owners, places))
+        order = np.argsort(self.hash, kind="stable")
+        same = self.hash[order][1:] == self.hash[order][:-1]
+        self.repeated = np.array(twice)[self.owner]
+        self.repeated[order[1:][same]] = True
+        self.repeated[order[:-1][same]] = True
+        later = np.zeros(len(self.hash), bool)
+        later[order[1:][same]] = True
+        self.distinct = np.flatnonzero(~later)
+
+    def rows(self, chosen: np.ndarray, bucket: np.ndarray, settled: bool) -> pa.RecordBatch:
+        """One row for each bucket of the ``chosen`` windows, whose buckets are ``bucket``."""
+        order = np.argsort(bucket, kind="stable")
+        chosen, bucket = chosen[order], bucket[order]
+        first, lengths = _runs(self.owner[chosen], self.place[chosen], bucket, self.repeated[chosen])
+        ends = _changes(bucket)
+        home = bucket[ends]
+        windows, runs = np.append(ends, len(chosen)), np.append(np.searchsorted(first, ends), len(first))
+        flags = lengths.astype(np.uint32) | np.where(self.repeated[chosen[first]], _SETTLED, np.uint32(0))
+        owner = self.owner[chosen[first]]
+        hashes = _binary(self.hash[chosen], windows) if not settled else pa.array([b""] * len(home), pa.binary())
+        columns = [_binary(c, runs) for c in (self.texts[owner], self.checks[owner], self.place[chosen[first]].astype(np.uint32), flags)]
+        return pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array([settled] * len(home)), hashes, *columns], names=_NAMES)
+
+
+class Plan:
+    """Buckets, the most loaded of which are split: window -> final bucket."""
 
+    def __init__(self, heavy: dict[int, int], buckets: int, fair: float):
+        self.parts = np.ones(buckets, np.uint64)
+        for bucket, load in heavy.items():
+            self.parts[bucket] = int(np.ceil(load / max(1.0, fair)))
+        self.first = np.concatenate([[0], np.cumsum(self.parts)]).astype(np.uint64)
+        self.total = int(self.first[-1])
 
-def _packed(owner: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """Runs of places, by text: text hashes, runs of each, and the runs' starts and lengths."""
-    first, lengths = _runs(owner, place, np.zeros(len(owner), np.uint8))
-    texts, counts = np.unique(owner[first], return_counts=True)
-    return keys[texts].tobytes(), counts.astype(np.uint32).tobytes(), place[first].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes()
+    def of(self, hashes: np.ndarray, least: np.ndarray) -> np.ndarray:
+        home = (least % np.uint64(len(self.parts))).astype(np.int64)
+        return (self.first[home] + mixed(hashes + RADIX) % self.parts[home]).astype(np.int64)
 
 
-def _scatter(buckets: int, width: int, inner: int):
+def _planned(rows: DataFrame, buckets: int, width: int, inner: int, one_in: int) -> Plan:
+    """Distinct windows by bucket of one text in ``one_in``; a task answers with a row for each bucket it met."""
+
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, total = WordHashes(), {}
+        for batch in batches:
+            for part in slices(batch, "body"):
+                own = _Slice(part, cache, width, inner)
+                if not own.empty:
+                    bucket, n = np.unique(own.least[own.distinct] % np.uint64(buckets), return_counts=True)
+                    for b, m in zip(bucket.tolist(), n.tolist(), strict=True):
+                        total[b] = total.get(b, 0) + m
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["bucket", "n"])
+
+    sample = rows.filter(F.expr(f"pmod(text_hash, {one_in}) = 0")).mapInArrow(loads, "bucket long, n long")
+    counted = sample.groupBy("bucket").agg(F.sum("n").alias("n"))
+    fair = (counted.agg(F.sum("n")).first()[0] or 0) / buckets
+    return Plan({r.bucket: r.n for r in counted.filter(F.col("n") > _UNEVEN * fair).collect()}, buckets, fair)
+
+
+def _scatter(plan, width: int, inner: int):
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             for part in slices(batch, "body"):
-                hashes, homes, owners, places, keys, copies = [], [], [], [], [], {}
-                for key, body in zip(part.column("text_hash").to_pylist(), part.column("body").to_pylist(), strict=True):
-                    if key in copies:
-                        copies[key][1] = True
-                        continue
-                    words = cache.of((body or b"").split())
-                    own = run_hashes(words, width)
-                    copies[key] = [-1, False]
-                    if not len(own):
-                        continue
-                    hashes.append(own)
-                    homes.append(mixed(_sliding_minimum(run_hashes(words, inner), width - inner + 1)) % np.uint64(buckets))
-                    owners.append(np.full(len(own), len(keys), np.int64))
-                    places.append(np.arange(len(own)))
-                    copies[key][0] = len(keys)
-                    keys.append(key)
-                if not keys:
+                own = _Slice(part, cache, width, inner)
+                if own.empty:
                     continue
-                keys = np.array(keys, np.int64)
-                twice = np.zeros(len(keys), bool)
-                for at, repeated in copies.values():
-                    if repeated and at >= 0:
-                        twice[at] = True
-                h, home, owner, place = np.concatenate(hashes), np.concatenate(homes).astype(np.int32), np.concatenate(owners), np.concatenate(places)
-                order = np.argsort(h, kind="stable")
-                same = h[order][1:] == h[order][:-1]
-                repeated = twice[owner]
-                repeated[order[1:][same]] = True
-                repeated[order[:-1][same]] = True
-                later = np.zeros(len(h), bool)
-                later[order[1:][same]] = True
-                rows = []
-                if repeated.any():  # settled here: sent where its text's other answers do not repeat it
-                    mine = np.flatnonzero(repeated)
-                    target = (mixed(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[owner[mine]]
-                    for bucket in np.unique(target):
-                        some = mine[target == bucket]
-                        rows.append((int(bucket), True, b"", b"", *_packed(owner[some], place[some], keys)))
-                sent = np.flatnonzero(~later)
-                sent = sent[np.argsort(home[sent], kind="stable")]
-                bounds = np.searchsorted(home[sent], np.arange(buckets + 1))
-                for bucket in range(buckets):
-                    some = sent[bounds[bucket] : bounds[bucket + 1]]
-                    if len(some):
-                        rows.append((bucket, False, h[some].tobytes(), np.packbits(~repeated[some]).tobytes(), *_packed(owner[some], place[some], keys)))
-                kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
-                names = ["bucket", "settled", "hashes", "alone", "texts", "counts", "starts", "lengths"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                again = np.flatnonzero(own.repeated)
+                if len(again):  # settled here: sent where its text's other answers do not repeat it
+                    yield own.rows(again, (mixed(own.texts.view(np.uint64)) % np.uint64(plan.value.total)).astype(np.int64)[own.owner[again]], True)
+                yield own.rows(own.distinct, plan.value.of(own.hash[own.distinct], own.least[own.distinct]), False)
 
     return scatter
 
 
+_KEY = np.dtype([("text", np.int64), ("check", np.uint32)])
+
+
+def _flat(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The binary values of a column, end to end."""
+    parts = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        if len(chunk) and data is not None:
+            ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts).view(kind) if parts else np.empty(0, kind)
+
+
+def _runs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text keys, starts, lengths) of all runs of the rows."""
+    texts = _flat(table.column("texts"), np.int64)
+    keys = np.empty(len(texts), _KEY)
+    keys["text"], keys["check"] = texts, _flat(table.column("checks"), np.uint32)
+    return keys, _flat(table.column("starts"), np.uint32).astype(np.int64), _flat(table.column("lengths"), np.uint32)
+
+
 def _count(width: int):
     def count(table: pa.Table) -> pa.Table:
-        hashes, alone, texts, starts, settled = [], [], [], [], []
-        done_texts, done_starts, done_lengths = [], [], []
-        for row in table.to_batches():
-            for k in range(row.num_rows):
-                at = {n: row.column(n)[k].as_py() for n in ("settled", "hashes", "alone", "texts", "counts", "starts", "lengths")}
-                own = np.repeat(np.frombuffer(at["texts"], np.int64), np.frombuffer(at["counts"], np.uint32))
-                first, lengths = np.frombuffer(at["starts"], np.uint32).astype(np.int64), np.frombuffer(at["lengths"], np.uint32).astype(np.int64)
-                if at["settled"]:
-                    done_texts.append(own)
-                    done_starts.append(first)
-                    done_lengths.append(lengths)
-                    continue
-                hashes.append(np.frombuffer(at["hashes"], np.uint64))
-                alone.append(np.unpackbits(np.frombuffer(at["alone"], np.uint8), count=len(hashes[-1])).astype(bool))
-                texts.append(np.repeat(own, lengths))
-                starts.append(np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum())))
-        if hashes:
-            h, alone, texts, starts = map(np.concatenate, (hashes, alone, texts, starts))
+        done = table.column("settled")
+        keys, starts, lengths = _runs_of(table.filter(done))
+        done_keys, done_starts, done_lengths = [keys], [starts], [(lengths & ~_SETTLED).astype(np.int64)]
+        table = table.filter(pc.invert(done))
+        h = _flat(table.column("hashes"), np.uint64)
+        if len(h):
+            keys, starts, lengths = _runs_of(table)
+            single, lengths = lengths < _SETTLED, (lengths & ~_SETTLED).astype(np.int64)
+            alone, keys, starts = np.repeat(single, lengths), np.repeat(keys, lengths), np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(h))
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
             repeated = np.zeros(len(h), bool)
@@ -142,22 +223,22 @@ def _count(width: int):
             repeated[order[:-1][same]] = True
             mine = np.flatnonzero(repeated & alone)
             if len(mine):
-                mine = mine[np.lexsort((starts[mine], texts[mine]))]
-                t, s = texts[mine], starts[mine]
-                new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])  # copies of a text in other slices
-                t, s = t[new], s[new]
-                first, lengths = _runs(t, s, np.zeros(len(t), np.uint8))
-                done_texts.append(t[first])
-                done_starts.append(s[first])
+                keys, starts = keys[mine], starts[mine]
+                order = np.lexsort((starts, keys["check"], keys["text"]))
+                keys, starts = keys[order], starts[order]
+                new = _changes(keys["text"], keys["check"], starts)  # copies of a text in other slices
+                keys, starts = keys[new], starts[new]
+                first, lengths = _runs(keys["text"], starts, keys["check"])
+                done_keys.append(keys[first])
+                done_starts.append(starts[first])
                 done_lengths.append(lengths)
-        if not done_texts:
-            return pa.table({"text_hash": pa.array([], pa.int64()), "first": pa.array([], pa.int32()), "last": pa.array([], pa.int32())})
-        t, s = np.concatenate(done_texts), np.concatenate(done_starts)
+        keys, s = np.concatenate(done_keys), np.concatenate(done_starts)
         e = s + np.concatenate(done_lengths) + width - 2
-        order = np.lexsort((e, s, t))
-        t, s, e = t[order], s[order], e[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (e[1:] != e[:-1])])
-        return pa.table({"text_hash": pa.array(t[new], pa.int64()), "first": pa.array(s[new].astype(np.int32)), "last": pa.array(e[new].astype(np.int32))})
+        order = np.lexsort((e, s, keys["check"], keys["text"]))
+        keys, s, e = keys[order], s[order], e[order]
+        new = _changes(keys["text"], keys["check"], s, e)
+        columns = (keys["text"][new], keys["check"][new].astype(np.int64), s[new].astype(np.int32), e[new].astype(np.int32))
+        return pa.table([pa.array(c) for c in columns], names=["text_hash", "text_check", "first", "last"])
 
     return count
 
@@ -170,17 +251,20 @@ def merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first[np.concatenate([[0], cut])].tolist(), reach[np.concatenate([cut - 1, [len(first) - 1]])].tolist(), strict=True))
 
 
-def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 35, inner: int = 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 35, inner: int = 20, bucket_bytes: int = 8 << 20, planned_one_in: int = 16) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, removed (maximal intervals of word places, both ends
     included) and text, the words left joined by one space (null for a null text)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body")).withColumn("text_hash", F.xxhash64("body"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
+    rows = rows.withColumn("text_hash", F.xxhash64("body")).withColumn("text_check", F.coalesce(F.crc32("body"), F.lit(0)))
     small_batches(docs.sparkSession)
     total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(total) // bucket_bytes))
-    fragments = rows.select("text_hash", "body").mapInArrow(_scatter(buckets, width, inner), _FRAGMENT)
-    runs = fragments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count(width), "text_hash long, first int, last int")
+    bodies = rows.select("text_hash", "text_check", "body")
+    plan = _planned(bodies, max(1, -(-int(total) // bucket_bytes)), width, inner, planned_one_in)
+    buckets = plan.total
+    fragments = bodies.mapInArrow(_scatter(docs.sparkSession.sparkContext.broadcast(plan), width, inner), _FRAGMENT)
+    runs = fragments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count(width), "text_hash long, text_check long, first int, last int")
     # a table, so that the join below has two shuffled sides, of which Spark can split a text's many copies
-    by_text = written(runs.groupBy("text_hash").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "intervals")
+    by_text = written(runs.groupBy("text_hash", "text_check").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "intervals")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,5 +285,5 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                     names=["doc_id", "n_words", "n_removed", "removed", "text"],
                 )
 
-    found = rows.join(by_text, "text_hash", "left").select("doc_id", "body", "first", "last")
+    found = rows.join(by_text, ["text_hash", "text_check"], "left").select("doc_id", "body", "first", "last")
     return found.mapInArrow(remove, "doc_id long, n_words long, n_removed long, removed array<struct<first: int, last: int>>, text string")

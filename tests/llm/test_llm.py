@@ -350,7 +350,7 @@ def test_unit_encoder_equals_the_tokenizer(name, keeps):
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(8)
     long = "".join(chr(rng.randrange(32, 1000)) for _ in range(5000))
-    inner = warc.record(99, "http://inner", b"trap", hashlib.sha256(b"trap").hexdigest(), None, False, "2024-01-01T00:00:00Z").decode("latin-1")
+    inner = warc.record(99, "http://inner", b"trap", hashlib.sha256(b"trap").hexdigest(), None, None, False, "2024-01-01T00:00:00Z").decode("latin-1")
     rows = [(5, "http://a/1", long), (3, "http://a/2", long), (9, None, long), (1, "http://a\r\nX: y/", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello" * 9), (8, "u", inner), (None, "u", long), (3, "u", long), (None, None, None)]
     pages = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, payload string")
     manifest = warc.write_pages(pages, f"file://{tmp_path}/warc", file_bytes=4000)
@@ -368,7 +368,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_rejects_records_inside_payloads(tmp_path, spark):
     """A whole gzip member stored uncompressed inside a record is a candidate, and is not returned."""
-    trap = warc.record(77, "http://trap", b"x" * 300, hashlib.sha256(b"x" * 300).hexdigest(), None, False, "2024-01-01T00:00:00Z")
+    trap = warc.record(77, "http://trap", b"x" * 300, hashlib.sha256(b"x" * 300).hexdigest(), None, None, False, "2024-01-01T00:00:00Z")
     packer = zlib.compressobj(0, zlib.DEFLATED, 31)
     lines = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(trap).hexdigest()}\r\nPage-ID: 1\r\nContent-Length: {len(trap) + 4}\r\n\r\n".encode()
     outer = packer.compress(lines + b"H\r\n\r\n"[1:] + trap + b"\r\n\r\n") + packer.flush()
@@ -472,3 +472,58 @@ def test_pipeline_stages(spark, sf_dir):
         assert name == "packing" or docs.columns == columns
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] == counts[4] > 0.6 * counts[0]
     assert docs.agg(F.sum("length")).first()[0] > 0 and pa.__version__
+
+
+def test_substring_buckets_stay_even_beside_a_common_phrase():
+    """A phrase shorter than a window, in every text: its windows differ, and share their minimizer."""
+    rng = random.Random(21)
+    phrase, n = [f"p{k}" for k in range(25)], 4000
+    bodies = [" ".join(w[:60] + phrase + w[60:]).encode() for w in ([f"w{rng.randrange(100_000)}" for _ in range(120)] for _ in range(n))]
+    part = lambda chosen: pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), pa.array(chosen, pa.int64()), pa.array([bodies[k] for k in chosen], pa.binary())], names=["text_hash", "text_check", "body"])
+    load = lambda s: np.bincount((s.least[s.distinct] % np.uint64(200)).astype(int), minlength=200)
+    whole, some = (substrings._Slice(part(list(k)), substrings.WordHashes(), 35, 20) for k in (range(n), range(0, n, 16)))
+    seen = load(some)
+    plan = substrings.Plan({b: int(m) for b, m in enumerate(seen) if m > 1.5 * seen.mean()}, 200, seen.mean())
+    final = np.bincount(plan.of(whole.hash[whole.distinct], whole.least[whole.distinct]), minlength=plan.total)
+    assert load(whole).max() > 20 * np.median(load(whole)) and final.max() < 2 * np.median(final)
+
+
+def test_vector_pruning_keeps_every_link(spark):
+    """Clusters, strangers and hot groups, in blocks and in one: the same links, and few pairs compared."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    v = np.vstack([rng.normal(size=(500, 24)), centres[rng.integers(0, 40, 300)] + 0.1 * rng.normal(size=(300, 24)), centres[0] + 0.01 * rng.normal(size=(200, 24))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    part = labelled(len(v), list(zip(*np.nonzero(near))), list(range(len(v))))
+    for options in ({}, {"block_rows": 50, "block_bytes": 50 * 24 * 8, "fan": 3}):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(frame, **options).collect()}
+        assert got == {k: (int(near[k].sum()), part[k]) for k in range(len(v))}
+        steps = vectors.pruning(frame, **options).first()
+        assert steps.all_pairs == len(v) * (len(v) - 1) // 2 >= steps.pairs >= steps.met > steps.compared >= near.sum() // 2
+
+
+def test_warc_is_read_in_many_tasks(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(sha2(string(id), 256), 40) AS html")
+    manifest = warc.write_pages(pages, f"file://{tmp_path}/many", file_bytes=20_000)
+    files = manifest.collect()
+    chunks = sum((f.bytes - 1) // 1000 + 1 for f in files)
+    tasks = warc.candidates(manifest, 1000).rdd.getNumPartitions()
+    assert chunks > 30 and tasks == min(chunks, max(4 * spark.sparkContext.defaultParallelism, -(-chunks // 16)))
+    got = warc.read_records(manifest, chunk=1000)
+    assert got.rdd.getNumPartitions() == tasks
+    assert got.filter("sound").count() == 400 == sum(f.records for f in files)
+
+
+def test_warc_references_name_records_that_exist(spark, tmp_path):
+    import gzip
+
+    body = "same " * 50
+    pages = spark.createDataFrame([(2, "http://a/2", body), (1, "http://a/1", body), (1, "http://b/1", body), (None, None, body), (3, "http://a/3", "x")], "page_id long, url string, html string")
+    names = [m.path.removeprefix("file://") for m in warc.write_pages(pages, f"file://{tmp_path}/ids").collect()]
+    text = b"".join(gzip.open(n).read() for n in names).decode()
+    ids, refers = re.findall(r"WARC-Record-ID: (\S+)", text), re.findall(r"WARC-Refers-To: (\S+)", text)
+    assert len(refers) == 2 and set(refers) < set(ids) and len(set(ids)) == len(ids) == 5 + len(names)
+    assert text.count("WARC-Type: warcinfo") == len(names) and all(gzip.open(n).read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for n in names)
