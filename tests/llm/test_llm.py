@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -527,3 +528,56 @@ def test_warc_references_name_records_that_exist(spark, tmp_path):
     ids, refers = re.findall(r"WARC-Record-ID: (\S+)", text), re.findall(r"WARC-Refers-To: (\S+)", text)
     assert len(refers) == 2 and set(refers) < set(ids) and len(set(ids)) == len(ids) == 5 + len(names)
     assert text.count("WARC-Type: warcinfo") == len(names) and all(gzip.open(n).read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for n in names)
+
+
+def url_tokens(url):
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups()
+    labels = host.lower().split(".")
+    own = {f"label={x}" for x in labels} | {f"host={'.'.join(labels[k:])}" for k in range(len(labels) - 1)}
+    return frozenset(own | {"segment=" + re.sub("[0-9]+", "0", x) for x in path.split("/") if x} | {f"key={k}" for k in re.findall(r"[?&]([^=&#]+)", url)})
+
+
+def test_mined_url_rules_match_brute_force(spark):
+    """All token combinations counted in plain Python: a url is blocked exactly where it holds one that qualifies."""
+    rng = random.Random(17)
+    pages, labels = [], []
+    for k in range(700):
+        url = f"http://{rng.choice(['a', 'b', 'www.a', 'x.b'])}.{rng.choice(['org', 'io'])}/{rng.choice(['p', 'q/r', 'q/s7'])}/{rng.choice(['t', 'u'])}{rng.choice(['', '?w=1', '?w=1&z=2'])}"
+        pages += [(k, url)] * (1 + (k % 50 == 0))
+        if k < 500:
+            risky = (".a." in url or "//a." in url) and "/q/" in url and "w=" in url or "s7/u" in url
+            labels.append((k, int(not (rng.random() < (0.95 if risky else 0.2))), 0))
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    marks = spark.createDataFrame([*labels, (3, 0, None)], "doc_id long, quality int, toxic int")
+    bad = {i for i, q, _ in labels if q == 0} | {3}
+    known = [(url_tokens(u), i in bad) for i, u in pages if i < 500]
+    count = {}
+    for own, b in known:
+        for size in range(1, len(own) + 1):
+            for some in itertools.combinations(sorted(own), size):
+                n = count.setdefault(some, [0, 0])
+                n[0] += b
+                n[1] += 1
+    good = {frozenset(s) for s, (b, n) in count.items() if b >= 20 and b >= 0.8 * n}
+    assert any(len(s) > 1 and not any(t < s for t in good) for s in good)
+    got = urls.judged(frame, marks, [], least_rows=20).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == sorted((i, "block" if any(s <= url_tokens(u) for s in good) else "allow") for i, u in pages)
+    assert len(got) == len(pages) and {r.verdict for r in got} == {"block", "allow"}
+
+
+def test_deep_paths_are_mined_in_bounded_time(spark):
+    deep = "/".join(f"s{chr(97 + k % 26)}{k // 26}x" for k in range(30))
+    pages = spark.range(400).selectExpr("id AS page_id", f"concat('http://h', string(id % 2), '.example.org/{deep}/', IF(id % 3 = 0, 'odd', 'even'), '?k', string(id % 5), '=1') AS url")
+    labels = spark.range(400).selectExpr("id AS doc_id", "int(id % 7 != 0 AND id % 3 != 0) AS quality", "0 AS toxic")
+    start = time.time()
+    got = {r.page_id: r.verdict for r in urls.judged(pages, labels, []).collect()}
+    assert time.time() - start < 60
+    assert all(got[k] == "block" for k in range(0, 400, 3)) and any(v == "allow" for v in got.values())
+
+
+def test_urls_with_repeated_ids_long_hosts_and_long_paths(spark):
+    rows = [(1, "http://" + "a." * 200 + "com/" + "x/" * 5000), (1, "http://b.org/"), (1, "http://b.org/"), (2, "http://" + "y" * 50_000 + ".net/es/"), (None, "http://b.org/")]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = [(r.page_id, r.rule, r.verdict) for r in urls.judged(frame, labels, URL_RULES, least_rows=2).collect()]
+    assert sorted(got, key=str) == sorted([(1, "com/", "allow"), (1, None, "block"), (1, None, "block"), (2, "net/es/", "block"), (None, None, "block")], key=str)
