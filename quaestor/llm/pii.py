@@ -1,11 +1,12 @@
 """Personal data by weak supervision, all in DataFrame and SQL functions.
 
 Base spans come from four fixed patterns, leftmost and non-overlapping for each kind, kept
-where the kind's check holds.  Wider patterns (e-mail addresses written out, phone numbers
-without a plus) add candidates, on which labelers vote for, against, or not at all:
+where the kind's check holds.  Wider patterns (e-mail addresses written out, dots in brackets and
+colon-separated addresses, card numbers with other separators or 13 digits, phone numbers without
+a plus) add candidates, on which labelers vote for, against, or not at all:
 
 * regex: the base pattern and its check; a stricter shape of the kind,
-* gazetteer: common top-level domains, card issuers' first digits, area codes that exist,
+* gazetteer: common top-level domains, ranges of public addresses, card issuers' first digits, area codes that exist,
 * context: words before the span that announce the kind, or other numbers (order, invoice, page).
 
 Votes are counted by pattern, of which there are at most 3**L per kind whatever the corpus.
@@ -13,6 +14,8 @@ Expectation-maximisation over those counts estimates how reliable each labeler i
 likely each pattern is personal data; a logistic span classifier is trained on these
 probabilities, over the votes and the span's shape, and applied as a SQL expression.  Wider
 candidates that it accepts and that overlap no base span are added; base spans always stay.
+Counts enter EM and the fit as shares of a fixed weight, so a larger corpus of the same kind
+gives the same classifier.
 
 Positions are code points, ends exclusive.  Patterns are written so that Java's matcher runs
 them without recursion and in linear time: possessive where nothing follows, and tried only
@@ -50,11 +53,21 @@ CHECK = {
 }
 #: What a text must hold for a pattern to match at all.
 _NEEDS = {"email": "contains(text, '@')", "ip": r"text RLIKE r'[0-9][.][0-9]'", "card": r"text RLIKE r'[0-9][\x20-]?[0-9]'", "phone": "contains(text, '+')"}
+_DOT = r"\x20?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]++)++",
+    "ip": rf"(?<![0-9A-Za-z.:])(?:[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}|(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{2,6}}(?::{_GROUP}){{1,5}})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){3}|[0-9]{4}[\x20._/-]{1,2}[0-9]{6}[\x20._/-]{1,2}[0-9]{5}|[0-9]{13})(?![0-9])",
     "phone": r"(?<![0-9+])(?<![0-9][.-])(?:1[\x20.-])?\(?[2-9][0-9]{2}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])",
 }
-_WIDE_NEEDS = {"email": r"text RLIKE r'[(\[{]at[)\]}]'", "phone": r"text RLIKE r'[0-9]{3}[\x20.-][0-9]{4}'"}
+_WIDE_NEEDS = {
+    "email": r"text RLIKE r'[(\[{]at[)\]}]'", "ip": rf"text RLIKE r'[0-9]{_DOT}[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]'", "card": r"text RLIKE r'[0-9][\x20._/-]{1,2}[0-9]{4}|[0-9]{13}'", "phone": r"text RLIKE r'[0-9]{3}[\x20.-][0-9]{4}'",
+}
+#: What a wider candidate must be to count as one.
+_WIDE_CHECK = {
+    "email": None, "ip": r"contains(x.m, ':') OR forall(regexp_extract_all(x.m, '[0-9]+', 0), n -> int(n) <= 255)", "card": f"luhn_check({_DIGITS})", "phone": None,
+}
 #: Word lists of the labelers (fixed values).
 _DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu"
 _ANNOUNCE = {"email": "mail|write|contact|reach", "ip": "ip|host|server|address|ping", "card": "card|visa|master|credit|pay", "phone": "tel|phone|call|mobile|cell|fax|contact"}
@@ -82,18 +95,18 @@ def _votes(kind: str) -> list[str]:
     """Labelers of a kind over a struct ``x``: 1 for, -1 against, 0 silent."""
     strict = {
         "email": r"x.m RLIKE r'^[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$'",
-        "ip": r"x.m RLIKE r'^(?:[1-9][0-9]{0,2}|0)(?:\.(?:[1-9][0-9]{0,2}|0)){3}$'",
-        "card": r"x.m RLIKE r'^(?:[0-9]{15,16}|[0-9]{4}(?:[\x20-][0-9]{4}){3})$'",
+        "ip": rf"x.m RLIKE r'^(?:[1-9][0-9]{{0,2}}|0)(?:{_DOT}(?:[1-9][0-9]{{0,2}}|0)){{3}}$' OR x.m RLIKE r'^[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{7}}$'",
+        "card": r"x.m RLIKE r'^(?:[0-9]{15,16}|[0-9]{4}(?:([\x20._/-]{1,2})[0-9]{4})(?:\1[0-9]{4}){2}|[0-9]{4}([\x20._/-]{1,2})[0-9]{6}\2[0-9]{5})$'",
         "phone": r"x.m RLIKE r'^\+?1?[\x20.-]?\(?[2-9][0-9]{2}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}$'",
     }[kind]
     known = {
         "email": rf"lower(x.m) RLIKE r'(?:\.|dot.?\x20?)(?:{_DOMAINS})$'",
-        "ip": r"NOT x.m RLIKE r'^(?:0|127|22[4-9]|2[3-5][0-9])\.'",
+        "ip": r"NOT x.m RLIKE r'^(?:(?:0|127|22[4-9]|2[3-5][0-9])[^0-9:]|[fF][fF][0-9A-Fa-f]{2}:)'",
         "card": rf"{_DIGITS} RLIKE r'^(?:4|5[1-5]|2[2-7]|3[47]|6)'",
         "phone": rf"{_DIGITS} RLIKE r'^1?[2-9][0-8][0-9]'",
     }[kind]
     return [
-        f"CASE WHEN x.base THEN 1 ELSE {'0' if kind in WIDE else '-1'} END",
+        "CASE WHEN x.base THEN 1 ELSE 0 END",
         f"CASE WHEN {strict} THEN 1 ELSE -1 END",
         f"CASE WHEN {known} THEN 1 ELSE -1 END",
         f"CASE WHEN x.before RLIKE r'(?:^|[^a-z])(?:{_ANNOUNCE[kind]})[a-z]*[^a-z0-9]*$' THEN 1 ELSE 0 END",
@@ -146,7 +159,7 @@ def logistic(rows: list[tuple[tuple[float, ...], float, float]], penalty: float
     return beta.tolist()
 
 
-def _classifier(found: DataFrame, kind: str, most: int) -> str | None:
+def _classifier(found: DataFrame, kind: str, weight: int) -> str | None:
     """A SQL expression over ``x`` for the probability that a candidate is personal data; null if there is nothing to learn from."""
     votes = _votes(kind)
     columns = [F.expr(v).alias(f"v{k}") for k, v in enumerate(votes)] + [F.expr(s).alias(f"s{k}") for k, s in enumerate(_SHAPE)]
@@ -154,26 +167,27 @@ def _classifier(found: DataFrame, kind: str, most: int) -> str | None:
     seen = found.filter(F.col("x.kind") == KINDS.index(kind)).select(*columns).groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3**5 * 2**2 rows
     if not seen:
         return None
+    total = sum(r["n"] for r in seen)
     merged: dict[tuple[int, ...], float] = {}
     for r in seen:
         key = tuple(r[k] for k in range(len(votes)))
-        merged[key] = merged.get(key, 0) + r["n"]
+        merged[key] = merged.get(key, 0) + r["n"] * weight / total
     share, tables = reliabilities(sorted(merged.items()))
 
     def belief(v: tuple[int, ...]) -> float:
         odds = math.log(share / (1 - share)) + sum(math.log(t[a][0] / t[a][1]) for t, a in zip(tables, v, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
-    total = sum(r["n"] for r in seen)
-    beta = logistic([(tuple(float(r[n]) for n in names), belief(tuple(r[k] for k in range(len(votes)))), r["n"] * min(1.0, most / total)) for r in sorted(seen)])
+    beta = logistic([(tuple(float(r[n]) for n in names), belief(tuple(r[k] for k in range(len(votes)))), r["n"] * weight / total) for r in sorted(seen)])
     terms = [repr(beta[0])] + [f"{b!r} * ({e})" for b, e in zip(beta[1:], votes + _SHAPE, strict=True)]
     return f"1 / (1 + exp(-({' + '.join(f'double({t})' if k == 0 else t for k, t in enumerate(terms))})))"
 
 
-def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, weight: int = 100_000) -> DataFrame:
-    """Per document: doc_id, base and spans, both array<struct<start, kind, end>> in order of start and kind.
+def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, weight: int = 1000) -> DataFrame:
+    """Per document: doc_id, base and spans, both array<struct<start, kind, end>> in order of start and kind, and
+    n_refused, the wider candidates that the classifier refuses.
 
-    ``kind`` counts in ``KINDS``.  ``weight`` bounds what the counts weigh in the classifier's fit.
+    ``kind`` counts in ``KINDS``.  ``weight`` is what all counts together weigh against the priors.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return _found(rows, ["doc_id"], threshold, weight)
@@ -181,7 +195,7 @@ def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 def _found(rows: DataFrame, kept: list[str], threshold: float, weight: int) -> DataFrame:
     base = ", ".join(_spans(k, BASE[kind], _NEEDS[kind], CHECK[kind]) for k, kind in enumerate(KINDS))
-    wide = ", ".join(_spans(KINDS.index(kind), p, _WIDE_NEEDS[kind], None) for kind, p in WIDE.items())
+    wide = ", ".join(_spans(KINDS.index(kind), p, _WIDE_NEEDS[kind], _WIDE_CHECK[kind]) for kind, p in WIDE.items())
     marked = lambda b: f"transform(s, x -> struct(x.start, x.kind, x.end, x.m, x.before, {b} AS base))"
     found = rows.select(*kept, F.expr(f"array_sort(flatten(array({base})))").alias("base"), F.expr(f"flatten(array({wide}))").alias("wide"))
     found = found.select(*kept, F.expr(marked("true").replace("(s,", "(base,")).alias("base"), F.expr("filter(wide, w -> NOT exists(base, b -> w.start < b.end AND b.start < w.end))").alias("wide"))
@@ -193,10 +207,10 @@ def _found(rows: DataFrame, kept: list[str], threshold: float, weight: int) -> D
             cases.append(f"WHEN x.kind = {KINDS.index(kind)} THEN {scored} >= {threshold!r}D")
     accepted = F.expr(f"filter(wide, x -> CASE {' '.join(cases)} ELSE false END)") if cases else F.expr("filter(wide, x -> false)")
     plain = lambda c: f"transform({c}, x -> struct(x.start, x.kind, x.end))"
-    return found.withColumn("added", accepted).select(*kept, F.expr(plain("base")).alias("base"), F.expr(f"array_sort({plain('concat(base, added)')})").alias("spans"))
+    return found.withColumn("added", accepted).select(*kept, F.expr(plain("base")).alias("base"), F.expr(f"array_sort({plain('concat(base, added)')})").alias("spans"), F.expr("size(wide) - size(added)").alias("n_refused"))
 
 
-def redacted(docs: DataFrame, *, text: str = "text", threshold: float = 0.5, weight: int = 100_000) -> DataFrame:
+def redacted(docs: DataFrame, *, text: str = "text", threshold: float = 0.5, weight: int = 1000) -> DataFrame:
     """The documents, all their columns, with each span of personal data replaced by ``[KIND]``; null texts stay null."""
     row = docs.select(F.struct("*").alias("row")).withColumn("text", F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit("")))
     found = _found(row, ["row"], threshold, weight)
