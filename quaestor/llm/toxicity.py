@@ -247,8 +247,11 @@ def _families(sample: DataFrame) -> tuple[DataFrame, int, int]:
     return rows, sum(toxic for _, toxic in sizes), sum(not toxic for _, toxic in sizes)
 
 
-def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, ratio: float = 20.0, terms: int = 2_000) -> Model:
-    """A model from documents that ``labels`` names, about ``most`` of them, picked by a hash of their id."""
+def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, ratio: float = 20.0) -> Model:
+    """A model from documents that ``labels`` names, about ``most`` of them, picked by a hash of their id.
+
+    Terms and exceptions are those of these texts that pass the tests of counts; their number has no other bound.
+    """
     small_batches(docs.sparkSession)
     kinds = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     count = kinds.count()
@@ -278,25 +281,37 @@ def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     least = max(5, math.ceil(0.002 * n_bad))
     counted = sample.mapInArrow(count_terms, "term string, bad double, good double").groupBy("term").agg(F.round(F.sum("bad"), 6).alias("bad"), F.round(F.sum("good"), 6).alias("good"))  # rounded: sums of shares come in any order
     rate = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
-    strong = counted.filter((F.col("bad") >= least) & (rate >= ratio)).withColumn("rate", rate).orderBy(F.col("bad").desc(), "term").limit(20_000).collect()  # a bounded list of candidates
+    strong = counted.filter((F.col("bad") >= least) & (rate >= ratio)).withColumn("rate", rate).collect()  # words of at least ``least`` families of the sample
     stats = {r.term: (r.bad, math.log(r.rate)) for r in strong}
-    # of stems of one another the longest that keeps the cover, of words a stem covers none
-    stems = [t for t in stats if t.endswith("*")]
-    closed = []
-    for s in sorted(stems, key=len, reverse=True):
-        longer = [t for t in closed if t[:-1].startswith(s[:-1])]
-        if not any(stats[t][0] >= 0.9 * stats[s][0] for t in longer):
-            closed = [t for t in closed if t not in longer] + [s]
-    closed = [s for s in closed if stats[s][0] > 1.1 * max([0, *(stats[t][0] for t in stats if not t.endswith("*") and t.startswith(s[:-1]))])]
-    words = [t for t in stats if not t.endswith("*") and not any(t.startswith(s[:-1]) for s in closed)]
-    chosen = _cover(sample, stats, words, closed, n_bad, least, terms)
+    chosen = _cover(sample, stats, *_closed(stats), n_bad, least)
     model = Model({t: min(8.0, stats[t][1]) for t in chosen if not t.endswith("*")}, {t[:-1]: min(8.0, stats[t][1]) for t in chosen if t.endswith("*")})
     return _weighed(sample, model)
 
 
-def _cover(sample: DataFrame, stats: dict, words: list[str], stems: list[str], n_bad: int, least: int, terms: int) -> list[str]:
+def _closed(stats: dict[str, tuple[float, float]]) -> tuple[list[str], list[str]]:
+    """Words and stems to choose from: of stems of one another the longest that keeps the cover, of words a stem covers none."""
+    stems = sorted((t for t in stats if t.endswith("*")), key=len, reverse=True)
+    closed: set[str] = set()
+    longer: dict[str, set[str]] = {}  # stems by what they start with
+    for s in stems:
+        above = longer.get(s[:-1], set()) & closed
+        if not any(stats[t][0] >= 0.9 * stats[s][0] for t in above):
+            closed = closed - above if above else closed
+            closed.add(s)
+            for n in range(_STEMS[0], len(s) - 1):
+                longer.setdefault(s[:n], set()).add(s)
+    best: dict[str, float] = {}  # the most toxic texts that one word with that beginning holds
+    for t in stats:
+        if not t.endswith("*"):
+            for n in _STEMS:
+                best[t[:n]] = max(stats[t][0], best.get(t[:n], 0))
+    closed = {s for s in closed if stats[s][0] > 1.1 * best.get(s[:-1], 0)}
+    return [t for t in stats if not t.endswith("*") and not any(t[:n] + "*" in closed for n in _STEMS)], list(closed)
+
+
+def _cover(sample: DataFrame, stats: dict, words: list[str], stems: list[str], n_bad: int, least: int) -> list[str]:
     """Terms, strongest cover first, that add toxic texts to those before, or are common among them; a family counts once."""
-    wanted = sorted([*words, *stems], key=lambda t: (-stats[t][0], t))[:terms]
+    wanted = sorted([*words, *stems], key=lambda t: (-stats[t][0], t))
     place = {t: k for k, t in enumerate(wanted)}
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +351,7 @@ def _weighed(sample: DataFrame, model: Model) -> Model:
                         found[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
 
-    exceptions = frozenset(r.word for r in sample.filter("y = 0").mapInArrow(near, "word string").distinct().limit(100_000).collect())
+    exceptions = frozenset(r.word for r in sample.filter("y = 0").mapInArrow(near, "word string").distinct().collect())
     model = Model(model.terms, model.stems, exceptions)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +375,7 @@ def _weighed(sample: DataFrame, model: Model) -> Model:
 def scores(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", window: int = 12) -> DataFrame:
     """(doc_id, score) per document."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``terms`` and the exceptions' limit
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of at most ``most`` labelled texts
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
