@@ -4,11 +4,14 @@ Pre-tokenizers of these files never join characters across a break between a non
 following ASCII space, so a text's ids are its units' ids in a row; each distinct unit is
 encoded once for as long as it stays in the cache.  Arrow parts most texts and finds their
 distinct units; texts with runs of white space are parted by a pattern, and those with white
-space outside ASCII, or that the tokenizer would normalize, are encoded as a whole.
+space outside ASCII, that the tokenizer would normalize, or that hold the string of an added
+token (which becomes that token's id, as the tokenizer makes it) are encoded as a whole.  So is
+every text where the file's normalizer and pre-tokenizer are none of the known ones.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -27,6 +30,14 @@ _FAR = re.compile("[^\x00-\u024f]")
 _UNITS = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
+#: (normalizers, pre-tokenizers) of files whose units are known to stand alone, by whether white space is part of the ids.
+_KNOWN = {True: ([], ["ByteLevel"]), False: (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])}
+
+
+def _kinds(step: dict | None, parts: str) -> list[str]:
+    return [] if step is None else [s["type"] for s in step.get(parts, [step])]
+
+
 class _Places(dict):
     """unit -> its number; units seen for the first time get the next number and wait in ``fresh``."""
 
@@ -48,7 +59,11 @@ class UnitEncoder:
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.joined.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = self.joined.encode_special_tokens = True  # no unit is an added token
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        self.known = (_kinds(parts.get("normalizer"), "normalizers"), _kinds(parts.get("pre_tokenizer"), "pretokenizers")) == _KNOWN[keeps_space]
+        self.added = [t["content"].encode() for t in parts.get("added_tokens", [])]
         if not keeps_space:
             self.joined.normalizer = normalizers.Sequence([])
         self.keeps_space, self.limit = keeps_space, limit
@@ -67,6 +82,17 @@ class UnitEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def _exact(self, text: bytes) -> np.ndarray:
+        """Ids of a whole text just as the tokenizer gives them, added tokens included."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._whole(text.decode("utf-8", "replace"))
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
+    def _careful(self, text: bytes) -> bool:
+        return not self.known or any(t in text for t in self.added)
+
     def _together(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and number of ids of units that may stand side by side, told apart by the bytes the ids stand for."""
         joined = (b"" if self.keeps_space else b" ").join(units).decode("utf-8", "replace")
@@ -111,6 +137,8 @@ class UnitEncoder:
 
     def _plain(self, text: bytes) -> bytes | None:
         """The text as Arrow can part it into units: None if that takes more care."""
+        if self._careful(text):
+            return None
         if not self.keeps_space:
             if text.isascii():
                 return text.lower()
@@ -137,7 +165,7 @@ class UnitEncoder:
 
     def _units(self, text: bytes) -> list[bytes] | None:
         """Units of a text that is not plain, None where the tokenizer must see it whole."""
-        if not self.keeps_space:
+        if not self.keeps_space or self._careful(text):
             return None
         odd = any(c in text for c in _CONTROLS) or not text.isascii() and _ODD.search(text.decode("utf-8", "replace"))
         return None if odd else _UNITS.findall(text)
@@ -158,7 +186,7 @@ class UnitEncoder:
                 at.append(np.fromiter(map(self.place.__getitem__, units), np.int64, len(units)))
             else:
                 at.append(nothing[:0])
-                whole[k] = self._whole(text.decode("utf-8", "replace"))
+                whole[k] = self._exact(text)
             at.append(nothing)
         if self.place.fresh:
             self._learn()
