@@ -1,9 +1,9 @@
 """Token ids in Arrow files of equal-length sequences and masks.
 
 A shard is an Arrow IPC file whose batches hold fixed-size lists: ``ids`` (``length`` unsigned
-integers, 16 bits where the vocabulary allows) and ``mask`` (``length`` booleans, false on the
-padding after a shard's last id).  The buffers are written unpacked, so that a memory map of a
-file gives any sequence without a copy (``sequence``).  Beside each shard lies a file of its
+integers, 16 bits where the vocabulary allows) and ``mask`` (``length`` bytes, 0 on the padding
+after a shard's last id, else 1).  The buffers are written as they are, so that a memory map of
+a file gives any sequence and its mask without a copy (``sequence``).  Beside each shard lies a file of its
 documents: id, first id's place in the shard, number of ids.
 
 Documents come in ascending ``doc_id`` (null first; rows that share an id by their texts),
@@ -40,8 +40,8 @@ def _files(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _sequences(ids: np.ndarray, real: int, length: int) -> pa.RecordBatch:
-    mask = np.zeros(len(ids), bool)
-    mask[:real] = True
+    mask = np.zeros(len(ids), np.uint8)
+    mask[:real] = 1
     return pa.RecordBatch.from_arrays(
         [pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], names=["ids", "mask"]
     )
@@ -108,16 +108,17 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 with fs.open_input_file(f"{path}.docs.arrow") as file:
                     table = pa.ipc.open_file(file).read_all()
                 with fs.open_input_file(f"{path}.arrow") as file:
-                    reader, held, at, crcs = pa.ipc.open_file(file), [], 0, []
-                    stock = np.empty(0, np.uint32)
+                    reader, at, batch_ids, crcs = pa.ipc.open_file(file), 0, np.empty(0, "<u4"), []
                     for n in table.column("n_tokens").to_pylist():
-                        while len(stock) < n:
-                            got = reader.get_batch(at)
-                            real = got.column("mask").values.to_numpy(zero_copy_only=False)
-                            stock = np.concatenate([stock, got.column("ids").values.to_numpy()[real].astype("<u4")])
-                            at += 1
-                        crcs.append(zlib.crc32(stock[:n].tobytes()))
-                        stock = stock[n:]
+                        crc = 0
+                        while n:
+                            if not len(batch_ids):
+                                got = reader.get_batch(at)
+                                batch_ids = got.column("ids").values.to_numpy()[got.column("mask").values.to_numpy().astype(bool)].astype("<u4")
+                                at += 1
+                            crc = zlib.crc32(batch_ids[:n].tobytes(), crc)
+                            n, batch_ids = n - len(batch_ids[:n]), batch_ids[n:]
+                        crcs.append(crc)
                 start = table.column("start").to_numpy() + row["base"]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]] * len(crcs), pa.int64()), table.column("doc_id").combine_chunks(), pa.array(start, pa.int64()), table.column("n_tokens").combine_chunks(), pa.array(crcs, pa.int64())],
@@ -128,12 +129,12 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
 
 def sequence(path: str, k: int, length: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``k`` of a local shard and its mask: views of the memory-mapped file (the mask's bits unpacked)."""
+    """Sequence ``k`` of a local shard and its mask: views of the memory-mapped file."""
     reader = pa.ipc.open_file(pa.memory_map(path))
     batch = reader.get_batch(k // _BATCH)
     row = k % _BATCH
-    ids = batch.column("ids").values.slice(row * length, length).to_numpy(zero_copy_only=True)
-    return ids, batch.column("mask").values.slice(row * length, length).to_numpy(zero_copy_only=False)
+    ids, mask = (batch.column(c).values.slice(row * length, length).to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+    return ids, mask
 
 
 def tokenized(docs: DataFrame, *, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
