@@ -12,8 +12,10 @@ Items reach the tasks as broadcast arrays of at most ``block`` words; a larger b
 searched in as many passes, each over all documents, so the memory bound does not depend on it.
 
 Empty cases: a null text has no shingles and neither matches nor is matched.  A text of fewer
-than ``width`` words is one shingle of all its words.  Repeated documents each give their
-rows; repeated items of one id count once.  Rows with a null id keep that null.  Empty
+than ``width`` words is one shingle of all its words, so an item that short is found only in a
+document of just those words, never inside a longer one: so few words prove nothing there.
+Rows that share a doc_id are judged each by its own text and give rows of their own, and so do
+rows of one item_id whose shingles differ; those with the same shingles count once.  Rows with a null id keep that null.  Empty
 tables give empty results.  Only the named columns are read, others may have any name.
 """
 

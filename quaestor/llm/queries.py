@@ -139,8 +139,10 @@ ORACLE_SQL: dict[str, str] = {
         least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)""",
     "op9_benchmark_decontamination": f"""
-        WITH d AS ({_SHINGLES.format(id="doc_id", n=5, table="documents")}), i AS ({_SHINGLES.format(id="item_id", n=5, table="benchmark")}),
-        sizes AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
-        found AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY ALL)
-        SELECT doc_id, item_id, n AS n_item_shingles, n_shared, n_shared / n AS containment FROM found JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n""",
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), items AS (SELECT row_number() OVER () AS q, item_id, text FROM benchmark),
+        d AS ({_SHINGLES.format(id="r, doc_id", n=5, table="docs")}), every AS ({_SHINGLES.format(id="q, item_id", n=5, table="items")}),
+        once AS (SELECT min(q) AS q FROM (SELECT q, item_id, list_sort(list(s)) AS all_s FROM every GROUP BY q, item_id) GROUP BY item_id, all_s),
+        i AS (SELECT every.* FROM every JOIN once USING (q)), sizes AS (SELECT q, item_id, count(*) AS n FROM i GROUP BY ALL),
+        found AS (SELECT r, doc_id, q, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n AS n_item_shingles, n_shared, n_shared / n AS containment FROM found JOIN sizes USING (q) WHERE n_shared >= 0.8 * n""",
 }

@@ -266,7 +266,6 @@ def check_pieces(rows, corpus, path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     whole = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for _, t in corpus]
     assert sum(r.length for r in rows) == sum(map(len, whole))
     by_doc, by_sequence = {}, {}
@@ -317,7 +316,6 @@ def test_token_files(spark, corpus, tmp_path):
 
     path, folder = vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/out"
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     manifest = tokens.write_sequences(documents(spark, corpus), folder, tokenizer=path, length=128, shard_bytes=20_000)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.read_documents(manifest).collect()), key=lambda r: r[1])
     want, at = [], 0
@@ -328,7 +326,7 @@ def test_token_files(spark, corpus, tmp_path):
     assert got == want
     shard = min(manifest.collect(), key=lambda r: r.shard)
     ids, mask = tokens.sequence(shard.path.removeprefix("file://") + ".arrow", 0, 128)
-    assert ids.dtype == np.uint16 and len(ids) == 128 and mask.all()
+    assert ids.dtype == np.uint16 and len(ids) == len(mask) == 128 and mask.dtype == np.uint8 and mask.all() and not ids.flags.owndata and not mask.flags.owndata
     assert tokens.tokenized(documents(spark, []), tokenizer=path).count() == 0
 
 
@@ -337,9 +335,8 @@ def test_unit_encoder_equals_the_tokenizer(name, keeps):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary(name))
-    plain.encode_special_tokens = True
     rng = random.Random(11)
-    pieces = ["word", "Word", "WORD's", " ", "  ", "\n", "\t", "\r\n", "é", "e\u0301", "Σς", "İ", "ß", "中文", "\u00a0", "\u2003", "\x1c", "12345", "!!", "<|endoftext|>", "'ll", "😀", "\x00", "\u0308"]
+    pieces = ["word", "Word", "WORD's", " ", "  ", "\n", "\t", "\r\n", "é", "e\u0301", "Σς", "İ", "ß", "中文", "\u00a0", "\u2003", "\x1c", "12345", "!!", "<|endoftext|>", "<|ENDOFTEXT|>", "<|start", "oftext|>", "'ll", "😀", "\x00", "\u0308"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     own = encoders.UnitEncoder(vocabulary(name), keeps, limit=300)
     ids, starts = own.encode([t.encode() for t in texts], 0, block=2000)
@@ -348,6 +345,37 @@ def test_unit_encoder_equals_the_tokenizer(name, keeps):
     assert own.encode([], 7)[0].tolist() == [] and own.encode([b"ab" * 8], 7, block=16)[0][-1] == 7  # a block that ends with the texts
 
 
+def test_encoder_of_an_unknown_file_takes_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
+        parts = json.load(file)
+    parts["normalizer"] = {"type": "Replace", "pattern": {"String": "a b"}, "content": "xyz"}
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(parts, file)
+    texts = ["a b c", "la b", " a b <|endoftext|> a b", ""]
+    ids, starts = encoders.UnitEncoder(path, True).encode([t.encode() for t in texts], 0)
+    plain = Tokenizer.from_file(path)
+    assert [ids[a : b - 1].tolist() for a, b in zip(starts, starts[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_decontamination_judges_repeated_ids_by_their_own_texts(spark):
+    import duckdb
+
+    a, b = (" ".join(f"{c}{k}" for k in range(12)) for c in "ab")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (1, f"{b} z"), (1, f"{b} z"), (2, " ".join(a.split()[:7] + b.split()[:7])), (3, None), (4, "hi there you")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a), (7, b), (7, b.upper()), (8, "hi there"), (9, "Hi there YOU"), (None, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in decontam.contaminations(docs, items).collect())
+    assert got == [(1, 7, 8, 8)] * 3 + [(4, 9, 1, 1)]
+    db = duckdb.connect()
+    for name, frame in (("documents", docs), ("benchmark", items)):
+        db.register(name, frame.toArrow())
+    assert sorted(db.sql(ORACLE_SQL["op9_benchmark_decontamination"]).select("doc_id, item_id, n_item_shingles, n_shared").fetchall()) == got
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(8)
     long = "".join(chr(rng.randrange(32, 1000)) for _ in range(5000))
