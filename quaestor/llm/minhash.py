@@ -12,9 +12,16 @@
 4. Each component's texts meet in tasks of at most ``task_nodes`` nodes.  A task compares all
    pairs of different components so far by sketch and confirms them on full shingle sets.
 5. Components larger than a task are dealt to tasks at random, twice over, so that nearly all of
-   such a group grows together at once.  Then every node outside its largest part is compared
-   with all the others, in blocks.  Pairs within one part need no comparison, so the links
-   found have exactly the components that all pairs would give.
+   a group of near copies grows together at once.  What pairs of different parts can still be
+   linked share a shingle early in an order by rarity (prefix filter): of a pair the smaller set
+   has one among its first n - ceil(1.6 n / 1.8) + 1, the larger among its first
+   n - ceil(0.8 n) + 1.  Texts that only have a template in common are rare where they differ and
+   share no such shingle, so a family of them costs its size, not its square.  Sketches thin the
+   pairs out, and only texts of pairs that pass meet, those closest to each other part first.
+   The order comes from about ``sampled`` of a component's texts; any order gives the same links.
+6. Where the prefixes give more than ``dense`` pairs a text, every node outside a component's
+   largest part is compared with all the others instead, in blocks.  Pairs within one part need
+   no comparison, so the links found have exactly the components that all pairs would give.
 
 Empty cases: a null text or one without words has an empty set, which is linked with nothing.
 Fewer words than ``width`` make one shingle of all of them.  Rows that share a doc_id are
@@ -115,9 +122,10 @@ def _candidates(nodes: DataFrame, small: int) -> DataFrame:
         .filter(F.expr(f"aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {FURTHEST}"))
         .select("a", "b")
     )
-    many = shared.filter(F.col("n") > small)
-    centres = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "fp"), "fp")).alias("c")).select("key", F.col("c.fp").alias("b"))
-    stars = many.join(centres, "key").select(F.col("fp").alias("a"), "b").filter("a != b")
+    many = shared.filter(F.col("n") > small).withColumn("shares", F.expr("n div 1024 + 1"))  # a large bucket meets its centre in several tasks
+    centres = many.groupBy("key", "shares").agg(F.min(F.struct(F.xxhash64("key", "fp"), "fp")).alias("c"))
+    centres = centres.select("key", F.col("c.fp").alias("b"), F.explode(F.expr("sequence(0L, shares - 1)")).alias("share"))
+    stars = many.withColumn("share", F.pmod(F.xxhash64("fp"), "shares")).join(centres, ["key", "share"]).select(F.col("fp").alias("a"), "b").filter("a != b")
     return near.unionAll(stars)
 
 
@@ -176,7 +184,115 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(components(links).toDF("fp", "joined"), "fp", "left").withColumn("part", F.coalesce("joined", "fp")).drop("joined")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int, percent: int, small: int, task_nodes: int) -> DataFrame:
+def _orders(texts: DataFrame, width: int, sampled: int) -> DataFrame:
+    """(cc, common): shingles that are frequent among about ``sampled`` texts of a component, the most frequent last."""
+
+    def frequent(table: pa.Table) -> pa.Table:
+        cache = WordHashes()
+        sets = [shingles(cache.of((b.as_py() or b"").lower().split()), width) for b in table.column("body")]
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        keep = n >= max(2, 0.05 * len(sets))
+        found, n = found[keep], n[keep]
+        return pa.table({"cc": table.column("cc").slice(0, 1), "common": pa.array([found[np.lexsort((found, n))][-4096:].tobytes()], pa.binary())})
+
+    some = texts.filter(F.pmod(F.xxhash64("fp", F.lit(9)), F.ceil(F.col("size") / sampled)) == 0)
+    return some.select("cc", "body").groupBy("cc").applyInArrow(frequent, "cc binary, common binary")
+
+
+def _prefixes(rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """(cc, size, key, fp, n, part, stranger, early): the shingles, rarest first, one of which any two similar sets share."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            for part in slices(batch, "body"):
+                keys, sizes, early = [], [], []
+                for body, common in zip(part.column("body").to_pylist(), part.column("common").to_pylist(), strict=True):
+                    own = shingles(cache.of((body or b"").lower().split()), width)
+                    frequent = np.frombuffer(common or b"", np.uint64)
+                    rank = np.full(len(own), -1)
+                    if len(frequent):
+                        by_hash = np.argsort(frequent)
+                        at = np.minimum(np.searchsorted(frequent[by_hash], own), len(frequent) - 1)
+                        rank = np.where(frequent[by_hash][at] == own, by_hash[at], -1)
+                    n = len(own)
+                    first = own[np.lexsort((own, rank))][: n + 1 + -percent * n // 100]
+                    keys.append(first.view(np.int64))
+                    sizes.append(n)
+                    early.append(np.arange(len(first)) < n + 1 + -2 * percent * n // (100 + percent))
+                counts = [len(k) for k in keys]
+                take = pa.array(np.repeat(np.arange(len(counts)), counts))
+                names = ["cc", "size", "fp", "part", "stranger"]
+                arrays = [part.column(c).take(take) for c in names] + [pa.array(np.repeat(np.array(sizes, np.int64), counts)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(early))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n", "shingle", "early"])
+
+    found = rows.select("cc", "size", "fp", "part", "stranger", "body", "common").mapInArrow(cut, "cc binary, size long, fp binary, part binary, stranger boolean, n long, shingle long, early boolean")
+    return found.withColumn("key", F.xxhash64("cc", "shingle")).drop("shingle")
+
+
+def _both(percent: int, width: int):
+    """Of pairs with their texts, those that are similar."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            for part in slices(batch, "body_a"):
+                keep = []
+                for one, other in zip(part.column("body_a").to_pylist(), part.column("body_b").to_pylist(), strict=True):
+                    x, y = (shingles(cache.of((t or b"").lower().split()), width) for t in (one, other))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return check
+
+
+def _by_prefix(prefixes: DataFrame, texts: DataFrame, parts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between different parts, at least one for any two parts that have one, from pairs that share a prefix shingle."""
+    side = lambda c: F.struct("fp", "n", "part", "stranger").alias(c)
+    early, every = prefixes.filter("early").select("key", side("x")), prefixes.select("key", side("y"))
+    fits = f"x.part != y.part AND x.n <= y.n AND 100 * x.n >= {percent} * y.n"
+    met = early.filter("x.stranger").join(every, "key").filter(fits).unionAll(early.filter("NOT x.stranger").join(every.filter("y.stranger"), "key").filter(fits))
+    pairs = met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    sketches = texts.select("fp", "sketch").distinct()
+    near = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    distance = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    left = written(near.select("a", "b", distance.alias("distance")).filter(F.col("distance") <= FURTHEST), "near")
+    bodies = texts.select("fp", "body")
+    members, links = parts.select("fp", "part"), None
+    for turn in range(4):
+        members = written(members, "members")
+        named = left.join(members.toDF("a", "part_a"), "a").join(members.toDF("b", "part_b"), "b").filter("part_a != part_b")
+        if not named.head(1):
+            break
+        named = written(named, "open")
+        # in the last turn all that is left, before that the closest pair of a node and another part
+        chosen = named.select("a", "b") if turn == 3 else named.groupBy("a", "part_b").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        chosen = written(chosen, "chosen")
+        met = chosen.join(bodies.toDF("a", "body_a"), "a").join(bodies.toDF("b", "body_b"), "b")
+        confirmed = written(met.mapInArrow(_both(percent, width), "a binary, b binary"), "confirmed")
+        links = confirmed if links is None else links.unionAll(confirmed)
+        left = named.join(chosen, ["a", "b"], "left_anti").select("a", "b", "distance")
+        renamed = components(confirmed.join(members.toDF("a", "part_a"), "a").join(members.toDF("b", "part_b"), "b").select("part_a", "part_b")).toDF("part", "joined")
+        members = members.join(renamed, "part", "left").select("fp", F.coalesce("joined", "part").alias("part"))
+    return links
+
+
+def _in_blocks(rows: DataFrame, task, task_nodes: int) -> DataFrame:
+    """Links between each stranger and all others of its component, in blocks."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(3)), F.ceil(F.col("size") / task_nodes)))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / task_nodes)).withColumn("strange_blocks", F.ceil(F.col("outside") / task_nodes))
+    others = rows.filter("NOT stranger").withColumn("strange", F.explode(F.expr("sequence(0L, strange_blocks - 1)")))
+    strangers = rows.filter("stranger").withColumn("strange", F.pmod(F.xxhash64("fp", F.lit(4)), "strange_blocks"))
+    against = strangers.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    met = others.select("cc", "block", "strange", "fp", "part", "stranger", "sketch", "body").unionAll(against.select("cc", "block", "strange", "fp", "part", "stranger", "sketch", "body"))
+    links = written(task(met, "cc", "block", "strange"), "confirmed")
+    # two strangers of different strange blocks
+    pairs = strangers.filter("strange_blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, strange_blocks - 1)"))).withColumn("low", F.least("strange", "other")).withColumn("high", F.greatest("strange", "other")).filter("low < high")
+    return links.unionAll(written(task(pairs, "cc", "low", "high"), "confirmed"))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int, percent: int, small: int, task_nodes: int, sampled: int, dense: int) -> DataFrame:
     """Confirmed links (a, b) that span the components of all nodes."""
     reach = written(components(_candidates(nodes, small)).toDF("fp", "cc"), "reach")
     sizes = reach.groupBy("cc").agg(F.count("*").alias("size"))
@@ -190,32 +306,46 @@ def _links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int
         return rows.select(*keys, "fp", "part", "stranger", "sketch", "body").groupBy(*keys).applyInArrow(confirm, "a binary, b binary")
 
     def dealt(rows: DataFrame, turn: int) -> DataFrame:
-        return rows.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.ceil(F.col("size") / task_nodes)))
+        return rows.withColumn("turn", F.lit(turn)).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.ceil(F.col("size") / task_nodes)))
 
     fresh = texts.withColumn("part", F.col("fp")).withColumn("stranger", F.lit(False))
-    again = dealt(fresh.filter(F.col("size") > task_nodes), 1).withColumn("turn", F.lit(1))
-    links = written(task(dealt(fresh, 0).withColumn("turn", F.lit(0)).unionAll(again), "cc", "turn", "block"), "confirmed")
     large = texts.filter(F.col("size") > task_nodes)
-    if large.select("fp").head(1):
-        members = reach.join(sizes.filter(F.col("size") > task_nodes), "cc").select("fp", "cc", "size")
-        parts = written(_parts(members, links), "parts")
-        by_size = parts.groupBy("cc", "part").agg(F.count("*").alias("n"))
-        main = by_size.groupBy("cc").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all")).select("cc", F.col("m.part").alias("main"), (F.col("all") - F.col("m.n")).alias("outside"))
-        rows = dealt(large.join(parts.select("fp", "part"), "fp").join(F.broadcast(main) if main.count() < 10_000 else main, "cc"), 3)
-        rows = rows.filter("outside > 0").withColumn("stranger", F.expr("part != main")).withColumn("blocks", F.ceil(F.col("size") / task_nodes)).withColumn("strange_blocks", F.ceil(F.col("outside") / task_nodes))
-        others = rows.filter("NOT stranger").withColumn("strange", F.explode(F.expr("sequence(0L, strange_blocks - 1)")))
-        strangers = rows.filter("stranger").withColumn("strange", F.pmod(F.xxhash64("fp", F.lit(4)), "strange_blocks"))
-        against = strangers.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        met = others.select("cc", "block", "strange", "fp", "part", "stranger", "sketch", "body").unionAll(against.select("cc", "block", "strange", "fp", "part", "stranger", "sketch", "body"))
-        links = links.unionAll(written(task(met, "cc", "block", "strange"), "confirmed"))
-        # two strangers of different strange blocks
-        pairs = strangers.filter("strange_blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, strange_blocks - 1)"))).withColumn("low", F.least("strange", "other")).withColumn("high", F.greatest("strange", "other")).filter("low < high")
-        links = links.unionAll(task(pairs, "cc", "low", "high"))
-        links = written(links, "confirmed")
-    return links
-
-
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, small: int = 16, task_nodes: int = 400) -> DataFrame:
+    again = dealt(fresh.filter(F.col("size") > task_nodes), 1)
+    links = written(task(dealt(fresh, 0).unionAll(again), "cc", "turn", "block"), "confirmed")
+    if not large.select("fp").head(1):
+        return links
+    members = reach.join(sizes.filter(F.col("size") > task_nodes), "cc").select("fp", "cc", "size")
+    parts = written(_parts(members, links), "parts")
+    by_size = parts.groupBy("cc", "part").agg(F.count("*").alias("n"))
+    main = by_size.groupBy("cc").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all")).select("cc", F.col("m.part").alias("main"), (F.col("all") - F.col("m.n")).alias("outside"))
+    main = written(main.filter("outside > 0"), "main")
+    ccs = main.count()
+    if not ccs:
+        return links
+    bounded = lambda table: F.broadcast(table) if ccs < 10_000 else table
+    # a component's texts meet its order once; several rows of one doc_id and text are one node
+    rows = large.dropDuplicates(["fp"]).join(parts.select("fp", "part"), "fp").join(bounded(main), "cc").withColumn("stranger", F.expr("part != main"))
+    orders = written(_orders(large.join(bounded(main.select("cc")), "cc"), width, sampled), "orders")
+    few_orders = lambda table: F.broadcast(table) if ccs < 1_000 else table  # noqa: E731  (32 KB each at most)
+    prefixes = written(_prefixes(rows.join(few_orders(orders), "cc", "left"), percent, width), "prefixes")
+    lists = prefixes.groupBy("key").agg(
+        F.first("cc").alias("cc"), F.first("size").alias("size"), F.expr("count_if(early AND stranger)").alias("strange"), F.expr("count_if(early AND NOT stranger)").alias("known"),
+        F.count("*").alias("every"), F.expr("count_if(stranger)").alias("strangers"),
+    )
+    crowded = lists.groupBy("cc").agg(F.sum(F.expr("strange * every + known * strangers")).alias("pairs"), F.first("size").alias("size")).filter(F.col("pairs") > dense * F.col("size")).select("cc")
+    crowded = written(crowded, "crowded")
+    found = _by_prefix(prefixes.join(bounded(crowded), "cc", "left_anti"), large.dropDuplicates(["fp"]), parts, percent, width)
+    if found is not None:
+        links = links.unionAll(found)
+    if crowded.head(1):
+        links = links.unionAll(_in_blocks(rows.join(bounded(crowded), "cc", "left_semi"), task, task_nodes))
+    return written(links, "confirmed")
+
+
+def near_duplicates(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, small: int = 16, task_nodes: int = 400,
+    sampled: int = 200, dense: int = 64,
+) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id, kept.
 
     Documents whose sets satisfy 100 * intersection >= ``percent`` * union are linked;
@@ -228,7 +358,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         .select("fp", F.col("m.doc_id").alias("label"), F.col("m.text_hash").alias("text_hash"), "bands", "sketch"),
         "nodes",
     )
-    links = _links(docs, nodes, doc_id, text, width, percent, small, task_nodes)
+    links = _links(docs, nodes, doc_id, text, width, percent, small, task_nodes, sampled, dense)
     labelled = _parts(nodes.select("fp", "label"), links)
     smallest = labelled.groupBy("part").agg(F.min("label").alias("component_id"))
     found = labelled.join(smallest, "part").select("fp", "component_id")

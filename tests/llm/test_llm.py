@@ -64,7 +64,7 @@ def labelled(n, pairs, names):
     return [least.get(find(k)) for k in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 1, "task_nodes": 2}])
+@pytest.mark.parametrize("options", [{}, {"small": 1, "task_nodes": 2}, {"small": 1, "task_nodes": 2, "dense": 0}])
 def test_near_duplicates(spark, corpus, options):
     own = sets(corpus, 4)
     pairs = [(a, b) for a, b in itertools.combinations(range(len(own)), 2) if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
@@ -81,16 +81,28 @@ def test_deduplicated_keeps_one_of_each_group(spark, corpus):
     assert 0 in ids and 10 not in ids and 11 not in ids and {20, 21, 22, 26} <= set(ids) and ids.count(31) == 2
 
 
-def test_large_near_copy_group_spans_tasks(spark):
+@pytest.mark.parametrize("dense", [0, 64, 10**9])
+def test_large_near_copy_group_spans_tasks(spark, dense):
     rng = random.Random(3)
     base = prose(rng, 120, 100_000).split()
     rows = [(k, " ".join(f"v{k}_{j}" if rng.random() < 0.01 else w for j, w in enumerate(base))) for k in range(90)]
     own = sets(rows, 4)
     pairs = [(a, b) for a, b in itertools.combinations(range(90), 2) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), width=4, small=4, task_nodes=16).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), width=4, small=4, task_nodes=16, dense=dense).collect()}
     assert [got[k] for k in range(90)] == labelled(90, pairs, list(range(90)))
 
 
+def test_template_family_has_no_pairs_to_compare(spark, monkeypatch):
+    """Texts that share a template and are not similar enough: prefixes give no pair, so no text travels twice."""
+    rng = random.Random(4)
+    template = prose(rng, 150, 100_000).split()
+    rows = [(k, " ".join([*template, *(f"u{k}_{j}" for j in range(30))])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + f" z{k}") for k in range(0, 300, 10)]  # 30 pairs that are
+    monkeypatch.setattr(minhash, "_in_blocks", None)  # would fail
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), width=4, small=4, task_nodes=40).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = np.random.default_rng(1)
     for share in (0.8, 0.9, 0.95):
