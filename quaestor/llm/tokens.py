@@ -2,9 +2,10 @@
 
 A shard is an Arrow IPC file whose batches hold fixed-size lists: ``ids`` (``length`` unsigned
 integers, 16 bits where the vocabulary allows) and ``mask`` (``length`` bytes, 0 on the padding
-after a shard's last id, else 1).  The buffers are written as they are, so that a memory map of
-a file gives any sequence and its mask without a copy (``sequence``).  Beside each shard lies a file of its
-documents: id, first id's place in the shard, number of ids.
+after a shard's last id, else 1).  A shard has at most two different masks, so that column is a
+dictionary of fixed-size lists with a number for each sequence.  Buffers are written as they
+are: a memory map of a file gives any sequence and its mask without a copy (``sequence``).
+Beside each shard lies a file of its documents: id, first id's place in the shard, number of ids.
 
 Documents come in ascending ``doc_id`` (null first; rows that share an id by their texts),
 range-partitioned by it, a shard for each partition; a shard's ids do not depend on others, so
@@ -40,11 +41,19 @@ def _files(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _sequences(ids: np.ndarray, real: int, length: int) -> pa.RecordBatch:
-    mask = np.zeros(len(ids), np.uint8)
-    mask[:real] = 1
-    return pa.RecordBatch.from_arrays(
-        [pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], names=["ids", "mask"]
-    )
+    """A batch of sequences of which the first ``real`` ids are no padding."""
+    masks, kind = [np.ones(length, np.uint8)], np.zeros(len(ids) // length, np.int8)
+    if real < len(ids):
+        masks.append((np.arange(length) < real % length).astype(np.uint8))
+        kind[-1] = 1
+    masks = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(masks)), length)
+    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.DictionaryArray.from_arrays(pa.array(kind), masks)], names=["ids", "mask"])
+
+
+def _masks(batch: pa.RecordBatch) -> np.ndarray:
+    """One mask per sequence of a batch."""
+    mask = batch.column("mask")
+    return mask.dictionary.flatten().to_numpy().reshape(len(mask.dictionary), -1)[mask.indices.to_numpy()]
 
 
 def write_sequences(
@@ -66,7 +75,8 @@ def write_sequences(
         wide = length * _BATCH
         left, doc_ids, counts, n_ids = np.empty(0, kind), [], [], 0
         schema = _sequences(np.empty(0, kind), 0, length).schema
-        with fs.open_output_stream(f"{name}.{own}.part") as out, pa.ipc.new_file(out, schema) as sink:
+        options = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)  # the padded mask of a shard's end is added when it comes
+        with fs.open_output_stream(f"{name}.{own}.part") as out, pa.ipc.new_file(out, schema, options=options) as sink:
             for batch in batches:
                 for part in slices(batch, "body"):
                     ids, starts = code.encode(part.column("body").to_pylist(), end)
@@ -114,7 +124,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         while n:
                             if not len(batch_ids):
                                 got = reader.get_batch(at)
-                                batch_ids = got.column("ids").values.to_numpy()[got.column("mask").values.to_numpy().astype(bool)].astype("<u4")
+                                batch_ids = got.column("ids").values.to_numpy()[_masks(got).ravel() != 0].astype("<u4")
                                 at += 1
                             crc = zlib.crc32(batch_ids[:n].tobytes(), crc)
                             n, batch_ids = n - len(batch_ids[:n]), batch_ids[n:]
@@ -132,9 +142,10 @@ def sequence(path: str, k: int, length: int = 2048) -> tuple[np.ndarray, np.ndar
     """Sequence ``k`` of a local shard and its mask: views of the memory-mapped file."""
     reader = pa.ipc.open_file(pa.memory_map(path))
     batch = reader.get_batch(k // _BATCH)
-    row = k % _BATCH
-    ids, mask = (batch.column(c).values.slice(row * length, length).to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-    return ids, mask
+    row, mask = k % _BATCH, batch.column("mask")
+    ids = batch.column("ids").values.slice(row * length, length)
+    own = mask.dictionary.values.slice(mask.indices[row].as_py() * length, length)
+    return ids.to_numpy(zero_copy_only=True), own.to_numpy(zero_copy_only=True)
 
 
 def tokenized(docs: DataFrame, *, tokenizer: str, folder: str | None = None, **options) -> DataFrame:

@@ -339,6 +339,10 @@ def test_token_files(spark, corpus, tmp_path):
     shard = min(manifest.collect(), key=lambda r: r.shard)
     ids, mask = tokens.sequence(shard.path.removeprefix("file://") + ".arrow", 0, 128)
     assert ids.dtype == np.uint16 and len(ids) == len(mask) == 128 and mask.dtype == np.uint8 and mask.all() and not ids.flags.owndata and not mask.flags.owndata
+    for r in manifest.collect():  # every shard ends in padding, if any, and holds its ids before it
+        name = r.path.removeprefix("file://") + ".arrow"
+        masks = np.concatenate([tokens.sequence(name, k, 128)[1] for k in range(-(-r.n_ids // 128))])
+        assert masks.sum() == r.n_ids == masks[: r.n_ids].sum() and len(masks) % 128 == 0
     assert tokens.tokenized(documents(spark, []), tokenizer=path).count() == 0
 
 
