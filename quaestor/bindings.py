@@ -76,12 +76,48 @@ ORACLE["pdf_metadata"] = """SELECT o_orderkey AS document_id, CASE WHEN o_orderk
     strftime(o_orderdate + (o_orderkey % 9 - 2)::INT * INTERVAL 1 DAY, '%Y-%m-%d') AS modification_date, o_orderkey % 8 = 0 AS encrypted FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0 AND o_orderkey % 20 <> 0"""
 
 
+#: Tables and columns of a corpus.
+COLUMNS = {
+    "docs": "id long, filename string, title string, category string, source string, date string, pages long, file_hash string, flagged boolean, ingest_day string, ingest_hour long, notes string, n_chars long",
+    "texts": "id long, text string, lang string, source string, n_chars long",
+    "entities": "id long, name string, type string, canonical string",
+    "mentions": "document_id long, entity_id long, count long",
+    "links": "entity_a_id long, entity_b_id long, weight long",
+    "dated": "id long, document_id long, event_date string, precision string, confidence double, is_resolved boolean, context string",
+    "event_entities": "event_id long, entity_id long",
+    "indicators": "document_id long, indicator_type string, value string, risk long",
+    "resolutions": "source_entity_id long, canonical_entity_id long",
+    "aliases": "entity_id long, alias_name string",
+    "facts": "document_id long, analysis_type string, label string, percent long, severity string",
+    "tags": "entity_id long, tag string",
+    "redactions": "document_id long, reason string, start_offset long, end_offset long",
+    "keywords": "document_id long, word string, count long",
+    "pdf_metadata": "document_id long, author string, creator string, producer string, creation_date string, modification_date string, encrypted boolean",
+}
+
+
 class Corpus:
-    """The bindings over one directory of tables, built when first asked for."""
+    """The tables that routes and plans read: bindings over one directory of tables, built when first asked for, or given ones (``of``)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str | None):
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
+        self.kept: dict = {}  # what a route writes once for all later calls
+
+    @classmethod
+    def of(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> Corpus:
+        """A corpus of given tables, with the columns of ``COLUMNS``; those not given are empty, but ``keywords``, ``links``,
+        ``resolutions`` and ``aliases`` are made of ``texts``, ``mentions`` and ``entities`` where these are given."""
+        if unknown := tables.keys() - COLUMNS.keys():
+            raise ValueError(f"no tables {sorted(unknown)}: {', '.join(COLUMNS)}")
+        corpus = cls(spark, None)
+        sources = {"keywords": "texts", "links": "mentions", "resolutions": "entities", "aliases": "entities"}
+        for name, schema in COLUMNS.items():
+            if name in tables:
+                corpus._made[name] = tables[name].select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in schema.split(", "))))
+            elif sources.get(name) not in tables:
+                corpus._made[name] = spark.createDataFrame([], schema)
+        return corpus
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

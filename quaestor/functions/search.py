@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -78,26 +78,68 @@ def stem(word: str) -> str:
     return word
 
 
-def postings(documents: DataFrame, *, doc_id: str = "id", text: str = "text") -> DataFrame:
-    """(doc_id, term, pos, length): stemmed terms with their places.  Each distinct word is stemmed once."""
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.expr(f"regexp_extract_all(lower({text}), '{_TOKEN.replace(chr(92), chr(92) * 2)}', 0)").alias("words"))
-    placed = rows.select("doc_id", F.size("words").alias("length"), F.posexplode("words").alias("pos", "word"))
+def _worded(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents.select(F.col(doc_id).alias("doc_id"), F.expr(f"regexp_extract_all(lower({text}), '{_TOKEN.replace(chr(92), chr(92) * 2)}', 0)").alias("words"))
+
+
+def postings(documents: DataFrame, *, doc_id: str = "id", text: str = "text", terms: list[str] | None = None) -> DataFrame:
+    """(doc_id, term, pos, length): stemmed terms with their places, all or those among ``terms``.  Each distinct word is stemmed once."""
+    placed = _worded(documents, doc_id, text).select("doc_id", F.size("words").alias("length"), F.posexplode("words").alias("pos", "word"))
 
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem)
 
-    vocabulary = placed.select("word").distinct().withColumn("term", stems("word"))
+    words = placed.select("word")
+    if terms is not None:  # a stem and its words start alike but for the stem's last letters
+        words = words.filter(" OR ".join(f"startswith(word, '{t[: max(1, len(t) - 2)]}')" for t in terms) or "false")
+    vocabulary = words.distinct().withColumn("term", stems("word"))
+    if terms is not None:
+        vocabulary = vocabulary.filter(F.col("term").isin(terms))
     return placed.join(vocabulary, "word").select("doc_id", "term", "pos", "length")
 
 
+def _extent(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row: number of documents with a word, and their mean number of words."""
+    return _worded(documents, doc_id, text).filter("size(words) > 0").agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean"))
+
+
+class Index:
+    """Postings on disk, filed by a hash of their terms and sorted by term, so that a query reads those of its terms alone."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.postings, self.extent = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/extent")
+        self.shelves = spark.read.parquet(f"{folder}/shelves").first()[0]
+
+    @classmethod
+    def write(cls, documents: DataFrame, folder: str, *, doc_id: str = "id", text: str = "text", shelves: int = 64) -> Index:
+        shelf = F.pmod(F.xxhash64("term"), F.lit(shelves)).cast("int")
+        rows = postings(documents, doc_id=doc_id, text=text).withColumn("shelf", shelf)
+        rows.repartition(shelves, "shelf").sortWithinPartitions("shelf", "term").write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/postings")
+        _extent(documents, doc_id, text).write.mode("overwrite").parquet(f"{folder}/extent")
+        written = documents.sparkSession.createDataFrame([(shelves,)], "shelves int")
+        written.write.mode("overwrite").parquet(f"{folder}/shelves")
+        return cls(documents.sparkSession, folder)
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """Postings of some terms; the shelves are partitions, of which only theirs are listed."""
+        named = self.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        on = named.select(F.pmod(F.xxhash64("term"), F.lit(self.shelves)).cast("int").alias("s")).distinct().collect()
+        return self.postings.filter(F.col("shelf").isin([r.s for r in on]) & F.col("term").isin(terms)).drop("shelf")
+
+
 def _terms(query: str) -> list[str]:
     return [stem(w) for w in re.findall(r"[^\W_]+", query.lower())]
 
 
-def search(index: DataFrame, query: str, *, phrase: bool = True, k: int = 20) -> DataFrame:
-    """(doc_id, score): documents that hold the phrase (or all terms), by BM25, ties by id; an empty query finds none."""
+def search(index: DataFrame | Index, query: str, *, phrase: bool = True, k: int | None = 20, extent: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score): documents that hold the phrase (or all terms), by BM25, ties by id; an empty query finds none.
+
+    ``index`` is an ``Index`` or a table of postings; of the latter ``extent`` is taken from it unless given.
+    """
     terms = _terms(query)
+    if isinstance(index, Index):
+        index, extent = (index.of(terms) if terms else index.postings), index.extent
     spark = index.sparkSession
     if not terms:
         return spark.createDataFrame([], "doc_id long, score double")
@@ -110,12 +152,20 @@ def search(index: DataFrame, query: str, *, phrase: bool = True, k: int = 20) ->
         counts = hits.groupBy("doc_id", "term").agg(F.countDistinct("pos").alias("tf"), F.first("length").alias("length"))
         full = counts.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(set(terms)))
         matched = counts.join(full.select("doc_id"), "doc_id", "left_semi")
-    corpus = index.groupBy("doc_id").agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    if extent is None:
+        extent = index.groupBy("doc_id").agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     df = matched.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = matched.join(df, "term").crossJoin(F.broadcast(corpus)).groupBy("doc_id").agg(F.sum(part).alias("score"))
-    return scored.orderBy(F.col("score").desc(), "doc_id").limit(k)
+    scored = matched.join(df, "term").crossJoin(F.broadcast(extent)).groupBy("doc_id").agg(F.sum(part).alias("score"))  # one row
+    ordered = scored.orderBy(F.col("score").desc(), "doc_id")
+    return ordered if k is None else ordered.limit(k)
+
+
+def search_texts(documents: DataFrame, query: str, *, phrase: bool = True, k: int | None = 20, doc_id: str = "id", text: str = "text") -> DataFrame:
+    """``search`` without an index: one pass for the query's words and one for the texts' lengths."""
+    terms = _terms(query)
+    return search(postings(documents, doc_id=doc_id, text=text, terms=sorted(set(terms))), query, phrase=phrase, k=k, extent=_extent(documents, doc_id, text))
 
 
 def snippet(text, term: str, around: int = 100):

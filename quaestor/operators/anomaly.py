@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,10 @@ from pyspark.sql import functions as F
 from quaestor.operators.pairs import both_ends, gaps
 
 
+#: Windows to a span of time.
+_SPAN = 4096
+
+
 def temporal_gaps(events: DataFrame, day: str = "event_date", least: int = 90) -> DataFrame:
     """(from_day, to_day, days, severity): from 180 days medium, from 365 high."""
     return gaps(events, day, least).withColumn("severity", F.when(F.col("days") >= 365, "high").when(F.col("days") >= 180, "medium").otherwise("low"))
@@ -34,28 +37,35 @@ def page_outliers(documents: DataFrame, sigmas: float = 3.0) -> DataFrame:
 def anchored_windows(rows: DataFrame, at: str, seconds: int, least: int, within: str | None = None) -> DataFrame:
     """(start, end, n) of greedy windows: each opens at the first row that none before covers.
 
-    Spark cuts the rows at silences longer than the window, over which no window reaches, and
-    scans one stretch at a time; only those may hold a window's least number of rows.
+    Rows of one time are counted first.  Times are dealt to spans of ``_SPAN`` windows; what one span hands to the next, its
+    last time and its number of silences, is a row a span, so that only a table of spans is read in one task.  A silence longer
+    than the window, over which no window reaches, ends a stretch; a task scans the distinct times of one stretch.
     """
     timed = rows.select((F.col(within) if within else F.lit(0)).alias("g"), F.col(at).cast("timestamp").cast("double").alias("t")).filter("t IS NOT NULL")
-    w = Window.partitionBy("g").orderBy("t")
-    stretch = timed.withColumn("new", (F.col("t") - F.lag("t").over(w) > seconds).cast("int")).withColumn("stretch", F.sum(F.coalesce("new", F.lit(1))).over(w))
+    timed = timed.groupBy("g", "t").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("t") / F.lit(float(seconds * _SPAN))))
+    spans = timed.groupBy("g", "span").agg(F.max("t").alias("last"))
+    order = Window.partitionBy("g").orderBy("span")
+    spans = spans.select("g", "span", F.lag("last").over(order).alias("before"))
+    inside = Window.partitionBy("g", "span").orderBy("t")
+    silent = timed.join(spans, ["g", "span"]).withColumn("new", F.coalesce((F.col("t") - F.coalesce(F.lag("t").over(inside), "before") > seconds).cast("int"), F.lit(1)))
+    earlier = silent.groupBy("g", "span").agg(F.sum("new").alias("news")).select("g", "span", F.coalesce(F.sum("news").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    stretch = silent.withColumn("own", F.sum("new").over(inside)).join(earlier, ["g", "span"]).select("g", "t", "n", (F.col("own") + F.col("earlier")).alias("stretch"))
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        times, out, k = sorted(frame["t"]), [], 0
+        frame = frame.sort_values("t")
+        times, until = frame["t"].to_numpy(), np.concatenate([[0], np.cumsum(frame["n"].to_numpy())])
+        ends, out, k = np.searchsorted(times, times + seconds, "right"), [], 0
         while k < len(times):
-            end = k
-            while end + 1 < len(times) and times[end + 1] - times[k] <= seconds:
-                end += 1
-            if end - k + 1 >= least:
-                out.append((times[k], times[end], end - k + 1))
-                k = end + 1
+            n = int(until[ends[k]] - until[k])
+            if n >= least:
+                out.append((times[k], times[ends[k] - 1], n))
+                k = ends[k]
             else:
                 k += 1
         return pd.DataFrame(out, columns=["start", "end", "n"])
 
-    sizes = stretch.groupBy("g", "stretch").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    found = stretch.join(sizes, ["g", "stretch"]).select("g", "stretch", "t").groupBy("g", "stretch").applyInPandas(scan, "start double, end double, n long")
+    sizes = stretch.groupBy("g", "stretch").agg(F.sum("n").alias("size")).filter(F.col("size") >= least)
+    found = stretch.join(sizes, ["g", "stretch"]).select("g", "stretch", "t", "n").groupBy("g", "stretch").applyInPandas(scan, "start double, end double, n long")
     return found.select(F.timestamp_seconds("start").alias("start"), F.timestamp_seconds("end").alias("end"), "n")
 
 
@@ -109,15 +119,3 @@ def producer_inconsistencies(metadata: DataFrame, least: int = 3) -> DataFrame:
     """(author, n, producers): authors with ``least`` producers or more."""
     some = metadata.filter("author <> '' AND producer <> ''").groupBy("author").agg(F.array_sort(F.collect_set("producer")).alias("producers"))
     return some.withColumn("n", F.size("producers").cast("long")).filter(F.col("n") >= least).select("author", "n", "producers")
-
-
-def greedy(times: list[float], seconds: float, least: int) -> Iterator[tuple[float, float, int]]:
-    """The same windows over a sorted list, for tests."""
-    k = 0
-    while k < len(times):
-        inside = [t for t in times[k:] if t - times[k] <= seconds]
-        if len(inside) >= least:
-            yield inside[0], inside[-1], len(inside)
-            k += len(inside)
-        else:
-            k += 1

@@ -1,8 +1,9 @@
 """The weighted entity graph: canonical edges, statistics, centralities, communities, paths.
 
-Everything that is a sum over edges or neighbours is a DataFrame plan.  Path centralities run
-one source per row in Arrow tasks over a broadcast adjacency, only behind a check of its size;
-a larger graph takes the sources' frontiers as a DataFrame, level by level.
+Everything that is a sum over edges or neighbours is a DataFrame plan; loops run until they have
+settled and write their state each round.  Path centralities run one source per row in Python
+tasks over a broadcast adjacency, only behind a check of its size; a larger graph takes the
+sources' frontiers as a DataFrame, round by round, some sources at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.operators.pairs import both_ends
@@ -47,11 +48,11 @@ def canonical_edges(edges: DataFrame, nodes: DataFrame, resolutions: DataFrame |
     return e.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node, by minimum labels with pointer jumping."""
     ends = cut(both_ends(edges.select("a", "b"), "a", "b"))
     labels = cut(ends.groupBy("node").agg(F.least(F.min("partner"), F.col("node")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         seen = labels.withColumnRenamed("node", "partner")
         near = ends.join(seen, "partner").groupBy("node").agg(F.min("component").alias("near"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
@@ -60,8 +61,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         moved = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").head(1)
         labels = new
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def stats(edges: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return d.crossJoin(n).select("node", "degree", "weight", F.when(F.col("others") > 0, F.col("degree") / F.col("others")).otherwise(0.0).alias("score"))
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """(node, score) by power iteration on weights plus the identity; zeros where it does not settle."""
     ends = cut(both_ends(edges, "a", "b"))
     x = ends.select("node").distinct().withColumn("score", F.lit(1.0))
@@ -96,10 +96,12 @@ def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tolerance: float
 
 
 def path_centralities(edges: DataFrame, most_edges: int = 1_000_000) -> DataFrame:
-    """(node, betweenness, closeness), weights as distances, by Brandes' sums over one source after another."""
-    count = edges.count()
-    if count > most_edges:
-        raise ValueError(f"{count} edges: path centralities are for graphs of at most {most_edges}; take a subgraph")
+    """(node, betweenness, closeness), weights as distances, by Brandes' sums over one source after another.
+
+    The adjacency of at most ``most_edges`` edges is broadcast; a larger graph is never collected.
+    """
+    if edges.count() > most_edges:
+        return _centralities_by_frontiers(edges, most_edges)
     spark = edges.sparkSession
     near: dict = {}
     for r in edges.select("a", "b", "weight").toLocalIterator():
@@ -148,36 +150,155 @@ def path_centralities(edges: DataFrame, most_edges: int = 1_000_000) -> DataFram
     return found.groupBy("node").agg((F.sum("betweenness") * scale).alias("betweenness"), F.sum("closeness").alias("closeness"))
 
 
-def communities(edges: DataFrame, rounds: int = 15, least: int = 2) -> DataFrame:
-    """(node, community, size): weighted label propagation, labels of equal weight going to the smallest."""
-    ends = cut(both_ends(edges, "a", "b"))
-    labels = ends.select("node").distinct().withColumn("community", F.col("node"))
-    for turn in range(rounds):
-        votes = ends.join(labels.withColumnRenamed("node", "partner"), "partner").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("node").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m")).select("node", (-F.col("m.c")).alias("new"))
-        new = cut(labels.join(best, "node").select("node", F.when(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0, F.col("new")).otherwise(F.col("community")).alias("community"), "new"))
-        settled = not new.filter("community <> new").head(1) and not new.join(labels.withColumnRenamed("community", "old"), "node").filter("community <> old").head(1)
-        labels = new.select("node", "community")
-        if settled:
+def _centralities_by_frontiers(edges: DataFrame, rows: int) -> DataFrame:
+    """The same sums with the state of about ``rows`` (source, node) pairs at a time as a table."""
+    ends = cut(both_ends(edges.select("a", "b", F.col("weight").cast("double")), "a", "b"))
+    nodes = cut(ends.select("node").distinct())
+    n = nodes.count()
+    turns = max(1, -(-n * n // max(rows, n)))
+    out = None
+    for turn in range(turns):
+        sources = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(turns)) == turn)
+        distance = cut(sources.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d")))
+        front = distance
+        while front.head(1):
+            reach = front.join(ends, "node").groupBy("s", F.col("partner").alias("node")).agg(F.min(F.col("d") + F.col("weight")).alias("d"))
+            known = distance.withColumnRenamed("d", "old")
+            front = cut(reach.join(known, ["s", "node"], "left").filter("old IS NULL OR d < old - 1e-12").select("s", "node", "d"))
+            distance = cut(distance.join(front.select("s", "node"), ["s", "node"], "left_anti").unionByName(front))
+        # edges of the shortest paths
+        onward = distance.join(ends, "node").join(distance.select("s", F.col("node").alias("partner"), F.col("d").alias("far")), ["s", "partner"])
+        onward = cut(onward.filter("abs(d + weight - far) <= 1e-12").select("s", "node", "partner"))
+        paths = distance.select("s", "node", (F.col("d") == 0).cast("double").alias("paths"))
+        paths = _settled(paths, lambda p: onward.join(p, ["s", "node"]).groupBy("s", F.col("partner").alias("node")).agg(F.sum("paths").alias("paths")), "paths", "d = 0", distance)
+        counted = cut(onward.join(paths, ["s", "node"]).join(paths.toDF("s", "partner", "theirs"), ["s", "partner"]).select("s", "node", "partner", (F.col("paths") / F.col("theirs")).alias("part")))
+        shares = distance.select("s", "node", F.lit(0.0).alias("share"))
+        shares = _settled(shares, lambda x: counted.join(x.toDF("s", "partner", "share"), ["s", "partner"]).groupBy("s", "node").agg(F.sum(F.col("part") * (1 + F.col("share"))).alias("share")), "share", "false", distance)
+        total = distance.groupBy("s").agg((F.count("*") - 1).alias("others"), F.sum("d").alias("total"))
+        close = total.select(F.col("s").alias("node"), F.lit(0.0).alias("betweenness"), F.when((F.col("total") > 0) & F.lit(n > 1), F.col("others") / F.col("total") * F.col("others") / (n - 1)).otherwise(0.0).alias("closeness"))
+        between = shares.filter("s <> node").groupBy("node").agg(F.sum("share").alias("betweenness")).withColumn("closeness", F.lit(0.0))
+        found = cut(close.unionByName(between))
+        out = found if out is None else out.unionByName(found)
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return out.groupBy("node").agg((F.sum("betweenness") * scale).alias("betweenness"), F.sum("closeness").alias("closeness"))
+
+
+def _settled(start: DataFrame, step, value: str, fixed: str, distance: DataFrame) -> DataFrame:
+    """(s, node, value): ``step`` repeated until no value changes, which takes as many rounds as the longest path has edges."""
+    now = cut(start)
+    every = distance.select("s", "node", F.expr(fixed).alias("fixed")).join(start.withColumnRenamed(value, "first"), ["s", "node"])
+    every = cut(every)
+    while True:
+        new = cut(every.join(step(now), ["s", "node"], "left").select("s", "node", F.expr(f"IF(fixed, first, coalesce({value}, 0D))").alias(value)))
+        changed = new.join(now.withColumnRenamed(value, "old"), ["s", "node"]).filter(F.abs(F.col(value) - F.col("old")) > 1e-9 * F.abs(F.col("old"))).head(1)
+        now = new
+        if not changed:
+            return now
+
+
+def communities(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(node, community, size) by modularity: nodes move to the neighbouring community of most gain, then communities become nodes.
+
+    A community's name is its smallest node.  Some nodes, picked by a hash, move at once; a round that does not raise the
+    modularity is undone and fewer move, down to a single one; levels follow until none moves a node.  Results repeat exactly.
+    """
+    ends = both_ends(edges.select("a", "b", F.col("weight").cast("double")), "a", "b")
+    labels = cut(ends.select("node").distinct().withColumn("community", F.col("node")))
+    ends = cut(ends)
+    while True:
+        moved = _moved(ends)
+        if moved is None:
             break
-    size = labels.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    return labels.join(size, "community").select("node", "community", "size")
+        names = moved.groupBy("community").agg(F.min("node").alias("name"))
+        moved = cut(moved.join(names, "community").select("node", F.col("name").alias("community")))
+        labels = cut(labels.join(moved.toDF("community", "to"), "community").select("node", F.col("to").alias("community")))
+        ends = cut(ends.join(moved.toDF("node", "x"), "node").join(moved.toDF("partner", "y"), "partner").groupBy(F.col("x").alias("node"), F.col("y").alias("partner")).agg(F.sum("weight").alias("weight")))
+    names = labels.groupBy("community").agg(F.min("node").alias("name"), F.count("*").alias("size")).filter(F.col("size") >= least)
+    return labels.join(names, "community").select("node", F.col("name").alias("community"), "size")
+
+
+def _moved(ends: DataFrame) -> DataFrame | None:
+    """(node, community) after local moves in a graph of ends (loops counted once), None if no node moves."""
+    degree = cut(ends.groupBy("node").agg(F.sum("weight").alias("k")))
+    all_weight = degree.agg(F.sum("k")).first()[0]
+    if not all_weight:
+        return None
+    others = ends.filter("node <> partner")
+
+    def state(labels: DataFrame) -> tuple[DataFrame, float]:
+        """Labels with each node's best move, and the modularity of the labels."""
+        held = degree.join(labels, "node")
+        totals = held.groupBy("community").agg(F.sum("k").alias("total"))
+        near = others.join(labels.toDF("partner", "to"), "partner").groupBy("node", "to").agg(F.sum("weight").alias("w"))
+        own = held.select("node", F.col("community").alias("to"), F.lit(0.0).alias("w"))  # a node may stay without a link
+        options = near.unionByName(own).groupBy("node", "to").agg(F.sum("w").alias("w")).join(held, "node").join(totals.toDF("to", "total"), "to")
+        gain = F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0.0)) / all_weight
+        best = options.groupBy("node", "community").agg(
+            F.max_by("to", F.struct(F.round(gain, 9), -F.col("to"))).alias("best"), F.max(F.round(gain, 9)).alias("gain"),
+            F.max(F.when(F.col("to") == F.col("community"), F.round(gain, 9))).alias("stay"), F.max(F.when(F.col("to") == F.col("community"), F.col("w"))).alias("inside"), F.first("k").alias("k"),
+        )
+        moves = cut(best)
+        loops = ends.filter("node = partner").agg(F.coalesce(F.sum("weight"), F.lit(0.0)))
+        inside = moves.agg(F.sum("inside")).first()[0] + loops.first()[0]
+        spread = moves.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+        return moves, inside / all_weight - spread / all_weight**2
+
+    now, value = state(degree.select("node", F.col("node").alias("community")))
+    turn, one_in, any_moved = 0, 2, False
+    while True:
+        wants = (F.col("gain") > F.col("stay")) & (F.col("best") != F.col("community"))
+        first = now.filter(wants).orderBy((F.col("gain") - F.col("stay")).desc(), "node").first()
+        if not first:
+            break
+        # where many at once do not help, the node that gains most alone does
+        picked = wants & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(one_in)) == 0 if one_in <= 16 else F.col("node") == F.lit(first.node))
+        turn += 1
+        new, better = state(cut(now.select("node", F.when(picked, F.col("best")).otherwise(F.col("community")).alias("community"))))
+        if better > value + 1e-7:
+            now, value, any_moved, one_in = new, better, True, min(one_in, 16)
+        elif one_in > 16:
+            break
+        else:
+            one_in *= 2
+    return now.select("node", "community") if any_moved else None
+
 
+def described(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(community, size, density, label) of members (node, community, size, name, type): the label names three persons, else three members."""
+    inside = edges.join(members.select(F.col("node").alias("a"), "community"), "a").join(members.select(F.col("node").alias("b"), F.col("community").alias("other")), "b").filter("community = other")
+    links = inside.groupBy("community").agg(F.count("*").alias("links"))
+    order = F.array_sort(F.collect_list(F.struct((F.col("type") != "person").alias("after"), "node", "name")))
+    first = members.withColumn("rank", F.expr("row_number() OVER (PARTITION BY community, type = 'person' ORDER BY node)")).filter("rank <= 3")
+    named = first.groupBy("community", "size").agg(order.alias("m"), F.expr("count_if(type = 'person')").alias("persons"))
+    label = F.expr("array_join(transform(slice(m, 1, IF(persons > 0, least(persons, 3L), 3L)), x -> x.name), ' / ')")
+    density = F.when(F.col("size") > 1, 2 * F.coalesce("links", F.lit(0)) / (F.col("size") * (F.col("size") - 1))).otherwise(0.0)
+    return named.join(links, "community", "left").select("community", "size", density.alias("density"), label.alias("label"))
 
-def shortest_path(edges: DataFrame, source, target, most_hops: int = 20) -> tuple[list, float] | None:
-    """(nodes, total weight) of the path with the least sum of 1 / weight; None if there is none within ``most_hops``."""
+
+def shared_documents(members: DataFrame, mentions: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """(community, document_id, title, category, members, rank): the ``k`` documents that name most members of each community, two at least."""
+    from quaestor.operators.pairs import top_per_group
+
+    held = mentions.join(members.select(F.col("node").alias("entity_id"), "community"), "entity_id").groupBy("community", "document_id").agg(F.countDistinct("entity_id").alias("members")).filter("members >= 2")
+    top = top_per_group(held, ["community"], [F.col("members").desc(), F.col("document_id")], k)
+    return top.join(docs.select(F.col("id").alias("document_id"), "title", "category"), "document_id", "left").select("community", "document_id", "title", "category", "members", "rank")
+
+
+def shortest_path(edges: DataFrame, source, target) -> tuple[list, float] | None:
+    """(nodes, total weight) of the path with the least sum of 1 / weight; None if there is none."""
     if source == target:
         return [source], 0.0
     ends = cut(both_ends(edges, "a", "b").withColumn("cost", 1.0 / F.col("weight")))
     kind = ends.schema["node"].dataType.simpleString()
     best = ends.sparkSession.createDataFrame([(source, 0.0, 0.0, [source])], f"node {kind}, cost double, weight double, path array<{kind}>")
     front = best
-    for _ in range(most_hops):
+    while True:
         step = front.withColumnRenamed("cost", "so_far").withColumnRenamed("weight", "total").join(ends, "node")
         step = step.select(F.col("partner").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"), (F.col("total") + F.col("weight")).alias("weight"), F.concat("path", F.array("partner")).alias("path"))
         step = step.groupBy("node").agg(F.min(F.struct("cost", "path", "weight")).alias("m")).select("node", "m.cost", "m.weight", "m.path")
+        reached = best.filter(F.col("node") == F.lit(target)).select(F.max("cost").alias("bound"))  # null before the target is reached
         old = best.select("node", F.col("cost").alias("old"))
-        front = cut(step.join(old, "node", "left").filter("old IS NULL OR cost < old - 1e-12").drop("old"))
+        front = cut(step.join(old, "node", "left").crossJoin(reached).filter("(old IS NULL OR cost < old - 1e-12) AND (bound IS NULL OR cost < bound)").drop("old", "bound"))
         if not front.head(1):
             break
         best = cut(best.join(front.select("node"), "node", "left_anti").unionByName(front))
@@ -202,7 +323,3 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (one column)."""
     n = nodes.toDF("n")
     return edges.join(n, F.col("a") == F.col("n"), "left_semi").join(n, F.col("b") == F.col("n"), "left_semi")
-
-
-def example_edges(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "a long, b long, weight long")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.operators.pairs import co_occurrence
 
 #: Titles before a name, suffixes after it, thresholds.
 TITLES = "mr|mrs|ms|miss|dr|prof|sir|judge|hon|rev|sen|rep|gov|gen|col|capt|lt|sgt"
@@ -50,17 +49,27 @@ def candidates(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """(source, target, confidence, action) for pairs of one type, source < target, above the thresholds.
 
     Distinct names are compared, once each, and matches joined back to the entities of either
-    name.  Names that can match share a word, or are long and at most two edits apart and then
-    share a trigram; both block the join, so names without a chance never meet.
+    name.  Names meet over their rarest parts only (prefix filter), so a common word makes no
+    large block: of words that are half shared, one is among the rarest of either name; of two
+    long names at most two edits apart, one of the seven rarest trigrams; an initial meets the
+    names that start with it and end alike.  Whether two entities occur together is looked up
+    for the pairs found, among the mentions of their entities.
     """
     e = entities.select("id", "type", normalized(F.col("name")).alias("n")).filter("n <> ''")
     names = e.select("type", "n").distinct()
-    words = names.select("type", "n", F.explode(F.array_distinct(_words(F.col("n")))).alias("w")).select("type", "n", F.concat(F.lit("w:"), "w").alias("key"))
+    words = _words(F.col("n"))
+    one = names.select("type", "n", F.array_distinct(words).alias("parts"), F.expr("'w'").alias("kind"))
     # nine letters or more have seven trigrams or more, of which two edits change at most six
-    grams = names.filter("length(n) > 8").select("type", "n", F.explode(F.expr("array_distinct(transform(sequence(1, length(n) - 2), k -> substr(n, k, 3)))")).alias("key"))
-    blocks = words.unionAll(grams)
+    grams = names.filter("length(n) > 8").select("type", "n", F.expr("array_distinct(transform(sequence(1, length(n) - 2), k -> substr(n, k, 3)))").alias("parts"), F.expr("'g'").alias("kind"))
+    parts = one.unionAll(grams).select("type", "n", "kind", F.explode("parts").alias("part"))
+    common = parts.groupBy("type", "kind", "part").agg(F.count("*").alias("f"))
+    rarest = parts.join(common, ["type", "kind", "part"]).groupBy("type", "n", "kind").agg(F.array_sort(F.collect_list(F.struct("f", "part"))).alias("p"))
+    blocks = rarest.select("type", "n", F.explode(F.expr("slice(p, 1, IF(kind = 'g', 7, size(p) - size(p) div 2))")).alias("x"), "kind").select("type", "n", F.concat("kind", F.lit(":"), "x.part").alias("key"))
     left, right = blocks.toDF("type", "na", "key"), blocks.toDF("type", "nb", "key")
-    pairs = left.join(right, ["type", "key"]).filter("na < nb AND (key LIKE 'w:%' OR abs(length(na) - length(nb)) <= 2)").select("type", "na", "nb").distinct()
+    near = left.join(right, ["type", "key"]).filter("na < nb AND (key LIKE 'w:%' OR abs(length(na) - length(nb)) <= 2)").select("type", "na", "nb")
+    ends = names.filter(F.size(words) >= 2).select("type", "n", F.substring(F.try_element_at(words, F.lit(1)), 1, 1).alias("initial"), F.try_element_at(words, F.lit(-1)).alias("last"), (F.length(F.try_element_at(words, F.lit(1))) == 1).alias("short"))
+    short = ends.filter("short").select("type", F.col("n").alias("one"), "initial", "last").join(ends.select("type", F.col("n").alias("other"), "initial", "last"), ["type", "initial", "last"]).filter("one <> other")
+    pairs = near.unionAll(short.select("type", F.least("one", "other").alias("na"), F.greatest("one", "other").alias("nb"))).distinct()
     j = jaccard(F.col("na"), F.col("nb"))
     edit = edit_score(F.col("na"), F.col("nb"))
     soft = F.greatest(F.when(j > 0.5, j).otherwise(0.0), F.coalesce(edit, F.lit(0.0)))
@@ -69,7 +78,10 @@ def candidates(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     matches = near.unionAll(names.select("type", F.col("n").alias("na"), F.col("n").alias("nb"), F.lit(EXACT).alias("base")))
     both = matches.join(e.toDF("x", "type", "na"), ["type", "na"]).join(e.toDF("y", "type", "nb"), ["type", "nb"]).filter("x < y OR (x > y AND na <> nb)")
     scored = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "base")
-    near = co_occurrence(mentions, "document_id", "entity_id").select("a", "b", F.lit(TOGETHER).alias("together"))
+    ids = scored.select(F.explode(F.array("a", "b")).alias("entity_id")).distinct()
+    held = mentions.join(ids, "entity_id", "left_semi").select("document_id", "entity_id").distinct()
+    ends = held.toDF("document_id", "a"), held.toDF("document_id", "b")
+    near = scored.select("a", "b").distinct().join(ends[0], "a").join(ends[1], ["document_id", "b"]).select("a", "b", F.lit(TOGETHER).alias("together")).distinct()
     total = F.least(F.lit(1.0), F.col("base") + SAME_TYPE + F.coalesce("together", F.lit(0.0)))
     out = scored.join(near, ["a", "b"], "left").select(F.col("a").alias("source"), F.col("b").alias("target"), total.alias("confidence"))
     return out.withColumn("action", F.when(F.col("confidence") >= AUTO, "auto").otherwise("queue"))

@@ -37,7 +37,7 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.eigenvector_centrality(_edges(Corpus(spark, sf_dir)), 15)
+    return graph.eigenvector_centrality(_edges(Corpus(spark, sf_dir)))
 
 
 def graph_path_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def graph_path_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.communities(_edges(Corpus(spark, sf_dir)), 6)
+    return graph.communities(_edges(Corpus(spark, sf_dir)))
 
 
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +71,11 @@ def resolver_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(graph.cut(search.postings(Corpus(spark, sf_dir)["texts"])), "of the", k=50)
+    return search.search_texts(Corpus(spark, sf_dir)["texts"], "of the", k=50)
 
 
 def search_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(graph.cut(search.postings(Corpus(spark, sf_dir)["texts"])), "of that", phrase=False, k=50)
+    return search.search_texts(Corpus(spark, sf_dir)["texts"], "of that", phrase=False, k=50)
 
 
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ QUERIES = {
 } | {"extract_entities_text": extract_entities, "extract_events_text": extract_events}
 
 _G = """WITH r AS (SELECT coalesce(x.canonical_entity_id, l.entity_a_id) AS a, coalesce(y.canonical_entity_id, l.entity_b_id) AS b, weight FROM {links} l LEFT JOIN {resolutions} x ON x.source_entity_id = l.entity_a_id
-    LEFT JOIN {resolutions} y ON y.source_entity_id = l.entity_b_id WHERE weight >= 2), g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM r WHERE a <> b GROUP BY 1, 2),
+    LEFT JOIN {resolutions} y ON y.source_entity_id = l.entity_b_id), g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM r WHERE a <> b GROUP BY 1, 2),
     ends AS (SELECT a AS node, b AS partner, weight FROM g UNION ALL SELECT b, a, weight FROM g), deg AS (SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weight FROM ends GROUP BY node)"""
 _R = """WITH e AS (SELECT id, type, lower(name) AS n FROM {entities}), p AS (SELECT a.id AS source, b.id AS target, CASE WHEN a.n = b.n THEN 0.95 WHEN length(a.n) > 8 AND length(b.n) > 8 AND levenshtein(a.n, b.n) <= 2 THEN 0.80 - 0.10 * levenshtein(a.n, b.n) ELSE 0 END AS base
     FROM e a JOIN e b ON a.type = b.type AND a.id < b.id), k AS (SELECT * FROM p WHERE base >= 0.6), t AS (SELECT DISTINCT k.source, k.target FROM k JOIN {mentions} x ON x.entity_id = k.source JOIN {mentions} y ON y.entity_id = k.target AND y.document_id = x.document_id),

@@ -17,10 +17,26 @@ EDGES = [(1, 2, 5), (2, 3, 3), (1, 4, 2), (3, 5, 1), (4, 5, 4), (7, 2, 2)]
 KINDS = {1: "person", 2: "person", 3: "person", 4: "org", 5: "place", 6: "person", 7: "person"}
 
 
+def weighted(spark, rows):
+    return spark.createDataFrame(rows, "a long, b long, weight long")
+
+
+def greedy(times, seconds, least):
+    """The windows of a sorted list, one after another."""
+    k = 0
+    while k < len(times):
+        inside = [t for t in times[k:] if t - times[k] <= seconds]
+        if len(inside) >= least:
+            yield inside[0], inside[-1], len(inside)
+            k += len(inside)
+        else:
+            k += 1
+
+
 @pytest.fixture(scope="module")
 def edges(spark):
     nodes = spark.createDataFrame(list(KINDS.items()), "id long, type string")
-    return graph.cut(graph.canonical_edges(graph.example_edges(spark, EDGES), nodes, spark.createDataFrame([(7, 1)], "s long, t long")))
+    return graph.cut(graph.canonical_edges(weighted(spark, EDGES), nodes, spark.createDataFrame([(7, 1)], "s long, t long")))
 
 
 def test_graph_canonical_edges_and_stats(spark, edges):
@@ -28,7 +44,7 @@ def test_graph_canonical_edges_and_stats(spark, edges):
     s = graph.stats(edges).first()
     assert (s.nodes, s.edges, s.components, s.density, s.avg_degree, s.avg_weighted_degree) == (5, 5, 1, 0.5, 2.0, 6.8)
     nodes = spark.createDataFrame(list(KINDS.items()), "id long, type string")
-    persons = graph.canonical_edges(graph.example_edges(spark, EDGES), nodes, spark.createDataFrame([(7, 1)], "s long, t long"), "person")
+    persons = graph.canonical_edges(weighted(spark, EDGES), nodes, spark.createDataFrame([(7, 1)], "s long, t long"), "person")
     assert persons.count() == 2
     assert graph.subgraph(edges, spark.createDataFrame([(1,), (2,), (4,)], "n long")).count() == 2
 
@@ -75,7 +91,7 @@ def test_graph_centralities(edges):
 
 
 def test_graph_components_and_communities(spark):
-    two = graph.example_edges(spark, [(1, 2, 9), (2, 3, 9), (1, 3, 9), (3, 10, 1), (10, 11, 9), (11, 12, 9), (10, 12, 9), (20, 21, 1)])
+    two = weighted(spark, [(1, 2, 9), (2, 3, 9), (1, 3, 9), (3, 10, 1), (10, 11, 9), (11, 12, 9), (10, 12, 9), (20, 21, 1)])
     assert {r.node: r.component for r in graph.components(two).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 12: 1, 20: 20, 21: 20}
     found = {r.node: r.community for r in graph.communities(two).collect()}
     assert found[1] == found[2] == found[3] != found[10] == found[11] == found[12]
@@ -166,7 +182,7 @@ def test_anchored_windows_equal_the_greedy_scan(spark):
         times = sorted(rng.randrange(0, 2000) for _ in range(150))
         rows = spark.createDataFrame([(t,) for t in times], "t long").select(F.timestamp_seconds("t").alias("at"))
         got = sorted((int(r.start.timestamp()), int(r.end.timestamp()), r.n) for r in anomaly.anchored_windows(rows, "at", 60, 4).collect())
-        assert got == list(anomaly.greedy(times, 60, 4))
+        assert got == list(greedy(times, 60, 4))
 
 
 def test_metadata_anomalies(spark):
@@ -239,3 +255,91 @@ def test_streams(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_names_meet_wherever_all_pairs_would(spark):
+    """Blocking by rare parts against every pair of names."""
+    rng = random.Random(6)
+    firsts, lasts = ["john", "j", "ann", "a", "maria", "christopher"], ["smith", "smyth", "jonesworthy", "lee"]
+    rows = [(k, " ".join([rng.choice(firsts), *([rng.choice(["van", "de", "k"])] if rng.random() < 0.3 else []), rng.choice(lasts)]), rng.choice(["person", "org"])) for k in range(120)]
+    rows += [(200 + k, n, "org") for k, n in enumerate(["northern trust", "northern trusts", "nothern trust co", "northen trust", "trust northern", "a"])]
+    entities = spark.createDataFrame(rows, "id long, name string, type string")
+    mentions = spark.createDataFrame([(k % 40, k) for k in range(120)], "document_id long, entity_id long")
+    e = entities.select("id", "type", resolve.normalized(F.col("name")).alias("n"))
+    every = e.toDF("a", "type", "x").join(e.toDF("b", "type", "y"), "type").filter("a < b")
+    j, edit = resolve.jaccard(F.col("x"), F.col("y")), resolve.edit_score(F.col("x"), F.col("y"))
+    soft = F.greatest(F.when(j > 0.5, j).otherwise(0.0), F.coalesce(edit, F.lit(0.0)), F.when(resolve.initial_match(F.col("x"), F.col("y")), resolve.INITIAL).otherwise(0.0))
+    base = F.when(F.col("x") == F.col("y"), resolve.EXACT).otherwise(soft)
+    together = "CASE WHEN a < 120 AND b < 120 AND a % 40 = b % 40 THEN 1 ELSE 0 END"
+    want = every.withColumn("base", base).filter(F.col("base") >= resolve.DROP).select("a", "b", F.least(F.lit(1.0), F.col("base") + resolve.SAME_TYPE + resolve.TOGETHER * F.expr(together)).alias("c"))
+    got = {(r.source, r.target): round(r.confidence, 6) for r in resolve.candidates(entities, mentions).collect()}
+    assert got == {(r.a, r.b): round(r.c, 6) for r in want.collect()} and len(got) > 50
+
+
+def test_path_centralities_of_a_graph_that_is_not_broadcast(edges):
+    small, large = ({r.node: r for r in graph.path_centralities(edges, most_edges=n).collect()} for n in (100, 3))
+    assert small.keys() == large.keys()
+    assert all(abs(small[v].closeness - large[v].closeness) < 1e-9 and abs(small[v].betweenness - large[v].betweenness) < 1e-9 for v in small)
+
+
+def test_paths_and_components_of_long_chains(spark):
+    chain = graph.cut(weighted(spark, [(k, k + 1, 1) for k in range(45)]))
+    assert graph.shortest_path(chain, 0, 45) == (list(range(46)), 45.0)
+    assert {r.component for r in graph.components(chain).collect()} == {0}
+
+
+def test_communities_raise_the_modularity(spark):
+    rng = random.Random(8)
+    rows = [(a, b, 3) for g in range(5) for a in range(10 * g, 10 * g + 10) for b in range(a + 1, 10 * g + 10) if rng.random() < 0.7] + [(10 * g, (10 * g + 10) % 50, 1) for g in range(5)]
+    edges = weighted(spark, [(min(a, b), max(a, b), w) for a, b, w in rows])
+    found = graph.cut(graph.communities(edges))
+    assert {r.node: r.community for r in found.collect()} == {k: k // 10 * 10 for k in range(50)}
+    names = spark.createDataFrame([(k, f"n{k}", "org" if k < 10 else "person") for k in range(50)], "node long, name string, type string")
+    about = {r.community: r for r in graph.described(edges, found.join(names, "node")).collect()}
+    assert about[0].label == "n0 / n1 / n2" and about[20].label == "n20 / n21 / n22" and about[20].size == 10
+    inside = sum(a // 10 == b // 10 == 2 for a, b, _ in rows)
+    assert abs(about[20].density - inside / 45) < 1e-9
+
+
+def test_store_survives_a_crash_at_any_place(spark, tmp_path, monkeypatch):
+    t = Store(spark, f"file://{tmp_path}/s", "k long, v string")
+    row = lambda *r: spark.createDataFrame([r], "k long, v string")
+    t.append(row(1, "a"))
+    monkeypatch.setattr(Store, "_point", lambda self, n, v: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError):
+        t.append(row(2, "b"))
+    monkeypatch.undo()
+    assert [r.k for r in t.read().collect()] == [1]
+    (tmp_path / "s" / "current-2").write_text("v-cut")  # a pointer cut short
+    assert [r.k for r in t.read().collect()] == [1]
+    reader = t.read()
+    t.append(row(3, "c"))
+    assert sorted(r.k for r in t.read().collect()) == [1, 3] and [r.k for r in reader.collect()] == [1]
+
+
+def test_store_keeps_the_changes_of_two_writers(spark, tmp_path, monkeypatch):
+    one, two = (Store(spark, f"file://{tmp_path}/s", "k long, v string") for _ in range(2))
+    row = lambda k: spark.createDataFrame([(k, "x")], "k long, v string")
+    point, met = Store._point, []
+
+    def late(self, number, version):
+        if self is one and not met:
+            met.append(number)
+            two.append(row(2))  # comes first
+        return point(self, number, version)
+
+    monkeypatch.setattr(Store, "_point", late)
+    one.append(row(1))
+    assert sorted(r.k for r in one.read().collect()) == [1, 2]
+
+
+def test_index_on_disk_answers_like_the_texts(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["running", "runs", "run", "the", "money", "monies", "laundering", "bank", "banks"]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for k in range(80)] + [(99, None)], "id long, text string")
+    index = search.Index.write(docs, f"file://{tmp_path}/index", shelves=8)
+    for query, phrase in (("run the bank", True), ("money laundering", True), ("running money", False), ("absent", True), ("", True)):
+        rows = [[(r.doc_id, round(r.score, 9)) for r in f.collect()] for f in (search.search(index, query, phrase=phrase), search.search_texts(docs, query, phrase=phrase), search.search(search.postings(docs), query, phrase=phrase))]
+        assert rows[0] == rows[1] == rows[2] and bool(rows[0]) == (query not in ("absent", ""))
+    plan = index.of(["run"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [shelf" in plan.replace("isnotnull(shelf#", "shelf#") or "PartitionFilters: [isnotnull(shelf" in plan
