@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.bindings import Corpus
+from quaestor.functions import phrases
 from quaestor.functions import search as fts
 from quaestor.operators import graph, pairs
 
@@ -204,6 +205,45 @@ def list_keywords(c: Corpus, limit: int | None = 30) -> DataFrame:
     return _page(totals, [F.col("total_count").desc(), "word"], limit)
 
 
+def document_clusters(c: Corpus, min_cluster_size: int = 3, limit: int | None = 20, sample: int = 10, entities: int = 10) -> dict[str, DataFrame]:
+    """Documents grouped by their most frequent keyword: clusters by size, the first members of each, and entities that a third of a cluster shares."""
+    best = c["keywords"].groupBy("document_id").agg(F.min(F.struct((-F.col("count")).alias("count"), "word")).alias("m")).select("document_id", F.col("m.word").alias("keyword"))
+    clusters = _page(best.groupBy("keyword").agg(F.count("*").alias("size")).filter(F.col("size") >= min_cluster_size), [F.col("size").desc(), "keyword"], limit)
+    members = best.join(clusters, "keyword")
+    first = pairs.top_per_group(members, ["keyword"], [F.col("document_id")], sample).select("keyword", "document_id", "rank")
+    held = c["mentions"].join(members, "document_id").groupBy("keyword", "size", "entity_id").agg(F.countDistinct("document_id").alias("doc_count"))
+    common = held.filter(F.col("doc_count") >= F.greatest(F.lit(2), F.floor(F.col("size") / 3)))
+    top = pairs.top_per_group(common, ["keyword"], [F.col("doc_count").desc(), F.col("entity_id")], entities)
+    return {"clusters": clusters, "documents": first, "shared_entities": top.join(c["entities"], F.col("id") == F.col("entity_id")).select("keyword", "id", "name", "type", "doc_count", "rank")}
+
+
+def cluster_map(c: Corpus, min_cluster_size: int = 3, looked_at: int = 50, entities: int = 10) -> dict[str, DataFrame]:
+    """Categories by number of documents, the entities that most of the first ``looked_at`` documents of each name, and the names that two categories share."""
+    clusters = c["docs"].groupBy("category").agg(F.count("*").alias("doc_count")).filter(F.col("doc_count") >= min_cluster_size)
+    first = pairs.top_per_group(c["docs"].select("category", F.col("id").alias("document_id")).join(clusters.select("category"), "category"), ["category"], [F.col("document_id")], looked_at).drop("rank")
+    counted = c["mentions"].join(first, "document_id").groupBy("category", "entity_id").agg(F.count("*").alias("count"))
+    top = pairs.top_per_group(counted, ["category"], [F.col("count").desc(), F.col("entity_id")], entities)
+    top = top.join(c["entities"], F.col("id") == F.col("entity_id")).select("category", "id", "name", "type", "count", "rank")
+    names = top.select("category", "name").distinct()
+    both = names.toDF("cluster_a", "name").join(names.toDF("cluster_b", "name"), "name").filter("cluster_a < cluster_b")
+    return {"clusters": clusters, "top_entities": top, "overlaps": both.groupBy("cluster_a", "cluster_b").agg(F.count("*").alias("overlap_count"))}
+
+
+def phrase_trends(c: Corpus, top_n: int = 20) -> DataFrame:
+    """Phrases that most texts repeat, by the year of their documents."""
+    return phrases.phrase_trends(phrases.repeated_phrases(c["texts"]), c["docs"], top_n)
+
+
+def provenance_summary(c: Corpus, events: DataFrame, recent: int = 20) -> dict[str, DataFrame]:
+    """Tracked and untracked documents, kinds of events and the last ones, of a table of provenance events (document_id, event_type, event_date, description, actor, created_at)."""
+    tracked = c["docs"].agg(F.count("*").alias("total_documents")).crossJoin(events.agg(F.countDistinct("document_id").alias("tracked_documents")))  # one row each
+    titled = events.join(c["docs"].select(F.col("id").alias("document_id"), "title"), "document_id")
+    return {
+        "summary": tracked.withColumn("untracked", F.col("total_documents") - F.col("tracked_documents")), "event_types": events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "event_type"),
+        "recent": _page(titled.select("event_type", "event_date", "description", "actor", "title", "document_id", "created_at"), [F.col("created_at").desc(), "document_id"], recent),
+    }
+
+
 # entities
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor.functions import phrases
 from quaestor.sources.store import Store
 
 #: Tables: schema, and the columns of which a repeated row is left out.
@@ -161,9 +162,7 @@ class Workspace:
 
     def redacted_text(self, documents: DataFrame) -> DataFrame:
         """(id, text): spans, clamped to the text and merged where they overlap, replaced by [REDACTED]."""
-        spans = self.table("redactions").groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start_offset", "end_offset"))).alias("spans"))
-        fold = "aggregate(spans, struct(0 AS at, '' AS out), (s, x) -> CASE WHEN x.start_offset < s.at THEN struct(greatest(s.at, least(x.end_offset, length(text))) AS at, s.out AS out) ELSE struct(greatest(least(x.end_offset, length(text)), s.at) AS at, concat(s.out, substr(text, s.at + 1, least(x.start_offset, length(text)) - s.at), '[REDACTED]') AS out) END, s -> concat(s.out, substr(text, s.at + 1)))"
-        return documents.select("id", "text").join(spans, "id").select("id", F.expr(fold).alias("text"))
+        return phrases.redacted(documents, self.table("redactions")).select("id", "text")
 
     def dismiss(self, a: int, b: int) -> int:
         return self.add("dismissals", doc_a=min(a, b), doc_b=max(a, b))
