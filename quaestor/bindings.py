@@ -30,8 +30,11 @@ ORACLE: dict[str, str] = {
         floor(o_totalprice / 10)::BIGINT AS n_chars
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
-    "entities": f"SELECT p_partkey AS id, p_name AS name, {_TYPE_SQL} AS type, lower(p_name) AS canonical FROM part",
-    "mentions": "SELECT l_orderkey AS document_id, l_partkey AS entity_id, sum(l_quantity)::BIGINT AS count FROM lineitem GROUP BY 1, 2",
+    # beside the parts, entities that one document alone names
+    "entities": f"""SELECT p_partkey AS id, p_name AS name, {_TYPE_SQL} AS type, lower(p_name) AS canonical FROM part
+        UNION ALL SELECT 10000000 + o_orderkey, 'Lone ' || o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'person' ELSE 'org' END, 'lone ' || o_orderkey FROM orders WHERE o_orderkey % 97 = 0""",
+    "mentions": """SELECT l_orderkey AS document_id, l_partkey AS entity_id, sum(l_quantity)::BIGINT AS count FROM lineitem GROUP BY 1, 2
+        UNION ALL SELECT o_orderkey, 10000000 + o_orderkey, 12 FROM orders WHERE o_orderkey % 97 = 0""",
     "links": """SELECT a.entity_id AS entity_a_id, b.entity_id AS entity_b_id, count(DISTINCT a.document_id) AS weight
         FROM mentions a JOIN mentions b ON a.document_id = b.document_id AND a.entity_id < b.entity_id GROUP BY 1, 2""",
     "dated": """SELECT o_orderkey AS id, o_orderkey AS document_id,
@@ -48,7 +51,10 @@ ORACLE: dict[str, str] = {
             CASE WHEN (id * 13) % 100 >= 70 THEN 'high' WHEN (id * 13) % 100 >= 40 THEN 'medium' ELSE 'low' END AS severity FROM docs
         UNION ALL SELECT id, 'topic', CASE id % 3 WHEN 0 THEN 'finance' WHEN 1 THEN 'travel' ELSE 'politics' END, (id * 29) % 100, 'info' FROM docs
         UNION ALL SELECT id, 'aml_flag', CASE id % 2 WHEN 0 THEN 'shell_company' ELSE 'structuring' END, (id * 31) % 100, CASE WHEN id % 3 = 0 THEN 'high' ELSE 'medium' END FROM docs WHERE id % 11 = 0
-        UNION ALL SELECT id, 'codeword', 'word' || (id % 17), 50, 'medium' FROM docs WHERE id % 13 = 0""",
+        UNION ALL SELECT id, 'codeword', 'word' || (id % 17), 50, 'medium' FROM docs WHERE id % 13 = 0
+        UNION ALL SELECT id, 'tone', CASE id % 3 WHEN 0 THEN 'hostile' WHEN 1 THEN 'neutral' ELSE 'urgent' END, (id * 37) % 100, 'info' FROM docs WHERE id % 5 = 0""",
+    "ratings": "SELECT n_name AS source, CASE n_nationkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'D' END AS rating FROM nation WHERE n_nationkey % 2 = 0",
+    "history": "SELECT event_type || ' ' || (user_id % 7) AS query, floor(value)::BIGINT AS results, strftime(ts, '%Y-%m-%d %H:%M:%S') AS searched_at FROM main.events WHERE event_id % 5 = 0",
     "tags": "SELECT id AS entity_id, CASE WHEN id % 10 = 0 THEN 'key' ELSE 'minor' END AS tag FROM entities WHERE id % 5 = 0 UNION ALL SELECT id, 'seen' FROM entities WHERE id % 15 = 0",
     "redactions": """SELECT id AS document_id, CASE id % 3 WHEN 0 THEN 'privacy' WHEN 1 THEN 'legal' ELSE 'security' END AS reason, (id % 50) * 3 AS start_offset, (id % 50) * 3 + (id % 240) + 1 AS end_offset
         FROM docs WHERE id % 6 = 0 UNION ALL SELECT id, 'legal', 5, 25 FROM docs WHERE id % 12 = 0""",
@@ -92,6 +98,8 @@ COLUMNS = {
     "tags": "entity_id long, tag string",
     "redactions": "document_id long, reason string, start_offset long, end_offset long",
     "keywords": "document_id long, word string, count long",
+    "ratings": "source string, rating string",
+    "history": "query string, results long, searched_at string",
     "pdf_metadata": "document_id long, author string, creator string, producer string, creation_date string, modification_date string, encrypted boolean",
 }
 
@@ -148,10 +156,13 @@ class Corpus:
 
     def _entities(self) -> DataFrame:
         kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("p_partkey") % 4 + 1).cast("int"))
-        return self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("type"), F.lower("p_name").alias("canonical"))
+        parts = self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("type"), F.lower("p_name").alias("canonical"))
+        lone = self.raw("orders").filter("o_orderkey % 97 = 0").selectExpr("10000000 + o_orderkey AS id", "concat('Lone ', o_orderkey) AS name", "IF(o_orderkey % 2 = 0, 'person', 'org') AS type", "concat('lone ', o_orderkey) AS canonical")
+        return parts.unionAll(lone)
 
     def _mentions(self) -> DataFrame:
-        return self.raw("lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("entity_id")).agg(F.sum("l_quantity").cast("long").alias("count"))
+        lines = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("entity_id")).agg(F.sum("l_quantity").cast("long").alias("count"))
+        return lines.unionAll(self.raw("orders").filter("o_orderkey % 97 = 0").selectExpr("o_orderkey", "10000000 + o_orderkey", "12L"))
 
     def _links(self) -> DataFrame:
         from quaestor.operators.pairs import co_occurrence
@@ -192,6 +203,7 @@ class Corpus:
             fact(d, "risk_score", F.lit("overall"), risk, F.when(risk >= 70, "high").when(risk >= 40, "medium").otherwise("low")),
             fact(d, "topic", F.element_at(F.array(*map(F.lit, ("finance", "travel", "politics"))), (F.col("id") % 3 + 1).cast("int")), (F.col("id") * 29) % 100, F.lit("info")),
             fact(d.filter("id % 11 = 0"), "aml_flag", F.expr("IF(id % 2 = 0, 'shell_company', 'structuring')"), (F.col("id") * 31) % 100, F.expr("IF(id % 3 = 0, 'high', 'medium')")),
+            fact(d.filter("id % 5 = 0"), "tone", F.element_at(F.array(*map(F.lit, ("hostile", "neutral", "urgent"))), (F.col("id") % 3 + 1).cast("int")), (F.col("id") * 37) % 100, F.lit("info")),
             fact(d.filter("id % 13 = 0"), "codeword", F.concat(F.lit("word"), F.col("id") % 17), F.lit(50).cast("long"), F.lit("medium")),
         ]
         return functools.reduce(DataFrame.unionAll, parts)
@@ -217,6 +229,13 @@ class Corpus:
     def _conversations(self) -> DataFrame:
         return self.raw("conversations")
 
+    def _ratings(self) -> DataFrame:
+        return self.raw("nation").filter("n_nationkey % 2 = 0").selectExpr("n_name AS source", "CASE n_nationkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'D' END AS rating")
+
+    def _history(self) -> DataFrame:
+        rows = self.raw("events").filter("event_id % 5 = 0")
+        return rows.select(F.concat("event_type", F.lit(" "), F.col("user_id") % 7).alias("query"), F.floor("value").alias("results"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("searched_at"))
+
     def _activity(self) -> DataFrame:
         return self.raw("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", "event_type", "value")
 

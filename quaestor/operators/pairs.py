@@ -17,6 +17,44 @@ def co_occurrence(bridge: DataFrame, group: str, member: str) -> DataFrame:
     return left.join(right, "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
+def _rarest_first(bridge: DataFrame, member: str, group: str) -> DataFrame:
+    """(m, n, items): a member's distinct groups, those of fewest members first."""
+    rows = bridge.select(F.col(member).alias("m"), F.col(group).alias("g")).filter("m IS NOT NULL AND g IS NOT NULL").distinct()
+    sizes = rows.groupBy("g").agg(F.count("*").alias("f"))
+    items = rows.join(sizes, "g").groupBy("m").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))
+    return items.select("m", F.size("s").alias("n"), F.transform("s", lambda x: x["g"]).alias("items"))
+
+
+def _counted(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, shared) of candidate pairs, a < b, once each."""
+    both = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = both.join(sets.toDF("a", "n_a", "items_a"), "a").join(sets.toDF("b", "n_b", "items_b"), "b")
+    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("shared"))
+
+
+def sharing(bridge: DataFrame, member: str, group: str, least: int) -> DataFrame:
+    """(a, b, shared): members a < b with at least ``least`` groups in common.
+
+    Two such members share one of all but their ``least`` - 1 most common groups, so these, the largest, pair no one.
+    """
+    sets = _rarest_first(bridge, member, group).filter(F.col("n") >= least)
+    prefix = sets.select("m", F.explode(F.expr(f"slice(items, 1, n - {least - 1})")).alias("g"))
+    met = prefix.toDF("a", "g").join(prefix.toDF("b", "g"), "g").filter("a < b").select("a", "b")
+    return _counted(met, sets).filter(F.col("shared") >= least).select("a", "b", "shared")
+
+
+def overlapping(bridge: DataFrame, member: str, group: str, share: float) -> DataFrame:
+    """(a, b, shared): members a < b that share at least ``share`` of the smaller one's groups.
+
+    The smaller one has a shared group among its rarest n - ceil(share * n) + 1, which alone look for others.
+    """
+    sets = _rarest_first(bridge, member, group)
+    short = sets.select("m", "n", F.explode(F.expr(f"slice(items, 1, n - CAST(ceil({share!r}D * n - 1e-9) AS INT) + 1)")).alias("g"))
+    every = sets.select(F.col("m").alias("b"), F.col("n").alias("n_b"), F.explode("items").alias("g"))
+    met = short.toDF("a", "n_a", "g").join(every, "g").filter("a <> b AND n_a <= n_b").select("a", "b")
+    return _counted(met, sets).filter(F.col("shared") >= share * F.least("n_a", "n_b") - 1e-9).select("a", "b", "shared")
+
+
 def both_ends(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, partner, other columns): each undirected edge seen from either end."""
     rest = [c for c in edges.columns if c not in (a, b)]

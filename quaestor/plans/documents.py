@@ -5,21 +5,14 @@ _AGES = "CASE WHEN pages = 0 THEN '0' WHEN pages <= 2 THEN '1-2' WHEN pages <= 4
 _SIZES = "CASE WHEN n_chars < 1000 THEN '<1K' WHEN n_chars < 5000 THEN '1K-5K' WHEN n_chars < 20000 THEN '5K-20K' WHEN n_chars < 100000 THEN '20K-100K' ELSE '100K+' END"
 
 PLANS = {
-    "list_documents": "SELECT id, title, category, ingest_day FROM {docs} WHERE category = 'legal' AND flagged ORDER BY ingest_day DESC, id LIMIT 50",
-    "get_document_keywords": "SELECT word, count FROM {keywords} WHERE document_id = 5 ORDER BY count DESC, word LIMIT 30",
     "list_sources": "SELECT source, count(*) AS n_docs, CAST(sum(pages) AS BIGINT) AS pages FROM {docs} GROUP BY source",
-    "list_keywords": "SELECT word, CAST(sum(count) AS BIGINT) AS total_count, count(*) AS doc_count FROM {keywords} GROUP BY word ORDER BY total_count DESC, word LIMIT 30",
     "keyword_cooccurrence": "WITH top AS (SELECT document_id, word FROM (SELECT document_id, word, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, word) AS rank FROM {keywords}) r WHERE rank <= 50), k AS (SELECT document_id, word FROM top WHERE word IN (SELECT word FROM top GROUP BY word HAVING count(*) >= 5)) SELECT a.word AS word_a, b.word AS word_b, count(*) AS shared FROM k a JOIN k b ON a.document_id = b.document_id AND a.word < b.word GROUP BY a.word, b.word HAVING count(*) >= 3 ORDER BY shared DESC, word_a, word_b LIMIT 40",
     "get_stats": "SELECT (SELECT count(*) FROM {docs}) AS documents, (SELECT count(*) FROM {entities}) AS entities, (SELECT count(DISTINCT word) FROM {keywords}) AS keywords, (SELECT count(*) FROM {links}) AS connections",
     "stats_categories": "SELECT category, count(*) AS n FROM {docs} GROUP BY category",
     "dashboard_summary": "SELECT count(*) AS documents, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(CASE WHEN flagged THEN 1 ELSE 0 END) AS BIGINT) AS flagged, count(DISTINCT source) AS sources, min(date) AS first_date, max(date) AS last_date FROM {docs}",
+    "dashboard_categories": "SELECT category, count(*) AS n, CAST(sum(pages) AS BIGINT) AS pages FROM {docs} GROUP BY category ORDER BY n DESC, category LIMIT 10",
+    "dashboard_sources": "SELECT source, count(*) AS n FROM {docs} WHERE source <> '' GROUP BY source ORDER BY n DESC, source LIMIT 10",
     "dashboard_alerts": "SELECT d.id, d.title, f.percent FROM {docs} d JOIN {facts} f ON f.document_id = d.id WHERE f.analysis_type = 'risk_score' AND f.percent >= 70",
-    "advanced_search": "SELECT d.id, d.title, d.category, d.source, d.date FROM {docs} d WHERE d.category = 'report' AND d.date BETWEEN '1996-01-01' AND '1998-12-31' AND EXISTS (SELECT 1 FROM {mentions} m JOIN {entities} e ON e.id = m.entity_id WHERE m.document_id = d.id AND e.name ILIKE '%blue%') AND EXISTS (SELECT 1 FROM {facts} f WHERE f.document_id = d.id AND f.analysis_type = 'risk_score' AND f.percent >= 50)",
-    "document_similar": "WITH n AS (SELECT document_id, count(*) AS n FROM {mentions} GROUP BY document_id), s AS (SELECT b.document_id, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id <> b.document_id WHERE a.document_id = 7 GROUP BY b.document_id) SELECT s.document_id, s.shared, round(CAST(s.shared AS DOUBLE) / (x.n + y.n - s.shared), 6) AS jaccard FROM s JOIN n x ON x.document_id = 7 JOIN n y ON y.document_id = s.document_id ORDER BY jaccard DESC, s.document_id LIMIT 10",
-    "compare_documents": "SELECT count(CASE WHEN n = 2 THEN 1 END) AS shared, count(CASE WHEN n = 1 AND d = 7 THEN 1 END) AS only_a, count(CASE WHEN n = 1 AND d = 32 THEN 1 END) AS only_b FROM (SELECT entity_id, count(DISTINCT document_id) AS n, min(document_id) AS d FROM {mentions} WHERE document_id IN (7, 32) GROUP BY entity_id) x",
-    "document_sidebyside_keywords": "SELECT a.word, a.count AS count_a, b.count AS count_b FROM {keywords} a JOIN {keywords} b ON a.word = b.word WHERE a.document_id = 1 AND b.document_id = 2",
-    "cross_references": "SELECT m.document_id, count(DISTINCT e.id) AS hits FROM {entities} e JOIN {mentions} m ON m.entity_id = e.id WHERE length(e.name) >= 3 AND contains('red widget and a blue gear', lower(e.name)) GROUP BY m.document_id",
-    "cluster_map": "SELECT category, count(*) AS n FROM {docs} GROUP BY category HAVING count(*) >= 3",
     "source_timeline": "SELECT source, substr(date, 1, 4) AS year, count(*) AS n FROM {docs} GROUP BY source, substr(date, 1, 4)",
     "flagged_hub": "SELECT d.id, d.title, count(m.entity_id) AS n_entities FROM {docs} d LEFT JOIN {mentions} m ON m.document_id = d.id WHERE d.flagged GROUP BY d.id, d.title",
     "flagged_summary": "SELECT category, CAST(sum(CASE WHEN flagged THEN 1 ELSE 0 END) AS BIGINT) AS flagged, count(*) AS total FROM {docs} GROUP BY category",
@@ -34,6 +27,7 @@ PLANS = {
     "text_length_distribution": f"SELECT {_SIZES} AS bucket, count(*) AS n FROM {{texts}} GROUP BY 1",
     "document_text_length": "SELECT id, n_chars FROM {texts} ORDER BY n_chars DESC, id LIMIT 100",
     "document_readability": "SELECT round(avg(n_chars), 6) AS mean, max(n_chars) AS most, min(n_chars) AS least FROM {texts}",
+    "document_readability_top": "SELECT id, n_chars, WORDS(text) AS n_words, round(CAST(length(text) AS DOUBLE) / WORDS(text), 4) AS per_word FROM {texts} WHERE n_chars > 0 ORDER BY n_chars DESC, id LIMIT 100",
     "document_word_count": "SELECT id, CAST(sum(count) AS BIGINT) AS n_words, count(*) AS n_distinct FROM (SELECT document_id AS id, count FROM {keywords}) x GROUP BY id",
     "document_duplicates_hash": "SELECT file_hash, count(*) AS n, JOINED(filename) AS files FROM {docs} GROUP BY file_hash HAVING count(*) > 1",
     "document_duplicates_title": "SELECT title, count(*) AS n FROM {docs} GROUP BY title HAVING count(*) > 1",
@@ -46,9 +40,6 @@ PLANS = {
     "ingest_timeline": "SELECT ingest_day, count(*) AS n, JOINED(category) AS categories FROM {docs} GROUP BY ingest_day",
     "ingest_velocity": "SELECT ingest_day, ingest_hour, count(*) AS n, CAST(sum(pages) AS BIGINT) AS pages FROM {docs} GROUP BY ingest_day, ingest_hour",
     "document_shared_entities": "SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY a.document_id, b.document_id ORDER BY shared DESC, doc_a, doc_b LIMIT 100",
-    "detect_duplicates": "WITH n AS (SELECT document_id, count(*) AS n FROM {mentions} GROUP BY document_id), s AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY 1, 2) SELECT doc_a, doc_b, shared FROM s JOIN n x ON x.document_id = doc_a JOIN n y ON y.document_id = doc_b WHERE shared >= 0.6 * least(x.n, y.n)",
-    "entity_clusters": "SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY 1, 2 HAVING count(*) >= 2",
-    "document_clusters": "WITH r AS (SELECT document_id, word, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, word) AS rank FROM {keywords} WHERE length(word) >= 3) SELECT word, count(*) AS n FROM r WHERE rank = 1 GROUP BY word HAVING count(*) >= 3",
     "source_date_range": "SELECT source, min(date) AS first_date, max(date) AS last_date, count(*) AS n, CAST(sum(pages) AS BIGINT) AS pages FROM {docs} GROUP BY source",
     "category_stats": "SELECT d.category, count(*) AS doc_count, CAST(sum(d.pages) AS BIGINT) AS pages, count(DISTINCT m.entity_id) AS n_entities FROM {docs} d LEFT JOIN {mentions} m ON m.document_id = d.id GROUP BY d.category",
     "document_date_clusters": "SELECT substr(date, 1, 4) AS year, count(*) AS n, CAST(sum(pages) AS BIGINT) AS pages, count(DISTINCT source) AS sources FROM {docs} GROUP BY 1",
@@ -82,7 +73,8 @@ PLANS = {
     "document_gap_years": "SELECT substr(date, 1, 4) AS year, count(*) AS n, count(DISTINCT substr(date, 1, 7)) AS months FROM {docs} GROUP BY 1",
     "ocr_quality_overview": "SELECT grade, count(*) AS n FROM (SELECT CASE WHEN per_page >= 8000 THEN 'good' WHEN per_page >= 4000 THEN 'fair' WHEN per_page >= 1500 THEN 'poor' ELSE 'very_poor' END AS grade FROM (SELECT floor(n_chars / pages) AS per_page FROM {docs} WHERE pages > 0) x) y GROUP BY grade",
     "export_documents": "SELECT d.id, d.title, d.category, d.source, count(DISTINCT m.entity_id) AS entity_count FROM {docs} d LEFT JOIN {mentions} m ON m.document_id = d.id GROUP BY d.id, d.title, d.category, d.source ORDER BY entity_count DESC, d.id LIMIT 500",
-    "source_credibility": "SELECT s.source, s.n, r.rating FROM (SELECT source, count(*) AS n FROM {docs} GROUP BY source) s LEFT JOIN (SELECT 'NATION_6' AS source, 'A' AS rating UNION ALL SELECT 'NATION_12', 'C') r ON r.source = s.source",
+    "source_credibility": "SELECT s.source, s.n, r.rating FROM (SELECT source, count(*) AS n FROM {docs} GROUP BY source) s LEFT JOIN {ratings} r ON r.source = s.source",
+    "source_credibility_overlap": "WITH se AS (SELECT DISTINCT d.source, m.entity_id FROM {docs} d JOIN {mentions} m ON m.document_id = d.id) SELECT a.source AS source_a, b.source AS source_b, count(*) AS shared, max(x.rating) AS rating_a, max(y.rating) AS rating_b FROM se a JOIN se b ON a.entity_id = b.entity_id AND a.source < b.source LEFT JOIN {ratings} x ON x.source = a.source LEFT JOIN {ratings} y ON y.source = b.source GROUP BY a.source, b.source ORDER BY shared DESC, source_a, source_b LIMIT 20",
     "keyword_alerts": "WITH k AS (SELECT 'tion' AS keyword UNION ALL SELECT 'password'), h AS (SELECT k.keyword, t.id, CAST(floor((length(t.text) - length(replace(t.text, k.keyword, ''))) / length(k.keyword)) AS BIGINT) AS hits FROM {texts} t JOIN k ON contains(t.text, k.keyword)) SELECT keyword, id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY hits DESC, id) AS rank FROM h) x WHERE rank <= 20",
     "redaction_analysis": "SELECT d.category, r.reason, count(*) AS n, CAST(sum(r.end_offset - r.start_offset) AS BIGINT) AS chars FROM {redactions} r JOIN {docs} d ON d.id = r.document_id GROUP BY d.category, r.reason",
     "redaction_density": "SELECT d.id, count(r.document_id) AS n, round(CAST(1000 AS DOUBLE) * count(r.document_id) / d.n_chars, 4) AS per_1000 FROM {docs} d JOIN {redactions} r ON r.document_id = d.id WHERE d.n_chars > 0 GROUP BY d.id, d.n_chars",

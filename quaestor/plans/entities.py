@@ -5,20 +5,12 @@ _DOCS = _STATS + " JOIN {docs} d ON d.id = m.document_id"
 _TOTALS = "count(DISTINCT m.document_id) AS doc_count, CAST(sum(m.count) AS BIGINT) AS mentions"
 
 PLANS = {
-    "list_entities": f"SELECT e.id, e.name, e.type, {_TOTALS} FROM {_STATS} GROUP BY e.id, e.name, e.type ORDER BY mentions DESC, e.id LIMIT 30",
-    "list_entities_person": f"SELECT e.id, e.name, {_TOTALS} FROM {_STATS} WHERE e.type = 'person' GROUP BY e.id, e.name ORDER BY mentions DESC, e.id LIMIT 30",
-    "search_entities": f"SELECT e.id, e.name, e.type, {_TOTALS} FROM {_STATS} WHERE e.name ILIKE '%red%' GROUP BY e.id, e.name, e.type ORDER BY mentions DESC, e.id LIMIT 10",
-    "entity_documents": f"SELECT d.id, d.title, d.category, m.count FROM {_DOCS} WHERE e.id = 7 ORDER BY m.count DESC, d.id LIMIT 20",
-    "entity_timeline_coentities": "SELECT e.id, e.name, e.type, count(DISTINCT b.document_id) AS shared FROM {mentions} a JOIN {mentions} b ON a.document_id = b.document_id AND a.entity_id <> b.entity_id JOIN {entities} e ON e.id = b.entity_id WHERE a.entity_id = 7 GROUP BY e.id, e.name, e.type ORDER BY shared DESC, e.id LIMIT 15",
-    "entities_by_tag": "SELECT e.id, e.name, e.type, count(DISTINCT m.document_id) AS doc_count, CAST(coalesce(sum(m.count), 0) AS BIGINT) AS mentions FROM {tags} t JOIN {entities} e ON e.id = t.entity_id LEFT JOIN {mentions} m ON m.entity_id = e.id WHERE t.tag = 'key' GROUP BY e.id, e.name, e.type",
     "list_all_tags": "SELECT tag, count(*) AS n FROM {tags} GROUP BY tag",
     "tag_analytics_by_type": "SELECT t.tag, e.type, count(*) AS n FROM {tags} t JOIN {entities} e ON e.id = t.entity_id GROUP BY t.tag, e.type",
     "tag_analytics_pairs": "SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n FROM {tags} a JOIN {tags} b ON a.entity_id = b.entity_id AND a.tag < b.tag GROUP BY a.tag, b.tag",
     "tag_analytics_top": "SELECT e.id, e.name, count(*) AS n_tags, JOINED(t.tag) AS tags FROM {tags} t JOIN {entities} e ON e.id = t.entity_id GROUP BY e.id, e.name ORDER BY n_tags DESC, e.id LIMIT 20",
     "bulk_tag_candidates": "SELECT e.id, CAST(sum(m.count) AS BIGINT) AS mentions FROM " + _STATS + " WHERE e.type = 'org' GROUP BY e.id HAVING sum(m.count) >= 900",
-    "merge_preview": "SELECT CAST(sum(CASE WHEN n_ids = 2 THEN 1 ELSE 0 END) AS BIGINT) AS shared, CAST(sum(has_source) AS BIGINT) AS source_docs, CAST(sum(has_target) AS BIGINT) AS target_docs, count(*) AS merged_docs FROM (SELECT document_id, count(DISTINCT entity_id) AS n_ids, max(CASE WHEN entity_id = 5 THEN 1 ELSE 0 END) AS has_source, max(CASE WHEN entity_id = 9 THEN 1 ELSE 0 END) AS has_target FROM {mentions} WHERE entity_id IN (5, 9) GROUP BY document_id) x",
     "merge_entities": "SELECT document_id, CASE WHEN entity_id = 5 THEN 9 ELSE entity_id END AS entity_id, CAST(sum(count) AS BIGINT) AS count FROM {mentions} WHERE entity_id IN (5, 9, 11) GROUP BY 1, 2",
-    "resolve_alias": "SELECT id, name, source FROM (SELECT e.id, e.name, 1 AS rank, 'alias' AS source FROM {aliases} a JOIN {entities} e ON e.id = a.entity_id WHERE lower(a.alias_name) LIKE '%#5' UNION ALL SELECT id, name, 2, 'name' FROM {entities} WHERE lower(name) LIKE '%red%') x ORDER BY rank, id LIMIT 1",
     "entity_path_suggestions": f"SELECT e.id, e.name, e.type, count(DISTINCT m.document_id) AS doc_count FROM {_STATS} GROUP BY e.id, e.name, e.type ORDER BY doc_count DESC, e.id LIMIT 200",
     "entity_frequency": f"WITH top AS (SELECT e.id, e.name, sum(m.count) AS n FROM {_STATS} WHERE e.type = 'person' GROUP BY e.id, e.name ORDER BY n DESC, e.id LIMIT 20) SELECT t.id, t.name, substr(d.date, 1, 4) AS year, CAST(sum(m.count) AS BIGINT) AS mentions FROM top t JOIN {{mentions}} m ON m.entity_id = t.id JOIN {{docs}} d ON d.id = m.document_id GROUP BY t.id, t.name, substr(d.date, 1, 4)",
     "location_frequency": f"SELECT e.id, e.name, {_TOTALS}, count(DISTINCT d.category) AS n_categories, JOINED(d.category) AS categories, count(DISTINCT d.source) AS n_sources FROM {_DOCS} WHERE e.type = 'place' GROUP BY e.id, e.name",
@@ -48,7 +40,6 @@ PLANS = {
     "entity_name_pattern": "SELECT id, name, CAST(length(name) AS BIGINT) AS len FROM {entities} ORDER BY len DESC, id LIMIT 50",
     "entity_name_duplicates": "SELECT a.id AS id_a, b.id AS id_b, a.name FROM {entities} a JOIN {entities} b ON a.name = b.name AND a.type <> b.type AND a.id < b.id",
     # names are compared once each, then joined back to their entities
-    "entity_disambiguation": "WITH n AS (SELECT DISTINCT type, lower(name) AS n FROM {entities}), p AS (SELECT a.type, a.n AS long_name, b.n AS short_name FROM n a JOIN n b ON a.type = b.type AND length(a.n) > length(b.n) AND contains(a.n, b.n)), q AS (SELECT p.type, x.id AS x, y.id AS y FROM p JOIN {entities} x ON x.type = p.type AND lower(x.name) = p.long_name JOIN {entities} y ON y.type = p.type AND lower(y.name) = p.short_name) SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM q",
     "high_value_targets": f"WITH s AS (SELECT e.id, e.name, {_TOTALS}, count(DISTINCT d.source) AS n_sources FROM {_DOCS} WHERE e.type IN ('person', 'org') GROUP BY e.id, e.name), deg AS (SELECT id, count(*) AS degree FROM (SELECT entity_a_id AS id FROM {{links}} UNION ALL SELECT entity_b_id FROM {{links}}) x GROUP BY id), ev AS (SELECT entity_id, count(*) AS n FROM {{event_entities}} GROUP BY entity_id) SELECT s.id, s.name, round(CAST(3 AS DOUBLE) * s.doc_count + CAST(0.01 AS DOUBLE) * s.mentions + 5 * s.n_sources + 2 * coalesce(deg.degree, 0) + CAST(0.5 AS DOUBLE) * coalesce(ev.n, 0), 2) AS score FROM s LEFT JOIN deg ON deg.id = s.id LEFT JOIN ev ON ev.entity_id = s.id ORDER BY score DESC, s.id LIMIT 50",
     "influence_scores": f"WITH s AS (SELECT e.id, e.name, {_TOTALS} FROM {_STATS} GROUP BY e.id, e.name), w AS (SELECT id, sum(weight) AS weight FROM (SELECT entity_a_id AS id, weight FROM {{links}} UNION ALL SELECT entity_b_id, weight FROM {{links}}) x GROUP BY id), ev AS (SELECT entity_id, count(*) AS n FROM {{event_entities}} GROUP BY entity_id), f AS (SELECT m.entity_id, count(*) AS n FROM {{mentions}} m JOIN {{indicators}} i ON i.document_id = m.document_id GROUP BY m.entity_id) SELECT s.id, s.name, round(CAST(3 AS DOUBLE) * s.doc_count + CAST(0.1 AS DOUBLE) * s.mentions + CAST(0.5 AS DOUBLE) * CAST(coalesce(w.weight, 0) AS BIGINT) + 2 * coalesce(ev.n, 0) + 5 * coalesce(f.n, 0), 1) AS score FROM s LEFT JOIN w ON w.id = s.id LEFT JOIN ev ON ev.entity_id = s.id LEFT JOIN f ON f.entity_id = s.id ORDER BY score DESC, s.id LIMIT 50",
     "entity_pair_history": "SELECT d.id, d.title, d.date, x.count + y.count AS combined FROM (SELECT entity_a_id, entity_b_id FROM {links} ORDER BY weight DESC, entity_a_id, entity_b_id LIMIT 1) l JOIN {mentions} x ON x.entity_id = l.entity_a_id JOIN {mentions} y ON y.entity_id = l.entity_b_id AND x.document_id = y.document_id JOIN {docs} d ON d.id = x.document_id",
@@ -81,7 +72,6 @@ PLANS = {
     "corroboration_entities": f"SELECT e.id, e.name, count(DISTINCT d.source) AS n_sources, count(DISTINCT d.id) AS n_docs FROM {_DOCS} GROUP BY e.id, e.name HAVING count(DISTINCT d.source) >= 2",
     "corroboration_pairs": "SELECT x.entity_id AS id_a, y.entity_id AS id_b, count(DISTINCT d.source) AS n_sources FROM {mentions} x JOIN {mentions} y ON x.document_id = y.document_id AND x.entity_id < y.entity_id JOIN {docs} d ON d.id = x.document_id GROUP BY x.entity_id, y.entity_id HAVING count(DISTINCT d.source) >= 2",
     "cover_name_detection": "WITH n AS (SELECT m.entity_id AS id, count(DISTINCT m.document_id) AS docs FROM {mentions} m JOIN {entities} e ON e.id = m.entity_id WHERE e.type = 'person' GROUP BY m.entity_id), s AS (SELECT x.entity_id AS id, y.entity_id AS alias, count(*) AS shared FROM {mentions} x JOIN {mentions} y ON x.document_id = y.document_id AND x.entity_id <> y.entity_id GROUP BY x.entity_id, y.entity_id HAVING count(*) >= 2) SELECT s.id, s.alias, s.shared, n2.docs AS alias_docs FROM s JOIN n n1 ON n1.id = s.id JOIN n n2 ON n2.id = s.alias WHERE n2.docs <= 20 * s.shared",
-    "patterns_same_day": f"WITH ed AS (SELECT DISTINCT e.id, e.type, d.date FROM {_DOCS}) SELECT a.id AS id_a, b.id AS id_b, count(*) AS days FROM ed a JOIN ed b ON a.date = b.date AND a.id < b.id WHERE a.type = 'person' GROUP BY a.id, b.id HAVING count(*) >= 3",
     "patterns_person_month": f"SELECT e.id, substr(d.date, 1, 7) AS month, count(DISTINCT d.id) AS n FROM {_DOCS} WHERE e.type = 'person' GROUP BY e.id, substr(d.date, 1, 7) HAVING count(DISTINCT d.id) >= 3",
     "patterns_many_categories": f"SELECT e.id, e.name, count(DISTINCT d.category) AS n FROM {_DOCS} GROUP BY e.id, e.name HAVING count(DISTINCT d.category) >= 3",
     "flight_people": f"SELECT e.name, count(DISTINCT d.id) AS n_docs FROM {_DOCS} WHERE e.type = 'person' AND (d.category = 'flight' OR d.title ILIKE '%flight%' OR d.filename ILIKE '%flight%') GROUP BY e.name",

@@ -10,7 +10,6 @@ _EE = "{entities} e JOIN {event_entities} x ON x.entity_id = e.id JOIN {dated} v
 PLANS = {
     "timeline_heatmap": f"SELECT event_date, count(*) AS n FROM {{dated}} WHERE {_DAY} AND confidence >= 0.5 AND event_date BETWEEN '1980' AND '2026' GROUP BY event_date",
     "activity_heatmap": f"SELECT day, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_date AS day, count(*) AS n FROM {{dated}} WHERE {_DAY} GROUP BY event_date UNION ALL SELECT date, count(*) FROM {{docs}} GROUP BY date) x GROUP BY day",
-    "timeline_overlay": "SELECT DISTINCT x.entity_id, v.id, v.event_date, v.precision FROM {event_entities} x JOIN {dated} v ON v.id = x.event_id WHERE x.entity_id IN (3, 7, 12)",
     "key_dates": f"SELECT event_date, count(*) AS n, count(DISTINCT document_id) AS n_docs, JOINED(context) AS contexts FROM {{dated}} WHERE {_DAY} GROUP BY event_date ORDER BY n DESC, event_date LIMIT 50",
     "temporal_heatmap": "SELECT substr(event_date, 1, 4) AS year, substr(event_date, 6, 2) AS month, count(*) AS n FROM {dated} WHERE length(event_date) >= 7 GROUP BY 1, 2",
     "entity_timeline_density": f"SELECT e.id, e.name, count(DISTINCT v.event_date) AS n_dates, count(DISTINCT v.id) AS n_events, min(v.event_date) AS first_date, max(v.event_date) AS last_date FROM {_EE} GROUP BY e.id, e.name",
@@ -44,11 +43,8 @@ PLANS = {
     "event_precision_histogram": "SELECT coalesce(precision, 'unknown') AS precision, count(*) AS n FROM {dated} GROUP BY 1",
     "timeline_stats": "SELECT count(*) AS total, count(CASE WHEN NOT is_resolved THEN 1 END) AS unresolved, min(event_date) AS first_date, max(event_date) AS last_date FROM {dated}",
     "get_timeline": "SELECT v.id, v.event_date, v.precision, v.confidence FROM {dated} v WHERE v.is_resolved AND v.confidence >= 0.5 AND v.event_date BETWEEN '1996' AND '1997-06' AND v.id IN (SELECT x.event_id FROM {event_entities} x JOIN {entities} e ON e.id = x.entity_id WHERE e.name ILIKE '%blue%') ORDER BY v.event_date, v.id LIMIT 200",
-    "unresolved_dates": "SELECT id, document_id, context FROM {dated} WHERE NOT is_resolved ORDER BY id LIMIT 50",
     "export_timeline": "SELECT v.id, v.event_date, v.confidence, d.title FROM {dated} v JOIN {docs} d ON d.id = v.document_id WHERE v.event_date IS NOT NULL AND v.confidence >= 0.5 ORDER BY v.event_date, v.id LIMIT 1000",
     "visualization_timeline": "SELECT substr(v.event_date, 1, 7) AS month, count(*) AS n, max(f.percent) AS most_risk FROM {dated} v LEFT JOIN (SELECT document_id, max(percent) AS percent FROM {facts} GROUP BY document_id) f ON f.document_id = v.document_id WHERE v.confidence >= 0.5 AND length(v.event_date) >= 7 GROUP BY 1",
-    "visualization_entity_timeline": "SELECT v.id, v.event_date FROM {dated} v WHERE v.document_id IN (SELECT document_id FROM {mentions} WHERE entity_id = 7)",
-    "get_connections": "SELECT l.entity_a_id, a.name AS name_a, l.entity_b_id, b.name AS name_b, l.weight FROM {links} l JOIN {entities} a ON a.id = l.entity_a_id JOIN {entities} b ON b.id = l.entity_b_id WHERE l.weight >= 2 ORDER BY l.weight DESC, l.entity_a_id, l.entity_b_id LIMIT 50",
     "entity_connections_map": "SELECT CASE WHEN l.entity_a_id = 7 THEN l.entity_b_id ELSE l.entity_a_id END AS other, l.weight FROM {links} l WHERE l.entity_a_id = 7 OR l.entity_b_id = 7",
     "relationship_matrix": "WITH top AS (SELECT e.id, sum(m.count) AS n FROM {entities} e JOIN {mentions} m ON m.entity_id = e.id WHERE e.type = 'person' GROUP BY e.id ORDER BY n DESC, e.id LIMIT 30) SELECT l.entity_a_id, l.entity_b_id, l.weight FROM {links} l WHERE l.entity_a_id IN (SELECT id FROM top) AND l.entity_b_id IN (SELECT id FROM top)",
     "relationship_graph": "SELECT l.entity_a_id, l.entity_b_id, l.weight FROM {links} l JOIN {entities} a ON a.id = l.entity_a_id JOIN {entities} b ON b.id = l.entity_b_id WHERE a.type = 'org' AND b.type = 'org' AND l.weight >= 1 ORDER BY l.weight DESC, l.entity_a_id, l.entity_b_id LIMIT 100",
@@ -84,7 +80,6 @@ PLANS = {
     "forensics_risk_documents": "SELECT d.id, d.title, f.percent FROM {facts} f JOIN {docs} d ON d.id = f.document_id WHERE f.analysis_type = 'risk_score' ORDER BY f.percent DESC, d.id LIMIT 20",
     "forensics_codewords": "SELECT label, count(DISTINCT document_id) AS n FROM {facts} WHERE analysis_type = 'codeword' GROUP BY label",
     "forensics_harvest": "SELECT d.id, d.title, f.percent, a.n AS flags, i.n AS indicators FROM {docs} d JOIN {facts} f ON f.document_id = d.id AND f.analysis_type = 'risk_score' AND f.percent >= 50 LEFT JOIN (SELECT document_id, count(*) AS n FROM {facts} WHERE analysis_type = 'aml_flag' GROUP BY document_id) a ON a.document_id = d.id LEFT JOIN (SELECT document_id, count(*) AS n FROM {indicators} GROUP BY document_id) i ON i.document_id = d.id",
-    "forensics_document": "SELECT analysis_type, label, percent, severity FROM {facts} WHERE document_id = 143",
     "intel_brief_persons": "SELECT e.id, e.name, count(DISTINCT m.document_id) AS n FROM {mentions} m JOIN {entities} e ON e.id = m.entity_id WHERE e.type = 'person' AND m.document_id IN (SELECT document_id FROM {facts} WHERE analysis_type = 'risk_score' AND percent >= 50) GROUP BY e.id, e.name ORDER BY n DESC, e.id LIMIT 30",
     "risk_dashboard_source": "SELECT d.source, round(avg(f.percent), 6) AS mean, max(f.percent) AS most, count(*) AS n FROM {facts} f JOIN {docs} d ON d.id = f.document_id WHERE f.analysis_type = 'risk_score' GROUP BY d.source",
     "risk_dashboard_category": "SELECT d.category, round(avg(f.percent), 6) AS mean, count(*) AS n FROM {facts} f JOIN {docs} d ON d.id = f.document_id WHERE f.analysis_type = 'risk_score' GROUP BY d.category",

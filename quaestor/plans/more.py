@@ -3,23 +3,16 @@
 _DOCS = "{entities} e JOIN {mentions} m ON e.id = m.entity_id JOIN {docs} d ON d.id = m.document_id"
 
 PLANS = {
-    "get_document_text": "SELECT id, text, n_chars FROM {texts} ORDER BY id LIMIT 1",
-    "get_document_notes": "SELECT id, notes, flagged FROM {docs} WHERE id = 7",
-    "get_entity_tags": "SELECT tag FROM {tags} WHERE entity_id = 30",
-    "get_aliases": "SELECT alias_name FROM {aliases} WHERE entity_id = (SELECT max(entity_id) FROM {aliases})",
-    "get_redactions": "SELECT reason, start_offset, end_offset FROM {redactions} WHERE document_id = 12",
     "provenance_summary": "SELECT count(*) AS total, count(CASE WHEN notes <> '' THEN 1 END) AS tracked, count(CASE WHEN notes = '' THEN 1 END) AS untracked FROM {docs}",
     "narrative_people": f"SELECT e.id, e.name, count(DISTINCT d.id) AS n FROM {_DOCS} WHERE e.type = 'person' GROUP BY e.id, e.name ORDER BY n DESC, e.id LIMIT 20",
     "narrative_finance": "SELECT indicator_type, count(*) AS n, max(risk) AS most FROM {indicators} GROUP BY indicator_type",
     "narrative_timeline": "SELECT v.id, v.event_date, v.context FROM {dated} v JOIN {event_entities} x ON x.event_id = v.id WHERE x.entity_id = 7 AND v.event_date IS NOT NULL ORDER BY v.event_date, v.id LIMIT 50",
-    "phrase_trends": "WITH top AS (SELECT word FROM {keywords} GROUP BY word ORDER BY sum(count) DESC, word LIMIT 20) SELECT k.word, t.lang, CAST(sum(k.count) AS BIGINT) AS n FROM {keywords} k JOIN top ON top.word = k.word JOIN {texts} t ON t.id = k.document_id GROUP BY k.word, t.lang",
     "export_intel_brief": "SELECT label, severity, count(*) AS n FROM {facts} WHERE analysis_type = 'aml_flag' AND document_id IN (SELECT document_id FROM {facts} WHERE analysis_type = 'risk_score' AND percent >= 50) GROUP BY label, severity",
     "export_report_dates": "SELECT event_date, count(*) AS n FROM {dated} WHERE length(event_date) >= 10 GROUP BY event_date ORDER BY n DESC, event_date LIMIT 10",
     "export_connections": "SELECT a.name AS name_a, a.type AS type_a, b.name AS name_b, b.type AS type_b, l.entity_a_id, l.entity_b_id, l.weight FROM {links} l JOIN {entities} a ON a.id = l.entity_a_id JOIN {entities} b ON b.id = l.entity_b_id WHERE l.weight >= 1 ORDER BY l.weight DESC, l.entity_a_id, l.entity_b_id LIMIT 500",
     "document_sentiment": "SELECT label, count(*) AS n, round(avg(percent), 6) AS mean FROM {facts} WHERE analysis_type = 'tone' GROUP BY label",
     "document_sentiment_severity": "SELECT severity, count(*) AS n FROM {facts} GROUP BY severity",
-    "keyword_context": "SELECT id, substr(text, greatest(CAST(instr(lower(text), 'password') AS INT) - 100, 1), 208) AS snippet FROM {texts} WHERE contains(lower(text), 'password')",
-    "search_history_stats": "WITH h AS (SELECT 'alpha' AS query, 3 AS results, 9 AS hour UNION ALL SELECT 'alpha', 5, 10 UNION ALL SELECT 'beta', 1, 9) SELECT query, count(*) AS n, max(hour) AS last_hour, max_by(results, hour) AS results FROM h GROUP BY query",
+    "search_history_stats": "SELECT query, count(*) AS n, max(searched_at) AS last_at, max_by(results, searched_at) AS results FROM (SELECT query, searched_at, max(results) AS results FROM {history} GROUP BY query, searched_at) x GROUP BY query",
     "entity_aliases_list": "SELECT a.alias_name, e.id, e.name, e.type FROM {aliases} a JOIN {entities} e ON e.id = a.entity_id",
     "entity_alias_type_breakdown": "SELECT type, n_aliases, n_entities, round(CAST(100 AS DOUBLE) * n_aliases / sum(n_aliases) OVER (), 4) AS percent FROM (SELECT e.type, CAST(count(*) AS DOUBLE) AS n_aliases, count(DISTINCT e.id) AS n_entities FROM {aliases} a JOIN {entities} e ON e.id = a.entity_id GROUP BY e.type) x",
     "entity_pair_codocs": "SELECT x.entity_id AS id_a, y.entity_id AS id_b, count(DISTINCT x.document_id) AS shared FROM {mentions} x JOIN {mentions} y ON x.document_id = y.document_id AND x.entity_id < y.entity_id GROUP BY 1, 2 ORDER BY shared DESC, 1, 2 LIMIT 100",
@@ -36,14 +29,12 @@ PLANS = {
     "source_category_coverage": "SELECT coalesce(source, 'unknown') AS source, coalesce(category, 'uncategorized') AS category, count(*) AS n FROM {docs} GROUP BY 1, 2",
     "source_ingestion_cadence": "SELECT source, count(*) AS n, min(ingest_day) AS first_day, max(ingest_day) AS last_day FROM {docs} GROUP BY source",
     "source_entity_type_mix": f"SELECT d.source, e.type, count(DISTINCT e.id) AS n FROM {_DOCS} GROUP BY d.source, e.type",
-    "source_overlap": "SELECT a.source AS source_a, b.source AS source_b, count(DISTINCT x.entity_id) AS shared FROM {mentions} x JOIN {mentions} y ON x.entity_id = y.entity_id AND x.document_id <> y.document_id JOIN {docs} a ON a.id = x.document_id JOIN {docs} b ON b.id = y.document_id WHERE a.source < b.source GROUP BY a.source, b.source",
     "depositions": "SELECT e.id, e.name, count(DISTINCT d.id) AS n, CAST(sum(m.count) AS BIGINT) AS mentions FROM {docs} d JOIN {mentions} m ON m.document_id = d.id JOIN {entities} e ON e.id = m.entity_id WHERE d.category ILIKE 'deposition' AND e.type = 'person' GROUP BY e.id, e.name",
     "document_age_distribution": "SELECT CASE WHEN age < 400 THEN '<400' WHEN age < 800 THEN '400-799' WHEN age < 1600 THEN '800-1599' ELSE '1600+' END AS bucket, count(*) AS n FROM (SELECT DAYS(ingest_day, '2001-12-31') AS age FROM {docs}) x GROUP BY 1",
     "pdf_metadata_authors": "SELECT author, count(*) AS n FROM {pdf_metadata} WHERE author <> '' GROUP BY author ORDER BY n DESC, author LIMIT 10",
     "pdf_metadata_stats": "SELECT count(*) AS total, count(CASE WHEN encrypted THEN 1 END) AS encrypted, min(creation_date) AS first_date, max(modification_date) AS last_date, count(DISTINCT producer) AS producers FROM {pdf_metadata}",
     "pdf_metadata_search": "SELECT p.document_id, d.title, p.author, p.producer FROM {pdf_metadata} p JOIN {docs} d ON d.id = p.document_id WHERE p.author ILIKE '%building%' AND p.producer ILIKE '%1%' ORDER BY p.document_id LIMIT 50",
     "pdf_metadata_timeline": "SELECT document_id, coalesce(creation_date, modification_date) AS day FROM {pdf_metadata} WHERE coalesce(creation_date, modification_date) IS NOT NULL",
-    "get_document_pdf_metadata": "SELECT document_id, author, producer, creation_date FROM {pdf_metadata} WHERE document_id = (SELECT min(document_id) FROM {pdf_metadata})",
     "pdf_metadata_missing": "SELECT d.id FROM {docs} d LEFT JOIN {pdf_metadata} p ON p.document_id = d.id WHERE d.filename LIKE '%.pdf' AND p.document_id IS NULL",
     "pdf_producer_inconsistencies": "SELECT author, count(DISTINCT producer) AS n, JOINED(producer) AS producers FROM {pdf_metadata} WHERE author <> '' AND producer <> '' GROUP BY author HAVING count(DISTINCT producer) >= 3",
     "pdf_date_inconsistencies": "SELECT document_id, 'created_after_modified' AS problem FROM {pdf_metadata} WHERE creation_date > modification_date UNION ALL SELECT document_id, 'future_creation' FROM {pdf_metadata} WHERE creation_date > '2001-01-01'",

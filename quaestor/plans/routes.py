@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quaestor import api
 from quaestor.bindings import Corpus
 from quaestor.functions import phrases
+from quaestor.operators import pairs
 
 _DOC = "id, filename, title, category, source, date, pages, flagged"
 _MENTIONED = "SELECT entity_id, count(DISTINCT document_id) AS doc_count, CAST(sum(count) AS BIGINT) AS mentions FROM {mentions} GROUP BY entity_id"
@@ -37,6 +38,23 @@ def _advanced(c: Corpus) -> DataFrame:
     return found.select("id", "title", "category", "source", "date")
 
 
+def _same_day(c: Corpus) -> DataFrame:
+    """Pairs of entities, the first a person, on three days or more."""
+    days = c["mentions"].join(c["docs"].select(F.col("id").alias("document_id"), "date"), "document_id")
+    found = pairs.sharing(days, "entity_id", "date", 3).toDF("id_a", "id_b", "days")
+    return found.join(c["entities"].filter("type = 'person'").select(F.col("id").alias("id_a")), "id_a", "left_semi")
+
+
+def _disambiguation(c: Corpus) -> DataFrame:
+    """Pairs of entities of one type of which one's name is part of the other's: names meet the parts of others by equality."""
+    e = c["entities"].select("id", "type", F.lower("name").alias("n"))
+    names = e.filter("n <> ''").select("type", "n").distinct()
+    inside = F.expr("array_distinct(flatten(transform(sequence(1, length(n)), i -> transform(sequence(1, length(n) - i + 1), l -> substr(n, i, l)))))")
+    met = names.select("type", F.col("n").alias("long"), F.explode(inside).alias("short")).filter("length(short) < length(long)").join(names.withColumnRenamed("n", "short"), ["type", "short"])
+    both = met.join(e.toDF("x", "type", "long"), ["type", "long"]).join(e.toDF("y", "type", "short"), ["type", "short"])
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
 def _most_aliased(c: Corpus) -> int:
     return c["aliases"].agg(F.max("entity_id")).first()[0]
 
@@ -155,6 +173,26 @@ ROUTES: dict[str, tuple[Callable[[Corpus], DataFrame], str | None]] = {
         lambda c: api.phrase_trends(c),
         f"WITH {_PHRASES}, kept AS (SELECT * FROM ranked WHERE rank <= 50), top AS (SELECT phrase, count(*) AS doc_count, CAST(sum(count) AS BIGINT) AS total_count FROM kept GROUP BY phrase ORDER BY doc_count DESC, phrase LIMIT 20) SELECT phrase, doc_count, total_count, substr(d.date, 1, 4) AS year, count(*) AS n FROM kept JOIN top USING (phrase) JOIN {{docs}} d ON d.id = kept.id GROUP BY ALL",
     ),
+    "entity_clusters": (
+        lambda c: pairs.sharing(c["mentions"], "document_id", "entity_id", 2).toDF("doc_a", "doc_b", "shared"),
+        "SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY 1, 2 HAVING count(*) >= 2",
+    ),
+    "detect_duplicates": (
+        lambda c: pairs.overlapping(c["mentions"], "document_id", "entity_id", 0.6).toDF("doc_a", "doc_b", "shared"),
+        "WITH n AS (SELECT document_id, count(*) AS n FROM {mentions} GROUP BY document_id), s AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM {mentions} a JOIN {mentions} b ON a.entity_id = b.entity_id AND a.document_id < b.document_id GROUP BY 1, 2) SELECT doc_a, doc_b, shared FROM s JOIN n x ON x.document_id = doc_a JOIN n y ON y.document_id = doc_b WHERE shared >= 0.6 * least(x.n, y.n)",
+    ),
+    "patterns_same_day": (
+        _same_day,
+        "WITH ed AS (SELECT DISTINCT e.id, e.type, d.date FROM {entities} e JOIN {mentions} m ON e.id = m.entity_id JOIN {docs} d ON d.id = m.document_id) SELECT a.id AS id_a, b.id AS id_b, count(*) AS days FROM ed a JOIN ed b ON a.date = b.date AND a.id < b.id WHERE a.type = 'person' GROUP BY a.id, b.id HAVING count(*) >= 3",
+    ),
+    "source_overlap": (
+        lambda c: pairs.co_occurrence(c["mentions"].join(c["docs"], F.col("id") == F.col("document_id")), "entity_id", "source").toDF("source_a", "source_b", "shared"),
+        "SELECT a.source AS source_a, b.source AS source_b, count(DISTINCT x.entity_id) AS shared FROM {mentions} x JOIN {mentions} y ON x.entity_id = y.entity_id AND x.document_id <> y.document_id JOIN {docs} a ON a.id = x.document_id JOIN {docs} b ON b.id = y.document_id WHERE a.source < b.source GROUP BY a.source, b.source",
+    ),
+    "entity_disambiguation": (
+        _disambiguation,
+        "WITH n AS (SELECT DISTINCT type, lower(name) AS n FROM {entities}), p AS (SELECT a.type, a.n AS long_name, b.n AS short_name FROM n a JOIN n b ON a.type = b.type AND length(a.n) > length(b.n) AND contains(a.n, b.n)), q AS (SELECT p.type, x.id AS x, y.id AS y FROM p JOIN {entities} x ON x.type = p.type AND lower(x.name) = p.long_name JOIN {entities} y ON y.type = p.type AND lower(y.name) = p.short_name) SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM q",
+    ),
     "redacted_text": (lambda c: phrases.redacted(c["texts"], c["redactions"]), None),
     "detect_codewords": (lambda c: phrases.codewords(_texts(c)).select("id", "word", "count", "note", "rank"), None),
 }

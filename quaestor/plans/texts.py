@@ -58,7 +58,6 @@ PLANS = {
     "classify_intent": f"{_LOW} {_labels(L.INTENTS, 0.01)}",
     "classify_topics": f"{_LOW} SELECT id, label, hits, score FROM (SELECT id, label, hits, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rank FROM ({_labels(L.TOPICS, 0.005)}) x) y WHERE rank <= 5",
     "detect_aml_flags": f"{_LOW} {_FLAGS}",
-    "detect_codewords": f"{_LOW} {_CODES}",
     "extract_financial_indicators": f"{_LOW} {_MONEY}",
     # one row a text, one scan
     "compute_risk_score": f"""{_LOW}, f AS (SELECT id, words, """ + ", ".join(f"{e} AS {f}" for f, e in _SEVERITIES.items()) + f""", COUNTED(DISTINCTS(ALLMATCHES(text, '{L.CURRENCY}', 1)), '^9,[0-9]{{3}}') AS risky,
@@ -66,10 +65,6 @@ PLANS = {
         g AS (SELECT id, """ + ", ".join("(" + " + ".join(f"CASE WHEN {f} = '{v}' THEN 1 ELSE 0 END" for f in _SEVERITIES) + f") AS {v}" for v in ("high", "medium", "low")) + f""", risky, codes,
         {T.share('', 'evasive', 0.01)} AS evasive, {T.share('', 'threatening', 0.01)} AS threatening FROM f) SELECT id, {T.risk('high', 'medium', 'low', 'risky', 'codes', 'evasive', 'threatening')} AS risk FROM g""",
     "analyze_tone": f"{_LOW} SELECT id, " + ", ".join(f"{T.tone('low', words)} AS {g}" for g, words in L.TONES.items()) + " FROM t",
-    "generate_title": "SELECT id, CASE WHEN length(line) > 10 AND length(line) < 80 THEN line ELSE filename END AS title FROM (SELECT id, filename, trim(split_part(text, '.', 1)) AS line FROM {samples}) x",
-    "extract_keywords": "WITH r AS (SELECT document_id, word, count, row_number() OVER (PARTITION BY document_id ORDER BY count DESC, word) AS rank FROM {keywords} WHERE word NOT IN (" + ", ".join(map(T.quoted, L.PHRASE_STOPS)) + ")) SELECT document_id, word, count, rank FROM r WHERE rank <= 50",
-    "forensics_phrases": "WITH a AS (SELECT id, ALLMATCHES(lower(text), '[a-z]{2,}', 0) AS ws FROM {texts}), w AS (SELECT id, UNNESTED(SHINGLES(ws, 3)) AS phrase FROM a) SELECT phrase, count(*) AS total, count(DISTINCT id) AS docs FROM w GROUP BY phrase HAVING count(*) >= 4",
     "document_ocr_quality": "SELECT id, round(CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS DOUBLE) / length(text), 6) AS alpha, round(CAST(length(regexp_replace(text, '[^ ]', '', 'g')) AS DOUBLE) / length(text), 6) AS space FROM {texts} WHERE length(text) > 0",
-    "redacted_text": "SELECT s.id, substr(s.text, 1, 10) || '[REDACTED]' || substr(s.text, 21) AS text FROM {samples} s WHERE length(s.text) > 30",
     "html_to_text": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM {pages}",
 }
