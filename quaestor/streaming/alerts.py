@@ -24,3 +24,34 @@ def windowed_counts(events: DataFrame, *, at: str = "ts", kind: str = "event_typ
 def first_seen(events: DataFrame, *, at: str = "ts", key: str = "user_id", late: str = "7 days") -> DataFrame:
     """One row per key within the watermark: its state is dropped once the watermark has passed it."""
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key]).select(F.col(key).alias("key"), F.col(at).alias("at"))
+
+
+def anchored_windows(events: DataFrame, *, at: str = "ts", key: str = "key", seconds: int = 3600, least: int = 10) -> DataFrame:
+    """(key, start, end, n) of greedy windows of each key: each opens at the first event that none before covers.
+
+    A window is emitted when an event beyond it has come; until then the key's state holds the times since the window's start.
+    Events may be out of order within a micro-batch; one before the times in the state joins the open window.
+    """
+    import pandas as pd
+
+    def scan(own, frames, state):
+        times = list(state.get[0]) if state.exists else []
+        for frame in frames:
+            times += frame["t"].tolist()
+        times.sort()
+        out, k = [], 0
+        while k < len(times) and times[-1] - times[k] > seconds:
+            end = k
+            while times[end + 1] - times[k] <= seconds:
+                end += 1
+            if end - k + 1 >= least:
+                out.append((own[0], times[k], times[end], end - k + 1))
+                k = end + 1
+            else:
+                k += 1
+        state.update((times[k:],))
+        yield pd.DataFrame(out, columns=["key", "start", "end", "n"])
+
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").cast("double").alias("t"))
+    found = rows.groupBy("key").applyInPandasWithState(scan, "key string, start double, end double, n long", "times array<double>", "append", "NoTimeout")
+    return found.select("key", F.timestamp_seconds("start").alias("start"), F.timestamp_seconds("end").alias("end"), "n")
