@@ -189,3 +189,37 @@ def test_routes_refuse_what_they_do_not_take(spark):
             api.call(c, route, **arguments)
     with pytest.raises(ValueError):
         Corpus.of(spark, {"other": c["docs"]})
+
+
+def test_command_line_over_an_ingested_corpus(spark, tmp_path, capsys):
+    from quaestor.__main__ import main
+
+    put(tmp_path / "in", a=LETTER, b=REPORT)
+    out = f"file://{tmp_path}/out"
+    assert main(["ingest", f"file://{tmp_path}/in", "--to", out, "--batch", "one"]) == 0
+    assert "2 new documents" in capsys.readouterr().out
+    for words, want in ((["search", "split the payment"], "A letter about"), (["entities", "person", "limit=5"], "Adam Stone"), (["timeline", "lopez", "start=2009-03-15"], "2009-03-20"), (["graph", "degree", "type=person"], "Maria Lopez"), (["stats"], "entities"), (["ask", "search_entities", "q=stone"], "Adam Stone")):
+        assert main([*words, "--corpus", out]) == 0
+        assert want in capsys.readouterr().out
+    assert main(["ask", "nothing", "--corpus", out]) == 2 and "no route" in capsys.readouterr().err
+    assert main(["routes"]) == 0 and "list_documents(category" in capsys.readouterr().out
+    stone = api.search_entities(ingest.corpus(spark, out), "adam stone").first().id
+    assert main(["dossier", str(stone), "--to", f"{tmp_path}/d.html", "--corpus", out]) == 0
+    page = (tmp_path / "d.html").read_text()
+    assert "Dossier: Adam Stone (person)" in page and "The second report of all" in page and "Maria Lopez" in page
+
+
+def test_assistant_is_given_the_right_texts(spark, tmp_path):
+    from quaestor.operators import assistant
+
+    put(tmp_path / "in", a=LETTER, b=REPORT)
+    ingest.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", batch="one", at="2024-05-01 09")
+    c = ingest.corpus(spark, f"file://{tmp_path}/out")
+    (letter,) = api.search_documents(c, "split the payment").collect()
+    seen = []
+    answer = assistant.summarize(c, letter.id, lambda p, n: seen.append((p, n)) or " done ")
+    assert answer == "done" and "A letter about the holding" in seen[0][0] and "split the payment" in seen[0][0]
+    _, ids = assistant.ask(c, "offshore limit", lambda p, n: seen.append((p, n)) or "x")
+    assert ids == [letter.id] and "[1]" in seen[1][0] and "offshore" in seen[1][0]
+    with pytest.raises(LookupError):
+        assistant.summary_prompt(c, 1)
