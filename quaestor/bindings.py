@@ -348,6 +348,8 @@ def oracle(plan: str) -> str:
             need(name)
     body = _dialect(plan, "duckdb", lambda n: n).strip()
     tables = ", ".join(f"{n} AS ({ORACLE[n]})" for n in wanted)
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {tables}, {body[14:]}" if tables else body
     if body[:4].upper() == "WITH":
         return f"WITH {tables}, {body[4:]}" if tables else body
     return f"WITH {tables} {body}" if tables else body

@@ -136,9 +136,14 @@ _R = """WITH e AS (SELECT id, type, lower(name) AS n FROM {entities}), p AS (SEL
     FROM e a JOIN e b ON a.type = b.type AND a.id < b.id), k AS (SELECT * FROM p WHERE base >= 0.6), t AS (SELECT DISTINCT k.source, k.target FROM k JOIN {mentions} x ON x.entity_id = k.source JOIN {mentions} y ON y.entity_id = k.target AND y.document_id = x.document_id),
     c AS (SELECT k.source, k.target, round(CAST(least(1, base + 0.1 + CASE WHEN t.source IS NULL THEN 0 ELSE 0.1 END) AS DOUBLE), 6) AS confidence FROM k LEFT JOIN t ON t.source = k.source AND t.target = k.target)"""
 
+_REACH = _G.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + ", reach AS (SELECT node AS a, node AS b FROM deg UNION SELECT reach.a, ends.partner FROM reach JOIN ends ON ends.node = reach.b), parts AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"
+
 #: Oracle only: the library computes these without SQL text.
 ORACLE = {
     "graph_edges": _G + " SELECT a, b, weight FROM g",
+    "graph_components": _REACH + " SELECT node, component FROM parts",
+    "graph_stats": _REACH + " SELECT count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, avg(degree) AS avg_degree, avg(weight) AS avg_weighted_degree, (SELECT count(DISTINCT component) FROM parts) AS components, sum(degree) / CAST(count(*) * (count(*) - 1) AS DOUBLE) AS density FROM deg",
+    "graph_neighbours": _G + ", s AS (SELECT min(coalesce(x.canonical_entity_id, l.entity_a_id)) AS start FROM {links} l LEFT JOIN {resolutions} x ON x.source_entity_id = l.entity_a_id), one AS (SELECT partner AS node FROM ends, s WHERE ends.node = start), two AS (SELECT DISTINCT partner AS node FROM ends WHERE ends.node IN (SELECT node FROM one)) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT node, 1 AS hops FROM one UNION ALL SELECT node, 2 FROM two) x, s WHERE node <> start GROUP BY node",
     "graph_degree": _G + " SELECT node, degree, weight, CAST(degree AS DOUBLE) / (count(*) OVER () - 1) AS score FROM deg",
     "resolver_candidates": _R + " SELECT source, target, confidence, CASE WHEN confidence >= 0.85 THEN 'auto' ELSE 'queue' END AS action FROM c",
     "resolver_mapping": _R + " SELECT source AS source_entity_id, max(target) AS canonical_entity_id FROM c WHERE confidence >= 0.85 GROUP BY source",

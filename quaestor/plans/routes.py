@@ -14,8 +14,13 @@ from quaestor.operators import pairs
 
 _DOC = "id, filename, title, category, source, date, pages, flagged"
 _MENTIONED = "SELECT entity_id, count(DISTINCT document_id) AS doc_count, CAST(sum(count) AS BIGINT) AS mentions FROM {mentions} GROUP BY entity_id"
-_STOPS = "[" + ", ".join(f"'{w}'" for w in phrases.STOP_WORDS) + "]"
-_PHRASE_STOPS = "[" + ", ".join(f"'{w}'" for w in phrases.L.PHRASE_STOPS) + "]"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_STOPS, _PHRASE_STOPS = _list(phrases.STOP_WORDS), _list(phrases.L.PHRASE_STOPS)
 
 
 def _texts(c: Corpus) -> DataFrame:
@@ -193,8 +198,22 @@ ROUTES: dict[str, tuple[Callable[[Corpus], DataFrame], str | None]] = {
         _disambiguation,
         "WITH n AS (SELECT DISTINCT type, lower(name) AS n FROM {entities}), p AS (SELECT a.type, a.n AS long_name, b.n AS short_name FROM n a JOIN n b ON a.type = b.type AND length(a.n) > length(b.n) AND contains(a.n, b.n)), q AS (SELECT p.type, x.id AS x, y.id AS y FROM p JOIN {entities} x ON x.type = p.type AND lower(x.name) = p.long_name JOIN {entities} y ON y.type = p.type AND lower(y.name) = p.short_name) SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM q",
     ),
-    "redacted_text": (lambda c: phrases.redacted(c["texts"], c["redactions"]), None),
-    "detect_codewords": (lambda c: phrases.codewords(_texts(c)).select("id", "word", "count", "note", "rank"), None),
+    "redacted_text": (
+        lambda c: phrases.redacted(c["texts"], c["redactions"]),
+        """WITH c AS (SELECT t.id, text, least(start_offset, length(text)) AS s, least(end_offset, length(text)) AS e FROM {redactions} JOIN {texts} t ON t.id = document_id),
+        g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, e) AS o, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM c),
+        h AS (SELECT *, sum(CASE WHEN s < reached THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g),
+        m AS (SELECT id, any_value(text) AS text, k, min(s) AS s, max(e) AS e, count(*) AS n FROM h GROUP BY id, k), p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY id ORDER BY k), 0) AS after FROM m)
+        SELECT id, string_agg(substr(text, after + 1, s - after) || '[REDACTED]', '' ORDER BY k) || substr(any_value(text), max(e) + 1) AS text, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY id""",
+    ),
+    "detect_codewords": (
+        lambda c: phrases.codewords(_texts(c)).select("id", "word", "count", "note", "rank"),
+        f"""WITH t AS (SELECT id, text, lower(text) AS low FROM ({_TEXTS})), k AS (SELECT unnest({_list(phrases.L.CODEWORDS)}) AS word, unnest(range({len(phrases.L.CODEWORDS)})) AS place),
+        plain AS (SELECT id, 0 AS kind, place, word, CAST(floor((length(low) - length(replace(low, word, ''))) / length(word)) AS BIGINT) AS count, 'potential codeword' AS note FROM t JOIN k ON contains(low, word)),
+        raw AS (SELECT id, unnest(found) AS w, unnest(range(len(found))) AS place FROM (SELECT id, list_transform(regexp_extract_all(text, '["“”]([\\pL\\pN_]+(?:\\s+[\\pL\\pN_]+)?)["“”]', 1), lambda x: lower(x)) AS found FROM t)),
+        quoted AS (SELECT id, 1 AS kind, min(place) AS place, '"' || w || '"' AS word, CAST(1 AS BIGINT) AS count, 'quoted ordinary word' AS note FROM raw WHERE length(w) >= 3 AND w NOT IN ('said', 'told', 'asked', 'the', 'and', 'but') AND list_contains({_list([*phrases.L.CODEWORDS, *phrases.COMMON_WORDS])}, w) GROUP BY id, w)
+        SELECT id, word, count, note, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY count DESC, kind, place) AS rank FROM (SELECT * FROM plain UNION ALL SELECT * FROM quoted)) WHERE rank <= 30""",
+    ),
 }
 
 
