@@ -19,9 +19,10 @@
    share no such shingle, so a family of them costs its size, not its square.  Sketches thin the
    pairs out, and only texts of pairs that pass meet, those closest to each other part first.
    The order comes from about ``sampled`` of a component's texts; any order gives the same links.
-6. Where the prefixes give more than ``dense`` pairs a text, every node outside a component's
-   largest part is compared with all the others instead, in blocks.  Pairs within one part need
-   no comparison, so the links found have exactly the components that all pairs would give.
+6. Where at most one task's worth of nodes lie outside a component's largest part, or the prefixes
+   give more than ``dense`` pairs a text, every node outside it is compared with all the others
+   instead, in blocks.  Pairs within one part need no comparison, so the links found have exactly
+   the components that all pairs would give.
 
 Empty cases: a null text or one without words has an empty set, which is linked with nothing.
 Fewer words than ``width`` make one shingle of all of them.  Rows that share a doc_id are
@@ -323,22 +324,27 @@ def _links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int
     if not ccs:
         return links
     bounded = lambda table: F.broadcast(table) if ccs < 10_000 else table
-    # a component's texts meet its order once; several rows of one doc_id and text are one node
-    rows = large.dropDuplicates(["fp"]).join(parts.select("fp", "part"), "fp").join(bounded(main), "cc").withColumn("stranger", F.expr("part != main"))
-    orders = written(_orders(large.join(bounded(main.select("cc")), "cc"), width, sampled), "orders")
-    few_orders = lambda table: F.broadcast(table) if ccs < 1_000 else table  # noqa: E731  (32 KB each at most)
-    prefixes = written(_prefixes(rows.join(few_orders(orders), "cc", "left"), percent, width), "prefixes")
-    lists = prefixes.groupBy("key").agg(
-        F.first("cc").alias("cc"), F.first("size").alias("size"), F.expr("count_if(early AND stranger)").alias("strange"), F.expr("count_if(early AND NOT stranger)").alias("known"),
-        F.count("*").alias("every"), F.expr("count_if(stranger)").alias("strangers"),
-    )
-    crowded = lists.groupBy("cc").agg(F.sum(F.expr("strange * every + known * strangers")).alias("pairs"), F.first("size").alias("size")).filter(F.col("pairs") > dense * F.col("size")).select("cc")
-    crowded = written(crowded, "crowded")
-    found = _by_prefix(prefixes.join(bounded(crowded), "cc", "left_anti"), large.dropDuplicates(["fp"]), parts, percent, width)
-    if found is not None:
-        links = links.unionAll(found)
-    if crowded.head(1):
-        links = links.unionAll(_in_blocks(rows.join(bounded(crowded), "cc", "left_semi"), task, task_nodes))
+    rows = large.join(parts.select("fp", "part"), "fp").join(bounded(main), "cc").withColumn("stranger", F.expr("part != main"))
+    few = F.col("outside") <= task_nodes
+    if main.filter(few).head(1):
+        links = links.unionAll(_in_blocks(rows.filter(few), task, task_nodes))
+    if main.filter(~few).head(1):
+        many = large.join(bounded(main.filter(~few).select("cc")), "cc").dropDuplicates(["fp"])  # rows of one doc_id and text are one node
+        orders = written(_orders(many, width, sampled), "orders")
+        few_orders = lambda table: F.broadcast(table) if ccs < 1_000 else table  # noqa: E731  (32 KB each at most)
+        own = rows.filter(~few).dropDuplicates(["fp"])
+        prefixes = written(_prefixes(own.join(few_orders(orders), "cc", "left"), percent, width), "prefixes")
+        lists = prefixes.groupBy("key").agg(
+            F.first("cc").alias("cc"), F.first("size").alias("size"), F.expr("count_if(early AND stranger)").alias("strange"), F.expr("count_if(early AND NOT stranger)").alias("known"),
+            F.count("*").alias("every"), F.expr("count_if(stranger)").alias("strangers"),
+        )
+        crowded = lists.groupBy("cc").agg(F.sum(F.expr("strange * every + known * strangers")).alias("pairs"), F.first("size").alias("size")).filter(F.col("pairs") > dense * F.col("size")).select("cc")
+        crowded = written(crowded, "crowded")
+        found = _by_prefix(prefixes.join(bounded(crowded), "cc", "left_anti"), many, parts, percent, width)
+        if found is not None:
+            links = links.unionAll(found)
+        if crowded.head(1):
+            links = links.unionAll(_in_blocks(own.join(bounded(crowded), "cc", "left_semi"), task, task_nodes))
     return written(links, "confirmed")
 
 
