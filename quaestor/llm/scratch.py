@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Lists of the paths given out while ``settled`` runs, the innermost last.
+_GIVEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _GIVEN:
+        _GIVEN[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -48,3 +56,20 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``written`` of what ``build`` makes; the scratch tables made on the way are deleted then, as nothing reads them any more."""
+    path = scratch_path(spark, label)
+    _GIVEN.append([])
+    try:
+        df = build()
+        df.write.parquet(path)
+        schema = df.schema
+    finally:
+        made = _GIVEN.pop()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for old in made:
+        where = jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(conf).delete(where, True)
+    return spark.read.schema(schema).parquet(path)

@@ -360,7 +360,7 @@ def _weighed(sample: DataFrame, model: Model) -> Model:
             rows = [(*scorer.sums((b or b"").decode("utf-8", "replace")), float(y > 0), w) for b, y, w in zip(*(batch.column(c).to_pylist() for c in ("body", "y", "share")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.float64())] * 5, names=["a", "b", "c", "y", "share"])
 
-    rows = np.array([tuple(r) for r in sample.mapInArrow(sums, "a double, b double, c double, y double, share double").collect()])
+    rows = np.array(sorted(tuple(r) for r in sample.mapInArrow(sums, "a double, b double, c double, y double, share double").collect()))  # sorted: sums do not depend on the order of tasks
     x, y, n = np.hstack([np.ones((len(rows), 1)), rows[:, :3]]), rows[:, 3], rows[:, 4]
     penalty, beta = np.diag([0.01, 0.5, 0.5, 0.5]), np.zeros(4)
     for _ in range(60):
