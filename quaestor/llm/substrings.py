@@ -40,11 +40,12 @@ from pyspark.sql import functions as F
 from .scratch import small_batches, written
 from .words import RADIX, WordHashes, mixed, run_hashes, slices
 
-_FRAGMENT = "bucket int, settled boolean, hashes binary, texts binary, checks binary, starts binary, lengths binary"
-_NAMES = ["bucket", "settled", "hashes", "texts", "checks", "starts", "lengths"]
+_FRAGMENT = "bucket int, settled boolean, hashes binary, texts binary, checks binary, counts binary, starts binary, lengths binary"
+_NAMES = ["bucket", "settled", "hashes", "texts", "checks", "counts", "starts", "lengths"]
 
-#: Set in the length of a run whose windows also start elsewhere in its own slice, where they are settled.
-_SETTLED = np.uint32(1 << 31)
+#: A run's length is one byte, longer runs are parted.  Its highest bit is set where the windows also start elsewhere in
+#: their own slice, which settles them.
+_LONGEST, _SETTLED = 127, np.uint8(128)
 
 
 def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -122,14 +123,22 @@ class _Slice:
         order = np.argsort(bucket, kind="stable")
         chosen, bucket = chosen[order], bucket[order]
         first, lengths = _runs(self.owner[chosen], self.place[chosen], bucket, self.repeated[chosen])
+        pieces = -(-lengths // _LONGEST)
+        if pieces.max() > 1:
+            own = np.repeat(np.arange(len(first)), pieces)
+            done = _LONGEST * (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            first, lengths = first[own] + done, np.minimum(_LONGEST, lengths[own] - done)
         ends = _changes(bucket)
         home = bucket[ends]
         windows, runs = np.append(ends, len(chosen)), np.append(np.searchsorted(first, ends), len(first))
-        flags = lengths.astype(np.uint32) | np.where(self.repeated[chosen[first]], _SETTLED, np.uint32(0))
         owner = self.owner[chosen[first]]
+        texts = _changes(bucket[first], owner)  # runs of a text in a bucket stand together
+        in_bucket = np.append(np.searchsorted(texts, runs[:-1]), len(texts))
+        flags = lengths.astype(np.uint8) | np.where(self.repeated[chosen[first]], _SETTLED, np.uint8(0))
         hashes = _binary(self.hash[chosen], windows) if not settled else pa.array([b""] * len(home), pa.binary())
-        columns = [_binary(c, runs) for c in (self.texts[owner], self.checks[owner], self.place[chosen[first]].astype(np.uint32), flags)]
-        return pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array([settled] * len(home)), hashes, *columns], names=_NAMES)
+        by_text = [_binary(c, in_bucket) for c in (self.texts[owner[texts]], self.checks[owner[texts]], np.diff(np.append(texts, len(first))).astype(np.uint32))]
+        by_run = [_binary(c, runs) for c in (self.place[chosen[first]].astype(np.uint32), flags)]
+        return pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array([settled] * len(home)), hashes, *by_text, *by_run], names=_NAMES)
 
 
 class Plan:
@@ -202,7 +211,7 @@ def _runs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = _flat(table.column("texts"), np.int64)
     keys = np.empty(len(texts), _KEY)
     keys["text"], keys["check"] = texts, _flat(table.column("checks"), np.uint32)
-    return keys, _flat(table.column("starts"), np.uint32).astype(np.int64), _flat(table.column("lengths"), np.uint32)
+    return np.repeat(keys, _flat(table.column("counts"), np.uint32)), _flat(table.column("starts"), np.uint32).astype(np.int64), _flat(table.column("lengths"), np.uint8)
 
 
 def _count(width: int):
@@ -234,10 +243,16 @@ def _count(width: int):
                 done_lengths.append(lengths)
         keys, s = np.concatenate(done_keys), np.concatenate(done_starts)
         e = s + np.concatenate(done_lengths) + width - 2
-        order = np.lexsort((e, s, keys["check"], keys["text"]))
+        order = np.lexsort((s, keys["check"], keys["text"]))
         keys, s, e = keys[order], s[order], e[order]
-        new = _changes(keys["text"], keys["check"], s, e)
-        columns = (keys["text"][new], keys["check"][new].astype(np.int64), s[new].astype(np.int32), e[new].astype(np.int32))
+        # intervals of a text that touch become one; numbers of texts keep their ends apart
+        number = np.zeros(len(s), np.int64)
+        number[_changes(keys["text"], keys["check"])[1:]] = 1
+        apart = np.cumsum(number) * (int(e.max(initial=0)) + 2)
+        reach = np.maximum.accumulate(e + apart) if len(e) else e
+        new = np.flatnonzero(np.concatenate([[True], s[1:] + apart[1:] > reach[:-1] + 1])) if len(s) else np.empty(0, np.int64)
+        last = np.append(new[1:], len(s)) - 1 if len(s) else new
+        columns = (keys["text"][new], keys["check"][new].astype(np.int64), s[new].astype(np.int32), (reach - apart)[last].astype(np.int32))
         return pa.table([pa.array(c) for c in columns], names=["text_hash", "text_check", "first", "last"])
 
     return count
