@@ -62,7 +62,8 @@ WIDE = {
     "phone": r"(?<![0-9+])(?<![0-9][.-])(?:1[\x20.-])?\(?[2-9][0-9]{2}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])",
 }
 _WIDE_NEEDS = {
-    "email": r"text RLIKE r'[(\[{]at[)\]}]'", "ip": rf"text RLIKE r'[0-9]{_DOT}[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]'", "card": r"text RLIKE r'[0-9][\x20._/-]{1,2}[0-9]{4}|[0-9]{13}'", "phone": r"text RLIKE r'[0-9]{3}[\x20.-][0-9]{4}'",
+    "email": r"text RLIKE r'[(\[{]at[)\]}]'", "ip": rf"text RLIKE r'[0-9]{_DOT}[0-9]' OR contains(text, ':') AND text RLIKE r'[0-9A-Fa-f]:[0-9A-Fa-f:]'",
+    "card": r"text RLIKE r'[0-9](?:[\x20._/-]{1,2}[0-9]{4}|[0-9]{12})'", "phone": r"text RLIKE r'[0-9]{3}[\x20.-][0-9]{4}'",
 }
 #: What a wider candidate must be to count as one.
 _WIDE_CHECK = {
