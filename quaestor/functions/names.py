@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import lexicons as L
+from quaestor.functions.phrases import STOP_WORDS
 
 _WORD = r"\p{Lu}[\p{Ll}\p{M}'’-]+"
 PEOPLE = rf"(?:\b(?:{'|'.join(L.TITLES)})\.?\s+)({_WORD}(?:\s+(?:\p{{Lu}}\.\s+)?{_WORD}){{0,2}})"
@@ -20,13 +21,15 @@ def extract_entities(documents: DataFrame, gazetteers: dict[str, list[str]] | No
     """(document_id, name, type, count), the most frequent of each type, ties by name.
 
     ``gazetteers`` maps person, place and org to names that count wherever they stand, whatever
-    their case; longer names claim a place before shorter ones.
+    their case; longer names claim a place before shorter ones, and names given in small letters
+    are shown with capitals.  A person found by its look alone is left out where it is part of a
+    name that the gazetteer of persons has, or a single stop word.
     """
     rows = documents.select(F.col(doc_id).alias("document_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     found = []
     for kind, names in (gazetteers or {}).items():
         pattern = "(?iu)(" + "|".join(_escaped(n) for n in sorted(names, key=lambda n: (-len(n), n))) + ")"
-        same = F.expr("map(" + ", ".join(f"{_literal(n.lower())}, {_literal(n)}" for n in dict.fromkeys(names)) + ")")
+        same = F.expr("map(" + ", ".join(f"{_literal(n.lower())}, {_literal(capitalised(n))}" for n in {n.lower(): n for n in names}.values()) + ")")
         hit = rows.select("document_id", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("raw"))
         found.append(hit.select("document_id", F.coalesce(same[F.lower("raw")], F.col("raw")).alias("name"), F.lit(kind).alias("type")))
     for kind, pattern in (("person", PEOPLE), ("org", ORGS), ("date", DATES), ("person", PAIRS)):
@@ -35,6 +38,13 @@ def extract_entities(documents: DataFrame, gazetteers: dict[str, list[str]] | No
     union = found[0]
     for other in found[1:]:
         union = union.unionAll(other)
+    known = sorted({n.lower() for n in (gazetteers or {}).get("person", [])})
+    if known:
+        names = F.array(*map(F.lit, known))
+        low = F.lower("name")
+        part = F.exists(names, lambda k: (k != low) & F.contains(k, low)) & ~F.array_contains(names, low)
+        union = union.filter(~((F.col("type") == "person") & part))
+    union = union.filter(~((F.col("type") == "person") & F.lower("name").isin(STOP_WORDS)))
     ends = "|".join(L.ORGANISATIONS)
     counts = union.filter(~((F.col("type") == "person") & F.col("name").rlike(rf"\b(?:{ends})$"))).groupBy("document_id", "name", "type").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy("document_id", "type").orderBy(F.col("count").desc(), "name"))
@@ -42,6 +52,17 @@ def extract_entities(documents: DataFrame, gazetteers: dict[str, list[str]] | No
     return counts.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
 
+#: Names in small letters that are shown in capitals.
+ACRONYMS = ["usvi", "fbi", "doj", "sdny", "sec", "faa", "pd"]
+
+
+def capitalised(name: str) -> str:
+    """A name as it is shown: as given if it has capitals, else acronyms and dotted letters in capitals, other words with one."""
+    if name != name.lower():
+        return name
+    return " ".join(w.upper() if w in ACRONYMS or w.endswith(".") and len(w.replace(".", "")) * 2 == len(w) else w.title() for w in name.split(" "))
+
+
 def _escaped(name: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in name)
 

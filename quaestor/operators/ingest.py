@@ -156,3 +156,16 @@ def streaming_ingest(spark: SparkSession, source_folder: str, folder: str, check
         write_batch(tables(df.select("path", "content"), at(), **options), folder, f"stream-{epoch}")
 
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+
+
+def upload(spark: SparkSession, name: str, content: bytes, uploads: str, folder: str, *, at: str, **options) -> int:
+    """Keeps one file given as bytes under a safe name in ``uploads`` and reads it into the tables of ``folder``; the number of new documents."""
+    import hashlib
+
+    digest = hashlib.sha256(content).hexdigest()[:16]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{uploads}/{digest}/{safe_name(name)}")
+    out = where.getFileSystem(conf).create(where, True)
+    out.write(bytearray(content))
+    out.close()
+    return ingest(spark, f"{uploads}/{digest}", folder, batch=f"upload-{digest}", at=at, **options)

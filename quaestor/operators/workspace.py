@@ -188,3 +188,19 @@ def merge_entities(entities: DataFrame, mentions: DataFrame, links: DataFrame, s
     a, b, w = links.columns
     e = links.select(to(a).alias("x"), to(b).alias("y"), w).filter("x <> y").groupBy(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b)).agg(F.sum(w).alias(w))
     return entities.filter(F.col("id") != source), m, e
+
+
+def bulk_tag(docs: DataFrame, ids: list[int], tag: str = "", category: str = "") -> tuple[DataFrame, int]:
+    """(documents, changes): the ``ids`` get a category, and a mark [tag:...] at the end of their notes unless they have it; ids that do not exist do not count.
+
+    ``ValueError`` without ids, or without both tag and category.
+    """
+    tag, category = tag.strip(), category.strip()
+    if not ids or not (tag or category):
+        raise ValueError("name ids, and a tag or a category")
+    chosen, mark = F.col("id").isin(ids), f"[tag:{tag}]"
+    notes = F.coalesce("notes", F.lit(""))
+    tagged = chosen & F.lit(bool(tag)) & ~F.contains(notes, F.lit(mark))
+    counts = docs.agg(F.coalesce(F.sum(tagged.cast("int")), F.lit(0)), F.coalesce(F.sum((chosen & F.lit(bool(category))).cast("int")), F.lit(0))).first()
+    new = docs.withColumn("notes", F.when(tagged, F.btrim(F.concat(notes, F.lit(" " + mark)))).otherwise(F.col("notes")))
+    return (new.withColumn("category", F.when(chosen, F.lit(category)).otherwise(F.col("category"))) if category else new), counts[0] + counts[1]

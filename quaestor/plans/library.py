@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor import api
 from quaestor.bindings import Corpus
 from quaestor.functions import names, search, timeline
 from quaestor.operators import anomaly, graph, pairs, resolve
@@ -48,6 +49,14 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(_edges(Corpus(spark, sf_dir)))
 
 
+def communities_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.graph_communities(Corpus(spark, sf_dir), min_size=3)["communities"]
+
+
+def communities_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.graph_communities(Corpus(spark, sf_dir), min_size=3)["documents"]
+
+
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
     found = graph.shortest_path(_edges(c), *_ends(c)) or ([], 0.0)
@@ -124,7 +133,7 @@ def top_entities_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_stats, graph_edges, graph_components, graph_degree, graph_eigenvector, graph_path_centralities, graph_communities, graph_path, graph_neighbours, resolver_candidates, resolver_mapping,
+        graph_stats, graph_edges, graph_components, graph_degree, graph_eigenvector, graph_path_centralities, graph_communities, communities_labelled, communities_documents, graph_path, graph_neighbours, resolver_candidates, resolver_mapping,
         search_documents, search_all_terms, anomaly_gaps, anomaly_bursts, anomaly_page_outliers, anomaly_bulk_ingestion, anomaly_sudden_appearances, anomaly_missing_metadata, top_entities_per_document,
     )
 } | {"extract_entities_text": extract_entities, "extract_events_text": extract_events}

@@ -223,3 +223,39 @@ def test_assistant_is_given_the_right_texts(spark, tmp_path):
     assert ids == [letter.id] and "[1]" in seen[1][0] and "offshore" in seen[1][0]
     with pytest.raises(LookupError):
         assistant.summary_prompt(c, 1)
+
+
+def test_lobbying_records_become_documents(spark, tmp_path):
+    from quaestor.sources import lobbying
+
+    rows = [("Group Inc.", None, "59", None, ["A B", "C D"], ["Shop"], [("Bank of X", "X", "2016", None, "sanctions"), (None, "Y", None, None, None)]), ("Other", "active", None, "n", None, None, None), (None, "x", None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, lobbying.REGISTRANT)
+    found = {r.filename: r.text for r in lobbying.documents(frame).collect()}
+    assert set(found) == {"registrant_group_inc.txt", "registrant_other.txt", "filing_group_inc_bank_of_x.txt"}
+    assert "Status: unknown\nRegistration: 59\nPrincipals: A B, C D" in found["registrant_group_inc.txt"] and "- Bank of X; X; 2016; sanctions" in found["registrant_group_inc.txt"] and found["registrant_group_inc.txt"].endswith("Domestic clients:\n- Shop")
+    assert found["filing_group_inc_bank_of_x.txt"].split("\n")[2:] == ["Foreign principal: Bank of X", "Country: X", "Period: 2016", "Details: sanctions"]
+    assert ingest.write_batch(ingest.tables(lobbying.as_files(frame), "2024-01-01 00"), f"file://{tmp_path}/out", "lobby") == 3
+
+
+def test_uploaded_files_and_bulk_tags(spark, tmp_path):
+    from quaestor.operators.workspace import bulk_tag
+
+    put = lambda: ingest.upload(spark, "../../a b.txt", LETTER.encode(), f"file://{tmp_path}/up", f"file://{tmp_path}/out", at="2024-05-01 09")
+    assert put() == 1 and put() == 1  # the same file replaces its batch
+    docs = ingest.corpus(spark, f"file://{tmp_path}/out")["docs"]
+    (d,) = docs.collect()
+    assert d.filename == "a_b.txt" and [p.name for p in (tmp_path / "up").rglob("*.txt")] == ["a_b.txt"]
+    once, n = bulk_tag(docs, [d.id, 5], "seen", "legal")
+    twice, m = bulk_tag(once, [d.id], "seen")
+    assert (n, m) == (2, 0) and [(r.notes, r.category) for r in twice.collect()] == [("[tag:seen]", "legal")]
+    with pytest.raises(ValueError):
+        bulk_tag(docs, [d.id])
+
+
+def test_parts_of_known_names_are_no_persons(spark):
+    from quaestor.functions import names
+
+    assert [names.capitalised(n) for n in ("palm beach pd", "u.s. attorney", "fbi", "John Mc", "usvi")] == ["Palm Beach PD", "U.S. Attorney", "FBI", "John Mc", "USVI"]
+    docs = spark.createDataFrame([(1, "Then Mr. Luc Brunel came with Jean-Luc Brunel. Mr. Other Man left the fbi.")], "id long, text string")
+    got = {(r.name, r.type) for r in names.extract_entities(docs, {"person": ["jean-luc brunel"], "org": ["fbi"]}).collect()}
+    assert ("Jean-Luc Brunel", "person") in got and ("Other Man", "person") in got and ("FBI", "org") in got and ("Luc Brunel", "person") not in got
