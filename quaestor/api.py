@@ -234,8 +234,24 @@ def phrase_trends(c: Corpus, top_n: int = 20) -> DataFrame:
     return phrases.phrase_trends(phrases.repeated_phrases(c["texts"]), c["docs"], top_n)
 
 
-def provenance_summary(c: Corpus, events: DataFrame, recent: int = 20) -> dict[str, DataFrame]:
-    """Tracked and untracked documents, kinds of events and the last ones, of a table of provenance events (document_id, event_type, event_date, description, actor, created_at)."""
+def narrative(c: Corpus, entity_id: int | None = None, limit: int = 50, chains: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a story is told from: persons of most documents, sure events (of one entity), financial indicators by kind, largest sources; ``chains`` of evidence are passed on."""
+    people = _page(_totals(c, c["entities"].filter("type = 'person'")), [F.col("doc_count").desc(), "id"], 20)
+    events = c["dated"].filter("event_date <> '' AND confidence >= 0.5")
+    if entity_id is not None:
+        events = events.join(c["event_entities"].filter(F.col("entity_id") == entity_id).select("event_id"), F.col("id") == F.col("event_id"), "left_semi")
+    events = events.join(c["docs"].select(F.col("id").alias("document_id"), F.col("title").alias("doc_title")), "document_id", "left")
+    money = c["indicators"].groupBy("indicator_type").agg(F.count("*").alias("n"), F.round(F.avg("risk"), 6).alias("avg_risk"))
+    sources = c["docs"].filter("source <> ''").groupBy("source").agg(F.count("*").alias("n"))
+    return {
+        "key_people": people, "timeline_events": _page(events.select("event_date", "context", "confidence", "precision", "doc_title", "document_id", "id"), ["event_date", "id"], limit),
+        "financial_summary": money.orderBy(F.col("avg_risk").desc(), "indicator_type"), "sources": _page(sources, [F.col("n").desc(), "source"], 10), **({} if chains is None else {"evidence_chains": chains}),
+    }
+
+
+def provenance_summary(c: Corpus, recent: int = 20) -> dict[str, DataFrame]:
+    """Tracked and untracked documents, kinds of provenance events and the last ones."""
+    events = c["provenance"]
     tracked = c["docs"].agg(F.count("*").alias("total_documents")).crossJoin(events.agg(F.countDistinct("document_id").alias("tracked_documents")))  # one row each
     titled = events.join(c["docs"].select(F.col("id").alias("document_id"), "title"), "document_id")
     return {

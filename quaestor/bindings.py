@@ -53,6 +53,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT id, 'aml_flag', CASE id % 2 WHEN 0 THEN 'shell_company' ELSE 'structuring' END, (id * 31) % 100, CASE WHEN id % 3 = 0 THEN 'high' ELSE 'medium' END FROM docs WHERE id % 11 = 0
         UNION ALL SELECT id, 'codeword', 'word' || (id % 17), 50, 'medium' FROM docs WHERE id % 13 = 0
         UNION ALL SELECT id, 'tone', CASE id % 3 WHEN 0 THEN 'hostile' WHEN 1 THEN 'neutral' ELSE 'urgent' END, (id * 37) % 100, 'info' FROM docs WHERE id % 5 = 0""",
+    "provenance": """SELECT o_orderkey AS document_id, CASE o_orderkey % 3 WHEN 0 THEN 'received' WHEN 1 THEN 'scanned' ELSE 'reviewed' END AS event_type, strftime(o_orderdate, '%Y-%m-%d') AS event_date,
+        'step ' || (o_orderkey % 4) AS description, 'clerk ' || (o_custkey % 5) AS actor, strftime(o_orderdate + (o_orderkey % 5)::INT * INTERVAL 1 DAY, '%Y-%m-%d') AS created_at FROM orders WHERE o_orderkey % 8 = 0""",
     "ratings": "SELECT n_name AS source, CASE n_nationkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'D' END AS rating FROM nation WHERE n_nationkey % 2 = 0",
     "history": "SELECT event_type || ' ' || (user_id % 7) AS query, floor(value)::BIGINT AS results, strftime(ts, '%Y-%m-%d %H:%M:%S') AS searched_at FROM main.events WHERE event_id % 5 = 0",
     "tags": "SELECT id AS entity_id, CASE WHEN id % 10 = 0 THEN 'key' ELSE 'minor' END AS tag FROM entities WHERE id % 5 = 0 UNION ALL SELECT id, 'seen' FROM entities WHERE id % 15 = 0",
@@ -98,6 +100,7 @@ COLUMNS = {
     "tags": "entity_id long, tag string",
     "redactions": "document_id long, reason string, start_offset long, end_offset long",
     "keywords": "document_id long, word string, count long",
+    "provenance": "document_id long, event_type string, event_date string, description string, actor string, created_at string",
     "ratings": "source string, rating string",
     "history": "query string, results long, searched_at string",
     "pdf_metadata": "document_id long, author string, creator string, producer string, creation_date string, modification_date string, encrypted boolean",
@@ -229,6 +232,13 @@ class Corpus:
     def _conversations(self) -> DataFrame:
         return self.raw("conversations")
 
+    def _provenance(self) -> DataFrame:
+        rows = self.raw("orders").filter("o_orderkey % 8 = 0")
+        return rows.selectExpr(
+            "o_orderkey AS document_id", "CASE o_orderkey % 3 WHEN 0 THEN 'received' WHEN 1 THEN 'scanned' ELSE 'reviewed' END AS event_type", "date_format(o_orderdate, 'yyyy-MM-dd') AS event_date",
+            "concat('step ', o_orderkey % 4) AS description", "concat('clerk ', o_custkey % 5) AS actor", "date_format(date_add(to_date(o_orderdate), CAST(o_orderkey % 5 AS INT)), 'yyyy-MM-dd') AS created_at",
+        )
+
     def _ratings(self) -> DataFrame:
         return self.raw("nation").filter("n_nationkey % 2 = 0").selectExpr("n_name AS source", "CASE n_nationkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'D' END AS rating")
 

@@ -3,7 +3,6 @@
 _DOCS = "{entities} e JOIN {mentions} m ON e.id = m.entity_id JOIN {docs} d ON d.id = m.document_id"
 
 PLANS = {
-    "provenance_summary": "SELECT count(*) AS total, count(CASE WHEN notes <> '' THEN 1 END) AS tracked, count(CASE WHEN notes = '' THEN 1 END) AS untracked FROM {docs}",
     "narrative_people": f"SELECT e.id, e.name, count(DISTINCT d.id) AS n FROM {_DOCS} WHERE e.type = 'person' GROUP BY e.id, e.name ORDER BY n DESC, e.id LIMIT 20",
     "narrative_finance": "SELECT indicator_type, count(*) AS n, max(risk) AS most FROM {indicators} GROUP BY indicator_type",
     "narrative_timeline": "SELECT v.id, v.event_date, v.context FROM {dated} v JOIN {event_entities} x ON x.event_id = v.id WHERE x.entity_id = 7 AND v.event_date IS NOT NULL ORDER BY v.event_date, v.id LIMIT 50",

@@ -143,6 +143,12 @@ ROUTES: dict[str, tuple[Callable[[Corpus], DataFrame], str | None]] = {
         lambda c: api.get_connections(c, entity_id=7, limit=20).select("entity_a_id", "entity_b_id", "type_a", "type_b", "weight"),
         "SELECT entity_a_id, entity_b_id, a.type AS type_a, b.type AS type_b, weight FROM {links}, {entities} a, {entities} b WHERE a.id = entity_a_id AND b.id = entity_b_id AND 7 IN (entity_a_id, entity_b_id) ORDER BY weight DESC, entity_a_id, entity_b_id LIMIT 20",
     ),
+    "narrative_people_by_documents": (lambda c: api.narrative(c)["key_people"], f"SELECT id, name, type, doc_count, mentions FROM {{entities}} JOIN ({_MENTIONED}) ON entity_id = id WHERE type = 'person' ORDER BY doc_count DESC, id LIMIT 20"),
+    "narrative_events": (lambda c: api.narrative(c, 7)["timeline_events"].select("id", "event_date", "doc_title"), "SELECT v.id, v.event_date, d.title AS doc_title FROM {dated} v JOIN {event_entities} x ON x.event_id = v.id AND x.entity_id = 7 LEFT JOIN {docs} d ON d.id = v.document_id WHERE v.event_date <> '' AND v.confidence >= 0.5 ORDER BY v.event_date, v.id LIMIT 50"),
+    "narrative_money": (lambda c: api.narrative(c)["financial_summary"], "SELECT indicator_type, count(*) AS n, round(avg(risk), 6) AS avg_risk FROM {indicators} GROUP BY indicator_type"),
+    "provenance_summary": (lambda c: api.provenance_summary(c)["summary"], "SELECT count(*) AS total_documents, count(p.document_id) AS tracked_documents, count(*) - count(p.document_id) AS untracked FROM {docs} LEFT JOIN (SELECT DISTINCT document_id FROM {provenance}) p ON p.document_id = id"),
+    "provenance_event_types": (lambda c: api.provenance_summary(c)["event_types"], "SELECT event_type, count(*) AS n FROM {provenance} GROUP BY event_type"),
+    "provenance_recent": (lambda c: api.provenance_summary(c)["recent"], "SELECT event_type, event_date, description, actor, title, document_id, created_at FROM {provenance} JOIN {docs} d ON d.id = document_id ORDER BY created_at DESC, document_id LIMIT 20"),
     "document_clusters": (
         lambda c: api.document_clusters(c)["clusters"],
         "SELECT keyword, count(*) AS size FROM (SELECT document_id, arg_min(word, (-count, word)) AS keyword FROM {keywords} GROUP BY document_id) GROUP BY keyword HAVING count(*) >= 3 ORDER BY size DESC, keyword LIMIT 20",
