@@ -32,7 +32,7 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
     # beside the parts, entities that one document alone names
     "entities": f"""SELECT p_partkey AS id, p_name AS name, {_TYPE_SQL} AS type, lower(p_name) AS canonical FROM part
-        UNION ALL SELECT 10000000 + o_orderkey, 'Lone ' || o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'person' ELSE 'org' END, 'lone ' || o_orderkey FROM orders WHERE o_orderkey % 97 = 0""",
+        UNION ALL SELECT 10000000 + o_orderkey, 'Lone ' || substr(md5(o_orderkey::VARCHAR), 1, 12), CASE o_orderkey % 2 WHEN 0 THEN 'person' ELSE 'org' END, 'lone ' || substr(md5(o_orderkey::VARCHAR), 1, 12) FROM orders WHERE o_orderkey % 97 = 0""",
     "mentions": """SELECT l_orderkey AS document_id, l_partkey AS entity_id, sum(l_quantity)::BIGINT AS count FROM lineitem GROUP BY 1, 2
         UNION ALL SELECT o_orderkey, 10000000 + o_orderkey, 12 FROM orders WHERE o_orderkey % 97 = 0""",
     "links": """SELECT a.entity_id AS entity_a_id, b.entity_id AS entity_b_id, count(DISTINCT a.document_id) AS weight
@@ -160,7 +160,7 @@ class Corpus:
     def _entities(self) -> DataFrame:
         kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("p_partkey") % 4 + 1).cast("int"))
         parts = self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("type"), F.lower("p_name").alias("canonical"))
-        lone = self.raw("orders").filter("o_orderkey % 97 = 0").selectExpr("10000000 + o_orderkey AS id", "concat('Lone ', o_orderkey) AS name", "IF(o_orderkey % 2 = 0, 'person', 'org') AS type", "concat('lone ', o_orderkey) AS canonical")
+        lone = self.raw("orders").filter("o_orderkey % 97 = 0").selectExpr("10000000 + o_orderkey AS id", "concat('Lone ', substr(md5(string(o_orderkey)), 1, 12)) AS name", "IF(o_orderkey % 2 = 0, 'person', 'org') AS type", "concat('lone ', substr(md5(string(o_orderkey)), 1, 12)) AS canonical")
         return parts.unionAll(lone)
 
     def _mentions(self) -> DataFrame:

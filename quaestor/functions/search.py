@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor.operators.graph import cut
+
 K1, B = 1.2, 0.75
 _TOKEN = r"[\p{L}\p{N}]+"
 
@@ -95,7 +97,9 @@ def postings(documents: DataFrame, *, doc_id: str = "id", text: str = "text", te
         words = words.filter(" OR ".join(f"startswith(word, '{t[: max(1, len(t) - 2)]}')" for t in terms) or "false")
     vocabulary = words.distinct().withColumn("term", stems("word"))
     if terms is not None:
-        vocabulary = vocabulary.filter(F.col("term").isin(terms))
+        vocabulary = cut(vocabulary.filter(F.col("term").isin(terms)))
+        if vocabulary.count() <= 10_000:  # the words of a query's stems
+            vocabulary = F.broadcast(vocabulary)
     return placed.join(vocabulary, "word").select("doc_id", "term", "pos", "length")
 
 

@@ -224,9 +224,11 @@ def _moved(ends: DataFrame) -> DataFrame | None:
     if not all_weight:
         return None
     others = ends.filter("node <> partner")
+    loops = ends.filter("node = partner").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    wants = (F.col("gain") > F.col("stay")) & (F.col("best") != F.col("community"))
 
-    def state(labels: DataFrame) -> tuple[DataFrame, float]:
-        """Labels with each node's best move, and the modularity of the labels."""
+    def state(labels: DataFrame) -> tuple[DataFrame, float, int | None]:
+        """Labels with each node's best move, the modularity of the labels, and the node that gains most by its move."""
         held = degree.join(labels, "node")
         totals = held.groupBy("community").agg(F.sum("k").alias("total"))
         near = others.join(labels.toDF("partner", "to"), "partner").groupBy("node", "to").agg(F.sum("weight").alias("w"))
@@ -238,28 +240,23 @@ def _moved(ends: DataFrame) -> DataFrame | None:
             F.max(F.when(F.col("to") == F.col("community"), F.round(gain, 9))).alias("stay"), F.max(F.when(F.col("to") == F.col("community"), F.col("w"))).alias("inside"), F.first("k").alias("k"),
         )
         moves = cut(best)
-        loops = ends.filter("node = partner").agg(F.coalesce(F.sum("weight"), F.lit(0.0)))
-        inside = moves.agg(F.sum("inside")).first()[0] + loops.first()[0]
-        spread = moves.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-        return moves, inside / all_weight - spread / all_weight**2
+        by_community = moves.groupBy("community").agg(F.sum("k").alias("t"), F.sum("inside").alias("inside"), F.max(F.when(wants, F.struct(F.col("gain") - F.col("stay"), -F.col("node")))).alias("m"))
+        row = by_community.agg(F.sum("inside"), F.sum(F.col("t") * F.col("t")), F.max("m")).first()
+        return moves, (row[0] + loops) / all_weight - row[1] / all_weight**2, None if row[2] is None else -row[2][1]
 
-    now, value = state(degree.select("node", F.col("node").alias("community")))
+    now, value, first = state(degree.select("node", F.col("node").alias("community")))
     turn, one_in, any_moved = 0, 2, False
-    while True:
-        wants = (F.col("gain") > F.col("stay")) & (F.col("best") != F.col("community"))
-        first = now.filter(wants).orderBy((F.col("gain") - F.col("stay")).desc(), "node").first()
-        if not first:
-            break
+    while first is not None:
         # where many at once do not help, the node that gains most alone does
-        picked = wants & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(one_in)) == 0 if one_in <= 16 else F.col("node") == F.lit(first.node))
+        picked = wants & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(one_in)) == 0 if one_in <= 16 else F.col("node") == F.lit(first))
         turn += 1
-        new, better = state(cut(now.select("node", F.when(picked, F.col("best")).otherwise(F.col("community")).alias("community"))))
+        new, better, next_first = state(now.select("node", F.when(picked, F.col("best")).otherwise(F.col("community")).alias("community")))
+        slow = better <= value + 1e-4
         if better > value + 1e-7:
-            now, value, any_moved, one_in = new, better, True, min(one_in, 16)
-        elif one_in > 16:
+            now, value, first, any_moved = new, better, next_first, True
+        if one_in > 16 or slow and one_in == 16 and any_moved:  # the next level moves whole communities
             break
-        else:
-            one_in *= 2
+        one_in *= 2 if slow else 1
     return now.select("node", "community") if any_moved else None
 
 

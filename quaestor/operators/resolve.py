@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.operators.pairs import co_occurrence
 
 #: Titles before a name, suffixes after it, thresholds.
 TITLES = "mr|mrs|ms|miss|dr|prof|sir|judge|hon|rev|sen|rep|gov|gen|col|capt|lt|sgt"
@@ -53,7 +54,7 @@ def candidates(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     large block: of words that are half shared, one is among the rarest of either name; of two
     long names at most two edits apart, one of the seven rarest trigrams; an initial meets the
     names that start with it and end alike.  Whether two entities occur together is looked up
-    for the pairs found, among the mentions of their entities.
+    among the mentions of entities that have a match.
     """
     e = entities.select("id", "type", normalized(F.col("name")).alias("n")).filter("n <> ''")
     names = e.select("type", "n").distinct()
@@ -80,8 +81,7 @@ def candidates(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     scored = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "base")
     ids = scored.select(F.explode(F.array("a", "b")).alias("entity_id")).distinct()
     held = mentions.join(ids, "entity_id", "left_semi").select("document_id", "entity_id").distinct()
-    ends = held.toDF("document_id", "a"), held.toDF("document_id", "b")
-    near = scored.select("a", "b").distinct().join(ends[0], "a").join(ends[1], ["document_id", "b"]).select("a", "b", F.lit(TOGETHER).alias("together")).distinct()
+    near = co_occurrence(held, "document_id", "entity_id").select("a", "b", F.lit(TOGETHER).alias("together"))
     total = F.least(F.lit(1.0), F.col("base") + SAME_TYPE + F.coalesce("together", F.lit(0.0)))
     out = scored.join(near, ["a", "b"], "left").select(F.col("a").alias("source"), F.col("b").alias("target"), total.alias("confidence"))
     return out.withColumn("action", F.when(F.col("confidence") >= AUTO, "auto").otherwise("queue"))
