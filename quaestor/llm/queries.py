@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontam import contaminations
+from .divergence import divergences
 from .minhash import near_duplicates
 from .packing import packed
+from .pieces import encoded
 from .pii import KINDS, personal_data
 from .substrings import without_repeats
 from .tokens import tokenized
@@ -83,6 +86,19 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(table(spark, sf_dir, "documents"), tokenizer=vocabulary("byte_bpe_50k.json")).drop("shard")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoded(table(spark, sf_dir, "documents"), model=vocabulary("piece_bpe_32k.model"), with_text=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_epsilon_grid_join": op2_epsilon_grid_join,
@@ -94,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_ids": op10_token_ids,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_collocations": op12_collocations,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -145,4 +164,50 @@ ORACLE_SQL: dict[str, str] = {
         i AS (SELECT every.* FROM every JOIN once USING (q)), sizes AS (SELECT q, item_id, count(*) AS n FROM i GROUP BY ALL),
         found AS (SELECT r, doc_id, q, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, n AS n_item_shingles, n_shared, n_shared / n AS containment FROM found JOIN sizes USING (q) WHERE n_shared >= 0.8 * n""",
+    "op12_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+            FROM (SELECT lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        totals AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang),
+        runs AS (
+            SELECT lang, size, array_to_string(ws[k:k + size - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+            FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS k FROM pieces, (SELECT unnest(range(1, 6)) AS size) WHERE len(ws) >= size)
+            GROUP BY ALL HAVING count(*) >= 100),
+        candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM runs WHERE size > 1),
+        inside AS (
+            SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+            FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM candidates, (SELECT unnest(range(2, 5)) AS m) WHERE m < size)),
+        gone AS (SELECT DISTINCT lang, phrase FROM inside i JOIN candidates c USING (lang, phrase) WHERE 100 * i.a >= 100 * c.a),
+        cuts AS (
+            SELECT lang, phrase, a, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail, k
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates ANTI JOIN gone USING (lang, phrase))),
+        scores AS (
+            SELECT lang, c.phrase, a, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score, k
+            FROM cuts c JOIN runs x USING (lang) JOIN runs y USING (lang) JOIN totals USING (lang) WHERE x.phrase = c.head AND y.phrase = c.tail),
+        lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000""",
+    "op13_source_divergence": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        words AS (SELECT row, lang, source, unnest(ws) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+        v AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n) AS lang_all FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        cells AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        sums AS (SELECT lang, source, sum(n) AS group_all FROM cells GROUP BY ALL),
+        shares AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // (coalesce(group_all, 0) + 5 * v) AS p,
+                1 + (1000000000 * (lang_n + 5)) // (lang_all + 5 * v) AS q
+            FROM groups JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN sums USING (lang, source) LEFT JOIN cells USING (lang, source, term)),
+        distances AS (SELECT lang, x.source AS s1, y.source AS s2, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+        pair AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN distances d ON d.lang = x.lang AND d.s1 = x.source AND d.s2 = y.source),
+        ranked AS (
+            SELECT *, 1000000000 AS top FROM pair
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT, 50 FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked) WHERE rank <= top""",
 }
