@@ -4,12 +4,12 @@ Texts become blocks: one language's words in order, as numbers of a table of the
 between pieces.  A block's distinct words are counted over all blocks, and frequent ones get a name.
 From then on a run of k words is the pair of the names of its first and its last k - 1 words:
 each block sends its distinct pairs, a shuffle by pair adds them up, and frequent pairs get a name,
-which goes back to the blocks that hold them.  What is not frequent ends a stretch, as nothing
-frequent contains it.  A name is the first place (block and number in it) where its run was met,
-so no table numbers the names, and a name's row keeps the names of its two parts.  These parent
-pointers give a run's words, the counts of the parts of every cut, and what it subsumes: a run's
-count is at most that of its parts, so whatever contains it as often has, among the runs that are
-one word longer, one that contains it as often.
+which is joined back to the blocks that hold them: up to ``few`` names by a broadcast of them all, more
+by a shuffle, which gives the same.  What is not frequent ends a stretch, as nothing frequent contains it.
+A name's row keeps the names of its two parts.  These parent pointers give a run's words, the counts
+of the parts of every cut, and what it subsumes: a run's count is at most that of its parts, so
+whatever contains it as often has, among the runs that are one word longer, one that contains it as
+often.
 
 A common word or pair is one row a block in the shuffle.  A block holds at most ``block_words``
 words unless one piece is longer; it is all that a task holds.
@@ -81,6 +81,11 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u4" if packed[0] == 4 else "<u2", offset=1).astype(np.int64)
 
 
+def _longs(packed: pa.Scalar) -> np.ndarray:
+    held = packed.as_py()
+    return np.frombuffer(held, np.int64) if held else np.empty(0, np.int64)
+
+
 def _texts(body: bytes, most: int) -> Iterator[bytes]:
     """A text in stretches of about ``most`` bytes that end where a piece does."""
     begin = 0
@@ -130,7 +135,7 @@ def _pairs(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                block, names = batch.column("block")[row].as_py(), np.frombuffer(batch.column("names")[row].as_buffer(), np.int64)
+                block, names = batch.column("block")[row].as_py(), _longs(batch.column("names")[row])
                 keys, counts = np.unique(_keys(_unpacked(batch.column("codes")[row].as_py()), len(names))[1], return_counts=True)
                 left, right = np.divmod(keys, max(1, len(names)))
                 places = (np.int64(block) << _BITS) + np.arange(len(keys))
@@ -148,65 +153,142 @@ def _keys(codes: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (codes[at] - 1) * max(1, names) + codes[at + 1] - 1
 
 
-def _named(counted: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Rows of frequent keys with f, the count over all blocks, and id, the first place."""
-    over = Window.partitionBy(*key)
-    found = counted.withColumns({"f": F.sum("n").over(over), "id": F.min("place").over(over)})
-    return found.filter(F.col("f") >= least).drop("n")
+def _named(counted: DataFrame, key: list[str], least: int, label: str) -> DataFrame:
+    """(id, key, f) of frequent keys, a written table: what was numbered once is never numbered again."""
+    found = counted.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    return written(found.withColumn("id", F.monotonically_increasing_id()), label)
+
+
+def _from_words(codes: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Codes of words (from 1) as codes of names, 0 where a word has none."""
+    return _squeezed(np.concatenate([[0], new])[codes])
+
+
+def _from_pairs(codes: np.ndarray, at: np.ndarray, places: np.ndarray, new: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes), np.int64)
+    out[at] = new[places]
+    return _squeezed(out)
+
+
+def _block_row(block: int, codes: np.ndarray, names: np.ndarray) -> dict:
+    return {"block": pa.array([block], pa.int64()), "codes": pa.array([_packed(codes)], pa.binary()), "names": pa.array([names.astype(np.int64).tobytes()], pa.binary())}
+
+
+_NAMED_BLOCK = "block long, codes binary, names binary"
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each entry, 0 where its id is negative; the ids that have a code, from 1)."""
+    has = ids >= 0
+    return np.where(has, np.cumsum(has), 0), ids[has]
 
 
-def _renamed(blocks: DataFrame, named: DataFrame, single: bool) -> DataFrame:
-    """Blocks over the names one level up; runs without a name end a stretch."""
+def _renamed_here(blocks: DataFrame, named: DataFrame, single: bool) -> DataFrame:
+    """Blocks over the names one level up, by a broadcast of the names."""
+    context = blocks.sparkSession.sparkContext
+    if single:
+        table = named.select("lang", F.col("word").cast("binary").alias("word"), "id").toArrow().to_pydict()
+        by_lang: dict[str, dict[bytes, int]] = defaultdict(dict)
+        for lang, word, k in zip(table["lang"], table["word"], table["id"], strict=True):
+            by_lang[lang][word] = k
+        shared = context.broadcast(dict(by_lang))  # at most ``few`` names, which the caller has counted
+    else:
+        table = named.select("l", "r", "id").orderBy("l", "r").toArrow()
+        left, right, ids = (table[c].to_numpy() for c in ("l", "r", "id"))
+        shared = context.broadcast((left, right, ids))  # the same
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = shared.value.get(batch.column("lang")[row].as_py(), {})
+                held = batch.column("words")[row].as_py()
+                new, names = _numbered(np.fromiter((own.get(w, -1) for w in held), np.int64, len(held)))
+                yield pa.RecordBatch.from_pydict(_block_row(batch.column("block")[row].as_py(), _from_words(_unpacked(batch.column("codes")[row].as_py()), new), names))
+        release()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, ids = shared.value
+        lefts, rights = np.unique(left), np.unique(right)
+        keys = np.searchsorted(lefts, left) * max(1, len(rights)) + np.searchsorted(rights, right)  # ascending, as the table is
+        for batch in batches:
+            for row in range(batch.num_rows):
+                names = _longs(batch.column("names")[row])
+                codes = _unpacked(batch.column("codes")[row].as_py())
+                at, own = _keys(codes, len(names))
+                distinct, places = np.unique(own, return_inverse=True)
+                l_names, r_names = (names[x] for x in np.divmod(distinct, max(1, len(names))))
+                found = np.full(len(distinct), -1, np.int64)
+                if len(keys) and len(distinct):
+                    li, ri = (np.minimum(np.searchsorted(t, x), len(t) - 1) for t, x in ((lefts, l_names), (rights, r_names)))
+                    wanted = li * len(rights) + ri
+                    k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    same = (lefts[li] == l_names) & (rights[ri] == r_names) & (keys[k] == wanted)
+                    found[same] = ids[k[same]]
+                new, kept = _numbered(found)
+                yield pa.RecordBatch.from_pydict(_block_row(batch.column("block")[row].as_py(), _from_pairs(codes, at, places, new), kept))
+        release()
+
+    if single:
+        return blocks.select("block", "lang", "codes", "words").mapInArrow(words, _NAMED_BLOCK)
+    return blocks.select("block", "codes", "names").mapInArrow(pairs, _NAMED_BLOCK)
+
+
+def _renamed_there(blocks: DataFrame, found: DataFrame, single: bool) -> DataFrame:
+    """The same by a shuffle; ``found`` holds (place, id) of what has a name."""
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         if not block.num_rows or not found.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "names": pa.array([], pa.binary())})
         codes = _unpacked(block["codes"][0].as_py())
-        own, ids = found["place"].to_numpy() & ((1 << _BITS) - 1), found["id"].to_numpy()
+        own, given = found["place"].to_numpy() & ((1 << _BITS) - 1), found["id"].to_numpy()
         if single:
-            new = np.zeros(int(max(codes.max(), own.max())) + 1, np.int64)
-            new[own] = np.arange(1, len(own) + 1)
-            codes = new[codes]
+            ids = np.full(int(max(codes.max(), own.max())), -1, np.int64)
+            ids[own - 1] = given
+            new, names = _numbered(ids)
+            codes = _from_words(codes, new)
         else:
-            at, keys = _keys(codes, len(block["names"][0].as_buffer()) // 8)
+            at, keys = _keys(codes, len(_longs(block["names"][0])))
             distinct, places = np.unique(keys, return_inverse=True)
-            new = np.zeros(len(distinct), np.int64)
-            new[own] = np.arange(1, len(own) + 1)
-            codes = np.zeros(len(codes), np.int64)
-            codes[at] = new[places]
-        codes = _squeezed(codes)
-        return pa.table({"block": block["block"], "codes": pa.array([_packed(codes)], pa.binary()), "names": pa.array([ids.astype(np.int64).tobytes()], pa.binary())})
+            ids = np.full(len(distinct), -1, np.int64)
+            ids[own] = given
+            new, names = _numbered(ids)
+            codes = _from_pairs(codes, at, places, new)
+        return pa.table(_block_row(block["block"][0].as_py(), codes, names))
 
-    found = named.select(F.shiftright("place", _BITS).alias("block"), "place", "id")
-    both = blocks.groupBy("block").cogroup(found.groupBy("block"))
-    return both.applyInArrow(run, "block long, codes binary, names binary")
+    by_block = found.select(F.shiftright("place", _BITS).alias("block"), "place", "id")
+    both = blocks.select("block", "codes", *([] if single else ["names"])).groupBy("block").cogroup(by_block.groupBy("block"))
+    return both.applyInArrow(run, _NAMED_BLOCK)
 
 
-def grams(docs: DataFrame, *, longest: int = 5, least: int = 100, block_words: int = 1_500_000, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def grams(docs: DataFrame, *, longest: int = 5, least: int = 100, block_words: int = 3_000_000, few: int = 400_000, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(runs of one to ``longest`` words with at least ``least`` occurrences, word occurrences of each lang), written tables.
 
     A run's row: id, size, lang, phrase, last (its last word), f, l and r (ids of its first and last size - 1 words; null for
     words), heads and tails (counts of its first 1, 2, ... words and of what follows them), subsumed.
     """
     small_batches(docs.sparkSession)
-    blocks = written(_blocks(docs, block_words, text, lang), "word-blocks", maxRecordsPerFile=8)
+    blocks = written(_blocks(docs, block_words, text, lang), "word-blocks", maxRecordsPerFile=8, compression="zstd")
     totals = written(blocks.select("lang", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select(
         (F.shiftleft("block", _BITS) + F.col("pos") + 1).alias("place"), "lang", F.col("col.words").cast("string").alias("word"), F.col("col.counts").alias("n")
     )
-    named = written(_named(words, ["lang", "word"], least), "named-words")
+    counted, key, named = words, ["lang", "word"], _named(words.drop("place"), ["lang", "word"], least, "named-words")
     none = F.array().cast("array<long>")
-    runs = written(
-        named.filter("id = place").select("id", F.lit(1).alias("size"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), none.alias("heads"), none.alias("tails")), "runs"
-    )
+    word = F.col("word")
+    runs = written(named.select("id", F.lit(1).alias("size"), "lang", word.alias("phrase"), word.alias("last"), "f", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), none.alias("heads"), none.alias("tails")), "runs")
     levels = [runs]
     for size in range(2, longest + 1):
-        blocks = written(_renamed(blocks.select("block", "codes", *([] if size == 2 else ["names"])), named, size == 2), "name-blocks")
-        named = written(_named(_pairs(blocks), ["l", "r"], least), "named-pairs")
+        if named.limit(few + 1).count() <= few:
+            blocks = _renamed_here(blocks, named, size == 2)
+        else:
+            blocks = _renamed_there(blocks, counted.join(named, key).select("place", "id"), size == 2)
+        blocks = written(blocks, "name-blocks", maxRecordsPerFile=8, compression="zstd")
+        counted, key = _pairs(blocks), ["l", "r"]
+        named = _named(counted.drop("place"), key, least, "named-pairs")
         parts = runs.select("id", "lang", "phrase", "last", "f", "heads", "tails")
         left = parts.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("lp"), F.col("f").alias("lf"), "heads")
         right = parts.select(F.col("id").alias("r"), F.col("last"), F.col("f").alias("rf"), "tails")
-        made = named.filter("id = place").drop("place").join(left, "l").join(right, "r")
+        made = named.join(left, "l").join(right, "r")
         runs = written(
             made.select("id", F.lit(size).alias("size"), "lang", F.concat_ws(" ", "lp", "last").alias("phrase"), "last", "f", "l", "r", F.concat("heads", F.array("lf")).alias("heads"), F.concat(F.array("rf"), "tails").alias("tails")), "runs"
         )
