@@ -80,15 +80,18 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
 
 def write_pages(
     pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 100, file_bytes: int = 32 << 20,
-    date: str = "2024-01-01T00:00:00Z",
+    date: str = "2024-01-01T00:00:00Z", few: int = 200_000,
 ) -> DataFrame:
-    """Writes the archives; returns the manifest (path, bytes, records), a written table."""
+    """Writes the archives; returns the manifest (path, bytes, records), a written table.
+
+    Up to ``few`` repeated payloads are marked by a broadcast of their digests, and no payload is shuffled; more of them meet the pages in a join.
+    """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     small_batches(pages.sparkSession)
     first = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("m"), F.count("*").alias("n"))
-    first = first.filter("n > 1").select("digest", F.col("m.page_id").alias("first"), F.col("m.url").alias("first_url"))
-    planned = rows.join(first, "digest", "left").withColumn("revisit", F.expr(f"length(payload) >= {least} AND first IS NOT NULL AND NOT page_id <=> first"))
+    first = written(first.filter("n > 1").select("digest", F.col("m.page_id").alias("first"), F.col("m.url").alias("first_url")), "repeated")
+    planned = rows.join(F.broadcast(first) if first.limit(few + 1).count() <= few else first, "digest", "left").withColumn("revisit", F.expr(f"length(payload) >= {least} AND first IS NOT NULL AND NOT page_id <=> first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _files(folder)
@@ -120,25 +123,45 @@ def write_pages(
 
 
 class _Window:
-    """Reads of one file, a stretch at a time."""
+    """A growing stretch of one file: from ``begin``, at first up to ``end``, further only as far as a member reaches.
+
+    Members are unpacked from the bytes at hand, so each byte is read once.
+    """
 
-    def __init__(self, path: str, stretch: int = 1 << 20):
+    def __init__(self, path: str, begin: int, end: int, stretch: int = 1 << 17, step: int = 1 << 14):
         fs, name = _files(path)
-        self.file, self.stretch = fs.open_input_file(name), stretch
+        self.file, self.begin, self.stretch, self.step = fs.open_input_file(name), begin, stretch, step
         self.size = self.file.size()
+        self.data, self.read = bytearray(), 0
+        self._more(min(end, self.size) - begin)
+
+    def _more(self, n: int) -> bool:
+        at = self.begin + len(self.data)
+        data = self.file.read_at(max(0, min(n, self.size - at)), at)
+        self.read += len(data)
+        self.data += data
+        return bool(data)
+
+    def drop(self, offset: int) -> None:
+        """Forgets what lies before an offset."""
+        if offset - self.begin >= self.stretch:
+            del self.data[: offset - self.begin]
+            self.begin = offset
 
     def member(self, offset: int) -> tuple[bytes, int] | None:
-        """(content, offset after it) of a gzip member, None where there is none whole."""
-        unpack, at, out = zlib.decompressobj(31), offset, []
+        """(content, offset after it) of a gzip member, None where there is none whole or its content is no WARC record."""
+        unpack, at, out, known = zlib.decompressobj(31), offset, [], False
         try:
-            while at < self.size:
-                data = self.file.read_at(min(self.stretch, self.size - at), at)
+            while at < self.begin + len(self.data) or self._more(self.stretch):
+                data = self.data[at - self.begin : at - self.begin + self.step]
                 out.append(unpack.decompress(data))
                 at += len(data)
                 if unpack.eof:
                     return b"".join(out), at - len(unpack.unused_data)
-                if len(out) == 1 and out[0] and not _HEAD.match(out[0][:10]):
-                    return None
+                if not known and sum(map(len, out)) >= 10:
+                    known = True
+                    if not _HEAD.match(b"".join(out)[:10]):
+                        return None
         except zlib.error:
             return None
         return None
@@ -170,14 +193,15 @@ def candidates(manifest: DataFrame, chunk: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                window, start = _Window(row["path"]), row["k"] * chunk
-                data = window.file.read_at(min(chunk + 2, window.size - start), start)
-                found, at = [], data.find(_MAGIC)
+                start = row["k"] * chunk
+                window = _Window(row["path"], start, start + chunk + 2)
+                found, at = [], window.data.find(_MAGIC, 0, chunk + 2)
                 while at >= 0:
                     member = window.member(start + at)
                     if member and _parsed(member[0]):
                         found.append((start + at, member[1]))
-                    at = data.find(_MAGIC, at + 1)
+                    at = window.data.find(_MAGIC, at + 1, chunk + 2)
+                window.file.close()
                 leaves: dict[int, int] = {}
                 for place, after in reversed(found):
                     leaves[place] = leaves.get(after, after)
@@ -212,9 +236,11 @@ def read_records(manifest: DataFrame, *, chunk: int = 4 << 20) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                window, at, out, held = _Window(row["path"]), row["at"], [], 0
+                at, out, held = row["at"], [], 0
                 until = (at // chunk + 1) * chunk
+                window = _Window(row["path"], at, until)
                 while at < min(until, window.size):
+                    window.drop(at)
                     member = window.member(at)
                     parsed = member and _parsed(member[0])
                     if not parsed:
@@ -232,6 +258,7 @@ def read_records(manifest: DataFrame, *, chunk: int = 4 << 20) -> DataFrame:
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                         out, held = [], 0
+                window.file.close()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
