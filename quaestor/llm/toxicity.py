@@ -170,7 +170,8 @@ class Scorer:
         spans = [m.span() for m in _WORD.finditer(text.lower())]
         lowered, places = text.lower(), [k for k, _, _ in found]
         out = []
-        for k, w, (weight, edits) in found:
+        for i, (k, w, (weight, edits)) in enumerate(found):
+            crowded = i > 0 and k - places[i - 1] <= self.window or i + 1 < len(places) and places[i + 1] - k <= self.window
             near = words[max(0, k - self.window) : k + self.window + 1]
             begin, end = spans[max(0, k - self.window)][0], spans[min(len(spans) - 1, k + self.window)][1]
             before, after = lowered[begin : spans[k][0]], lowered[spans[k][1] : end]
@@ -179,7 +180,7 @@ class Scorer:
                 weight *= 0.35
             else:
                 weight *= 1.15 if _SECOND & set(near) else 1.0
-                weight *= 1.1 if sum(abs(p - k) <= self.window for p in places) > 1 else 1.0
+                weight *= 1.1 if crowded else 1.0
             out.append((k, w, weight))
         return out
 

@@ -562,6 +562,37 @@ def test_warc_is_read_in_many_tasks(spark, tmp_path):
     assert got.filter("sound").count() == 400 == sum(f.records for f in files)
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 1 << 22])
+def test_warc_reading_reads_each_byte_about_once(spark, tmp_path, monkeypatch, chunk):
+    rng = random.Random(5)
+    rows = [(k, f"http://a/{k}", prose(rng, 200, 100_000)) for k in range(1500)]
+    manifest = warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/bytes")
+    path, size = manifest.collect()[0][:2]
+    read, at, n = 0, 0, 0
+    while at < size:  # as a chunk's scan and walk read
+        window = warc._Window(path, at, min(size, (at // chunk + 1) * chunk), stretch=min(1 << 18, chunk // 4))
+        until = (at // chunk + 1) * chunk
+        while at < min(until, size):
+            window.drop(at)
+            at, n = window.member(at)[1], n + 1
+        read += window.read
+    assert n == 1501 and read <= 1.5 * size
+    monkeypatch.setattr(warc._Window.__init__, "__defaults__", (17, 5))  # whatever pieces a member comes in
+    window = warc._Window(path, 0, 3)
+    at = 0
+    for _ in range(20):
+        window.drop(at)
+        content, at = window.member(at)
+        assert content.startswith(b"WARC/1.1\r\n")
+    assert warc.read_records(manifest, chunk=chunk).filter("sound").count() == 1500
+
+
+def test_warc_marks_repeated_payloads_alike_with_and_without_a_broadcast(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"page {k % 7} " * 40) for k in range(60)], "page_id long, url string, html string")
+    few, many = (warc.read_records(warc.write_pages(pages, f"file://{tmp_path}/few{n}", few=n)).select("page_id", "record_type", "refers_to") for n in (100, 0))
+    assert sorted(few.collect()) == sorted(many.collect()) and few.filter("record_type = 'response'").count() == 7
+
+
 def test_warc_references_name_records_that_exist(spark, tmp_path):
     import gzip
 
@@ -664,6 +695,16 @@ def test_toxicity_of_repeated_ids_and_contradictory_labels(spark):
     assert sorted(((r.doc_id, r.score >= 0.7) for r in got), key=str) == sorted(((i, bool(t) and ("blorgon" in t or "snarkface" in t)) for i, t in rows), key=str)
 
 
+def test_toxicity_of_a_text_full_of_hits_takes_linear_time():
+    model = toxicity.Model({"blorgon": 5.0, "snarkface": 4.0}, {}, frozenset(), (-6.0, 1.0, 1.0, 1.0))
+    scorer = toxicity.Scorer(model)
+    some = scorer.hits("blorgon " + "calm " * 20 + "blorgon calm snarkface " + "calm " * 12 + "blorgon")
+    assert [(k, round(w, 6)) for k, _, w in some] == [(0, 5.0), (21, 5.5), (23, 4.4), (36, 5.0)]
+    start = time.time()
+    assert len(scorer.hits("blorgon snarkface " * 100_000)) == 200_000
+    assert time.time() - start < 10
+
+
 def test_toxicity_query_equals_scores_one_by_one(spark, sf_dir):
     """The query against the rule said plainly: each text by itself, from the model of rows outside the held-out third."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
