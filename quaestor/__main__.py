@@ -83,11 +83,11 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--to", required=True)
     ingest.add_argument("--batch", required=True)
     ingest.add_argument("--source", default="")
-    dossier = commands.add_parser("dossier", help="write an entity's dossier as a page")
-    dossier.add_argument("entity", type=int)
-    dossier.add_argument("--to", required=True)
-    dossier.add_argument("--tables")
-    dossier.add_argument("--corpus")
+    report = commands.add_parser("report", help="write a page about an entity")
+    report.add_argument("entity", type=int)
+    report.add_argument("--to", required=True)
+    report.add_argument("--tables")
+    report.add_argument("--corpus")
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(registry.queries())))
@@ -123,9 +123,9 @@ def command(spark, args) -> int:
         if not args.tables and not args.corpus:
             raise ValueError("name --tables or --corpus")
         c = ingest.corpus(spark, args.corpus) if args.corpus else Corpus(spark, args.tables)
-        if args.command == "dossier":
+        if args.command == "report":
             with open(args.to, "w", encoding="utf-8") as out:
-                out.write(reports.dossier(api.entity_dossier(c, args.entity)))
+                out.write(reports.entity_report(api.entity_report(c, args.entity)))
             print(args.to)
         elif args.command == "stats":
             counts = {name: c[name].count() for name in ("docs", "entities", "mentions", "links", "dated")}

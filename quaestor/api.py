@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.bindings import Corpus
-from quaestor.functions import phrases
+from quaestor.functions import fulltext, phrases
 from quaestor.functions import search as fts
+from quaestor.functions.fulltext import Fulltext
 from quaestor.operators import graph, pairs
 
 _DOC = ["id", "filename", "title", "category", "source", "date", "pages", "flagged"]
@@ -150,28 +151,38 @@ def search_pdf_metadata(c: Corpus, author: str | None = None, creator: str | Non
 # search
 
 
-def _match(c: Corpus, q: str, index: fts.Index | None) -> DataFrame:
-    found = fts.search_texts(c["texts"], q, k=None) if index is None else fts.search(index, q, k=None)
+def _match(c: Corpus, q: str, index: fts.Index | Fulltext | None, weights: dict[str, float] | None = None) -> DataFrame:
+    index = index or c.index
+    if isinstance(index, Fulltext):
+        found = fulltext.search(index, q, k=None, weights=weights)
+    else:
+        found = fts.search_texts(c["texts"], q, k=None) if index is None else fts.search(index, q, k=None)
     return found.select(F.col("doc_id").alias("hit"), "score")
 
 
-def search_documents(c: Corpus, q: str = "", category: str | None = None, limit: int | None = 50, offset: int = 0, index: fts.Index | None = None, around: int = 40) -> DataFrame:
+def search_documents(
+    c: Corpus, q: str = "", category: str | None = None, limit: int | None = 50, offset: int = 0, index: fts.Index | Fulltext | None = None, around: int = 40, weights: dict[str, float] | None = None,
+) -> DataFrame:
     """Documents with the phrase ``q``, best first, with an excerpt; without ``q`` the last ingested.
 
-    ``index`` is one written before (``functions.search.Index.write``); without it the texts are scanned for the query's words.
+    An ingested corpus keeps an index over title, text, category and source (``functions.fulltext``), whose ``weights`` by field may
+    be given, and excerpts show the ``around`` words with the phrase marked.  Another ``index`` may be one of texts alone
+    (``functions.search.Index.write``); without any the texts are scanned, and ``around`` counts characters.
     """
     docs = _where(c["docs"], _equal("category", category))
     texts = c["texts"].select(F.col("id").alias("hit"), "text")
     if not q.strip():
         rows = docs.join(texts, F.col("id") == F.col("hit"), "left").select(*_DOC, "ingest_day", F.substring("text", 1, 300).alias("excerpt"))
         return _page(rows, _latest(c), limit, offset).drop("ingest_day")
-    found = _page(_match(c, q, index).join(docs, F.col("hit") == F.col("id")), [F.col("score").desc(), "id"], limit, offset)
-    return found.join(texts, "hit").select(*_DOC, fts.snippet(F.col("text"), q, around).alias("excerpt"), "score").orderBy(F.col("score").desc(), "id")
+    found = _page(_match(c, q, index, weights).join(docs, F.col("hit") == F.col("id")), [F.col("score").desc(), "id"], limit, offset)
+    kept = isinstance(index or c.index, Fulltext)
+    excerpt = fulltext.excerpts(F.coalesce("text", F.lit("")), q, size=around) if kept else fts.snippet(F.col("text"), q, around)
+    return found.join(texts, "hit", "left" if kept else "inner").select(*_DOC, excerpt.alias("excerpt"), "score").orderBy(F.col("score").desc(), "id")
 
 
 def advanced_search(
     c: Corpus, q: str = "", category: str | None = None, source: str | None = None, date_from: str | None = None, date_to: str | None = None, entity_name: str | None = None,
-    flagged_only: bool = False, min_risk: int | None = None, sort_by: str = "relevance", limit: int | None = 50, offset: int = 0, index: fts.Index | None = None,
+    flagged_only: bool = False, min_risk: int | None = None, sort_by: str = "relevance", limit: int | None = 50, offset: int = 0, index: fts.Index | Fulltext | None = None,
 ) -> DataFrame:
     """Documents under any combination of filters; ``sort_by`` is relevance (with ``q``), date, pages or else the day of ingestion."""
     docs = _where(
@@ -364,8 +375,8 @@ def merge_preview(c: Corpus, source_id: int, target_id: int) -> DataFrame:
     return docs.crossJoin(links).crossJoin(tags)  # one row each
 
 
-def entity_dossier(c: Corpus, entity_id: int) -> dict[str, DataFrame]:
-    """What an exported dossier shows: documents, events, associated entities, aliases, tags (``sources.reports.dossier`` writes it)."""
+def entity_report(c: Corpus, entity_id: int) -> dict[str, DataFrame]:
+    """What an exported report of an entity shows: documents, events, associated entities, aliases, tags (``sources.reports.entity_report`` writes it)."""
     mine = c["mentions"].filter(F.col("entity_id") == entity_id).select("document_id")
     events = c["dated"].filter("event_date IS NOT NULL").join(mine, "document_id", "left_semi").select("event_date", "context", "precision", "id")
     return {

@@ -114,6 +114,7 @@ class Corpus:
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
         self.kept: dict = {}  # what a route writes once for all later calls
+        self.index = None  # a ``functions.fulltext.Fulltext`` over the documents, where one is kept
 
     @classmethod
     def of(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> Corpus:

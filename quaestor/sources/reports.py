@@ -59,8 +59,8 @@ def page(title: str, sections: list[tuple[str, DataFrame]], most: int | None = 5
     return "\n".join(out) + "</body></html>\n"
 
 
-def dossier(parts: dict[str, DataFrame]) -> str:
-    """The page of ``api.entity_dossier``: an entity's name and type, then its documents, events, associates, aliases and tags, all of them; empty parts are left out.
+def entity_report(parts: dict[str, DataFrame]) -> str:
+    """The page of ``api.entity_report``: an entity's name and type, then its documents, events, associates, aliases and tags, all of them; empty parts are left out.
 
     ``LookupError`` if there is no such entity.
     """
@@ -68,7 +68,7 @@ def dossier(parts: dict[str, DataFrame]) -> str:
     if entity is None:
         raise LookupError("no such entity")
     sections = [(name, df) for name, df in parts.items() if name != "entity" and df.head(1)]
-    return page(f"Dossier: {entity.name} ({entity.type})", sections, None)
+    return page(f"Report: {entity.name} ({entity.type})", sections, None)
 
 
 def evidence_chain(name: str, links: DataFrame, as_html: bool = False) -> str:

@@ -47,7 +47,7 @@ class Store:
     def _at(self, version: str | None) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}") if version else self.spark.createDataFrame([], self.schema)
 
-    def _change(self, change: Callable[[DataFrame], DataFrame], tries: int = 20) -> None:
+    def change(self, change: Callable[[DataFrame], DataFrame], tries: int = 20) -> None:
         for _ in range(tries):
             pointers = self._pointers()
             base = next((version for _, version in reversed(pointers) if version), None)
@@ -85,13 +85,13 @@ class Store:
             new = rows.dropDuplicates(unique).join(t.select(*unique), unique, "left_anti") if unique else rows
             return t.unionByName(new.select(*t.columns))
 
-        self._change(change)
+        self.change(change)
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> None:
-        self._change(lambda t: t.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*t.columns)))
+        self.change(lambda t: t.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*t.columns)))
 
     def update(self, where: Column, values: dict[str, Column]) -> None:
-        self._change(lambda t: t.select(*[F.when(where, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in t.columns]))
+        self.change(lambda t: t.select(*[F.when(where, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in t.columns]))
 
     def delete(self, where: Column) -> None:
-        self._change(lambda t: t.filter(~F.coalesce(where, F.lit(False))))
+        self.change(lambda t: t.filter(~F.coalesce(where, F.lit(False))))

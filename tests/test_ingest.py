@@ -204,9 +204,9 @@ def test_command_line_over_an_ingested_corpus(spark, tmp_path, capsys):
     assert main(["ask", "nothing", "--corpus", out]) == 2 and "no route" in capsys.readouterr().err
     assert main(["routes"]) == 0 and "list_documents(category" in capsys.readouterr().out
     stone = api.search_entities(ingest.corpus(spark, out), "adam stone").first().id
-    assert main(["dossier", str(stone), "--to", f"{tmp_path}/d.html", "--corpus", out]) == 0
+    assert main(["report", str(stone), "--to", f"{tmp_path}/d.html", "--corpus", out]) == 0
     page = (tmp_path / "d.html").read_text()
-    assert "Dossier: Adam Stone (person)" in page and "The second report of all" in page and "Maria Lopez" in page
+    assert "Report: Adam Stone (person)" in page and "The second report of all" in page and "Maria Lopez" in page
 
 
 def test_assistant_is_given_the_right_texts(spark, tmp_path):
@@ -259,3 +259,121 @@ def test_parts_of_known_names_are_no_persons(spark):
     docs = spark.createDataFrame([(1, "Then Mr. Luc Brunel came with Jean-Luc Brunel. Mr. Other Man left the fbi.")], "id long, text string")
     got = {(r.name, r.type) for r in names.extract_entities(docs, {"person": ["jean-luc brunel"], "org": ["fbi"]}).collect()}
     assert ("Jean-Luc Brunel", "person") in got and ("Other Man", "person") in got and ("FBI", "org") in got and ("Luc Brunel", "person") not in got
+
+
+def by_hand(folder, spark):
+    """The same corpus without anything kept: pairs by a self-join of all mentions, and an index written anew."""
+    from quaestor.functions import fulltext
+    from quaestor.operators.pairs import co_occurrence
+
+    c = ingest.corpus(spark, folder)
+    pairs = {tuple(r) for r in co_occurrence(c["mentions"], "document_id", "entity_id").collect()}
+    documents = c["docs"].join(c["texts"].select("id", "text"), "id")
+    return c, pairs, documents, fulltext
+
+
+def same_search(c, documents, fulltext, where):
+    fresh = fulltext.indexed(documents, where)
+    assert (c.index.docs, c.index.words) == (fresh.docs, fresh.words)
+    for query, phrase in (("wire transfer", True), ("transfer maria", False), ("report", True), ("the offshore holding", True), ("Press", True), ("absent words", True)):
+        rows = [[(r.doc_id, round(r.score, 9)) for r in fulltext.search(x, query, phrase=phrase).collect()] for x in (c.index, fresh)]
+        assert rows[0] == rows[1]
+
+
+def test_connections_and_index_follow_batches_replacements_removals_and_rewrites(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    people = ["Maria Lopez", "Adam Stone", "John Field", "Ann Marsh", "Eva Brook"]
+
+    def batch(k, n, name):
+        texts = {f"t{k}x{j}": f"Press item {k} of {j}. Dr. {people[(k + j) % 5]} met Mr. {people[(k * j + 1) % 5]} about the wire transfer to the offshore holding number {k}{j}." for j in range(n)}
+        put(tmp_path / f"in{name}{k}", **texts)
+        return ingest.ingest(spark, f"file://{tmp_path}/in{name}{k}", out, batch=f"b{k}", at="2024-05-01 09")
+
+    assert [batch(k, 2, "a") for k in range(3)] == [2, 2, 2]
+    c, pairs, documents, fulltext = by_hand(out, spark)
+    assert {tuple(r) for r in c["links"].collect()} == pairs and pairs
+    same_search(c, documents, fulltext, f"file://{tmp_path}/fresh0")
+    assert batch(1, 3, "b") == 3  # the same batch with another document
+    gone = c["texts"].filter("text LIKE 'Press item 0 of 1%'").select("id")
+    assert ingest.remove(spark, out, gone) == 1 and ingest.remove(spark, out, gone) == 0
+    assert ingest.rewrite(spark, out, most=2)
+    catalog = ingest._catalog(spark, out).read()
+    assert catalog.filter("kind = 'rows'").select("version").distinct().count() <= 2 and catalog.filter("kind = 'pairs'").count() <= 2 and catalog.filter("kind = 'rows'").count() == 3
+    assert ingest.vacuum(spark, out) > 0
+    c, pairs, documents, fulltext = by_hand(out, spark)
+    assert {tuple(r) for r in c["links"].collect()} == pairs and c["docs"].count() == 6
+    same_search(c, documents, fulltext, f"file://{tmp_path}/fresh1")
+    assert batch(0, 2, "c") == 2  # replaced after it was rewritten together with others: the removed document is back
+    c, pairs, documents, fulltext = by_hand(out, spark)
+    assert {tuple(r) for r in c["links"].collect()} == pairs and c["docs"].count() == 7
+    same_search(c, documents, fulltext, f"file://{tmp_path}/fresh2")
+
+
+def test_a_batch_that_failed_half_way_does_not_count(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", a=LETTER)
+    out = f"file://{tmp_path}/out"
+    assert ingest.ingest(spark, f"file://{tmp_path}/in", out, batch="one", at="2024-05-01 09") == 1
+    before = {name: sorted(map(str, ingest.corpus(spark, out)[name].collect())) for name in ("docs", "mentions", "dated", "links")}
+    put(tmp_path / "in", b=REPORT)
+    monkeypatch.setattr(ingest, "_write_pairs", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.ingest(spark, f"file://{tmp_path}/in", out, batch="one", at="2024-05-01 09")
+    assert {name: sorted(map(str, ingest.corpus(spark, out)[name].collect())) for name in before} == before
+    monkeypatch.undo()
+    assert ingest.ingest(spark, f"file://{tmp_path}/in", out, batch="one", at="2024-05-01 09") == 2
+    assert ingest.corpus(spark, out)["docs"].count() == 2
+
+
+def test_two_streams_fill_one_corpus_and_a_foreign_checkpoint_is_refused(spark, tmp_path):
+    put(tmp_path / "a", one=LETTER)
+    put(tmp_path / "b", two=REPORT)
+    run = lambda source, at, out="out": ingest.streaming_ingest(spark, f"file://{tmp_path}/{source}", f"file://{tmp_path}/{out}", f"file://{tmp_path}/{at}", lambda: "2024-05-01 09").trigger(availableNow=True).start().awaitTermination()
+    run("a", "at-a")
+    run("b", "at-b")  # starts at epoch 0 as well
+    assert ingest.corpus(spark, f"file://{tmp_path}/out")["docs"].count() == 2
+    with pytest.raises(ValueError, match="another|belongs"):
+        run("a", "at-a", "elsewhere")
+
+
+def test_outcomes_of_files_are_counted_in_the_write(spark, tmp_path):
+    put(tmp_path / "in", a=LETTER, b=REPORT, c=LETTER, d="short")
+    (tmp_path / "in" / "x.docx").write_bytes(b"PK\x03\x04bad")
+    (tmp_path / "in" / "y.bin").write_bytes(b"\x00\x01")
+    out = f"file://{tmp_path}/out"
+    made = ingest.tables(files.files(spark, f"file://{tmp_path}/in"), "2024-05-01 09")
+    totals = ingest.batch_totals(made, out, "one")
+    assert totals == {"documents": 2, "read": 2, "duplicate": 1, "too short": 1, "broken": 1, "unsupported": 1, "found": 6}
+    put(tmp_path / "again", e=LETTER)
+    made = ingest.tables(files.files(spark, f"file://{tmp_path}/again"), "2024-05-02 09")
+    assert ingest.batch_totals(made, out, "two") == {"documents": 0, "read": 0, "duplicate": 1, "too short": 0, "broken": 0, "unsupported": 0, "found": 1}
+    rows = {(r.batch, r.name): r.outcome for r in ingest.outcomes(spark, out).collect()}
+    assert len(rows) == 7 and rows["one", "x.docx"] == "broken" and rows["two", "e.txt"] == "duplicate"
+
+
+def test_mails_count_once_and_their_people_are_mentions(spark, tmp_path):
+    mail = "Message-ID: <1@x>\nSubject: The plan\nFrom: Ann Marsh <ann@jpmorgan.com>\nTo: Bob Brook <bob@gmail.com>, carl.dane@acme.com\nDate: Mon, 5 Feb 2007 10:00:00 +0000\n\nAnn Marsh will send the wire transfer to the offshore holding on March 14, 2009.\n"
+    other = mail.replace("<1@x>", "<2@x>").replace("The plan", "")
+    for name, texts in (("m1", {"a.eml": mail, "b.eml": mail.replace("will send", "sends")}), ("m2", {"c.eml": mail, "d.eml": other})):
+        (tmp_path / name).mkdir()
+        for file, text in texts.items():
+            (tmp_path / name / file).write_text(text)
+    out = f"file://{tmp_path}/out"
+    assert ingest.ingest_mails(spark, f"file://{tmp_path}/m1", out, batch="one", at="2024-05-01 09", collection="Leak") == 1
+    assert ingest.ingest_mails(spark, f"file://{tmp_path}/m2", out, batch="two", at="2024-05-01 09") == 1
+    c = ingest.corpus(spark, out)
+    docs = {(r.title, r.category, r.date) for r in c["docs"].collect()}
+    assert docs == {("[Leak] The plan", "email", "2007-02-05"), ("Email from Ann Marsh", "email", "2007-02-05")}
+    (plan,) = c["docs"].filter("title LIKE '%plan'").collect()
+    held = {(r.name, r.type): r["count"] for r in c["mentions"].filter(F.col("document_id") == plan.id).join(c["entities"], F.expr("id = entity_id")).collect()}
+    assert held["Ann Marsh", "person"] == 2 and held["Bob Brook", "person"] == 1 and held["Carl Dane", "person"] == 1 and held["JPMorgan", "org"] == 1 and held["Acme", "org"] == 1
+    assert {r.outcome for r in ingest.outcomes(spark, out).filter("batch = 'two'").collect()} == {"read", "duplicate"}
+    found = api.search_documents(c, "wire transfer").collect()
+    assert len(found) == 2 and all("<mark>wire transfer</mark>" in r.excerpt for r in found)
+
+
+def test_pages_that_show_mails():
+    page = "<html><script>Subject: no</script><a href='/x/emailid/41?y'></a><table><tr><th>From:</th><td>Ann <b>Lee</b> &lt;a@x.org&gt;</td></tr><tr><td>To<td>c@d.org</table><p>Date: 2007-01-02</p><div class='box email-body'>One<div>two</div> &amp; three</div><pre>no</pre>"
+    (r,) = files.mails_of("p.html", page.encode())
+    assert (r[1], r[2], r[3], r[4], r[7], r[8].strip()) == ("41", "", "Ann Lee", "a@x.org", None, "One two & three")
+    (r,) = files.mails_of("q.html", b"<p>just a page</p>")
+    assert r[1] is None and r[8].strip() == "just a page"
