@@ -129,8 +129,11 @@ def _blocks(docs: DataFrame, block_words: int, text: str, lang: str) -> DataFram
     return rows.mapInArrow(run, _BLOCK)
 
 
-def _pairs(blocks: DataFrame) -> DataFrame:
-    """The distinct pairs of neighbouring names of each block: place (block and number), left and right name, n."""
+def _pairs(blocks: DataFrame, short: bool) -> DataFrame:
+    """The distinct pairs of neighbouring names of each block: place (block and number), left and right name, n.
+
+    Two ``short`` names, of 31 bits, are one number ``lr``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +144,11 @@ def _pairs(blocks: DataFrame) -> DataFrame:
                 places = (np.int64(block) << _BITS) + np.arange(len(keys))
                 for at in range(0, len(keys), 1 << 16):
                     cut = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[cut]) for c in (places, names[left], names[right], counts)], names=["place", "l", "r", "n"])
+                    both = [(names[left] << 32) | names[right]] if short else [names[left], names[right]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c[cut]) for c in (places, *both, counts)], names=["place", *(["lr"] if short else ["l", "r"]), "n"])
         release()
 
-    return blocks.select("block", "codes", "names").mapInArrow(run, "place long, l long, r long, n long")
+    return blocks.select("block", "codes", "names").mapInArrow(run, "place long, " + ("lr long" if short else "l long, r long") + ", n long")
 
 
 def _keys(codes: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,10 +157,16 @@ def _keys(codes: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (codes[at] - 1) * max(1, names) + codes[at + 1] - 1
 
 
-def _named(counted: DataFrame, key: list[str], least: int, label: str) -> DataFrame:
-    """(id, key, f) of frequent keys, a written table: what was numbered once is never numbered again."""
+def _named(counted: DataFrame, key: list[str], least: int, label: str) -> tuple[DataFrame, int]:
+    """((id, key, f) of frequent keys, their number): a written table, whose rows are then numbered without gaps, a task's after another's."""
     found = counted.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return written(found.withColumn("id", F.monotonically_increasing_id()), label)
+    found = written(found.withColumn("at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("at", 33)
+    parts = sorted((r.part, r.n) for r in found.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a task
+    first = np.cumsum([0, *(n for _, n in parts)]).tolist()
+    before = found.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(parts, first, strict=False)], "part long, before long")
+    placed = found.withColumn("part", part).join(F.broadcast(before), "part")
+    return placed.withColumn("id", F.col("at").bitwiseAND((1 << 33) - 1) + F.col("before")).select(*key, "f", "id"), first[-1]
 
 
 def _from_words(codes: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -260,7 +270,7 @@ def _renamed_there(blocks: DataFrame, found: DataFrame, single: bool) -> DataFra
     return both.applyInArrow(run, _NAMED_BLOCK)
 
 
-def grams(docs: DataFrame, *, longest: int = 5, least: int = 100, block_words: int = 3_000_000, few: int = 400_000, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def grams(docs: DataFrame, *, longest: int = 5, least: int = 100, block_words: int = 2_500_000, few: int = 400_000, bits: int = 31, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(runs of one to ``longest`` words with at least ``least`` occurrences, word occurrences of each lang), written tables.
 
     A run's row: id, size, lang, phrase, last (its last word), f, l and r (ids of its first and last size - 1 words; null for
@@ -272,23 +282,27 @@ def grams(docs: DataFrame, *, longest: int = 5, least: int = 100, block_words: i
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select(
         (F.shiftleft("block", _BITS) + F.col("pos") + 1).alias("place"), "lang", F.col("col.words").cast("string").alias("word"), F.col("col.counts").alias("n")
     )
-    counted, key, named = words, ["lang", "word"], _named(words.drop("place"), ["lang", "word"], least, "named-words")
+    counted, key = words, ["lang", "word"]
+    named, names = _named(words.drop("place"), key, least, "named-words")
     none = F.array().cast("array<long>")
     word = F.col("word")
     runs = written(named.select("id", F.lit(1).alias("size"), "lang", word.alias("phrase"), word.alias("last"), "f", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), none.alias("heads"), none.alias("tails")), "runs")
     levels = [runs]
     for size in range(2, longest + 1):
-        if named.limit(few + 1).count() <= few:
+        if names <= few:
             blocks = _renamed_here(blocks, named, size == 2)
         else:
             blocks = _renamed_there(blocks, counted.join(named, key).select("place", "id"), size == 2)
         blocks = written(blocks, "name-blocks", maxRecordsPerFile=8, compression="zstd")
-        counted, key = _pairs(blocks), ["l", "r"]
-        named = _named(counted.drop("place"), key, least, "named-pairs")
+        short = names < 1 << bits
+        counted, key = _pairs(blocks, short), ["lr"] if short else ["l", "r"]
+        named, names = _named(counted.drop("place"), key, least, "named-pairs")
+        if short:
+            named = named.withColumns({"l": F.shiftright("lr", 32), "r": F.col("lr").bitwiseAND((1 << 32) - 1)})
         parts = runs.select("id", "lang", "phrase", "last", "f", "heads", "tails")
         left = parts.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("lp"), F.col("f").alias("lf"), "heads")
         right = parts.select(F.col("id").alias("r"), F.col("last"), F.col("f").alias("rf"), "tails")
-        made = named.join(left, "l").join(right, "r")
+        made = named.drop("lr").join(left, "l").join(right, "r")
         runs = written(
             made.select("id", F.lit(size).alias("size"), "lang", F.concat_ws(" ", "lp", "last").alias("phrase"), "last", "f", "l", "r", F.concat("heads", F.array("lf")).alias("heads"), F.concat(F.array("rf"), "tails").alias("tails")), "runs"
         )

@@ -120,10 +120,10 @@ def best_phrases(rows, least, most, longest=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_words,few", [(40, 10**6), (40, 0), (300, 12), (10**6, 0)])
-def test_collocations(spark, corpus, block_words, few):
+@pytest.mark.parametrize("block_words,few,bits", [(40, 10**6, 31), (40, 0, 31), (300, 12, 0), (10**6, 10**6, 0)])
+def test_collocations(spark, corpus, block_words, few, bits):
     want = best_phrases(corpus, 4, 40)
-    got = collocations.collocations(documents(spark, corpus).repartition(3), least=4, most=40, block_words=block_words, few=few)
+    got = collocations.collocations(documents(spark, corpus).repartition(3), least=4, most=40, block_words=block_words, few=few, bits=bits)
     assert sorted(tuple(r) for r in got.collect()) == want
     assert {w[0] for w in want} == {"en", "fr", "und"} and any(len(w[2].split()) == 5 for w in want) and any(w[1] == 40 for w in want)
 
