@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor.functions import matcher, text
+
 #: Category of an order priority, extension of an order key: fixed values of the binding.
 CATEGORIES = {"1-URGENT": "deposition", "2-HIGH": "report", "3-MEDIUM": "legal", "4-NOT SPECIFIED": "correspondence", "5-LOW": "flight"}
 EXTENSIONS = ["pdf", "txt", "eml", "csv"]
@@ -142,7 +144,10 @@ class Corpus:
     def sql(self, plan: str) -> DataFrame:
         for name in set(re.findall(r"\{(\w+)\}", plan)) & ORACLE.keys():
             self[name].createOrReplaceTempView(f"quaestor_{name}")
-        return self.spark.sql(_dialect(plan, "spark", lambda n: f"quaestor_{n}"))
+        words = _dialect(plan, "spark", lambda n: f"quaestor_{n}")
+        for name in set(re.findall(r"quaestor_(?:hits|present)_[0-9a-f]{8}", words)):
+            self.spark.udf.register(name, matcher.counter(*matcher.COUNTERS[name]))
+        return self.spark.sql(words)
 
     def _docs(self) -> DataFrame:
         lines = self.raw("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
@@ -301,7 +306,13 @@ def _regex(literal: str) -> str:
     return literal if literal.startswith("r'") else "r" + literal
 
 
+def _counter(present: bool):
+    return lambda x, *words: f"{matcher.counter_name([text.unquoted(w) for w in words], present)}({x})"
+
+
 _SPARK = {
+    "HITS": _counter(False),
+    "PRESENT": _counter(True),
     "JOINED": lambda x: f"array_join(array_sort(collect_set({x})), ',')",
     "DAYS": lambda a, b: f"CAST(datediff(CAST({b} AS DATE), CAST({a} AS DATE)) AS BIGINT)",
     "WEEKDAY": lambda d: f"CAST(dayofweek(CAST({d} AS DATE)) - 1 AS BIGINT)",
@@ -317,6 +328,8 @@ _SPARK = {
     "regexp_replace": lambda x, r, y, *flags: f"regexp_replace({x}, {_regex(r)}, {y})",
 }
 _DUCKDB = {
+    "HITS": text.each_hit,
+    "PRESENT": text.each_present,
     "JOINED": lambda x: f"string_agg(DISTINCT {x}, ',' ORDER BY {x})",
     "DAYS": lambda a, b: f"date_diff('day', CAST({a} AS DATE), CAST({b} AS DATE))",
     "WEEKDAY": lambda d: f"CAST(dayofweek(CAST({d} AS DATE)) AS BIGINT)",

@@ -88,11 +88,11 @@ def _shelf() -> Column:
 def write_postings(rows: DataFrame, path: str, size: int) -> None:
     """Writes postings by shelf; ``size`` is about the number of characters they come from.
 
-    A shelf has one file for each 16 million of them, so that neither a common word nor a large table makes one task grow.
+    A shelf has one file for each 16 million of them, at most 256, so that neither a common word nor a large table makes one task grow.
     """
     parts = max(1, min(256, size // (16 << 20)))
     filed = rows.withColumn("shelf", _shelf()).withColumn("file", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    filed.repartition(min(4096, (SHELVES + 1) * parts), "shelf", "file").drop("file").sortWithinPartitions("shelf", "term", "doc_id").write.mode("overwrite").partitionBy("shelf").parquet(path)
+    filed.repartition(max(1, min((SHELVES + 1) * parts, size >> 19)), "shelf", "file").drop("file").sortWithinPartitions("shelf", "term", "doc_id").write.mode("overwrite").partitionBy("shelf").parquet(path)
 
 
 def extents(rows: DataFrame) -> dict[str, tuple[int, int]]:

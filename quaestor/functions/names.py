@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import lexicons as L
+from quaestor.functions import matcher
 from quaestor.functions.phrases import STOP_WORDS
 
 _WORD = r"\p{Lu}[\p{Ll}\p{M}'’-]+"
@@ -27,23 +29,29 @@ def extract_entities(documents: DataFrame, gazetteers: dict[str, list[str]] | No
     """
     rows = documents.select(F.col(doc_id).alias("document_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     found = []
-    for kind, names in (gazetteers or {}).items():
-        pattern = "(?iu)(" + "|".join(_escaped(n) for n in sorted(names, key=lambda n: (-len(n), n))) + ")"
-        same = F.expr("map(" + ", ".join(f"{_literal(n.lower())}, {_literal(capitalised(n))}" for n in {n.lower(): n for n in names}.values()) + ")")
-        hit = rows.select("document_id", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("raw"))
-        found.append(hit.select("document_id", F.coalesce(same[F.lower("raw")], F.col("raw")).alias("name"), F.lit(kind).alias("type")))
+    if gazetteers:
+        spark = documents.sparkSession
+        listed = {(kind, n.lower()): n for kind, names in gazetteers.items() for n in names if n}
+        shown = spark.createDataFrame([(kind, low, capitalised(n)) for (kind, low), n in listed.items()], "label string, pattern string, name string")
+        hit = matcher.claims(rows, shown, doc_id="document_id", text="body")
+        found.append(hit.join(shown, ["label", "pattern"]).select("document_id", "name", F.col("label").alias("type")))
     for kind, pattern in (("person", PEOPLE), ("org", ORGS), ("date", DATES), ("person", PAIRS)):
         hit = rows.select("document_id", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("raw"))
         found.append(hit.select("document_id", F.regexp_replace("raw", r"\s+", " ").alias("name"), F.lit(kind).alias("type")))
     union = found[0]
     for other in found[1:]:
         union = union.unionAll(other)
-    known = sorted({n.lower() for n in (gazetteers or {}).get("person", [])})
+    known = {n.lower() for n in (gazetteers or {}).get("person", [])}
     if known:
-        names = F.array(*map(F.lit, known))
-        low = F.lower("name")
-        part = F.exists(names, lambda k: (k != low) & F.contains(k, low)) & ~F.array_contains(names, low)
-        union = union.filter(~((F.col("type") == "person") & part))
+        shared = documents.sparkSession.sparkContext.broadcast((known, "\n".join(sorted(known))))  # the caller's own list
+
+        @F.pandas_udf("boolean")
+        def part_of_known(lows: pd.Series) -> pd.Series:
+            names, text = shared.value
+            inside = {x: x not in names and x in text for x in lows.dropna().unique()}
+            return lows.map(lambda x: inside.get(x, False))
+
+        union = union.filter(~F.when(F.col("type") == "person", part_of_known(F.lower("name"))).otherwise(False))
     union = union.filter(~((F.col("type") == "person") & F.lower("name").isin(STOP_WORDS)))
     ends = "|".join(L.ORGANISATIONS)
     counts = union.filter(~((F.col("type") == "person") & F.col("name").rlike(rf"\b(?:{ends})$"))).groupBy("document_id", "name", "type").agg(F.count("*").alias("count"))
@@ -61,11 +69,3 @@ def capitalised(name: str) -> str:
     if name != name.lower():
         return name
     return " ".join(w.upper() if w in ACRONYMS or w.endswith(".") and len(w.replace(".", "")) * 2 == len(w) else w.title() for w in name.split(" "))
-
-
-def _escaped(name: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in name)
-
-
-def _literal(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

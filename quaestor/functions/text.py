@@ -25,13 +25,25 @@ def count_of(text: str, word: str) -> str:
 
 
 def hits(text: str, words: list[str]) -> str:
-    """Occurrences of all words together."""
-    return "(" + " + ".join(occurrences(text, w) for w in words) + ")"
+    """Occurrences of all words together; each engine has its own way (``bindings._dialect``)."""
+    return f"HITS({text}, {', '.join(map(quoted, words))})"
 
 
 def present(text: str, words: list[str]) -> str:
     """How many of the words occur."""
-    return "(" + " + ".join(f"CASE WHEN contains({text}, {quoted(w)}) THEN 1 ELSE 0 END" for w in words) + ")"
+    return f"PRESENT({text}, {', '.join(map(quoted, words))})"
+
+
+def each_hit(text: str, *words: str) -> str:
+    return "(" + " + ".join(occurrences(text, unquoted(w)) for w in words) + ")"
+
+
+def each_present(text: str, *words: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({text}, {w}) THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+def unquoted(literal: str) -> str:
+    return literal[1:-1].replace("''", "'")
 
 
 def category_score(text: str, filename: str, words: list[str]) -> str:

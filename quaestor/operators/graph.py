@@ -13,15 +13,14 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.operators.pairs import both_ends
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder of ``spark.checkpoint.dir`` where there is one, so that loops keep short plans."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not (spark.sparkContext.master or "").startswith("local["):
@@ -30,9 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quaestor-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to a scratch path and read back, so that loops keep short plans."""
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def canonical_edges(edges: DataFrame, nodes: DataFrame, resolutions: DataFrame | None = None, kind: str | None = None) -> DataFrame:

@@ -76,7 +76,33 @@ def resolver_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolver_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return resolve.resolved(resolve.candidates(c["entities"], c["mentions"]))
+    return resolve.mapping(c["entities"], c["mentions"])
+
+
+def _variants(c: Corpus) -> DataFrame:
+    """Customers as persons: four of them in a row are one, written in four ways."""
+    k = "c_custkey div 4"
+    first, last = f"substr(translate(md5(string({k})), '0123456789', 'ghijklmnop'), 1, 6)", f"substr(translate(md5(string({k} + 7)), '0123456789', 'ghijklmnop'), 1, 8)"
+    ways = f"CASE c_custkey % 4 WHEN 0 THEN concat('Dr. ', {first}, ' ', {last}, ' Jr.') WHEN 1 THEN concat(substr({first}, 1, 1), '. ', {last}) WHEN 2 THEN concat({last}, ', ', {first}, ' van') ELSE concat({first}, ' ', {last}, IF(c_custkey % 8 = 3, 'x', '')) END"
+    return c.raw("customer").selectExpr("c_custkey AS id", f"{ways} AS name", "'person' AS type")
+
+
+def resolver_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.classes(_variants(Corpus(spark, sf_dir)))
+
+
+def resolver_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.class_links(_variants(Corpus(spark, sf_dir))).withColumn("base", F.round("base", 6))
+
+
+def resolver_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every twentieth customer may be, from an index of all of them."""
+    c = Corpus(spark, sf_dir)
+    people = graph.cut(_variants(c))
+    index = resolve.NameIndex.write(people, graph.scratch(spark, "names"))
+    orders = c.raw("orders").selectExpr("o_orderkey % 100 AS document_id", "o_custkey AS entity_id")
+    found = index.matches(people.filter("id % 20 = 0"), orders)
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +159,7 @@ def top_entities_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_stats, graph_edges, graph_components, graph_degree, graph_eigenvector, graph_path_centralities, graph_communities, communities_labelled, communities_documents, graph_path, graph_neighbours, resolver_candidates, resolver_mapping,
+        graph_stats, graph_edges, graph_components, graph_degree, graph_eigenvector, graph_path_centralities, graph_communities, communities_labelled, communities_documents, graph_path, graph_neighbours, resolver_candidates, resolver_mapping, resolver_classes, resolver_class_links, resolver_lookup,
         search_documents, search_all_terms, anomaly_gaps, anomaly_bursts, anomaly_page_outliers, anomaly_bulk_ingestion, anomaly_sudden_appearances, anomaly_missing_metadata, top_entities_per_document,
     )
 } | {"extract_entities_text": extract_entities, "extract_events_text": extract_events}
@@ -145,6 +171,19 @@ _R = """WITH e AS (SELECT id, type, lower(name) AS n FROM {entities}), p AS (SEL
     FROM e a JOIN e b ON a.type = b.type AND a.id < b.id), k AS (SELECT * FROM p WHERE base >= 0.6), t AS (SELECT DISTINCT k.source, k.target FROM k JOIN {mentions} x ON x.entity_id = k.source JOIN {mentions} y ON y.entity_id = k.target AND y.document_id = x.document_id),
     c AS (SELECT k.source, k.target, round(CAST(least(1, base + 0.1 + CASE WHEN t.source IS NULL THEN 0 ELSE 0.1 END) AS DOUBLE), 6) AS confidence FROM k LEFT JOIN t ON t.source = k.source AND t.target = k.target)"""
 
+_FIRST, _LAST = ("substr(translate(md5(CAST({k} AS VARCHAR)), '0123456789', 'ghijklmnop'), 1, {n})".replace("{k}", k).replace("{n}", n) for k, n in (("(c_custkey // 4)", "6"), ("(c_custkey // 4 + 7)", "8")))
+#: Customers written in four ways, and their names brought to one form.
+_V = f"""WITH p AS (SELECT c_custkey AS id, 'person' AS type, CASE c_custkey % 4 WHEN 0 THEN 'Dr. ' || {_FIRST} || ' ' || {_LAST} || ' Jr.' WHEN 1 THEN substr({_FIRST}, 1, 1) || '. ' || {_LAST} WHEN 2 THEN {_LAST} || ', ' || {_FIRST} || ' van'
+    ELSE {_FIRST} || ' ' || {_LAST} || CASE WHEN c_custkey % 8 = 3 THEN 'x' ELSE '' END END AS name FROM main.customer),
+    v AS (SELECT id, type, CASE c WHEN 0 THEN regexp_replace(regexp_replace(lower(name), '^dr\\. ', ''), ' jr\\.$', '') WHEN 1 THEN replace(lower(name), '.', '') WHEN 2 THEN regexp_replace(lower(name), '^([^,]+), (.+)$', '\\2 \\1') ELSE lower(name) END AS n FROM (SELECT *, id % 4 AS c FROM p) y),
+    k AS (SELECT min(id) AS class_id, type, n, count(*) AS size, max(id) AS last, string_split(n, ' ') AS w FROM v GROUP BY type, n)"""
+_W = _V + """, s AS (SELECT least(x.class_id, y.class_id) AS a, greatest(x.class_id, y.class_id) AS b, x.n AS na, y.n AS nb, len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) AS j,
+        CASE WHEN length(x.n) > 8 AND length(y.n) > 8 AND abs(length(x.n) - length(y.n)) <= 2 THEN levenshtein(x.n, y.n) ELSE 9 END AS d,
+        len(x.w) > 1 AND len(y.w) > 1 AND x.w[-1] = y.w[-1] AND ((length(x.w[1]) = 1 AND starts_with(y.w[1], x.w[1])) OR (length(y.w[1]) = 1 AND starts_with(x.w[1], y.w[1]))) AS i
+        FROM k x JOIN k y ON x.type = y.type AND x.n < y.n),
+    soft AS (SELECT *, greatest(CASE WHEN j > 0.5 THEN j ELSE 0 END, CASE WHEN d <= 2 THEN 0.8 - 0.1 * d ELSE 0 END) AS t FROM s),
+    g AS (SELECT a, b, na, nb, CASE WHEN i THEN greatest(0.7, t) ELSE t END AS base FROM soft)"""
+
 _REACH = _G.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + ", reach AS (SELECT node AS a, node AS b FROM deg UNION SELECT reach.a, ends.partner FROM reach JOIN ends ON ends.node = reach.b), parts AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"
 
 #: Oracle only: the library computes these without SQL text.
@@ -156,6 +195,13 @@ ORACLE = {
     "graph_degree": _G + " SELECT node, degree, weight, CAST(degree AS DOUBLE) / (count(*) OVER () - 1) AS score FROM deg",
     "resolver_candidates": _R + " SELECT source, target, confidence, CASE WHEN confidence >= 0.85 THEN 'auto' ELSE 'queue' END AS action FROM c",
     "resolver_mapping": _R + " SELECT source AS source_entity_id, max(target) AS canonical_entity_id FROM c WHERE confidence >= 0.85 GROUP BY source",
+    "resolver_classes": _V + " SELECT class_id, type, n, size, last FROM k",
+    "resolver_class_links": _W + " SELECT a, b, round(CAST(base AS DOUBLE), 6) AS base FROM g WHERE base >= 0.6",
+    "resolver_lookup": _W + """, e AS (SELECT x.id AS x, y.id AS y, base FROM (SELECT na, nb, base FROM g WHERE base >= 0.6 UNION ALL SELECT nb, na, base FROM g WHERE base >= 0.6 UNION ALL SELECT n, n, 0.95 FROM k) l JOIN v x ON x.n = l.na JOIN v y ON y.n = l.nb WHERE x.id <> y.id AND x.id % 20 = 0),
+        q AS (SELECT DISTINCT least(x, y) AS source, greatest(x, y) AS target, base FROM e), m AS (SELECT DISTINCT o_orderkey % 100 AS d, o_custkey AS c FROM main.orders),
+        t AS (SELECT DISTINCT source, target FROM q JOIN m a ON a.c = source JOIN m b ON b.c = target AND a.d = b.d)
+        SELECT source, target, round(CAST(least(1, base + 0.1 + CASE WHEN t.source IS NULL THEN 0 ELSE 0.1 END) AS DOUBLE), 6) AS confidence,
+            CASE WHEN least(1, base + 0.1 + CASE WHEN t.source IS NULL THEN 0 ELSE 0.1 END) >= 0.85 THEN 'auto' ELSE 'queue' END AS action FROM q LEFT JOIN t USING (source, target)""",
     "anomaly_gaps": "SELECT b AS from_day, d AS to_day, date_diff('day', CAST(b AS DATE), CAST(d AS DATE)) AS days, CASE WHEN date_diff('day', CAST(b AS DATE), CAST(d AS DATE)) >= 365 THEN 'high' WHEN date_diff('day', CAST(b AS DATE), CAST(d AS DATE)) >= 180 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT event_date AS d, lag(event_date) OVER (ORDER BY event_date) AS b FROM (SELECT DISTINCT event_date FROM {dated} WHERE length(event_date) = 10) x) y WHERE b IS NOT NULL",
     "anomaly_bursts": "WITH m AS (SELECT substr(event_date, 1, 7) AS month, count(*) AS n FROM {dated} WHERE length(event_date) >= 7 GROUP BY 1), s AS (SELECT avg(n) AS mean, stddev_samp(n) AS sd FROM m) SELECT month, n, CASE WHEN n >= mean + 3 * sd THEN 'high' ELSE 'medium' END AS severity FROM m, s WHERE n >= mean + sd",
     "anomaly_page_outliers": "WITH s AS (SELECT avg(pages) AS mean, stddev_samp(pages) AS sd FROM {docs} WHERE pages > 0) SELECT id, pages FROM {docs}, s WHERE pages > 0 AND pages >= mean + 2 * sd",
