@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor import api
 from quaestor.bindings import Corpus
-from quaestor.functions import names, search, timeline
+from quaestor.functions import fulltext, names, timeline
 from quaestor.operators import anomaly, graph, pairs, resolve
 
 
@@ -105,12 +105,39 @@ def resolver_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
+#: Index of each directory of tables that this session has searched.
+_INDEXES: dict[tuple[str, str], fulltext.Fulltext] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> fulltext.Fulltext:
+    """The index over titles, texts, categories and sources of all documents, written when it is first asked for."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        c = Corpus(spark, sf_dir)
+        documents = c["docs"].select("id", "title", "category", "source").join(c["texts"].select("id", "text"), "id", "left")
+        _INDEXES[key] = fulltext.indexed(documents, graph.scratch(spark, "index"))
+    return _INDEXES[key]
+
+
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_texts(Corpus(spark, sf_dir)["texts"], "of the", k=50)
+    return fulltext.search(_index(spark, sf_dir), "of the", k=50)
 
 
 def search_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_texts(Corpus(spark, sf_dir)["texts"], "of that", phrase=False, k=50)
+    return fulltext.search(_index(spark, sf_dir), "of that", phrase=False, k=50)
+
+
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fulltext.search(_index(spark, sf_dir), "report of", k=50, weights={"title": 3.0})
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.matches(_index(spark, sf_dir), "of the").select("doc_id", "field", "tf")
+
+
+def search_field_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.matches(_index(spark, sf_dir), "legal").select("doc_id", "field", "tf")
 
 
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_stats, graph_edges, graph_components, graph_degree, graph_eigenvector, graph_path_centralities, graph_communities, communities_labelled, communities_documents, graph_path, graph_neighbours, resolver_candidates, resolver_mapping, resolver_classes, resolver_class_links, resolver_lookup,
-        search_documents, search_all_terms, anomaly_gaps, anomaly_bursts, anomaly_page_outliers, anomaly_bulk_ingestion, anomaly_sudden_appearances, anomaly_missing_metadata, top_entities_per_document,
+        search_documents, search_all_terms, search_ranked, search_matches, search_field_matches, anomaly_gaps, anomaly_bursts, anomaly_page_outliers, anomaly_bulk_ingestion, anomaly_sudden_appearances, anomaly_missing_metadata, top_entities_per_document,
     )
 } | {"extract_entities_text": extract_entities, "extract_events_text": extract_events}
 
@@ -184,6 +211,11 @@ _W = _V + """, s AS (SELECT least(x.class_id, y.class_id) AS a, greatest(x.class
     soft AS (SELECT *, greatest(CASE WHEN j > 0.5 THEN j ELSE 0 END, CASE WHEN d <= 2 THEN 0.8 - 0.1 * d ELSE 0 END) AS t FROM s),
     g AS (SELECT a, b, na, nb, CASE WHEN i THEN greatest(0.7, t) ELSE t END AS base FROM soft)"""
 
+#: Words of each field of each document, and the words with the stems "of" and "the".
+_S = r"""WITH f AS (SELECT d.id, unnest(['title', 'category', 'source', 'text']) AS field, unnest([d.title, d.category, d.source, t.text]) AS value FROM {docs} d LEFT JOIN {texts} t ON t.id = d.id),
+    s AS (SELECT id, field, regexp_extract_all(lower(coalesce(value, '')), '[\pL\pN]+') AS ws FROM f)"""
+_OF, _THE = "of(e?s?|e?ds?|ings?|ness(es)?|fuls?)", "the(s|ings?)?"
+
 _REACH = _G.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + ", reach AS (SELECT node AS a, node AS b FROM deg UNION SELECT reach.a, ends.partner FROM reach JOIN ends ON ends.node = reach.b), parts AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"
 
 #: Oracle only: the library computes these without SQL text.
@@ -195,6 +227,12 @@ ORACLE = {
     "graph_degree": _G + " SELECT node, degree, weight, CAST(degree AS DOUBLE) / (count(*) OVER () - 1) AS score FROM deg",
     "resolver_candidates": _R + " SELECT source, target, confidence, CASE WHEN confidence >= 0.85 THEN 'auto' ELSE 'queue' END AS action FROM c",
     "resolver_mapping": _R + " SELECT source AS source_entity_id, max(target) AS canonical_entity_id FROM c WHERE confidence >= 0.85 GROUP BY source",
+    "search_matches": _S + f" SELECT id AS doc_id, field, len(list_filter(range(1, len(ws)), lambda k: regexp_full_match(ws[k], '{_OF}') AND regexp_full_match(ws[k + 1], '{_THE}'))) AS tf FROM s WHERE tf > 0",
+    "search_field_matches": _S + " SELECT id AS doc_id, field, len(list_filter(ws, lambda w: regexp_full_match(w, 'legal(s|ly|ed|ing|ize|izer)?'))) AS tf FROM s WHERE tf > 0",
+    "search_ranked": _S + """, n AS (SELECT id, sum(len(ws)) AS length, sum(CASE WHEN field = 'title' THEN 3.0 ELSE 1.0 END * len(list_filter(range(1, len(ws)), lambda k: ws[k] = 'report' AND ws[k + 1] = 'of'))) AS f FROM s GROUP BY id),
+        t AS (SELECT count(*) AS docs, avg(length) AS mean, count(*) FILTER (f > 0) AS df FROM n)
+        SELECT id AS doc_id, round(round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * CAST(f AS DOUBLE) * 2.2 / (CAST(f AS DOUBLE) + 1.2 * (0.25 + 0.75 * length / mean)), 9), 6) AS score FROM n, t WHERE f > 0
+        ORDER BY round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * CAST(f AS DOUBLE) * 2.2 / (CAST(f AS DOUBLE) + 1.2 * (0.25 + 0.75 * length / mean)), 9) DESC, id LIMIT 50""",
     "resolver_classes": _V + " SELECT class_id, type, n, size, last FROM k",
     "resolver_class_links": _W + " SELECT a, b, round(CAST(base AS DOUBLE), 6) AS base FROM g WHERE base >= 0.6",
     "resolver_lookup": _W + """, e AS (SELECT x.id AS x, y.id AS y, base FROM (SELECT na, nb, base FROM g WHERE base >= 0.6 UNION ALL SELECT nb, na, base FROM g WHERE base >= 0.6 UNION ALL SELECT n, n, 0.95 FROM k) l JOIN v x ON x.n = l.na JOIN v y ON y.n = l.nb WHERE x.id <> y.id AND x.id % 20 = 0),
