@@ -68,21 +68,23 @@ def iso_date(found: re.Match | str, precision: str, year_now: int = 2024) -> str
 
 def dates(text: str, year_now: int = 2024) -> list[tuple[int, int, str | None, str, float]]:
     """(start, end, iso, precision, confidence) in order of place; the first pattern to claim a stretch keeps it."""
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, none touches another
     out = []
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+    def claimed(a: int, b: int) -> bool:
+        k = bisect_right(taken, (a, b))
+        if k and taken[k - 1][1] > a or k < len(taken) and taken[k][0] < b:
+            return False
+        taken.insert(k, (a, b))
+        return True
 
     for pattern, precision, confidence in _DATES:
         for m in pattern.finditer(text):
-            if free(*m.span()):
-                taken.append(m.span())
+            if claimed(*m.span()):
                 out.append((*m.span(), iso_date(m, precision, year_now), precision, confidence))
     for pattern in _RELATIVE:
         for m in pattern.finditer(text):
-            if free(*m.span()):
-                taken.append(m.span())
+            if claimed(*m.span()):
                 out.append((*m.span(), None, "relative", L.RELATIVE_CONFIDENCE))
     return sorted(out)
 

@@ -51,11 +51,18 @@ def _same_day(c: Corpus) -> DataFrame:
 
 
 def _disambiguation(c: Corpus) -> DataFrame:
-    """Pairs of entities of one type of which one's name is part of the other's: names meet the parts of others by equality."""
+    """Pairs of entities of one type of which one's name is part of the other's.
+
+    A name looks for longer ones under the rarest of its trigrams, a name of one or two letters under itself.
+    """
     e = c["entities"].select("id", "type", F.lower("name").alias("n"))
     names = e.filter("n <> ''").select("type", "n").distinct()
-    inside = F.expr("array_distinct(flatten(transform(sequence(1, length(n)), i -> transform(sequence(1, length(n) - i + 1), l -> substr(n, i, l)))))")
-    met = names.select("type", F.col("n").alias("long"), F.explode(inside).alias("short")).filter("length(short) < length(long)").join(names.withColumnRenamed("n", "short"), ["type", "short"])
+    grams = names.select("type", "n", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(length(n) - 2, 1)), k -> substr(n, k, 3)))")).alias("key")).filter("length(key) = 3")
+    rare = grams.join(grams.groupBy("type", "key").agg(F.count("*").alias("f")), ["type", "key"]).groupBy("type", "n").agg(F.min(F.struct("f", "key")).alias("m")).select("type", F.col("n").alias("short"), "m.key")
+    tiny = names.filter("length(n) <= 2").select("type", F.col("n").alias("short"), F.col("n").alias("key"))
+    bits = names.select("type", "n", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(n)), k -> array(substr(n, k, 1), substr(n, k, 2)))))")).alias("key"))
+    held = grams.unionAll(bits).distinct().withColumnRenamed("n", "long")
+    met = rare.unionAll(tiny).join(held, ["type", "key"]).filter("length(short) < length(long) AND contains(long, short)").select("type", "long", "short")
     both = met.join(e.toDF("x", "type", "long"), ["type", "long"]).join(e.toDF("y", "type", "short"), ["type", "short"])
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
