@@ -8,8 +8,8 @@ are: a memory map of a file gives any sequence and its mask without a copy (``se
 Beside each shard lies a file of its documents: id, first id's place in the shard, number of ids.
 
 Documents come in ascending ``doc_id`` (null first; rows that share an id by their texts),
-range-partitioned by it, a shard for each partition; a shard's ids do not depend on others, so
-a lost task writes its own files again.  Files are written under a name of their own attempt
+range-partitioned by both, in a bounded number of tasks that write one shard after another; a
+shard's ids do not depend on others, so a lost task writes its own files again.  Files are written under a name of their own attempt
 and renamed, and the manifest lists what the committed attempt of each task wrote.
 
 A null text is empty and gives the end id alone.  An empty table gives no shards.
@@ -34,6 +34,8 @@ from .words import slices
 
 _MANIFEST = "shard long, path string, n_docs long, n_ids long"
 _BATCH = 256
+#: Bits of a shard's number that count the shards of one task.
+_TASK_BITS = 24
 
 
 def _files(path: str) -> tuple[pafs.FileSystem, str]:
@@ -56,60 +58,83 @@ def _masks(batch: pa.RecordBatch) -> np.ndarray:
     return mask.dictionary.flatten().to_numpy().reshape(len(mask.dictionary), -1)[mask.indices.to_numpy()]
 
 
+class _Shard:
+    """The files of one shard, written under names of their own and renamed when they are whole."""
+
+    def __init__(self, fs: pafs.FileSystem, root: str, number: int, kind: type, length: int):
+        self.fs, self.number, self.length, self.size = fs, number, length, 0
+        self.name, self.own = f"{root}/{number:013d}", uuid.uuid4().hex
+        self.left, self.doc_ids, self.counts, self.n_ids = np.empty(0, kind), [], [], 0
+        schema = _sequences(np.empty(0, kind), 0, length).schema
+        options = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)  # the padded mask of a shard's end is added when it comes
+        self.out = fs.open_output_stream(f"{self.name}.{self.own}.part")
+        self.sink = pa.ipc.new_file(self.out, schema, options=options)
+
+    def add(self, doc_ids: list, ids: np.ndarray, starts: np.ndarray, size: int) -> None:
+        wide = self.length * _BATCH
+        self.doc_ids += doc_ids
+        self.counts += np.diff(starts).tolist()
+        self.n_ids += len(ids)
+        self.size += size
+        left = np.concatenate([self.left, ids])
+        while len(left) >= wide:
+            self.sink.write_batch(_sequences(left[:wide], wide, self.length))
+            left = left[wide:]
+        self.left = left.copy()
+
+    def closed(self, folder: str) -> pa.RecordBatch:
+        """The shard's row of the manifest."""
+        if len(self.left):
+            padded = np.zeros(-(-len(self.left) // self.length) * self.length, self.left.dtype)
+            padded[: len(self.left)] = self.left
+            self.sink.write_batch(_sequences(padded, len(self.left), self.length))
+        self.sink.close()
+        self.out.close()
+        table = pa.table({"doc_id": pa.array(self.doc_ids, pa.int64()), "start": pa.array(np.cumsum([0, *self.counts[:-1]]), pa.int64()), "n_tokens": pa.array(self.counts, pa.int64())})
+        with self.fs.open_output_stream(f"{self.name}.{self.own}.docs") as out, pa.ipc.new_file(out, table.schema) as sink:
+            sink.write_table(table)
+        self.fs.move(f"{self.name}.{self.own}.docs", f"{self.name}.docs.arrow")
+        self.fs.move(f"{self.name}.{self.own}.part", f"{self.name}.arrow")
+        return pa.RecordBatch.from_pydict({"shard": [self.number], "path": [f"{folder}/{self.number:013d}"], "n_docs": [len(self.doc_ids)], "n_ids": [self.n_ids]})
+
+
 def write_sequences(
     docs: DataFrame, folder: str, *, tokenizer: str, keeps_space: bool = True, end: int = 0, length: int = 2048,
-    doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 24 << 20,
+    doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 24 << 20, tasks: int = 8192,
 ) -> DataFrame:
-    """Writes the shards into ``folder``; returns the manifest (shard, path, n_docs, n_ids), a written table."""
+    """Writes the shards into ``folder``, in at most ``tasks`` tasks; returns the manifest (shard, path, n_docs, n_ids), a written table."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
     small_batches(docs.sparkSession)
     total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // shard_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer, keeps_space)
-        kind, shard = code.kind, TaskContext.get().partitionId()
+        code, task = encoder(tokenizer, keeps_space), TaskContext.get().partitionId()
         fs, root = _files(folder)
         fs.create_dir(root, recursive=True)
-        name, own = f"{root}/{shard:08d}", uuid.uuid4().hex
-        wide = length * _BATCH
-        left, doc_ids, counts, n_ids = np.empty(0, kind), [], [], 0
-        schema = _sequences(np.empty(0, kind), 0, length).schema
-        options = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)  # the padded mask of a shard's end is added when it comes
-        with fs.open_output_stream(f"{name}.{own}.part") as out, pa.ipc.new_file(out, schema, options=options) as sink:
-            for batch in batches:
-                for part in slices(batch, "body"):
-                    ids, starts = code.encode(part.column("body").to_pylist(), end)
-                    doc_ids += part.column("doc_id").to_pylist()
-                    counts += np.diff(starts).tolist()
-                    n_ids += len(ids)
-                    left = np.concatenate([left, ids])
-                    while len(left) >= wide:
-                        sink.write_batch(_sequences(left[:wide], wide, length))
-                        left = left[wide:]
-            if len(left):
-                padded = np.zeros(-(-len(left) // length) * length, kind)
-                padded[: len(left)] = left
-                sink.write_batch(_sequences(padded, len(left), length))
-        if doc_ids:
-            table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(np.cumsum([0, *counts[:-1]]), pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
-            with fs.open_output_stream(f"{name}.{own}.docs") as out, pa.ipc.new_file(out, table.schema) as sink:
-                sink.write_table(table)
-            fs.move(f"{name}.{own}.docs", f"{name}.docs.arrow")
-            fs.move(f"{name}.{own}.part", f"{name}.arrow")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{shard:08d}"], "n_docs": [len(doc_ids)], "n_ids": [n_ids]})
-        else:
-            fs.delete_file(f"{name}.{own}.part")
-
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "body")
+        shard, made = None, 0
+        for batch in batches:
+            for part in slices(batch, "body", min(8 << 20, shard_bytes)):
+                if shard is None:
+                    shard = _Shard(fs, root, (task << _TASK_BITS) + made, code.kind, length)
+                bodies = part.column("body").to_pylist()
+                shard.add(part.column("doc_id").to_pylist(), *code.encode(bodies, end), sum(map(len, bodies)))
+                if shard.size >= shard_bytes:
+                    yield shard.closed(folder)
+                    shard, made = None, made + 1
+        if shard is not None:
+            yield shard.closed(folder)
+
+    # the second key parts rows that share an id, or have none; it orders them as their texts do
+    place = [F.col("doc_id").asc_nulls_first(), F.substring("body", 1, 64).asc()]
+    ordered = rows.repartitionByRange(min(shards, tasks), *place).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "body")
     return written(ordered.mapInArrow(write, _MANIFEST), "manifest")
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
+def read_documents(manifest: DataFrame, tasks: int = 8192) -> DataFrame:
     """Per document, from the files: shard, doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = manifest.count()
-    placed = manifest.withColumn("base", before).repartition(max(1, shards), "shard")
+    placed = manifest.withColumn("base", before).repartition(max(1, min(manifest.count(), tasks)), "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -744,3 +744,36 @@ def test_pipeline_stages_on_odd_rows(spark, corpus, sf_dir, tmp_path):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_shards_of_one_task_and_rows_without_an_id(spark, tmp_path):
+    """A task writes one shard after another, and rows without an id are dealt to several tasks; the order stays."""
+    rng = random.Random(2)
+    rows = [(None if k % 2 else k, prose(rng, 300)) for k in range(200)]
+    path = vocabulary("byte_bpe_50k.json")
+    got = {}
+    for tasks in (3, 8192):
+        manifest = tokens.write_sequences(documents(spark, rows), f"file://{tmp_path}/{tasks}", tokenizer=path, length=64, shard_bytes=12_000, tasks=tasks)
+        made = manifest.collect()
+        by_task = {}
+        for r in made:
+            by_task.setdefault(r.shard >> tokens._TASK_BITS, []).append(r)
+        assert len(by_task) <= tasks and sum(r.n_docs for r in made) == 200 and (tasks > 3 or max(map(len, by_task.values())) > 1)
+        if tasks > 3:
+            assert max(sum(r.n_docs for r in own) for own in by_task.values()) < 100  # not all rows without an id
+        got[tasks] = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.read_documents(manifest).collect()), key=lambda r: r[1])
+    assert got[3] == got[8192]
+
+
+def test_a_plan_of_buckets_holds_the_split_ones_alone():
+    rng = np.random.default_rng(3)
+    plan = substrings.Plan({5: 40, 900_000: 25}, 1_250_000, 10.0)
+    assert plan.total == 1_250_000 + 3 + 2 and len(plan.heavy) == 2
+    least = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    least[:5000] = least[:5000] // np.uint64(1_250_000) * np.uint64(1_250_000) + np.uint64(5)
+    hashes = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    home = plan.of(hashes, least)
+    assert set(home[:5000].tolist()) == {5, 1_250_000, 1_250_001, 1_250_002} and (home[least % np.uint64(1_250_000) != 5] < 1_250_005).all()
+    plain = (least % np.uint64(1_250_000)).astype(np.int64)
+    rest = ~np.isin(plain, [5, 900_000])
+    assert (home[rest] == plain[rest]).all() and (home == plan.of(hashes.copy(), least.copy())).all()
