@@ -80,6 +80,8 @@ def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 #: A bucket of more than so many times its fair share of windows is split.
 _UNEVEN = 1.5
+#: Buckets that are split at most, and partitions that buckets are dealt to at most.
+_MOST_SPLIT, _MOST_TASKS = 200_000, 8192
 
 
 class _Slice:
@@ -142,18 +144,27 @@ class _Slice:
 
 
 class Plan:
-    """Buckets, the most loaded of which are split: window -> final bucket."""
+    """Buckets, the most loaded of which are split: window -> final bucket.
+
+    Only split buckets are held: their first part keeps the bucket's number, the others get numbers after all buckets.
+    """
 
     def __init__(self, heavy: dict[int, int], buckets: int, fair: float):
-        self.parts = np.ones(buckets, np.uint64)
-        for bucket, load in heavy.items():
-            self.parts[bucket] = int(np.ceil(load / max(1.0, fair)))
-        self.first = np.concatenate([[0], np.cumsum(self.parts)]).astype(np.uint64)
+        self.buckets = buckets
+        self.heavy = np.array(sorted(heavy), np.int64)
+        self.parts = np.array([int(np.ceil(heavy[b] / max(1.0, fair))) for b in self.heavy.tolist()], np.int64)
+        self.first = np.cumsum([buckets, *(self.parts - 1)])
         self.total = int(self.first[-1])
 
     def of(self, hashes: np.ndarray, least: np.ndarray) -> np.ndarray:
-        home = (least % np.uint64(len(self.parts))).astype(np.int64)
-        return (self.first[home] + mixed(hashes + RADIX) % self.parts[home]).astype(np.int64)
+        home = (least % np.uint64(self.buckets)).astype(np.int64)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, home), len(self.heavy) - 1)
+            split = np.flatnonzero(self.heavy[at] == home)
+            at = at[split]
+            part = (mixed(hashes[split] + RADIX) % self.parts[at].astype(np.uint64)).astype(np.int64)
+            home[split] = np.where(part == 0, home[split], self.first[at] + part - 1)
+        return home
 
 
 def _planned(rows: DataFrame, buckets: int, width: int, inner: int, one_in: int) -> Plan:
@@ -173,7 +184,8 @@ def _planned(rows: DataFrame, buckets: int, width: int, inner: int, one_in: int)
     sample = rows.filter(F.expr(f"pmod(text_hash, {one_in}) = 0")).mapInArrow(loads, "bucket long, n long")
     counted = sample.groupBy("bucket").agg(F.sum("n").alias("n"))
     fair = (counted.agg(F.sum("n")).first()[0] or 0) / buckets
-    return Plan({r.bucket: r.n for r in counted.filter(F.col("n") > _UNEVEN * fair).collect()}, buckets, fair)
+    heaviest = counted.filter(F.col("n") > _UNEVEN * fair).orderBy(F.desc("n"), "bucket").limit(_MOST_SPLIT)  # what stays whole is counted all the same
+    return Plan({r.bucket: r.n for r in heaviest.collect()}, buckets, fair)
 
 
 def _scatter(plan, width: int, inner: int):
@@ -277,7 +289,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     plan = _planned(bodies, max(1, -(-int(total) // bucket_bytes)), width, inner, planned_one_in)
     buckets = plan.total
     fragments = bodies.mapInArrow(_scatter(docs.sparkSession.sparkContext.broadcast(plan), width, inner), _FRAGMENT)
-    runs = fragments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count(width), "text_hash long, text_check long, first int, last int")
+    runs = fragments.repartition(min(buckets, _MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_count(width), "text_hash long, text_check long, first int, last int")
     # a table, so that the join below has two shuffled sides, of which Spark can split a text's many copies
     by_text = written(runs.groupBy("text_hash", "text_check").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "intervals")
 
