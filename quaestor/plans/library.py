@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor import api
 from quaestor.bindings import Corpus
-from quaestor.functions import fulltext, names, timeline
+from quaestor.functions import fulltext, matcher, names, timeline
 from quaestor.operators import anomaly, graph, pairs, resolve
 
 
@@ -140,6 +140,14 @@ def search_field_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.matches(_index(spark, sf_dir), "legal").select("doc_id", "field", "tf")
 
 
+def gazetteer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the long words of the benchmark claim a stretch of each text, parts of other words too."""
+    c = Corpus(spark, sf_dir)
+    words = c.raw("benchmark").select(F.explode(F.expr("regexp_extract_all(lower(text), r'[a-z]{11,}', 0)")).alias("pattern")).distinct()
+    found = matcher.claims(c["texts"], words.select(F.lit("word").alias("label"), "pattern"))
+    return found.groupBy("document_id", "pattern").agg(F.count("*").alias("n"))
+
+
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
     return names.extract_entities(c["samples"].select("id", "text").unionAll(c["texts"].select(-F.col("id") - 1, "text")), {"place": ["Paris", "London", "Panama", "Cyprus"]})
@@ -187,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_stats, graph_edges, graph_components, graph_degree, graph_eigenvector, graph_path_centralities, graph_communities, communities_labelled, communities_documents, graph_path, graph_neighbours, resolver_candidates, resolver_mapping, resolver_classes, resolver_class_links, resolver_lookup,
-        search_documents, search_all_terms, search_ranked, search_matches, search_field_matches, anomaly_gaps, anomaly_bursts, anomaly_page_outliers, anomaly_bulk_ingestion, anomaly_sudden_appearances, anomaly_missing_metadata, top_entities_per_document,
+        search_documents, search_all_terms, search_ranked, search_matches, search_field_matches, gazetteer_claims, anomaly_gaps, anomaly_bursts, anomaly_page_outliers, anomaly_bulk_ingestion, anomaly_sudden_appearances, anomaly_missing_metadata, top_entities_per_document,
     )
 } | {"extract_entities_text": extract_entities, "extract_events_text": extract_events}
 
@@ -233,6 +241,7 @@ ORACLE = {
         t AS (SELECT count(*) AS docs, avg(length) AS mean, count(*) FILTER (f > 0) AS df FROM n)
         SELECT id AS doc_id, round(round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * CAST(f AS DOUBLE) * 2.2 / (CAST(f AS DOUBLE) + 1.2 * (0.25 + 0.75 * length / mean)), 9), 6) AS score FROM n, t WHERE f > 0
         ORDER BY round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * CAST(f AS DOUBLE) * 2.2 / (CAST(f AS DOUBLE) + 1.2 * (0.25 + 0.75 * length / mean)), 9) DESC, id LIMIT 50""",
+    "gazetteer_claims": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{11,}')) AS pattern FROM main.benchmark), r AS (SELECT string_agg(pattern, '|' ORDER BY length(pattern) DESC, pattern) AS p FROM w) SELECT document_id, pattern, count(*) AS n FROM (SELECT id AS document_id, unnest(regexp_extract_all(lower(text), (SELECT p FROM r))) AS pattern FROM {texts}) x GROUP BY 1, 2",
     "resolver_classes": _V + " SELECT class_id, type, n, size, last FROM k",
     "resolver_class_links": _W + " SELECT a, b, round(CAST(base AS DOUBLE), 6) AS base FROM g WHERE base >= 0.6",
     "resolver_lookup": _W + """, e AS (SELECT x.id AS x, y.id AS y, base FROM (SELECT na, nb, base FROM g WHERE base >= 0.6 UNION ALL SELECT nb, na, base FROM g WHERE base >= 0.6 UNION ALL SELECT n, n, 0.95 FROM k) l JOIN v x ON x.n = l.na JOIN v y ON y.n = l.nb WHERE x.id <> y.id AND x.id % 20 = 0),
