@@ -194,12 +194,21 @@ def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return _found(rows, ["doc_id"], threshold, weight)
 
 
+#: The wider candidates that touch no base span.  Base spans come in order of their starts, in runs of 256: of those that start
+#: before a candidate's end, all but the last run's are known by the furthest end of the runs before it.
+_RUNS = "sequence(0, CAST((size(base) - 1) div 256 AS INT))"
+_FIRST = f"transform({_RUNS}, r -> base[r * 256].start)"
+_FURTHEST = f"flatten(transform(array(transform({_RUNS}, r -> array_max(transform(slice(base, r * 256 + 1, 256), b -> b.end)))), m -> transform({_RUNS}, r -> coalesce(array_max(slice(m, 1, r)), -1))))"
+_TOUCHED = "exists(array(size(filter(z.first, h -> h < w.end))), k -> k > 0 AND (z.furthest[k - 1] > w.start OR exists(slice(base, (k - 1) * 256 + 1, 256), b -> b.start < w.end AND w.start < b.end)))"
+_FREE = f"IF(size(base) = 0 OR size(wide) = 0, wide, flatten(transform(array(struct({_FIRST} AS first, {_FURTHEST} AS furthest)), z -> filter(wide, w -> NOT ({_TOUCHED})))))"
+
+
 def _found(rows: DataFrame, kept: list[str], threshold: float, weight: int) -> DataFrame:
     base = ", ".join(_spans(k, BASE[kind], _NEEDS[kind], CHECK[kind]) for k, kind in enumerate(KINDS))
     wide = ", ".join(_spans(KINDS.index(kind), p, _WIDE_NEEDS[kind], _WIDE_CHECK[kind]) for kind, p in WIDE.items())
     marked = lambda b: f"transform(s, x -> struct(x.start, x.kind, x.end, x.m, x.before, {b} AS base))"
     found = rows.select(*kept, F.expr(f"array_sort(flatten(array({base})))").alias("base"), F.expr(f"flatten(array({wide}))").alias("wide"))
-    found = found.select(*kept, F.expr(marked("true").replace("(s,", "(base,")).alias("base"), F.expr("filter(wide, w -> NOT exists(base, b -> w.start < b.end AND b.start < w.end))").alias("wide"))
+    found = found.select(*kept, F.expr(marked("true").replace("(s,", "(base,")).alias("base"), F.expr(_FREE).alias("wide"))
     found = written(found.select(*kept, "base", F.expr(marked("false").replace("(s,", "(wide,")).alias("wide")), "spans")
     every = found.select(F.explode(F.concat("base", "wide")).alias("x"))
     cases = []

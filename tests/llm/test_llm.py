@@ -777,3 +777,31 @@ def test_a_plan_of_buckets_holds_the_split_ones_alone():
     plain = (least % np.uint64(1_250_000)).astype(np.int64)
     rest = ~np.isin(plain, [5, 900_000])
     assert (home[rest] == plain[rest]).all() and (home == plan.of(hashes.copy(), least.copy())).all()
+
+
+def test_candidates_that_touch_no_base_span_equal_brute_force(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(40):
+        at, base, wide = 0, [], []
+        for _ in range(rng.randrange(700) if k else 0):
+            at += rng.randrange(6)
+            base.append((at, rng.randrange(4), at + rng.randrange(1, 12), "m", ""))
+        for _ in range(rng.randrange(60)):
+            start = rng.randrange(at + 20)
+            wide.append((start, rng.randrange(4), start + rng.randrange(1, 9), "m", ""))
+        rows.append((k, sorted(base), wide))
+    kind = "array<struct<start: int, kind: int, end: int, m: string, before: string>>"
+    got = {r.k: [tuple(x) for x in r.free] for r in spark.createDataFrame(rows, f"k int, base {kind}, wide {kind}").selectExpr("k", f"{pii._FREE} AS free").collect()}
+    assert got == {k: [w for w in wide if not any(w[0] < b[2] and b[0] < w[2] for b in base)] for k, base, wide in rows}
+    assert any(0 < len(got[k]) < len(wide) for k, _, wide in rows)
+
+
+def test_personal_data_of_a_text_full_of_it_takes_bounded_time(spark):
+    text = " ".join(f"a{k}@b.org or 555-{200 + k % 700}-{1000 + k % 9000}" for k in range(50_000))
+    docs = documents(spark, [(1, text), (2, "mail me at x@y.org"), (3, None)])
+    start = time.time()
+    found = {r.doc_id: (r.base, r.spans) for r in pii.personal_data(docs).collect()}
+    assert time.time() - start < 60
+    assert len(found[1][0]) == 50_000 and len(found[1][1]) >= 50_000
+    assert len(found[2][0]) == 1 and found[3] == ([], [])
