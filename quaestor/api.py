@@ -9,6 +9,8 @@ An id that does not exist gives an empty answer.
 
 from __future__ import annotations
 
+import datetime
+import functools
 import inspect
 from collections.abc import Callable, Sequence
 
@@ -19,7 +21,7 @@ from quaestor.bindings import Corpus
 from quaestor.functions import fulltext, phrases
 from quaestor.functions import search as fts
 from quaestor.functions.fulltext import Fulltext
-from quaestor.operators import graph, pairs
+from quaestor.operators import anomaly, graph, pairs, resolve
 
 _DOC = ["id", "filename", "title", "category", "source", "date", "pages", "flagged"]
 
@@ -497,6 +499,78 @@ def graph_subgraph(c: Corpus, entity_ids: Sequence[int]) -> DataFrame:
     return graph.subgraph(_graph(c), c.spark.createDataFrame([(int(n),) for n in entity_ids], "n long"))
 
 
+# findings
+
+
+def resolve_entity(c: Corpus, entity_id: int, index: resolve.NameIndex | None = None, limit: int | None = None) -> DataFrame:
+    """Entities that one may be the same as, with their names, likeliest first; from an index of names where one is given, else by a look at all names."""
+    own = c["entities"].filter(F.col("id") == entity_id)
+    found = resolve.candidates(c["entities"], c["mentions"]).filter((F.col("source") == entity_id) | (F.col("target") == entity_id)) if index is None else index.matches(own, c["mentions"])
+    other = F.when(F.col("source") == entity_id, F.col("target")).otherwise(F.col("source")).alias("other")
+    named = found.select(other, "confidence", "action").join(c["entities"], F.col("id") == F.col("other"))
+    return _page(named.select("id", "name", "type", "confidence", "action"), [F.col("confidence").desc(), "id"], limit)
+
+
+def resolution_classes(c: Corpus, min_size: int = 2, limit: int | None = 50) -> DataFrame:
+    """Names that several entities bear, the most borne first."""
+    return _page(resolve.classes(c["entities"]).filter(F.col("size") >= min_size), [F.col("size").desc(), "class_id"], limit)
+
+
+def detect_anomalies(
+    c: Corpus, spike: float = 3.0, least_events: int = 5, least_weight: int = 3, least_indicators: int = 3, least_mentions: int = 10, most_documents: int = 2, now: str | None = None, limit: int | None = 20,
+) -> dict[str, DataFrame]:
+    """Days with far more events than the mean, pairs that are nearly always together, documents with many financial indicators,
+    entities that few documents name often, and what is odd in the metadata of PDF files."""
+    days = c["dated"].filter("length(event_date) >= 10 AND confidence >= 0.5").groupBy(F.col("event_date").alias("date")).agg(F.count("*").alias("count"))
+    mean = days.agg(F.avg("count").alias("mean"))  # one row
+    spikes = days.crossJoin(mean).filter(F.col("count") >= F.greatest(F.col("mean") * spike, F.lit(float(least_events))))
+    spikes = spikes.select("date", "count", F.round("mean", 1).alias("avg"), F.round(F.col("count") / F.col("mean"), 1).alias("ratio"))
+    e, total = c["entities"].select("id", "name", "type"), c["mentions"].groupBy("entity_id").agg(F.sum("count").alias("total"), F.countDistinct("document_id").alias("doc_count"))
+    end = lambda side: e.join(total, F.col("id") == F.col("entity_id"), "left").select(F.col("id").alias(f"entity_{side}_id"), F.col("name").alias(f"name_{side}"), F.col("type").alias(f"type_{side}"), F.coalesce("total", F.lit(1)).alias(f"total_{side}"))
+    pairs_of = c["links"].filter(F.col("weight") >= least_weight).join(end("a").filter("type_a = 'person'"), "entity_a_id").join(end("b").filter("type_b IN ('person', 'org', 'place')"), "entity_b_id")
+    pairs_of = pairs_of.withColumn("share", F.col("weight") / (F.col("total_a") + F.col("total_b")))
+    together = _page(pairs_of, [F.col("share").desc(), "entity_a_id", "entity_b_id"], limit).select("entity_a_id", "entity_b_id", "name_a", "name_b", "type_a", "type_b", F.col("weight").alias("co_occurrences"), F.round(F.col("share") * 100, 1).alias("ratio"))
+    money = c["indicators"].groupBy("document_id").agg(F.count("*").alias("indicator_count"), F.round(F.avg("risk"), 3).alias("avg_risk"), F.array_join(F.array_sort(F.collect_set("indicator_type")), ",").alias("types"))
+    money = money.filter(F.col("indicator_count") >= least_indicators).join(c["docs"], F.col("id") == F.col("document_id")).select("id", "title", "category", "indicator_count", "avg_risk", "types")
+    lone = e.filter("type IN ('person', 'org')").join(total, F.col("id") == F.col("entity_id")).filter((F.col("total") >= least_mentions) & (F.col("doc_count") <= most_documents))
+    titled = c["pdf_metadata"].join(c["docs"].select(F.col("id").alias("document_id"), "title"), "document_id", "left")
+    return {
+        "temporal_spikes": _page(spikes, [F.col("count").desc(), "date"], limit), "entity_anomalies": together,
+        "financial_clusters": _page(money, [F.col("indicator_count").desc(), "id"], limit),
+        "isolated_entities": _page(lone.select("id", "name", "type", F.col("total").alias("total_mentions"), "doc_count"), [F.col("total_mentions").desc(), "id"], limit),
+        "date_inconsistencies": anomaly.date_inconsistencies(c["pdf_metadata"], now or datetime.date.today().isoformat()), "metadata_stripping": anomaly.metadata_stripping(titled),
+        "producer_inconsistencies": anomaly.producer_inconsistencies(c["pdf_metadata"]), "creation_clusters": anomaly.creation_clusters(c["pdf_metadata"]),
+    }
+
+
+def fts_stats(c: Corpus) -> dict[str, DataFrame]:
+    """How many documents there are, are indexed and have text, and documents with text by category."""
+    held = c["docs"].select("id", "category").join(c["texts"].filter("text <> ''").select(F.col("id").alias("hit")), F.col("id") == F.col("hit"), "left")
+    indexed = F.lit(c.index.docs) if isinstance(c.index, Fulltext) else F.count("*")
+    totals = held.agg(indexed.cast("long").alias("indexed_docs"), F.count("*").alias("total_docs"), F.count("hit").alias("with_text"))
+    share = F.when(F.col("total_docs") > 0, F.round(100 * F.col("indexed_docs") / F.col("total_docs"), 1)).otherwise(0.0)
+    by = held.filter("hit IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
+    return {"totals": totals.withColumn("coverage_pct", share), "by_category": _page(by, [F.col("n").desc(), "category"], None)}
+
+
+def ocr_quality(c: Corpus, doc_id: int | None = None, page: int = 3000) -> DataFrame:
+    """(id, page_number, char_count, word_count, quality_score, alpha_ratio, issues) of each page of one text or all.
+
+    Pages are parted by form feeds, else cut every ``page`` characters; a score starts at 1 and is lowered by each issue.
+    """
+    texts = c["texts"] if doc_id is None else c["texts"].filter(F.col("id") == doc_id)
+    pages = rf"""CASE WHEN contains(text, chr(12)) THEN filter(split(text, chr(12)), x -> x RLIKE r'\S') WHEN length(text) > {int(page)} THEN transform(sequence(0, (length(text) - 1) div {int(page)}), k -> substr(text, k * {int(page)} + 1, {int(page)}))
+        WHEN text <> '' THEN array(text) ELSE array() END"""
+    rows = texts.select("id", F.posexplode(F.expr(pages)).alias("at", "p")).withColumn("chars", F.length("p"))
+    per = lambda pattern: F.length(F.regexp_replace("p", pattern, "")) / F.greatest("chars", F.lit(1))
+    rows = rows.withColumns({"alpha": per(r"\P{L}"), "space": per("[^ ]"), "garbage": per(r"[\x00-\x7F\p{L}]"), "words": F.size(F.regexp_extract_all("p", F.lit(r"\S+"), F.lit(0))), "solid": F.length(F.regexp_replace("p", r"\s", ""))})
+    long = F.col("solid") / F.greatest("words", F.lit(1))
+    issues = {"short_text": (F.col("chars") < 50, 0.3), "low_alpha": (F.col("alpha") < 0.4, 0.5), "garbage_chars": (F.col("garbage") > 0.05, 0.4), "spacing_abnormal": ((F.col("space") < 0.05) | (F.col("space") > 0.5), 0.6), "word_length_abnormal": ((long > 15) | (long < 2), 0.5)}
+    score = functools.reduce(lambda a, b: a * b, [F.when(found, F.lit(rate)).otherwise(F.lit(1.0)) for found, rate in issues.values()])
+    names = F.array_join(F.array_compact(F.array(*(F.when(found, F.lit(name)) for name, (found, _) in issues.items()))), ",")
+    return rows.select("id", (F.col("at") + 1).alias("page_number"), F.col("chars").cast("long").alias("char_count"), F.col("words").cast("long").alias("word_count"), F.round(score, 3).alias("quality_score"), F.round("alpha", 3).alias("alpha_ratio"), names.alias("issues"))
+
+
 #: Route name -> function.
 ROUTES: dict[str, Callable] = {n: f for n, f in list(globals().items()) if inspect.isfunction(f) and not n.startswith("_") and f.__module__ == __name__}
 

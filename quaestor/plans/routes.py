@@ -230,6 +230,52 @@ ROUTES: dict[str, tuple[Callable[[Corpus], DataFrame], str | None]] = {
 }
 
 
+_FREQUENT = "SELECT entity_id, CAST(sum(count) AS BIGINT) AS total, count(DISTINCT document_id) AS doc_count FROM {mentions} GROUP BY entity_id"
+ROUTES |= {
+    "detect_anomalies_spikes": (
+        lambda c: api.detect_anomalies(c, spike=1.8)["temporal_spikes"],
+        """WITH d AS (SELECT event_date AS date, count(*) AS count FROM {dated} WHERE length(event_date) >= 10 AND confidence >= 0.5 GROUP BY 1), m AS (SELECT avg(count) AS mean FROM d)
+        SELECT date, count, round(mean, 1) AS avg, round(count / mean, 1) AS ratio FROM d, m WHERE count >= 5 AND count >= 1.8 * mean ORDER BY count DESC, date LIMIT 20""",
+    ),
+    "detect_anomalies_pairs": (
+        lambda c: api.detect_anomalies(c, least_weight=2)["entity_anomalies"].select("entity_a_id", "entity_b_id", "type_b", "co_occurrences", "ratio"),
+        f"""WITH n AS ({_FREQUENT}) SELECT entity_a_id, entity_b_id, b.type AS type_b, weight AS co_occurrences, round(100.0 * weight / (coalesce(x.total, 1) + coalesce(y.total, 1)), 1) AS ratio FROM {{links}}
+        JOIN {{entities}} a ON a.id = entity_a_id AND a.type = 'person' JOIN {{entities}} b ON b.id = entity_b_id AND b.type IN ('person', 'org', 'place') LEFT JOIN n x ON x.entity_id = entity_a_id LEFT JOIN n y ON y.entity_id = entity_b_id
+        WHERE weight >= 2 ORDER BY CAST(weight AS DOUBLE) / (coalesce(x.total, 1) + coalesce(y.total, 1)) DESC, entity_a_id, entity_b_id LIMIT 20""",
+    ),
+    "detect_anomalies_money": (
+        lambda c: api.detect_anomalies(c, least_indicators=3, limit=15)["financial_clusters"].select("id", "category", "indicator_count", "avg_risk", "types"),
+        "SELECT id, any_value(category) AS category, count(*) AS indicator_count, round(avg(risk), 3) AS avg_risk, string_agg(DISTINCT indicator_type, ',' ORDER BY indicator_type) AS types FROM {indicators} JOIN {docs} ON id = document_id GROUP BY id HAVING count(*) >= 3 ORDER BY indicator_count DESC, id LIMIT 15",
+    ),
+    "detect_anomalies_isolated": (
+        lambda c: api.detect_anomalies(c)["isolated_entities"],
+        f"SELECT id, name, type, total AS total_mentions, doc_count FROM {{entities}} JOIN ({_FREQUENT}) n ON entity_id = id WHERE type IN ('person', 'org') AND total >= 10 AND doc_count <= 2 ORDER BY total DESC, id LIMIT 20",
+    ),
+    "fts_statistics": (
+        lambda c: api.fts_stats(c)["totals"],
+        "SELECT count(*) AS indexed_docs, count(*) AS total_docs, count(t.id) AS with_text, CAST(100 AS DOUBLE) AS coverage_pct FROM {docs} d LEFT JOIN (SELECT id FROM {texts} WHERE text <> '') t ON t.id = d.id",
+    ),
+    "fts_statistics_by_category": (
+        lambda c: api.fts_stats(c)["by_category"],
+        "SELECT category, count(*) AS n FROM {docs} d JOIN {texts} t ON t.id = d.id AND t.text <> '' GROUP BY category",
+    ),
+    "ocr_quality_pages": (
+        lambda c: api.ocr_quality(c),
+        r"""WITH p AS (SELECT id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS page_number FROM (SELECT id, list_transform(range(0, (length(text) + 2999) // 3000), lambda k: substr(text, k * 3000 + 1, 3000)) AS ps FROM {texts} WHERE text NOT LIKE '%' || chr(12) || '%')),
+        q AS (SELECT id, page_number, length(p) AS n, length(regexp_replace(p, '[^\pL]', '', 'g')) / length(p) AS alpha, (length(p) - length(replace(p, ' ', ''))) / length(p) AS space, length(regexp_replace(p, '[\x00-\x7F\pL]', '', 'g')) / length(p) AS odd,
+            len(regexp_extract_all(p, '[^ \t\n\x0B\f\r]+')) AS words, length(regexp_replace(p, '[ \t\n\x0B\f\r]', '', 'g')) / greatest(len(regexp_extract_all(p, '[^ \t\n\x0B\f\r]+')), 1) AS size FROM p)
+        SELECT id, CAST(page_number AS INTEGER) AS page_number, n AS char_count, words AS word_count,
+            round(CASE WHEN n < 50 THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN alpha < 0.4 THEN 0.5 ELSE 1 END * CASE WHEN odd > 0.05 THEN 0.4 ELSE 1 END * CASE WHEN space < 0.05 OR space > 0.5 THEN 0.6 ELSE 1 END * CASE WHEN size > 15 OR size < 2 THEN 0.5 ELSE 1 END, 3) AS quality_score,
+            round(alpha, 3) AS alpha_ratio, concat_ws(',', CASE WHEN n < 50 THEN 'short_text' END, CASE WHEN alpha < 0.4 THEN 'low_alpha' END, CASE WHEN odd > 0.05 THEN 'garbage_chars' END,
+            CASE WHEN space < 0.05 OR space > 0.5 THEN 'spacing_abnormal' END, CASE WHEN size > 15 OR size < 2 THEN 'word_length_abnormal' END) AS issues FROM q""",
+    ),
+    "resolution_classes": (
+        lambda c: api.resolution_classes(c, limit=25),
+        "SELECT min(id) AS class_id, type, lower(name) AS n, count(*) AS size, max(id) AS last FROM {entities} GROUP BY type, lower(name) HAVING count(*) >= 2 ORDER BY size DESC, class_id LIMIT 25",
+    ),
+}
+
+
 def _query(route: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: route(Corpus(spark, sf_dir))
 
