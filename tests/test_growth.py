@@ -5,7 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from quaestor import registry
 from quaestor.functions import phrases
+from quaestor.operators import pairs
 
 
 def shuffled(spark, run):
@@ -61,3 +63,17 @@ def test_phrases_meet_the_documents_after_the_first_ones_are_chosen(spark):
     assert got == [("pcommon", 30, 60, "1996", 30)]
     plan = phrases.phrase_trends(found, docs, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner, (id#") < plan.index("Join Inner, (phrase#")  # the outer join is that with the documents
+
+
+def test_not_among_sends_nothing_whole_to_a_task(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id long, key long")
+    for others, want in (([10], [2]), ([10, None], []), ([], [1, 2, 3]), ([30, 30], [1, 2])):
+        table = spark.createDataFrame([(x,) for x in others], "other long")
+        rows.createOrReplaceTempView("growth_rows"), table.createOrReplaceTempView("growth_others")
+        asked = spark.sql("SELECT id FROM growth_rows WHERE key NOT IN (SELECT other FROM growth_others)")
+        assert sorted(r.id for r in pairs.not_among(rows, "key", table).collect()) == sorted(r.id for r in asked.collect()) == want
+
+
+def test_events_without_mentions_are_found_without_a_broadcast_of_mentions(spark, sf_dir):
+    plan = registry.queries()["orphan_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "isnull((document_id" not in plan  # what NOT IN adds to an anti join, which only a broadcast can answer
