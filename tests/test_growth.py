@@ -77,3 +77,28 @@ def test_not_among_sends_nothing_whole_to_a_task(spark):
 def test_events_without_mentions_are_found_without_a_broadcast_of_mentions(spark, sf_dir):
     plan = registry.queries()["orphan_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "isnull((document_id" not in plan  # what NOT IN adds to an anti join, which only a broadcast can answer
+
+
+def shared_pairs(sets, enough):
+    return {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and enough(len(sets[a] & sets[b]), min(len(sets[a]), len(sets[b])))}
+
+
+def test_pairs_that_share_are_settled_where_they_meet(spark):
+    rng = random.Random(8)
+    sets = {k: {rng.randrange(60) for _ in range(rng.randrange(1, 12))} for k in range(150)}
+    sets |= {k: sets[k % 20] for k in range(150, 190)}  # copies
+    rows = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s] + [(5, None), (None, 5)], "m long, g long")
+    for carried in (4096, 6, 0):  # 0: no set travels
+        got = pairs.sharing(rows, "m", "g", 3, carried).collect()
+        assert {tuple(r) for r in got} == shared_pairs(sets, lambda n, _: n >= 3) and len(got) == len(set(got))
+        got = pairs.sharing_in_blocks(rows, "m", "g", 3, 40 + carried).collect()
+        assert {tuple(r) for r in got} == shared_pairs(sets, lambda n, _: n >= 3) and len(got) == len(set(got))
+        got = pairs.overlapping(rows, "m", "g", 0.6, carried).collect()
+        assert {tuple(r) for r in got} == shared_pairs(sets, lambda n, least: n and n >= 0.6 * least - 1e-9) and len(got) == len(set(got))
+
+
+def test_copies_meet_others_once(spark):
+    rows = spark.range(400 * 12).selectExpr("id div 12 AS m", "(id div 12) % 4 * 100 + id % 12 AS g")  # four sets, 100 copies of each
+    got, moved = shuffled(spark, lambda: pairs.sharing(rows, "m", "g", 3))
+    assert len(got) == 4 * 100 * 99 // 2 and {r[2] for r in got} == {12}
+    assert moved < 4 * 400 * 12  # 19 800 candidates by their sets before
