@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor import registry
 from quaestor.functions import phrases
-from quaestor.operators import pairs
+from quaestor.operators import pairs, resolve
 
 
 def shuffled(spark, run):
@@ -102,3 +102,14 @@ def test_copies_meet_others_once(spark):
     got, moved = shuffled(spark, lambda: pairs.sharing(rows, "m", "g", 3))
     assert len(got) == 4 * 100 * 99 // 2 and {r[2] for r in got} == {12}
     assert moved < 4 * 400 * 12  # 19 800 candidates by their sets before
+
+
+def test_pairs_of_entities_are_written_out_last(spark):
+    entities = spark.range(600).selectExpr("id", "element_at(array('Ann Marsh', 'ann marsh', 'Joan Fielding', 'Joan Fieldings'), int(id % 4) + 1) AS name", "'person' AS type")
+    mentions = spark.range(600).selectExpr("id div 8 AS document_id", "id AS entity_id", "1L AS count")
+    got, moved = shuffled(spark, lambda: resolve.candidates(entities, mentions))
+    base = lambda a, b: 0.95 if (a % 4 < 2) == (b % 4 < 2) and (a % 4 < 2 or a % 4 == b % 4) else 0.7 if a % 4 > 1 and b % 4 > 1 else 0
+    total = lambda a, b: min(1.0, base(a, b) + 0.1 + 0.1 * (a // 8 == b // 8))
+    want = {(a, b, round(total(a, b), 6), "auto" if total(a, b) >= 0.85 else "queue") for a in range(600) for b in range(a + 1, 600) if base(a, b)}
+    assert {(a, b, round(x, 6), action) for a, b, x, action in got} == want and len(got) == len(want)
+    assert moved < 20 * 600  # 89 700 pairs, which went to their documents before
