@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quaestor import registry
 from quaestor.functions import phrases
-from quaestor.operators import pairs, resolve
+from quaestor.operators import graph, pairs, resolve
 
 
 def shuffled(spark, run):
@@ -113,3 +114,22 @@ def test_pairs_of_entities_are_written_out_last(spark):
     want = {(a, b, round(total(a, b), 6), "auto" if total(a, b) >= 0.85 else "queue") for a in range(600) for b in range(a + 1, 600) if base(a, b)}
     assert {(a, b, round(x, 6), action) for a, b, x, action in got} == want and len(got) == len(want)
     assert moved < 20 * 600  # 89 700 pairs, which went to their documents before
+
+
+def test_sources_of_path_centralities_are_dealt_to_tasks(spark):
+    rng = random.Random(4)
+    pairs_ = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(900)} | {(k, k + 1) for k in range(400, 500)}  # two parts, one a line of 101 nodes
+    rows = [(a, b, rng.choice([1, 1, 2, 5])) for a, b in sorted(pairs_)]
+    edges = spark.createDataFrame(rows, "a long, b long, weight long")
+    df = graph.path_centralities(edges)
+    assert "Repartition 3, true" in df._jdf.queryExecution().optimizedPlan().toString()  # one task had all sources before
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    place = {x: k for k, x in enumerate(names)}
+    ends = sorted((place[y], place[x], w) for a, b, w in rows for x, y in ((a, b), (b, a)))
+    head, tail, weight = (np.array(c) for c in zip(*ends))
+    between, close = np.zeros(len(names)), np.zeros(len(names))
+    for s in range(len(names)):  # the plain way
+        graph._add_source(s, tail, head, weight.astype(float), between, close)
+    got = {r.node: r for r in df.collect()}
+    scale = 1 / ((len(names) - 1) * (len(names) - 2))
+    assert sorted(got) == names and all(abs(got[x].betweenness - between[k] * scale) < 1e-12 and abs(got[x].closeness - close[k]) < 1e-12 for x, k in place.items())
