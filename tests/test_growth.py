@@ -133,3 +133,32 @@ def test_sources_of_path_centralities_are_dealt_to_tasks(spark):
     got = {r.node: r for r in df.collect()}
     scale = 1 / ((len(names) - 1) * (len(names) - 2))
     assert sorted(got) == names and all(abs(got[x].betweenness - between[k] * scale) < 1e-12 and abs(got[x].closeness - close[k]) < 1e-12 for x, k in place.items())
+
+
+def test_names_made_of_few_letters_do_not_meet_all(spark):
+    letters = "translate(substr(md5(string(id div 2)), 1, 12), '456789abcdef', '012301230123')"  # 64 trigrams in all
+    entities = spark.range(3000).selectExpr("id", f"concat('Lone ', {letters}, IF(id % 2 = 1, 'z', '')) AS name", "'person' AS type")
+    got, moved = shuffled(spark, lambda: resolve.class_links(entities))
+    n = entities.selectExpr("id", "lower(name) AS n")
+    want = n.toDF("a", "na").crossJoin(n.toDF("b", "nb")).filter("a < b AND levenshtein(na, nb, 2) >= 0")
+    assert {r[:2] for r in got} == {tuple(r) for r in want.select("a", "b").collect()} and len(got) >= 1500
+    assert moved < 3000 * 200  # nearly all of 4 500 000 pairs before
+
+
+def test_two_edits_are_found_at_every_length(spark):
+    rng = random.Random(11)
+    names = set()
+    for size in (8, 9, 10, 11, 22, 23, 24, 25, 26, 27, 28, 40):
+        for _ in range(6):
+            name = [rng.choice("ab😀é") for _ in range(size)]
+            names.add("".join(name))
+            for _ in range(4):
+                other = list(name)
+                for _ in range(rng.randrange(1, 3)):
+                    k = rng.randrange(len(other))
+                    other[k : k + rng.randrange(2)] = rng.choice(["", "a", "bé"])[: rng.randrange(3)]
+                names.add("".join(other))
+    table = spark.createDataFrame([("org", n) for n in sorted(names) if n], "type string, n string")
+    every = resolve._close(table.select("type", F.col("n").alias("na")).join(table.select("type", F.col("n").alias("nb")), "type").filter("na < nb").select("type", "na", "nb"))
+    got = resolve._close_names(table).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in every.collect()} and len(got) > 100
