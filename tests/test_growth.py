@@ -162,3 +162,16 @@ def test_two_edits_are_found_at_every_length(spark):
     every = resolve._close(table.select("type", F.col("n").alias("na")).join(table.select("type", F.col("n").alias("nb")), "type").filter("na < nb").select("type", "na", "nb"))
     got = resolve._close_names(table).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in every.collect()} and len(got) > 100
+
+
+def test_words_too_rare_for_the_best_pairs_are_not_paired(spark):
+    rng = random.Random(6)
+    docs = {k: sorted({f"c{int(rng.paretovariate(0.7)) % 30}" for _ in range(12)} | {f"w{rng.randrange(400)}" for _ in range(30)}) for k in range(300)}
+    rows = spark.createDataFrame([(k, w) for k, ws in docs.items() for w in ws] + [(None, "w1")], "d long, w string")
+    counts = Counter((a, b) for ws in docs.values() for a in ws for b in ws if a < b)
+    want = lambda k, least, members: sorted(((a, b, n) for (a, b), n in counts.items() if n >= least and min(sizes[a], sizes[b]) >= members), key=lambda x: (-x[2], x[:2]))[:k]
+    sizes = Counter(w for ws in docs.values() for w in ws) + Counter(["w1"])
+    for k, least, members, first in ((40, 3, 5, 20), (40, 3, 5, 2), (3, 1, 30, 100), (100_000, 2, 1, 20), (5, 400, 1, 10)):
+        got, moved = shuffled(spark, lambda: pairs.most_shared(rows, "d", "w", k, least, members, first))
+        assert got == want(k, least, members)
+        assert (k, first) != (40, 20) or moved < 40_000  # about 120 000 different pairs of words before
