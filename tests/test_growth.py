@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quaestor import registry
-from quaestor.functions import phrases
+from quaestor.functions import fulltext, phrases
 from quaestor.operators import graph, pairs, resolve
 
 
@@ -175,3 +175,25 @@ def test_words_too_rare_for_the_best_pairs_are_not_paired(spark):
         got, moved = shuffled(spark, lambda: pairs.most_shared(rows, "d", "w", k, least, members, first))
         assert got == want(k, least, members)
         assert (k, first) != (40, 20) or moved < 40_000  # about 120 000 different pairs of words before
+
+
+def test_places_of_a_phrase_are_compared_where_all_its_terms_stand(spark, tmp_path):
+    texts = spark.range(0, 40, 1, 1).selectExpr("id", "CASE id % 4 WHEN 0 THEN repeat('of a ', 500) WHEN 1 THEN repeat('of the ', 500) WHEN 2 THEN repeat('the of of ', 500) ELSE repeat('20 of the 20 ', 500) END AS title")
+    index = fulltext.indexed(texts, f"file://{tmp_path}/index", ("title",))
+    got, moved = shuffled(spark, lambda: fulltext.matches(index, "of the"))
+    assert {r[0]: (r[3], r[4]) for r in got} == {k: {1: (500, 1000), 2: (499, 1500), 3: (500, 2000)}[k % 4] for k in range(40) if k % 4} and len(got) == 30
+    assert moved < 500  # each place moved before: 45 000
+    assert {r.doc_id: r.tf for r in fulltext.matches(index, "of of").collect()} == {k: 500 for k in range(2, 40, 4)}
+    assert {r.doc_id: r.tf for r in fulltext.matches(index, "20 20").collect()} == {k: 499 for k in range(3, 40, 4)}
+
+
+def test_short_documents_of_one_file_are_dealt_to_several_tasks(spark, tmp_path):
+    texts = spark.range(0, 60_000, 1, 1).selectExpr("id", "concat(repeat('word of ', 12), id) AS title")
+    tasks = []
+    held = fulltext.postings
+    try:
+        fulltext.postings = lambda rows, *more: tasks.append(rows.rdd.getNumPartitions()) or held(rows, *more)
+        index = fulltext.indexed(texts, f"file://{tmp_path}/index", ("title",))
+    finally:
+        fulltext.postings = held
+    assert tasks == [2] and index.docs == 60_000 and fulltext.matches(index, "59999").collect()[0].doc_id == 59_999
