@@ -197,3 +197,19 @@ def test_short_documents_of_one_file_are_dealt_to_several_tasks(spark, tmp_path)
     finally:
         fulltext.postings = held
     assert tasks == [2] and index.docs == 60_000 and fulltext.matches(index, "59999").collect()[0].doc_id == 59_999
+
+
+def test_tasks_follow_the_mentions_and_the_pairs(spark, sf_dir):
+    from quaestor.bindings import Corpus
+
+    assert Corpus(spark, sf_dir).tasks(1000) == -(-Corpus(spark, sf_dir).raw("lineitem").count() // 1000) > 1
+    for name in ("export_documents", "entity_path_suggestions", "financial_entity_links", "list_entities"):  # as many tasks as the session has before
+        assert "RepartitionByExpression" in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    rng = random.Random(2)
+    groups = {k: {rng.randrange(40) for _ in range(rng.randrange(9))} for k in range(200)}
+    rows = spark.createDataFrame([(k, m) for k, ms in groups.items() for m in ms for _ in range(1 + m % 2)], "g long, m long")
+    counts = Counter((a, b) for ms in groups.values() for a in ms for b in ms if a < b)
+    want = sorted(((a, b, n) for (a, b), n in counts.items()), key=lambda x: (-x[2], x[:2]))[:30]
+    best = pairs.best_shared(rows, "g", "m", 30, 100)
+    assert [tuple(r) for r in best.collect()] == want
+    assert f"], {sum(counts.values()) // 100}" in best._jdf.queryExecution().optimizedPlan().toString()
