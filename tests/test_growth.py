@@ -213,3 +213,19 @@ def test_tasks_follow_the_mentions_and_the_pairs(spark, sf_dir):
     best = pairs.best_shared(rows, "g", "m", 30, 100)
     assert [tuple(r) for r in best.collect()] == want
     assert f"], {sum(counts.values()) // 100}" in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_a_common_name_are_written_out_by_many_tasks(spark, sf_dir):
+    rng = random.Random(8)
+    rows = [(k // 2, rng.choice(["common", "common", "other", f"own {k}"]), rng.choice("abcd")) for k in range(900)]
+    rows += [rows[0], (1, None, "a"), (2, "common", None), (None, "common", "a"), (-5, "common", "b"), (7, "twice", "a"), (7, "twice", "b")]
+    table = spark.createDataFrame(rows, "id long, name string, type string")
+    want = Counter((i, j, n) for i, n, t in rows for j, m, u in rows if None not in (i, j, n, t, u) and n == m and t != u and i < j)
+    for side in (7, 1024):
+        found = pairs.unlike(table, "name", "type", "id", side, 5_000)
+        assert Counter(map(tuple, found.collect())) == want
+    written = pairs.unlike(table, "name", "type", "id", 7, 5_000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(written) == sum(want.values()) // 5_000 > 8 and max(r.n for r in written) < 7_500
+    assert pairs.unlike(table.filter("id < -9"), "name", "type", "id").count() == 0
+    query = registry.queries()["entity_name_duplicates"](spark, sf_dir)
+    assert "Repartition" in query._jdf.queryExecution().optimizedPlan().toString()  # two tasks wrote all before
