@@ -1,12 +1,14 @@
 import json
 import random
+import re
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quaestor.bindings import Corpus
-from quaestor.functions import names, search, timeline
+from quaestor.functions import lexicons, names, search, timeline
 from quaestor.operators import anomaly, graph, pairs, resolve
 from quaestor.plans import library
 from quaestor.sources import files
@@ -134,6 +136,40 @@ def test_no_year_in_plain_numbers():
     assert timeline.dates("4500 units at warehouse 2100") == []
 
 
+def test_dates_are_looked_for_around_digits_and_a_few_words():
+    patterns = [(re.compile(p, re.I), precision) for p, precision, _ in lexicons.DATES] + [(re.compile(p, re.I), "relative") for p in lexicons.RELATIVE_DATES]
+
+    def plainly(text):
+        taken = []
+        for pattern, precision in patterns:
+            for m in pattern.finditer(text):
+                if all(m.end() <= a or b <= m.start() for a, b, _ in taken):
+                    taken.append((*m.span(), precision))
+        return sorted(taken)
+
+    words = "January may MAR. Sept august 14 3rd 2009 1999, 03/14/2009 3-4-99 2009-03-14 12/1/20091 Spring of in since around circa approx. approximately the following next same that day days weeks monday evening two 12 later after before shortly soon immediately today daydayday \u212a a1b2 \u0663\u0664\u0665\u0666 \u3000 - / nightafter".split(" ")
+    rng, n = random.Random(5), 0
+    for _ in range(4000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "", ". ", ", ", "\u3000", "      "]) for _ in range(rng.randrange(40)))
+        text = rng.choice([text, text.upper(), text.lower()])
+        got = [(a, b, precision) for a, b, _, precision, _ in timeline.dates(text)]
+        assert got == plainly(text)
+        n += len(got)
+    assert n > 5000
+    assert [(a, b, iso) for a, b, iso, _, _ in timeline.dates("\u0130\u0130 on \u017feptember 5, 2009")] == [(6, 23, "2009-09-05")]  # an error before
+    began = time.process_time()
+    assert timeline.dates("on the march of those who may not be seen again " * 40_000) == []
+    assert timeline.dates("a1" * 100_000) == [] and timeline.dates("day" * 100_000) == [] and timeline.sentences("A. " * 60_000) == [(0, 180_000)]
+    assert time.process_time() - began < 4  # 8 s and more before
+
+
+def test_events_of_a_long_sentence_come_in_parts(spark):
+    docs = spark.createDataFrame([(1, "2009-03-14 and Ann, " * 3000), (2, "On 2009-03-15 Bob left.")], "id long, text string")
+    known = spark.createDataFrame([(1, "ann"), (2, "Ann"), (2, "bob")], "document_id long, name string")
+    found = timeline.extract_events(docs, known).groupBy("document_id", "event_date", "names").count().collect()
+    assert {tuple(r[:2]) + tuple(r.names) + (r["count"],) for r in found} == {(1, "2009-03-14", "ann", 3000), (2, "2009-03-15", "bob", 1)}
+
+
 def test_events_carry_sentence_and_names(spark):
     docs = spark.createDataFrame([(1, "Dr. Jones came. On March 14, 2009 Ann Lee met Bob. Nothing else."), (2, None), (3, "")], "id long, text string")
     known = spark.createDataFrame([(1, "Ann Lee"), (1, "Carl"), (1, "bob")], "document_id long, name string")
