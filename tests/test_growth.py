@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quaestor import registry
@@ -98,6 +99,35 @@ def test_pairs_that_share_are_settled_where_they_meet(spark):
         assert {tuple(r) for r in got} == shared_pairs(sets, lambda n, least: n and n >= 0.6 * least - 1e-9) and len(got) == len(set(got))
 
 
+def test_pairs_in_blocks_are_written_out_where_they_are_counted(spark, monkeypatch):
+    rng = random.Random(9)
+    sets = {k: {rng.randrange(30) for _ in range(rng.randrange(1, 14))} for k in range(40)}
+    sets |= {k: sets[rng.randrange(10)] for k in range(40, 500)}  # copies
+    rows = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s] * 2 + [(5, None), (None, 5)], "m long, g long")
+    first = spark.createDataFrame([(k,) for k in range(0, 500, 3)] * 2 + [(None,), (10_000,)], "id long")
+    want = shared_pairs(sets, lambda n, _: n >= 3)
+    got, moved = shuffled(spark, lambda: pairs.sharing_in_blocks(rows, "m", "g", 3, first=first))
+    assert set(got) == {x for x in want if x[0] % 3 == 0} and len(got) == len(set(got)) > 10_000
+    assert moved < 10_000  # pairs of classes were joined with their members before, and each of a member's pairs with the first ones
+    monkeypatch.setattr(pairs, "ARRAY", 7)
+    for cells in (1, 3):
+        monkeypatch.setattr(pairs, "CELLS", cells)
+        got = [tuple(r) for r in pairs.sharing_in_blocks(rows, "m", "g", 3, 10, first).collect()]
+        assert set(got) == {x for x in want if x[0] % 3 == 0} and len(got) == len(set(got))
+    monkeypatch.setattr(pairs, "SIDE", 5), monkeypatch.setattr(pairs, "FRAME", 50)  # what a task does, in smaller pieces
+    units = [[k] if k < 40 else [k, k + 40, k + 80] for k in range(80)]
+    held = pd.DataFrame({"items": [sorted(sets[u[0]]) for u in units], "ms": units, "fs": [[m % 3 == 0 for m in u] for u in units]})
+    held["any"] = held["fs"].map(any)
+    held = held.sort_values("any", ascending=False)
+    for ends in ((held, held), (held[::2], held[1::2])):
+        cells = [pairs._Cell(x) for x in ends]
+        cells = cells[:1] * 2 if ends[0] is held else cells
+        got = [r for x, y, n in pairs._alike(*cells, 3) for more in pairs._members(*cells, x, y, n) for r in zip(*(v.tolist() for v in more))]
+        inside = [[(m, sets[u[0]]) for u in x["ms"] for m in u] for x in ends]
+        want = {(min(m, o), max(m, o), len(s & t)) for m, s in inside[0] for o, t in inside[1] if m != o and len(s & t) >= 3 and min(m, o) % 3 == 0}
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_copies_meet_others_once(spark):
     rows = spark.range(400 * 12).selectExpr("id div 12 AS m", "(id div 12) % 4 * 100 + id % 12 AS g")  # four sets, 100 copies of each
     got, moved = shuffled(spark, lambda: pairs.sharing(rows, "m", "g", 3))
